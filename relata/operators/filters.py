@@ -373,9 +373,9 @@ def compile_filter(catalog: Catalog, code: str, df: DataFrame, ast, geo_ctx=None
                     sub[at.prefix].add(at.column)
                 else:
                     cols.add(at.column)
-            ch = child_frame(catalog, rel, sorted(cols))
+            ch = child_frame(catalog, rel, sorted(cols) + sorted({r.local_key for r in _first_many(catalog, rel.target, sub)}))
             if sub:
-                ch = attach_to_one(catalog, rel.target, ch, sub)
+                ch = attach_chain(catalog, rel.target, ch, sub)
             child_frames[g] = ch
 
         def child_atom(g, a, frame_null=False):
@@ -415,19 +415,27 @@ def compile_filter(catalog: Catalog, code: str, df: DataFrame, ast, geo_ctx=None
             df = df.withColumn(mcol, F.coalesce(F.col(mcol), F.array(null_code.cast("int"))))
             lam_names[g] = (mcol, n)
 
-        def nest(gs, env):
+        def digit_of(x):
+            def get(i):
+                d = F.floor(x / F.lit(3**i)) % 3
+                return F.when(d == 1, F.lit(True)).when(d == 0, F.lit(False))
+
+            return get
+
+        def nest(gs, env, node=node):
             if not gs:
                 return build(node, env)
             g = gs[0]
 
-            def body(x, g=g):
-                e = dict(env)
-                e[g] = lambda i, x=x: F.when(((x / (3**i)).cast("int") % 3) == 1, F.lit(True)).when(
-                    ((x / (3**i)).cast("int") % 3) == 0, F.lit(False)
-                )
-                return nest(gs[1:], e)
+            def make_body(g, rest, env):
+                def body(x):
+                    e = dict(env)
+                    e[g] = digit_of(x)
+                    return nest(rest, e)
 
-            return F.exists(F.col(lam_names[g][0]), body)
+                return body
+
+            return F.exists(F.col(lam_names[g][0]), make_body(g, gs[1:], env))
 
         preds.append(nest(gset, {}))
 
@@ -437,6 +445,54 @@ def compile_filter(catalog: Catalog, code: str, df: DataFrame, ast, geo_ctx=None
     return df, pred, semis
 
 
+def _first_many(catalog: Catalog, code: str, sub) -> list[Relation]:
+    out = []
+    for prefix in sub:
+        chain = _chain(catalog, code, prefix)
+        if chain and chain[0].to_many:
+            out.append(chain[0])
+    return out
+
+
+def _chain(catalog: Catalog, code: str, prefix) -> list[Relation]:
+    out, cur = [], code
+    for name in prefix:
+        rel = catalog.schema(cur).relation(name)
+        out.append(rel)
+        cur = rel.target
+    return out
+
+
+def attach_chain(catalog: Catalog, code: str, df: DataFrame, sub: dict) -> DataFrame:
+    """Attach relation paths below a child frame; to-many hops are left joins.
+
+    Only one to-many chain per relation frame is supported (a second one
+    would multiply rows); to-one hops use ``attach_to_one``.
+    """
+    one = {p: c for p, c in sub.items() if not any(r.to_many for r in _chain(catalog, code, p))}
+    many = {p: c for p, c in sub.items() if p not in one}
+    if one:
+        df = attach_to_one(catalog, code, df, one)
+    heads = {p[0] for p in many}
+    if len(heads) > 1:
+        raise FilterSyntaxError(f"several to-many paths below one relation: {sorted(heads)}")
+    for head in heads:
+        rel = catalog.schema(code).relation(head)
+        rest: dict = defaultdict(set)
+        cols: set = set()
+        for p, c in many.items():
+            if len(p) == 1:
+                cols |= set(c)
+            else:
+                rest[p[1:]] |= set(c)
+        inner = child_frame(catalog, rel, sorted(cols) + sorted({r.local_key for r in _first_many(catalog, rel.target, rest)}))
+        if rest:
+            inner = attach_chain(catalog, rel.target, inner, rest)
+        inner = inner.select(F.col(KEY).alias("__k2"), *[F.col(c).alias(col_name(head, c)) for c in inner.columns if c != KEY])
+        df = df.join(inner, qcol(rel.local_key) == F.col("__k2"), "left").drop("__k2")
+    return df
+
+
 def _null_row_truth(node):
     """Three-valued truth of ``node`` for a parent with no related rows."""
     k = node[0]

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from relata.catalog import Catalog, col_name, qcol, with_computed
 from relata.functions.text import natural_keys
+from relata.session import checkpoint_dir
 from relata.operators.relations import attach_to_one, child_frame, prefix_name, KEY
 
 DEEP_PAGE_ROWS = 200_000  # beyond this offset+size, pages use global row numbers
@@ -128,29 +129,29 @@ def page(df: DataFrame, order: list[Column], page_no: int | None, page_size: int
 def with_row_number(df: DataFrame, order: list[Column], name: str = "row_number", partitions: int | None = None) -> DataFrame:
     """Global ``ROW_NUMBER() OVER (ORDER BY order)`` (W1) without a one-partition window.
 
-    ``order`` must be a total order (append the PK).  Both uses of the
-    range-partitioned frame come from one exchange, so the partition counts
-    and the in-partition positions agree.
+    ``order`` must be a total order (append the PK).  The frame is
+    range-partitioned and sorted inside each partition, then written once
+    with ``checkpoint()`` to the shared checkpoint folder: range bounds come
+    from a sample that differs between two evaluations, so the partition
+    counts and the in-partition positions must be read from the same
+    materialised partitions.  This also cuts the lineage, so a lost
+    executor does not renumber anything.  Only the per-partition counts (one
+    row per partition) are broadcast.
     """
     spark = df.sparkSession
+    checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sort_keys = [_strip_order(c) for c in order]
-    ranged = df.repartitionByRange(n, *sort_keys).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
     ranged = ranged.withColumn("__pid", F.spark_partition_id()).withColumn("__mid", F.monotonically_increasing_id())
+    ranged = ranged.checkpoint(eager=True)
     counts = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__cnt"))
     w = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    # one row per partition: bounded by the partition count, so broadcasting is safe
     offsets = counts.select("__pid", F.coalesce(F.sum("__cnt").over(w), F.lit(0)).alias("__off"))
     out = ranged.join(F.broadcast(offsets), "__pid")
     local = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
     return out.withColumn(name, F.col("__off") + local + 1).drop("__pid", "__mid", "__off")
 
 
-def _strip_order(c: Column) -> Column:
-    """repartitionByRange accepts sort orders too; keep them (nulls placement matters)."""
-    return c
-
-
 def lex_before(keys: list[tuple[Column, Column, bool]]) -> Column:
     """Row sorts strictly before the target: lexicographic, NULLs last in both directions.
 

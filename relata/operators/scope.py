@@ -47,7 +47,7 @@ def restrict_sensitive(catalog: Catalog, code: str, df: DataFrame, column: str =
 def inherit_scope(catalog: Catalog, parent_code: str, child: DataFrame, fk: str, user) -> DataFrame:
     """Child rows take the scope of their parent."""
     psd = catalog.schema(parent_code)
-    parents = scope_of(catalog, parent_code, catalog.frame(parent_code).select(psd.pk), user)
+    parents = scope_of(catalog, parent_code, catalog.frame(parent_code), user)
     parents = parents.select(F.col(psd.pk).alias("__pk"), "scope")
     return child.join(parents, qcol(fk) == F.col("__pk"), "left").drop("__pk")
 

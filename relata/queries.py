@@ -50,3 +50,327 @@ LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
 WHERE r.r_name = 'ASIA' AND c.c_acctbal > 1000
 ORDER BY c.c_acctbal DESC NULLS LAST, c.c_custkey LIMIT 20
 """)(flagship)
+
+
+def _list(spark, sf, code, **kw) -> DataFrame:
+    return ListQuery(_cat(spark, sf), code, **kw).build()
+
+
+# ---------------------------------------------------------------- filters
+@register("filter_bool_mix", """
+SELECT c_custkey, c_nationkey, c_mktsegment, c_acctbal FROM customer
+WHERE ((CAST(c_nationkey AS VARCHAR) IN ('1','2','3') OR c_acctbal < 0) AND NOT (c_mktsegment = 'HOUSEHOLD'))
+   OR c_mktsegment = 'AUTOMOBILE' AND c_acctbal > 9900
+""")
+def q_filter_bool_mix(spark, sf):
+    # left-associative, no precedence: ((A | B) * !C) | D * E  ==  (((A|B) & !C) | D) & E
+    return _list(spark, sf, "customer", fields=["c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal"],
+                 filters="[,[,c_nationkey in 1;2;3,|,c_acctbal < 0,],!,c_mktsegment = HOUSEHOLD,],|,[,c_mktsegment = AUTOMOBILE,*,c_acctbal > 9900,]")
+
+
+_UNACCENT_SQL = "replace(replace(replace(replace(replace(strip_accents({c}), 'œ', 'oe'), 'Œ', 'OE'), 'æ', 'ae'), 'Æ', 'AE'), 'ß', 'ss')"
+
+
+@register("filter_text_unaccent", f"""
+SELECT doc_id, lang FROM documents
+WHERE {_UNACCENT_SQL.format(c='text')} ILIKE '%ouen%' AND {_UNACCENT_SQL.format(c='text')} ILIKE '%strasse%'
+""")
+def q_filter_text_unaccent(spark, sf):
+    # '~': every word, accent- and case-insensitive ('Straße' matches 'strasse')
+    return _list(spark, sf, "document", fields=["doc_id", "lang"], filters="text ~ OUÉN straße")
+
+
+@register("filter_like_unaccent", f"""
+SELECT doc_id, lang FROM documents
+WHERE {_UNACCENT_SQL.format(c='text')} LIKE '%ene\\_%' ESCAPE '\\' OR {_UNACCENT_SQL.format(c='text')} ILIKE 'en%'
+""")
+def q_filter_like_unaccent(spark, sf):
+    # like: value without % is wrapped and '_' escaped; ilike with % used as is
+    return _list(spark, sf, "document", fields=["doc_id", "lang"], filters="text like ene_,|,text ilike en%")
+
+
+@register("filter_not_equal_text", """
+SELECT c_custkey, c_mktsegment FROM customer
+WHERE CAST(c_nationkey AS VARCHAR) != '3' AND c_mktsegment != 'BUILDING' AND c_acctbal >= 9000
+""")
+def q_filter_not_equal_text(spark, sf):
+    return _list(spark, sf, "customer", fields=["c_custkey", "c_mktsegment"], filters=[
+        {"field": "c_nationkey", "type": "!=", "value": 3},
+        {"field": "c_mktsegment", "type": "!=", "value": "BUILDING"},
+        {"field": "c_acctbal", "type": ">=", "value": 9000},
+    ])
+
+
+@register("filter_to_many_path", """
+SELECT c.c_custkey, c.c_name FROM customer c
+WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 450000)
+""")
+def q_filter_to_many_path(spark, sf):
+    return _list(spark, sf, "customer", fields=["c_custkey", "c_name"], filters="orders.o_totalprice > 450000")
+
+
+@register("filter_same_child_row", """
+SELECT c.c_custkey FROM customer c
+WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey
+              AND (c.c_acctbal > 9000 OR o.o_orderstatus = 'F') AND o.o_totalprice < 5000)
+""")
+def q_filter_same_child_row(spark, sf):
+    # one joined row must satisfy the whole expression (base and child columns mixed)
+    return _list(spark, sf, "customer", fields=["c_custkey"],
+                 filters="c_acctbal > 9000,|,orders.o_orderstatus = F,*,orders.o_totalprice < 5000")
+
+
+@register("filter_negated_path", """
+SELECT o.o_orderkey FROM orders o
+WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND NOT (l.l_returnflag = 'R')
+              AND (NOT (l.l_quantity = 50 AND l.l_quantity > 0) OR o.o_orderkey < 0))
+  AND o.o_orderpriority IN ('1-URGENT', '2-HIGH')
+""")
+def q_filter_negated_path(spark, sf):
+    # '! lineitems.l_returnflag = R' keeps an order having any other line; both conditions on
+    # lineitems must hold on the same joined line (row-matching rule)
+    return _list(spark, sf, "order", fields=["o_orderkey"], filters=[
+        "!,lineitems.l_returnflag = R",
+        "o_orderpriority in 1-URGENT;2-HIGH",
+        ["!", [{"field": "lineitems.l_quantity", "type": "=", "value": 50}, "*", {"field": "lineitems.l_quantity", "type": ">", "value": 0}], "|", "o_orderkey < 0"],
+    ])
+
+
+@register("filter_null_path", """
+SELECT o.o_orderkey FROM orders o
+WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)
+   OR EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag IS NULL)
+""")
+def q_filter_null_path(spark, sf):
+    # '= None' on a to-many column is true on the empty joined row: objects without lines
+    return _list(spark, sf, "order", fields=["o_orderkey"],
+                 filters=[{"field": "lineitems.l_returnflag", "type": "=", "value": None}])
+
+
+@register("filter_any", """
+SELECT o.o_orderkey, o.o_orderstatus FROM orders o
+WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey) AND o.o_orderstatus = 'P'
+""")
+def q_filter_any(spark, sf):
+    return _list(spark, sf, "order", fields=["o_orderkey", "o_orderstatus"], filters="lineitems any,o_orderstatus = P")
+
+
+@register("filter_not_any", """
+SELECT o.o_orderkey, o.o_custkey FROM orders o
+WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey)
+""")
+def q_filter_not_any(spark, sf):
+    return _list(spark, sf, "order", fields=["o_orderkey", "o_custkey"], filters="!,has_lineitems")
+
+
+@register("filter_any_in_or", """
+SELECT o.o_orderkey FROM orders o
+WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey) OR o.o_totalprice > 480000
+""")
+def q_filter_any_in_or(spark, sf):
+    return _list(spark, sf, "order", fields=["o_orderkey"], filters="!,lineitems any,|,o_totalprice > 480000")
+
+
+@register("filter_nn_path", """
+SELECT o.o_orderkey FROM orders o
+WHERE EXISTS (SELECT 1 FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) b JOIN part p ON p.p_partkey = b.l_partkey
+              WHERE b.l_orderkey = o.o_orderkey AND p.p_brand = 'Brand#7' AND p.p_size > 45)
+""")
+def q_filter_nn_path(spark, sf):
+    return _list(spark, sf, "order", fields=["o_orderkey"], filters="parts.p_brand = Brand#7,parts.p_size > 45")
+
+
+@register("filter_deep_path", """
+SELECT r.r_name FROM region r
+WHERE EXISTS (SELECT 1 FROM nation n JOIN customer c ON c.c_nationkey = n.n_nationkey
+              WHERE n.n_regionkey = r.r_regionkey AND c.c_acctbal < -990)
+""")
+def q_filter_deep_path(spark, sf):
+    # region -> nations (1-n) -> customers (1-n): two to-many hops inside one relation frame
+    return _list(spark, sf, "region", fields=["r_name"], filters="nations.customers.c_acctbal < -990")
+
+
+# ---------------------------------------------------------------- projections
+@register("nested_orders", """
+WITH page AS (
+  SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 10 OFFSET 20)
+SELECT p.c_custkey, COUNT(o.o_orderkey) AS n_orders,
+       string_agg(CAST(o.o_orderkey AS VARCHAR), ',' ORDER BY o.o_orderkey) AS order_keys,
+       ROUND(SUM(o.o_totalprice), 2) AS total_price
+FROM page p LEFT JOIN orders o ON o.o_custkey = p.c_custkey GROUP BY p.c_custkey
+""")
+def q_nested_orders(spark, sf):
+    df = ListQuery(_cat(spark, sf), "customer", fields=["c_custkey", "orders.o_orderkey", "orders.o_totalprice"],
+                   sort="c_acctbal-", page=3, page_size=10).build()
+    o = F.col("orders")
+    return df.select(
+        "c_custkey",
+        F.coalesce(F.size(o), F.lit(0)).cast("long").alias("n_orders"),
+        F.array_join(F.transform(o, lambda x: x["o_orderkey"].cast("string")), ",").alias("order_keys"),
+        F.round(F.aggregate(o, F.lit(0.0), lambda a, x: a + x["o_totalprice"]), 2).alias("total_price"),
+    )
+
+
+@register("label_list", """
+SELECT o.o_orderkey, (SELECT string_agg(DISTINCT p.p_brand, ', ' ORDER BY p.p_brand)
+                      FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey WHERE l.l_orderkey = o.o_orderkey) AS brands
+FROM orders o
+""")
+def q_label_list(spark, sf):
+    from relata.operators.relations import related_labels
+
+    cat = _cat(spark, sf)
+    df = cat.frame("order").select("o_orderkey")
+    return related_labels(cat, "order", df, "parts", "p_brand", "brands", distinct=True)
+
+
+@register("concat_template", """
+SELECT e.event_id, CASE WHEN c.c_custkey IS NOT NULL THEN concat(e.event_type, ' by ', c.c_name) END AS title
+FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id
+""")
+def q_concat_template(spark, sf):
+    from relata.operators.relations import concat_template
+
+    cat = _cat(spark, sf)
+    df = concat_template(cat, "event", cat.frame("event"), "<event_type> by <user.c_name>", "title")
+    return df.select("event_id", "title")
+
+
+@register("json_field", """
+SELECT event_id, json_extract_string(props, '$.k') AS props__k, user_id, c.c_mktsegment AS user__c_mktsegment
+FROM events e LEFT JOIN customer c ON c.c_custkey = e.user_id WHERE e.event_type = 'purchase'
+""")
+def q_json_field(spark, sf):
+    return _list(spark, sf, "event", fields=["event_id", "props.k", "user_id", "user.c_mktsegment"], filters="event_type = purchase")
+
+
+@register("default_fields", """
+SELECT s.s_suppkey, n.n_nationkey AS nation__n_nationkey, n.n_name AS nation__n_name
+FROM supplier s LEFT JOIN nation n ON n.n_nationkey = s.s_nationkey
+""")
+def q_default_fields(spark, sf):
+    # a relation asked for without a sub-field gives its default fields
+    return _list(spark, sf, "supplier", fields=["s_suppkey", "nation", "no_such_field"])
+
+
+# ---------------------------------------------------------------- sort, page, row numbers
+@register("natural_sort_page", """
+SELECT p_partkey, p_brand, p_size FROM part
+ORDER BY NULLIF(regexp_extract(p_brand, '[a-zA-Z]+'), '') NULLS LAST,
+         CAST(NULLIF(regexp_extract(p_brand, '[0-9]+'), '') AS DECIMAL(38,0)) NULLS LAST,
+         p_brand NULLS LAST, p_size DESC NULLS LAST, p_partkey
+LIMIT 30 OFFSET 60
+""")
+def q_natural_sort_page(spark, sf):
+    return _list(spark, sf, "part", fields=["p_partkey", "p_brand", "p_size"], sort="p_brand*,p_size-", page=3, page_size=30)
+
+
+@register("natural_sort_digits_first", """
+SELECT c_custkey, c_name FROM customer
+ORDER BY CAST(NULLIF(regexp_extract(c_name, '[0-9]+'), '') AS DECIMAL(38,0)) DESC NULLS LAST,
+         NULLIF(regexp_extract(c_name, '[a-zA-Z]+'), '') DESC NULLS LAST, c_name DESC NULLS LAST, c_custkey
+LIMIT 15
+""")
+def q_natural_sort_digits_first(spark, sf):
+    return _list(spark, sf, "customer", fields=["c_custkey", "c_name"], sort="c_name%-", page_size=15)
+
+
+@register("sort_relation_path", """
+SELECT o.o_orderkey, c.c_mktsegment AS customer__c_mktsegment FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey
+ORDER BY c.c_mktsegment NULLS LAST, c.c_acctbal DESC NULLS LAST, o.o_orderkey LIMIT 25 OFFSET 100
+""")
+def q_sort_relation_path(spark, sf):
+    return _list(spark, sf, "order", fields=["o_orderkey", "customer.c_mktsegment"],
+                 sort="customer.c_mktsegment,customer.c_acctbal-", page=5, page_size=25)
+
+
+@register("page_info", """
+SELECT 2 AS page, 25 AS page_size, COUNT(*) AS total,
+       COUNT(*) FILTER (WHERE c_acctbal > 5000 AND EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')) AS filtered,
+       CAST(CEIL(COUNT(*) / 25.0) AS BIGINT) AS last_page,
+       CAST(CEIL(COUNT(*) FILTER (WHERE c_acctbal > 5000 AND EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')) / 25.0) AS BIGINT) AS last_page_filtered
+FROM customer c WHERE c_mktsegment = 'BUILDING'
+""")
+def q_page_info(spark, sf):
+    return ListQuery(_cat(spark, sf), "customer", prefilters="c_mktsegment = BUILDING",
+                     filters="c_acctbal > 5000,orders.o_orderstatus = P", page=2, page_size=25).info()
+
+
+@register("page_of_row", """
+SELECT pk, row_number, CAST(CEIL(row_number / 25.0) AS BIGINT) AS page FROM (
+  SELECT c_custkey AS pk, ROW_NUMBER() OVER (ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS row_number
+  FROM customer WHERE c_mktsegment = 'MACHINERY') t WHERE pk = 777
+""")
+def q_page_of_row(spark, sf):
+    return ListQuery(_cat(spark, sf), "customer", filters="c_mktsegment = MACHINERY", sort="c_acctbal-", page_size=25).page_of(777)
+
+
+@register("global_row_number", """
+SELECT o_orderkey, o_totalprice, ROW_NUMBER() OVER (ORDER BY o_totalprice DESC NULLS LAST, o_orderkey) AS row_number
+FROM orders
+""")
+def q_global_row_number(spark, sf):
+    return _list(spark, sf, "order", fields=["o_orderkey", "o_totalprice", "row_number"], sort="o_totalprice-")
+
+
+@register("page_row_number", """
+SELECT o_orderkey, row_number FROM (
+  SELECT o_orderkey, ROW_NUMBER() OVER (ORDER BY o_orderdate DESC NULLS LAST, o_orderkey) AS row_number FROM orders)
+WHERE row_number BETWEEN 41 AND 60
+""")
+def q_page_row_number(spark, sf):
+    return _list(spark, sf, "order", fields=["o_orderkey", "row_number"], sort="o_orderdate-", page=3, page_size=20)
+
+
+@register("lookup_label", f"""
+SELECT c_custkey, c_name FROM customer WHERE {_UNACCENT_SQL.format(c='c_name')} ILIKE '%00000012%'
+ORDER BY c_name NULLS LAST, c_custkey LIMIT 10
+""")
+def q_lookup_label(spark, sf):
+    from relata.plans.list_query import lookup
+
+    return lookup(_cat(spark, sf), "customer", "00000012", k=10)
+
+
+# ---------------------------------------------------------------- scope
+_SCOPE_SQL = """CASE WHEN o.o_custkey = 42 THEN 1
+     WHEN EXISTS (SELECT 1 FROM lineitem l JOIN supplier s ON s.s_suppkey = l.l_suppkey
+                  WHERE l.l_orderkey = o.o_orderkey AND s.s_nationkey = (SELECT c_nationkey FROM customer WHERE c_custkey = 42)) THEN 2
+     ELSE 3 END"""
+
+
+@register("scope_levels", f"SELECT o.o_orderkey, {_SCOPE_SQL} AS scope FROM orders o")
+def q_scope_levels(spark, sf):
+    return _list(spark, sf, "order", fields=["o_orderkey", "scope"], user=42)
+
+
+@register("scope_filter", f"SELECT o.o_orderkey, o.o_custkey FROM orders o WHERE {_SCOPE_SQL} <= 2")
+def q_scope_filter(spark, sf):
+    return _list(spark, sf, "order", fields=["o_orderkey", "o_custkey"], user=42, allowed_scope=2)
+
+
+@register("scope_customer_user", """
+SELECT c_custkey FROM customer WHERE c_custkey = 42 OR c_nationkey = (SELECT c_nationkey FROM customer WHERE c_custkey = 42)
+""")
+def q_scope_customer_user(spark, sf):
+    return _list(spark, sf, "customer", fields=["c_custkey"], user=42, allowed_scope=2)
+
+
+@register("scope_inherited", f"""
+SELECT scope, COUNT(*) AS n_lines FROM (
+  SELECT {_SCOPE_SQL} AS scope FROM lineitem l0 JOIN orders o ON o.o_orderkey = l0.l_orderkey) GROUP BY scope
+""")
+def q_scope_inherited(spark, sf):
+    from relata.operators.scope import inherit_scope
+
+    cat = _cat(spark, sf)
+    li = inherit_scope(cat, "order", cat.frame("lineitem").select("l_orderkey"), "l_orderkey", 42)
+    return li.groupBy("scope").agg(F.count(F.lit(1)).alias("n_lines"))
+
+
+@register("sensitive_filter", """
+SELECT o_orderpriority, COUNT(*) AS n FROM orders WHERE o_orderpriority != '1-URGENT' AND o_orderstatus = 'O' GROUP BY o_orderpriority
+""")
+def q_sensitive_filter(spark, sf):
+    q = ListQuery(_cat(spark, sf), "order", prefilters="o_orderstatus = O", sensitive_only=True)
+    return q.total_frame().groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
