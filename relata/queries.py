@@ -374,3 +374,244 @@ SELECT o_orderpriority, COUNT(*) AS n FROM orders WHERE o_orderpriority != '1-UR
 def q_sensitive_filter(spark, sf):
     q = ListQuery(_cat(spark, sf), "order", prefilters="o_orderstatus = O", sensitive_only=True)
     return q.total_frame().groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- import: checks, resolution, counts
+_STAGED_FAULTY_SQL = """
+WITH base AS (
+  SELECT c.c_custkey AS k, c.c_custkey * 2 + 1 AS id_import,
+         CASE WHEN c.c_custkey % 89 = 5 THEN NULL ELSE c.c_name END AS c_name,
+         CASE WHEN c.c_custkey % 101 = 7 THEN 'NATION_X' ELSE n.n_name END AS nat,
+         CASE WHEN c.c_custkey % 97 = 3 THEN 'n/a' || CAST(c.c_custkey % 3 AS VARCHAR) END AS bad_bal,
+         CASE WHEN c.c_custkey % 97 = 3 THEN NULL ELSE c.c_acctbal END AS bal, c.c_mktsegment
+  FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey),
+staged AS (
+  SELECT id_import, k, c_name, nat, bad_bal, bal, c_mktsegment FROM base
+  UNION ALL SELECT id_import + 1, k, c_name, nat, bad_bal, bal, c_mktsegment FROM base WHERE k % 53 = 0
+  UNION ALL SELECT id_import + CASE WHEN k % 53 = 0 THEN 2 ELSE 1 END, k, c_name, nat, NULL, 0.5, c_mktsegment FROM base WHERE k % 59 = 0)
+"""
+
+
+def _lines_text(c="lines"):
+    return F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+
+
+def _faulty_run(spark, sf, steps):
+    from relata.plans.ingest import ImportRun
+    from relata.sources.staged import customer_import_spec, staged_customers_faulty
+
+    run = ImportRun(_cat(spark, sf), customer_import_spec(), staged_customers_faulty(spark, sf))
+    for s in steps:
+        getattr(run, f"step_{s}")()
+    return run
+
+
+@register("check_types", _STAGED_FAULTY_SQL + """
+SELECT 'ERR_IMPORT_INVALID_VALUE_FOR_TYPE' AS error_code, 'c_acctbal' AS key, bad_bal AS value, COUNT(*) AS nb_lines,
+       array_to_string(list_slice(list(id_import ORDER BY id_import), 1, 5), ',') AS lines
+FROM staged WHERE bad_bal IS NOT NULL GROUP BY bad_bal
+""")
+def q_check_types(spark, sf):
+    from relata.plans.ingest import type_errors
+    from relata.sources.staged import customer_import_spec, staged_customers_faulty
+
+    e = type_errors(staged_customers_faulty(spark, sf), customer_import_spec())
+    return e.select("error_code", "key", "value", "nb_lines", _lines_text())
+
+
+@register("check_required", _STAGED_FAULTY_SQL + """
+SELECT 'ERR_IMPORT_REQUIRED' AS error_code, 'c_name' AS key, COUNT(*) AS nb_lines,
+       array_to_string(list_slice(list(id_import ORDER BY id_import), 1, 5), ',') AS lines
+FROM staged WHERE c_name IS NULL
+""")
+def q_check_required(spark, sf):
+    run = _faulty_run(spark, sf, ["data_table", "mapping_view", "raw_view", "import_view", "post_check"])
+    e = run.err_parts[0]
+    return e.filter(F.col("error_code") == "ERR_IMPORT_REQUIRED").select("error_code", "key", "nb_lines", _lines_text())
+
+
+@register("check_key_conflicts", _STAGED_FAULTY_SQL + """
+SELECT 'ERR_IMPORT_UNIQUE_DOUBLON' AS error_code, CAST(k AS VARCHAR) AS value, COUNT(*) AS nb_lines,
+       array_to_string(list_slice(list(id_import ORDER BY id_import), 1, 5), ',') AS lines
+FROM staged WHERE k IN (SELECT k FROM base WHERE k % 59 = 0) GROUP BY k
+""")
+def q_check_key_conflicts(spark, sf):
+    from relata.plans.ingest import conflict_errors
+    from relata.sources.staged import customer_import_spec, staged_customers_faulty
+
+    spec = customer_import_spec()
+    e = conflict_errors(staged_customers_faulty(spark, sf), spec, list(spec.fields))
+    return e.select("error_code", "value", "nb_lines", _lines_text())
+
+
+@register("resolve_fk", _STAGED_FAULTY_SQL + """
+SELECT s.id_import, s.k AS c_custkey, n.n_nationkey AS c_nationkey FROM staged s LEFT JOIN nation n ON n.n_name = s.nat
+""")
+def q_resolve_fk(spark, sf):
+    from relata.plans.ingest import resolve_key
+    from relata.sources.staged import staged_customers_faulty
+
+    df = staged_customers_faulty(spark, sf)
+    out = resolve_key(_cat(spark, sf), df, "c_nationkey", "nation", ["n_name"])
+    return out.select("id_import", F.col("c_custkey").cast("long").alias("c_custkey"), "c_nationkey")
+
+
+@register("resolve_fk_composite", """
+SELECT c.c_custkey, n.n_nationkey AS c_nationkey
+FROM customer c JOIN nation n0 ON n0.n_nationkey = c.c_nationkey JOIN region r0 ON r0.r_regionkey = n0.n_regionkey
+LEFT JOIN region r ON r.r_name = CASE WHEN c.c_custkey % 13 = 0 THEN 'ASIA' ELSE r0.r_name END
+LEFT JOIN nation n ON n.n_name = n0.n_name AND n.n_regionkey = r.r_regionkey
+""")
+def q_resolve_fk_composite(spark, sf):
+    # composite natural key 'name|region name'; the region part is itself a key resolved first
+    from relata.plans.ingest import resolve_key
+    from relata.sources.tables import load_table
+
+    c = load_table(spark, sf, "customer")
+    n = F.broadcast(load_table(spark, sf, "nation"))
+    r = F.broadcast(load_table(spark, sf, "region"))
+    staged = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(
+        "c_custkey",
+        F.concat_ws("|", "n_name", F.when(F.col("c_custkey") % 13 == 0, F.lit("ASIA")).otherwise(F.col("r_name"))).alias("c_nationkey"),
+    )
+    return resolve_key(_cat(spark, sf), staged, "c_nationkey", "nation", ["n_name", "region"])
+
+
+@register("resolve_code", """
+WITH codes AS (
+  SELECT 'region' AS type, r_name AS code FROM region UNION SELECT 'nation', n_name FROM nation
+  UNION SELECT 'priority', o_orderpriority FROM orders UNION SELECT 'brand', p_brand FROM part
+  UNION SELECT 'segment', c_mktsegment FROM customer),
+nom AS (SELECT CAST(row_number() OVER (ORDER BY type, code) AS INTEGER) AS id_nomenclature, type, code FROM codes)
+SELECT o.o_orderkey, nom.id_nomenclature AS id_priority
+FROM orders o LEFT JOIN nom ON nom.type = 'priority' AND nom.code = CASE WHEN o.o_orderkey % 211 = 0 THEN '9-NEVER' ELSE o.o_orderpriority END
+""")
+def q_resolve_code(spark, sf):
+    from relata.plans.ingest import resolve_code
+    from relata.sources.staged import staged_orders_codes
+
+    df = resolve_code(_cat(spark, sf), staged_orders_codes(spark, sf), "id_priority", "priority")
+    return df.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "id_priority")
+
+
+@register("unresolved_keys", _STAGED_FAULTY_SQL + """
+SELECT 'ERR_IMPORT_UNRESOLVED' AS error_code, 'c_nationkey' AS key, nat AS value, COUNT(*) AS nb_lines,
+       array_to_string(list_slice(list(id_import ORDER BY id_import), 1, 5), ',') AS lines
+FROM staged WHERE nat NOT IN (SELECT n_name FROM nation) GROUP BY nat
+""")
+def q_unresolved_keys(spark, sf):
+    run = _faulty_run(spark, sf, ["data_table", "mapping_view", "raw_view", "import_view", "post_check"])
+    errs = run.err_parts[0]
+    for e in run.err_parts[1:]:
+        errs = errs.unionByName(e)
+    return errs.filter(F.col("error_code") == "ERR_IMPORT_UNRESOLVED").select("error_code", "key", "value", "nb_lines", _lines_text())
+
+
+@register("unresolved_codes", """
+WITH codes AS (SELECT DISTINCT o_orderpriority AS code FROM orders)
+SELECT 'ERR_IMPORT_UNRESOLVED' AS error_code, 'id_priority' AS key, '9-NEVER' AS value, COUNT(*) AS nb_lines,
+       (SELECT string_agg(code, ', ' ORDER BY code) FROM codes) AS valid_values
+FROM orders WHERE o_orderkey % 211 = 0
+""")
+def q_unresolved_codes(spark, sf):
+    from relata.plans.ingest import FieldSpec, ImportRun, ImportSpec
+    from relata.sources.staged import staged_orders_codes
+
+    spec = ImportSpec("order", unique=["o_orderkey"], fields={
+        "o_orderkey": FieldSpec("integer", required=True), "id_priority": FieldSpec("integer", code_type="priority")})
+    run = ImportRun(_cat(spark, sf), spec, staged_orders_codes(spark, sf))
+    for s in ["data_table", "mapping_view", "raw_view", "import_view", "post_check"]:
+        getattr(run, f"step_{s}")()
+    errs = run.err_parts[0]
+    for e in run.err_parts[1:]:
+        errs = errs.unionByName(e)
+    return errs.filter(F.col("error_code") == "ERR_IMPORT_UNRESOLVED").select("error_code", "key", "value", "nb_lines", "valid_values")
+
+
+@register("collapse_duplicates", _STAGED_FAULTY_SQL + """
+, grp AS (SELECT k, c_name, nat, bal, c_mktsegment, MIN(id_import) AS id_import, COUNT(*) AS nb_lines
+          FROM staged GROUP BY k, c_name, nat, bal, c_mktsegment)
+SELECT id_import, nb_lines FROM grp WHERE nb_lines > 1
+""")
+def q_collapse_duplicates(spark, sf):
+    run = _faulty_run(spark, sf, ["data_table", "mapping_view", "raw_view", "import_view"])
+    p = run.r.frames["process"]
+    return p.filter(F.col("nb_lines") > 1).select("id_import", F.col("nb_lines").cast("long").alias("nb_lines"))
+
+
+_CLEAN_COUNTS_SQL = """
+SELECT (SELECT COUNT(*) FROM customer) + (SELECT COUNT(*) FROM customer WHERE c_custkey % 53 = 0)
+         + (SELECT COUNT(*) FROM customer WHERE c_custkey % 11 = 0) AS nb_data,
+       (SELECT COUNT(*) FROM customer) + (SELECT COUNT(*) FROM customer WHERE c_custkey % 53 = 0)
+         + (SELECT COUNT(*) FROM customer WHERE c_custkey % 11 = 0) AS nb_raw,
+       (SELECT COUNT(*) FROM customer) + (SELECT COUNT(*) FROM customer WHERE c_custkey % 11 = 0) AS nb_process,
+       (SELECT COUNT(*) FROM customer WHERE c_custkey % 11 = 0) AS nb_insert,
+       (SELECT COUNT(*) FROM customer WHERE c_custkey % 7 = 0) AS nb_update,
+       (SELECT COUNT(*) FROM customer WHERE c_custkey % 7 != 0) AS nb_unchanged
+"""
+
+
+def _clean_import(spark, sf):
+    from relata.plans.ingest import run_import
+    from relata.sources.staged import customer_import_spec, staged_customers_clean
+
+    return run_import(_cat(spark, sf), customer_import_spec(), staged_customers_clean(spark, sf))
+
+
+@register("upsert_counts", _CLEAN_COUNTS_SQL)
+def q_upsert_counts(spark, sf):
+    r = _clean_import(spark, sf)
+    if r.status != "DONE":
+        raise RuntimeError(f"import stopped at {r.last_step}: {r.errors.limit(5).collect()}")
+    keys = ["nb_data", "nb_raw", "nb_process", "nb_insert", "nb_update", "nb_unchanged"]
+    return spark.createDataFrame([tuple(int(r.res[k]) for k in keys)], ", ".join(f"{k} long" for k in keys))
+
+
+@register("upsert_result", """
+SELECT c.c_custkey, c.c_name, c.c_nationkey, CASE WHEN c.c_custkey % 7 = 0 THEN c.c_acctbal + 1 ELSE c.c_acctbal END AS c_acctbal, c.c_mktsegment
+FROM customer c
+UNION ALL
+SELECT c.c_custkey + 10000000, 'New#' || CAST(c.c_custkey AS VARCHAR), c.c_nationkey, c.c_acctbal, c.c_mktsegment
+FROM customer c WHERE c.c_custkey % 11 = 0
+""")
+def q_upsert_result(spark, sf):
+    return _clean_import(spark, sf).table
+
+
+def _order_parts_import(spark, sf):
+    from relata.plans.ingest import FieldSpec, ImportSpec, run_import
+    from relata.sources.staged import staged_order_parts
+    from relata.sources.tables import load_table
+
+    spec = ImportSpec("order", unique=["o_orderkey"], fields={
+        "o_orderkey": FieldSpec("integer", required=True),
+        "parts": FieldSpec(nn="part", nn_unique="p_partkey"),
+    })
+    cur = load_table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("__pk"), F.col("l_partkey").alias("__link")).distinct()
+    return run_import(_cat(spark, sf), spec, staged_order_parts(spark, sf), links={"parts": cur})
+
+
+_ORDER_PARTS_SQL = """
+WITH pairs AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem),
+ranked AS (SELECT l_orderkey, l_partkey, COUNT(*) OVER (PARTITION BY l_orderkey) AS n,
+                  ROW_NUMBER() OVER (PARTITION BY l_orderkey ORDER BY l_partkey DESC) AS rdesc FROM pairs)
+"""
+
+
+@register("relation_replace", _ORDER_PARTS_SQL + """
+SELECT l_orderkey AS o_orderkey, l_partkey AS p_partkey FROM ranked WHERE NOT (l_orderkey % 5 = 0 AND n > 1 AND rdesc = 1)
+""")
+def q_relation_replace(spark, sf):
+    r = _order_parts_import(spark, sf)
+    return r.links["parts"].select(F.col("__pk").alias("o_orderkey"), F.col("__link").alias("p_partkey"))
+
+
+@register("relation_update_counts", _ORDER_PARTS_SQL + """
+SELECT (SELECT COUNT(DISTINCT l_orderkey) FROM pairs) AS nb_process,
+       0 AS nb_insert,
+       (SELECT COUNT(DISTINCT l_orderkey) FROM ranked WHERE l_orderkey % 5 = 0 AND n > 1) AS nb_update
+""")
+def q_relation_update_counts(spark, sf):
+    r = _order_parts_import(spark, sf)
+    keys = ["nb_process", "nb_insert", "nb_update"]
+    return spark.createDataFrame([tuple(int(r.res[k]) for k in keys)], ", ".join(f"{k} long" for k in keys))
