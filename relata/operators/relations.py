@@ -216,3 +216,11 @@ def concat_template(catalog: Catalog, code: str, df: DataFrame, template: str, o
             ok = ok & c
         val = F.when(ok, val)
     return df.withColumn(out, val)
+
+
+def join_list(df: DataFrame, col: str, sep: str, dim: DataFrame, dim_key: str, how: str = "inner") -> DataFrame:
+    """Delimited-list join (J13): explode ``a/b/c`` into one row per member, then equi-join ``dim``."""
+    import re
+
+    ex = df.select("*", F.explode(F.transform(F.split(qcol(col), re.escape(sep)), lambda x: F.trim(x))).alias("__member"))
+    return ex.join(dim, F.col("__member") == dim[dim_key], how).drop("__member")

@@ -615,3 +615,210 @@ def q_relation_update_counts(spark, sf):
     r = _order_parts_import(spark, sf)
     keys = ["nb_process", "nb_insert", "nb_update"]
     return spark.createDataFrame([tuple(int(r.res[k]) for k in keys)], ", ".join(f"{k} long" for k in keys))
+
+
+# ---------------------------------------------------------------- aggregates, sets, exports (A, U, S)
+@register("export_flat", """
+SELECT o.o_orderkey, c.c_name AS customer__c_name,
+       string_agg(DISTINCT p.p_brand, ', ' ORDER BY p.p_brand) AS brands,
+       string_agg(DISTINCT l.l_returnflag, ', ' ORDER BY l.l_returnflag) AS flags
+FROM orders o LEFT JOIN customer c ON c.c_custkey = o.o_custkey
+LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey LEFT JOIN part p ON p.p_partkey = l.l_partkey
+GROUP BY o.o_orderkey, c.c_name
+""")
+def q_export_flat(spark, sf):
+    from relata.plans.exports import export_view_of
+
+    return export_view_of(_cat(spark, sf), "order", ["o_orderkey", "customer.c_name", "lineitems.part.p_brand", "lineitems.l_returnflag"],
+                          names={"lineitems.part.p_brand": "brands", "lineitems.l_returnflag": "flags"})
+
+
+@register("dedupe_keep_first", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_shipdate, l_quantity, l_extendedprice) AS rn
+  FROM lineitem) WHERE rn = 1
+""")
+def q_dedupe_keep_first(spark, sf):
+    from relata.operators.aggregates import keep_first
+    from relata.sources.tables import load_table
+
+    li = load_table(spark, sf, "lineitem")
+    kept = keep_first(li, ["l_orderkey", "l_linenumber"], [F.col(c).asc() for c in ("l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice")])
+    return kept.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+
+
+@register("explode_membership", """
+WITH pairs AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)
+SELECT pr.l_orderkey AS o_orderkey, string_agg(p.p_name, ', ' ORDER BY p.p_name) AS part_names, COUNT(*) AS n_parts
+FROM pairs pr JOIN part p ON p.p_partkey = pr.l_partkey GROUP BY pr.l_orderkey
+""")
+def q_explode_membership(spark, sf):
+    # delimited membership text 'k1/k2/...' per order, exploded and joined back (J13), names aggregated
+    from relata.operators.aggregates import agg_text
+    from relata.operators.relations import join_list
+    from relata.sources.tables import load_table
+
+    li = load_table(spark, sf, "lineitem").select("l_orderkey", "l_partkey").distinct()
+    lists = li.groupBy("l_orderkey").agg(F.array_join(F.collect_list(F.col("l_partkey").cast("string")), "/").alias("members"))
+    part = load_table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("member"), "p_name")
+    joined = join_list(lists, "members", "/", part, "member")
+    names = agg_text(joined, ["l_orderkey"], "p_name", "part_names")
+    counts = joined.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n_parts"))
+    return names.join(counts, "l_orderkey").withColumnRenamed("l_orderkey", "o_orderkey")
+
+
+@register("value_map", """
+SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'urgent' WHEN '2-HIGH' THEN 'high' ELSE o_orderpriority END AS priority, COUNT(*) AS n
+FROM orders GROUP BY 1
+""")
+def q_value_map(spark, sf):
+    from relata.functions.text import value_map
+    from relata.sources.tables import load_table
+
+    o = load_table(spark, sf, "orders")
+    return o.groupBy(value_map(F.col("o_orderpriority"), {"1-URGENT": "urgent", "2-HIGH": "high"}).alias("priority")).agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+@register("frequencies", """
+SELECT l_returnflag, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY l_returnflag, l_linestatus
+""")
+def q_frequencies(spark, sf):
+    from relata.operators.aggregates import frequencies
+    from relata.sources.tables import load_table
+
+    return frequencies(load_table(spark, sf, "lineitem"), ["l_returnflag", "l_linestatus"])
+
+
+@register("having_count", """
+SELECT o_custkey, COUNT(*) AS n_orders FROM orders GROUP BY o_custkey HAVING COUNT(*) > 15
+""")
+def q_having_count(spark, sf):
+    from relata.operators.aggregates import having
+    from relata.sources.tables import load_table
+
+    return having(load_table(spark, sf, "orders"), ["o_custkey"], F.count(F.lit(1)).alias("n_orders"), F.col("n_orders") > 15)
+
+
+@register("count_distinct", """
+SELECT l_suppkey, COUNT(DISTINCT l_partkey) AS n_parts, bool_or(l_returnflag = 'R') AS any_returned FROM lineitem GROUP BY l_suppkey
+""")
+def q_count_distinct(spark, sf):
+    from relata.operators.aggregates import any_equals
+    from relata.sources.tables import load_table
+
+    li = load_table(spark, sf, "lineitem")
+    return li.groupBy("l_suppkey").agg(F.count_distinct("l_partkey").alias("n_parts"), any_equals(F.col("l_returnflag"), "R").alias("any_returned"))
+
+
+@register("union_sources", """
+SELECT CAST(floor((c_custkey % 1000) / 10) AS BIGINT) AS gx, CAST(floor((c_custkey * 37 % 1000) / 10) AS BIGINT) AS gy FROM customer
+UNION SELECT CAST(floor((s_suppkey * 13 % 1000) / 10) AS BIGINT), CAST(floor((s_suppkey * 29 % 1000) / 10) AS BIGINT) FROM supplier
+""")
+def q_union_sources(spark, sf):
+    from relata.operators.sets import union_distinct
+    from relata.sources.tables import load_table
+
+    c = load_table(spark, sf, "customer").select(
+        F.floor((F.col("c_custkey") % 1000) / 10).cast("long").alias("gx"), F.floor(((F.col("c_custkey") * 37) % 1000) / 10).cast("long").alias("gy"))
+    s = load_table(spark, sf, "supplier").select(
+        F.floor(((F.col("s_suppkey") * 13) % 1000) / 10).cast("long").alias("gx"), F.floor(((F.col("s_suppkey") * 29) % 1000) / 10).cast("long").alias("gy"))
+    return union_distinct([c, s])
+
+
+@register("except_rows", """
+SELECT DISTINCT c.c_nationkey AS nationkey, c.c_mktsegment AS segment FROM customer c
+WHERE EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = c.c_nationkey
+              AND CASE WHEN s.s_suppkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END = c.c_mktsegment)
+""")
+def q_except_rows(spark, sf):
+    # rights granted (nation, segment): those no longer offered (EXCEPT) are deleted
+    from relata.operators.scope import prune_rights
+    from relata.sources.tables import load_table
+
+    granted = load_table(spark, sf, "customer").select(F.col("c_nationkey").alias("nationkey"), F.col("c_mktsegment").alias("segment"))
+    offered = load_table(spark, sf, "supplier").select(
+        F.col("s_nationkey").alias("nationkey"),
+        F.when(F.col("s_suppkey") % 2 == 0, F.lit("BUILDING")).otherwise(F.lit("MACHINERY")).alias("segment"))
+    return prune_rights(granted, offered, ["nationkey", "segment"]).distinct()
+
+
+@register("change_history", """
+SELECT c_custkey, CASE WHEN c_custkey % 13 = 0 THEN 'D' ELSE 'U' END AS op FROM customer WHERE c_custkey % 13 = 0 OR c_custkey % 7 = 0
+UNION ALL SELECT c_custkey + 10000000, 'I' FROM customer WHERE c_custkey % 11 = 0
+""")
+def q_change_history(spark, sf):
+    from relata.operators.changes import with_history
+    from relata.sources.tables import load_table
+
+    before = load_table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    after = before.filter(k % 13 != 0).withColumn("c_acctbal", F.when(k % 7 == 0, F.col("c_acctbal") + 1).otherwise(F.col("c_acctbal")))
+    new = before.filter(k % 11 == 0).withColumn("c_custkey", k + 10_000_000)
+    return with_history(before, after.unionByName(new), ["c_custkey"], ts="2024-01-01 00:00:00").select("c_custkey", "op")
+
+
+@register("apply_changes", """
+SELECT c_custkey, CASE WHEN c_custkey % 17 = 0 THEN 'gold' ELSE c_mktsegment END AS c_mktsegment, c_acctbal
+FROM customer WHERE c_custkey % 19 != 0
+UNION ALL SELECT c_custkey + 20000000, 'new', 0.0 FROM customer WHERE c_custkey % 23 = 0
+""")
+def q_apply_changes(spark, sf):
+    # one change set with updates (key % 17), deletes (key % 19) and inserts (key % 23, new keys)
+    from relata.operators.changes import apply_changes
+    from relata.sources.tables import load_table
+
+    t = load_table(spark, sf, "customer").select("c_custkey", "c_mktsegment", "c_acctbal")
+    k = F.col("c_custkey")
+    upd = t.filter(k % 17 == 0).select("c_custkey", F.lit("gold").alias("c_mktsegment"), "c_acctbal", F.lit("update").alias("op"))
+    dele = t.filter(k % 19 == 0).select("c_custkey", F.lit(None).cast("string").alias("c_mktsegment"), F.lit(None).cast("double").alias("c_acctbal"), F.lit("delete").alias("op"))
+    ins = t.filter(k % 23 == 0).select((k + 20_000_000).alias("c_custkey"), F.lit("new").alias("c_mktsegment"), F.lit(0.0).alias("c_acctbal"), F.lit("insert").alias("op"))
+    changes = upd.unionByName(dele.filter(k % 17 != 0)).unionByName(ins)
+    both = t.filter((k % 17 == 0) & (k % 19 == 0)).select("c_custkey", F.lit(None).cast("string").alias("c_mktsegment"), F.lit(None).cast("double").alias("c_acctbal"), F.lit("delete").alias("op"))
+    changes = changes.join(both.select("c_custkey"), "c_custkey", "left_anti").unionByName(both)
+    return apply_changes(t, changes, ["c_custkey"])
+
+
+@register("update_from", """
+SELECT c.c_custkey, CASE WHEN n.n_regionkey = 2 THEN c.c_acctbal * 2 ELSE c.c_acctbal END AS c_acctbal
+FROM customer c LEFT JOIN nation n ON n.n_nationkey = c.c_nationkey
+""")
+def q_update_from(spark, sf):
+    # bulk re-assignment by area (J19, R-7): balances doubled for nations of region 2
+    from relata.operators.changes import update_from
+    from relata.sources.tables import load_table
+
+    c = load_table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    n = load_table(spark, sf, "nation").filter(F.col("n_regionkey") == 2).select(F.col("n_nationkey").alias("c_nationkey"))
+    out = update_from(c, n, ["c_nationkey"], {"c_acctbal": F.col("c_acctbal") * 2})
+    return out.select("c_custkey", "c_acctbal")
+
+
+@register("text_functions", """
+SELECT c_custkey,
+       CASE WHEN strpos(c_name, '#') > 0 THEN substring(c_name, 1, strpos(c_name, '#') - 1) ELSE '' END AS before_hash,
+       split_part(c_name, '#', 2) AS after_hash,
+       CAST(ROUND(CAST(c_acctbal / 3 AS DECIMAL(38,10)), 2) AS DOUBLE) AS third,
+       json_object('c_mktsegment', c_mktsegment, 'nation', CAST(c_nationkey AS VARCHAR))::VARCHAR AS extras,
+       CASE WHEN c_mktsegment LIKE 'M%' THEN 'm' WHEN c_acctbal < 0 THEN 'neg' ELSE 'other' END AS klass,
+       regexp_replace(c_name, '[0-9]+', 'N', 'g') AS masked,
+       substring(c_name, 9) AS tail,
+       COALESCE(NULLIF(c_mktsegment, 'BUILDING'), 'B') AS seg
+FROM customer
+""")
+def q_text_functions(spark, sf):
+    from relata.functions.text import before_first, classify, json_of, round_half_up
+    from relata.sources.tables import load_table
+
+    c = load_table(spark, sf, "customer").withColumn("nation", F.col("c_nationkey").cast("string"))
+    return c.select(
+        "c_custkey",
+        before_first(F.col("c_name"), "#").alias("before_hash"),
+        F.split_part(F.col("c_name"), F.lit("#"), F.lit(2)).alias("after_hash"),
+        round_half_up(F.col("c_acctbal") / 3, 2).cast("double").alias("third"),
+        json_of(["c_mktsegment", "nation"]).alias("extras"),
+        classify([(F.col("c_mktsegment").like("M%"), "m"), (F.col("c_acctbal") < 0, "neg")], "other").alias("klass"),
+        F.regexp_replace("c_name", "[0-9]+", "N").alias("masked"),
+        F.substring("c_name", 9, 1 << 20).alias("tail"),
+        F.coalesce(F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")), F.lit("B")).alias("seg"),
+    )
