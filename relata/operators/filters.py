@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relata.catalog import Catalog, Relation, col_name, qcol
+from relata.catalog import Catalog, Relation, col_name, qcol, with_computed
 from relata.functions.text import contains_all_words, like_value, unaccent
 from relata.operators.relations import KEY, attach_to_one, child_frame, prefix_name
 
@@ -183,6 +183,8 @@ def atom_column(c: Column, dtype: T.DataType, item: dict, geo_ctx=None) -> Colum
     if t in ("dwithin", "bbox"):
         from relata.operators import geo
 
+        if "_ctx" in item:
+            return geo.filter_atom(c, t, v, {"dwithin": item["_ctx"]})
         return geo.filter_atom(c, t, v, geo_ctx)
     raise FilterSyntaxError(f"unknown filter type {t!r}")
 
@@ -241,6 +243,7 @@ def apply_filters(catalog: Catalog, code: str, df: DataFrame, spec, geo_ctx=None
 def compile_filter(catalog: Catalog, code: str, df: DataFrame, ast, geo_ctx=None):
     """-> (frame with helper columns, predicate Column or None, semi/anti joins)."""
     atoms = atoms_of(ast)
+    df = _attach_dwithin_objects(catalog, df, atoms)
     info: dict[int, _Atom] = {}
     to_one_reqs: dict[tuple[str, ...], set[str]] = defaultdict(set)
     groups: dict[tuple[str, ...], Relation] = {}
@@ -271,6 +274,8 @@ def compile_filter(catalog: Catalog, code: str, df: DataFrame, ast, geo_ctx=None
             info[id(a)] = _Atom(a, g, rest, column, json_path=jp)
     if to_one_reqs:
         df = attach_to_one(catalog, code, df, to_one_reqs)
+    own = [at.column for at in info.values() if at.group is None and not at.prefix and at.column]
+    df = with_computed(catalog, code, df, own)
 
     def base_atom_col(at: _Atom, frame: DataFrame, tcode: str) -> Column:
         name = col_name(prefix_name(at.prefix), at.column)
@@ -493,6 +498,28 @@ def attach_chain(catalog: Catalog, code: str, df: DataFrame, sub: dict) -> DataF
     return df
 
 
+def _attach_dwithin_objects(catalog: Catalog, df: DataFrame, atoms: list[dict]) -> DataFrame:
+    """``dwithin code;pk;field;radius``: the other object's centroid as a one-row broadcast."""
+    from relata.operators import geo
+
+    for i, a in enumerate(atoms):
+        if a["type"] != "dwithin":
+            continue
+        parts = str(a["value"]).split(";")
+        if len(parts) != 4:
+            continue
+        code, pk_value, gfield, radius = parts
+        sd = catalog.schema(code)
+        other = catalog.frame(code)
+        g = sd.computed[gfield](other) if gfield in sd.computed else F.col(gfield)
+        cen = geo.centroid(g)
+        one = other.filter(F.col(sd.pk) == F.lit(pk_value).try_cast(other.schema[sd.pk].dataType)).select(
+            cen["x"].alias(f"__dwx{i}"), cen["y"].alias(f"__dwy{i}")).limit(1)
+        df = df.crossJoin(F.broadcast(one))
+        a["_ctx"] = (F.col(f"__dwx{i}"), F.col(f"__dwy{i}"), float(radius))
+    return df
+
+
 def _null_row_truth(node):
     """Three-valued truth of ``node`` for a parent with no related rows."""
     k = node[0]

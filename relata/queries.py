@@ -822,3 +822,250 @@ def q_text_functions(spark, sf):
         F.substring("c_name", 9, 1 << 20).alias("tail"),
         F.coalesce(F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")), F.lit("B")).alias("seg"),
     )
+
+
+# ---------------------------------------------------------------- geometry
+_CX = "(CAST(5.0 AS DOUBLE) + CAST(c_custkey % 1000 AS DOUBLE) / CAST(1000.0 AS DOUBLE))"
+_CY = "(CAST(45.0 AS DOUBLE) + CAST(c_custkey * 37 % 1000 AS DOUBLE) / CAST(1000.0 AS DOUBLE))"
+_SX = "(CAST(5.0 AS DOUBLE) + CAST(s_suppkey * 13 % 1000 AS DOUBLE) / CAST(1000.0 AS DOUBLE))"
+_SY = "(CAST(45.0 AS DOUBLE) + CAST(s_suppkey * 29 % 1000 AS DOUBLE) / CAST(1000.0 AS DOUBLE))"
+
+
+def _dist_sql(x1, y1, x2, y2):
+    a, f = 6378137.0, 1 / 298.257223563
+    e2 = f * (2 - f)
+    phi = f"radians(({y1} + {y2}) / 2)"
+    w = f"sqrt(1 - {e2!r} * pow(sin({phi}), 2))"
+    m = f"({a * (1 - e2)!r} / ({w} * {w} * {w}))"
+    n = f"({a!r} / {w})"
+    dx = f"(radians({x2} - {x1}) * {n} * cos({phi}))"
+    dy = f"(radians({y2} - {y1}) * {m})"
+    return f"sqrt({dx} * {dx} + {dy} * {dy})"
+
+
+@register("bbox_points", f"""
+SELECT c_custkey FROM customer WHERE {_CX} BETWEEN 5.2 AND 5.4 AND {_CY} BETWEEN 45.2 AND 45.5
+""")
+def q_bbox_points(spark, sf):
+    return _list(spark, sf, "customer", fields=["c_custkey"], filters="geom bbox 5.2;45.2;5.4;45.5")
+
+
+@register("near_points", f"""
+SELECT c_custkey FROM customer WHERE {_dist_sql(_CX, _CY, 'CAST(5.5 AS DOUBLE)', 'CAST(45.5 AS DOUBLE)')} <= 20000
+""")
+def q_near_points(spark, sf):
+    return _list(spark, sf, "customer", fields=["c_custkey"], filters="geom dwithin 5.5;45.5;20000")
+
+
+@register("near_object", f"""
+SELECT c_custkey FROM customer, (SELECT {_CX} AS ox, {_CY} AS oy FROM customer WHERE c_custkey = 42) o
+WHERE {_dist_sql(_CX, _CY, 'o.ox', 'o.oy')} <= 15000
+""")
+def q_near_object(spark, sf):
+    # object form: within 15 km of customer 42's geometry (one-row broadcast)
+    return _list(spark, sf, "customer", fields=["c_custkey"], filters="geom dwithin customer;42;geom;15000")
+
+
+def _supplier_lines(spark, sf):
+    from relata.sources.tables import load_table, supplier_point_x, supplier_point_y
+
+    s = load_table(spark, sf, "supplier")
+    s = s.select("s_suppkey", "s_nationkey", supplier_point_x(s).alias("x"), supplier_point_y(s).alias("y"))
+    lines = s.groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "x", "y"))).alias("pts"))
+    lines = lines.select(F.col("s_nationkey").alias("lid"),
+                         F.transform("pts", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("line"))
+    n = F.broadcast(load_table(spark, sf, "nation").select(F.col("n_nationkey").alias("lid"), F.col("n_regionkey").alias("type")))
+    return lines.join(n, "lid")
+
+
+def _customer_points(spark, sf):
+    from relata.sources.tables import customer_point_x, customer_point_y, load_table
+
+    c = load_table(spark, sf, "customer")
+    return c.select(F.col("c_custkey").alias("pid"), customer_point_x(c).alias("x"), customer_point_y(c).alias("y"))
+
+
+_SEGS_SQL = f"""
+WITH sp AS (SELECT s_suppkey, s_nationkey, {_SX} AS x, {_SY} AS y FROM supplier),
+seg AS (SELECT s_nationkey AS lid, x AS ax, y AS ay,
+               LEAD(x) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS bx,
+               LEAD(y) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS by_,
+               COUNT(*) OVER (PARTITION BY s_nationkey) AS nv FROM sp),
+pts AS (SELECT c_custkey AS pid, {_CX} AS px, {_CY} AS py FROM customer),
+d AS (
+  SELECT p.pid, s.lid,
+         CASE WHEN s.nv = 1 THEN sqrt(pow(p.px - s.ax, 2) + pow(p.py - s.ay, 2)) ELSE
+           sqrt(pow(p.px - (s.ax + t * (s.bx - s.ax)), 2) * 0 + (p.px - (s.ax + t * (s.bx - s.ax))) * (p.px - (s.ax + t * (s.bx - s.ax)))
+                + (p.py - (s.ay + t * (s.by_ - s.ay))) * (p.py - (s.ay + t * (s.by_ - s.ay)))) END AS dist
+  FROM pts p, (SELECT *, 0 AS dummy FROM seg WHERE bx IS NOT NULL OR nv = 1) s0(lid, ax, ay, bx, by_, nv, dummy),
+       LATERAL (SELECT s0.lid AS lid, s0.ax AS ax, s0.ay AS ay, s0.bx AS bx, s0.by_ AS by_, s0.nv AS nv) s,
+       LATERAL (SELECT CASE WHEN s.nv = 1 THEN 0.0 WHEN ((s.bx - s.ax) * (s.bx - s.ax) + (s.by_ - s.ay) * (s.by_ - s.ay)) > 0
+                 THEN greatest(0.0, least(1.0, ((p.px - s.ax) * (s.bx - s.ax) + (p.py - s.ay) * (s.by_ - s.ay))
+                      / ((s.bx - s.ax) * (s.bx - s.ax) + (s.by_ - s.ay) * (s.by_ - s.ay)))) ELSE 0.0 END AS t) tt)
+"""
+
+
+@register("near_lines", _SEGS_SQL + """
+SELECT pid, lid, ROUND(MIN(dist), 9) AS dist FROM d GROUP BY pid, lid HAVING MIN(dist) <= 0.05
+""")
+def q_near_lines(spark, sf):
+    # all point-line pairs within 0.05 (planar): grid-cell equi join + exact distance
+    from relata.operators import geo
+
+    pairs = geo.join_within(_customer_points(spark, sf), _supplier_lines(spark, sf), 0.05)
+    return pairs.select("pid", "lid", F.round("dist", 9).alias("dist"))
+
+
+@register("nearest_per_type", _SEGS_SQL + """
+, pl AS (SELECT pid, lid, MIN(dist) AS dist FROM d GROUP BY pid, lid HAVING MIN(dist) <= 0.05),
+typed AS (SELECT pl.*, n.n_regionkey AS type, ROW_NUMBER() OVER (PARTITION BY pid, n.n_regionkey ORDER BY dist, pl.lid) AS rn
+          FROM pl JOIN nation n ON n.n_nationkey = pl.lid)
+SELECT pid, type, lid, ROUND(dist, 9) AS dist FROM typed WHERE rn = 1
+""")
+def q_nearest_per_type(spark, sf):
+    from relata.operators import geo
+
+    lines = _supplier_lines(spark, sf)
+    pairs = geo.join_within(_customer_points(spark, sf), lines, 0.05)
+    best = geo.nearest_per_type(pairs, lines)
+    return best.select("pid", "type", "lid", F.round("dist", 9).alias("dist"))
+
+
+def _nation_areas(spark, sf):
+    from relata.operators import geo
+    from relata.sources.tables import load_table
+
+    n = load_table(spark, sf, "nation")
+    x0 = F.lit(5.0005) + (F.col("n_nationkey") % 5) * F.lit(0.2)
+    y0 = F.lit(45.0005) + F.floor(F.col("n_nationkey") / 5) * F.lit(0.2)
+    x1, y1 = x0 + F.lit(0.2), y0 + F.lit(0.2)
+    s = lambda c: F.format_number(c, 4).cast("string")
+    wkt = F.concat(F.lit("POLYGON (("), s(x0), F.lit(" "), s(y0), F.lit(", "), s(x1), F.lit(" "), s(y0), F.lit(", "),
+                   s(x1), F.lit(" "), s(y1), F.lit(", "), s(x0), F.lit(" "), s(y1), F.lit(", "), s(x0), F.lit(" "), s(y0), F.lit("))"))
+    return n.select(F.col("n_nationkey").alias("aid"), wkt.alias("wkt")).withColumn("geom", geo.parse_wkt(F.col("wkt"), 4326))
+
+
+_BOX_SQL = """(CAST(5.0005 AS DOUBLE) + (n_nationkey % 5) * CAST(0.2 AS DOUBLE))"""
+_BOY_SQL = """(CAST(45.0005 AS DOUBLE) + floor(n_nationkey / 5) * CAST(0.2 AS DOUBLE))"""
+
+
+@register("points_in_boxes", f"""
+SELECT c.c_custkey AS pid, n.n_nationkey AS aid FROM customer c, nation n
+WHERE {_CX.replace('c_custkey', 'c.c_custkey')} > {_BOX_SQL} AND {_CX.replace('c_custkey', 'c.c_custkey')} < {_BOX_SQL} + 0.2
+  AND {_CY.replace('c_custkey', 'c.c_custkey')} > {_BOY_SQL} AND {_CY.replace('c_custkey', 'c.c_custkey')} < {_BOY_SQL} + 0.2
+""")
+def q_points_in_boxes(spark, sf):
+    # area links: polygons explode to the 0.1-cells of their bbox, points to one cell, exact ray-casting test
+    from relata.operators import geo
+
+    return geo.points_in_polygons(_customer_points(spark, sf), _nation_areas(spark, sf), 0.1)
+
+
+@register("wkt_roundtrip", f"""
+SELECT n_nationkey AS aid, 'POLYGON' AS kind, 5 AS n_vertices,
+       ROUND({_BOX_SQL}, 4) AS xmin, ROUND({_BOY_SQL}, 4) AS ymin, ROUND({_BOX_SQL} + 0.2, 4) AS xmax, ROUND({_BOY_SQL} + 0.2, 4) AS ymax
+FROM nation
+""")
+def q_wkt_roundtrip(spark, sf):
+    # WKT -> geometry -> WKT -> geometry
+    from relata.operators import geo
+
+    a = _nation_areas(spark, sf).withColumn("g2", geo.parse_wkt(geo.to_wkt(F.col("geom"))))
+    b = F.col("g2")["bbox"]
+    return a.select("aid", F.col("g2")["kind"].alias("kind"), F.size(F.flatten(F.flatten(F.col("g2")["parts"]))).alias("n_vertices"),
+                    F.round(b["xmin"], 4).alias("xmin"), F.round(b["ymin"], 4).alias("ymin"),
+                    F.round(b["xmax"], 4).alias("xmax"), F.round(b["ymax"], 4).alias("ymax"))
+
+
+@register("collect_geom", f"""
+SELECT c_nationkey AS nation, 'MULTIPOINT' AS kind, COUNT(*) AS n_parts,
+       ROUND(MIN({_CX}), 6) AS xmin, ROUND(MAX({_CY}), 6) AS ymax
+FROM customer GROUP BY c_nationkey
+""")
+def q_collect_geom(spark, sf):
+    from relata.operators import geo
+    from relata.sources.tables import load_table
+
+    cat = _cat(spark, sf)
+    c = load_table(spark, sf, "customer")
+    c = c.withColumn("geom", cat.schema("customer").computed["geom"](c))
+    g = geo.collect(c, ["c_nationkey"], "geom")
+    return g.select(F.col("c_nationkey").alias("nation"), F.col("geom")["kind"].alias("kind"), F.size(F.col("geom")["parts"]).alias("n_parts"),
+                    F.round(F.col("geom")["bbox"]["xmin"], 6).alias("xmin"), F.round(F.col("geom")["bbox"]["ymax"], 6).alias("ymax"))
+
+
+def _l93_sql():
+    import math
+
+    from relata.operators.geo import GRS80_E, L93_LON0, L93_X0, L93_Y0, _lcc_consts
+
+    e, a, n, f, rho0 = _lcc_consts()
+    phi = f"radians({_CY})"
+    es = f"({e!r} * sin({phi}))"
+    t = f"(tan({math.pi / 4!r} - {phi} / 2) / pow((1 - {es}) / (1 + {es}), {e / 2!r}))"
+    rho = f"({a * f!r} * pow({t}, {n!r}))"
+    theta = f"({n!r} * radians({_CX} - {L93_LON0!r}))"
+    return f"ROUND({L93_X0!r} + {rho} * sin({theta}), 2)", f"ROUND({L93_Y0 + rho0!r} - {rho} * cos({theta}), 2)"
+
+
+@register("reproject_l93", f"""
+SELECT c_custkey, {_l93_sql()[0]} AS x, {_l93_sql()[1]} AS y FROM customer
+""")
+def q_reproject_l93(spark, sf):
+    # lon/lat -> Lambert-93 (EPSG:2154), closed form
+    from relata.operators import geo
+
+    pts = _customer_points(spark, sf)
+    g = geo.reproject(geo.make_point(F.col("x"), F.col("y"), 4326), 4326, 2154)
+    p = F.get(F.get(F.get(g["parts"], 0), 0), 0)
+    return pts.select(F.col("pid").alias("c_custkey"), F.round(p["x"], 2).alias("x"), F.round(p["y"], 2).alias("y"))
+
+
+@register("bbox_join", f"""
+WITH sp AS (SELECT s_nationkey AS bid, MIN({_SX}) AS bx0, MAX({_SX}) AS bx1, MIN({_SY}) AS by0, MAX({_SY}) AS by1 FROM supplier GROUP BY s_nationkey),
+ar AS (SELECT n_nationkey AS aid, ROUND({_BOX_SQL}, 4) AS ax0, ROUND({_BOX_SQL} + 0.2, 4) AS ax1, ROUND({_BOY_SQL}, 4) AS ay0, ROUND({_BOY_SQL} + 0.2, 4) AS ay1 FROM nation)
+SELECT aid, bid FROM ar, sp WHERE ax1 >= bx0 AND ax0 <= bx1 AND ay1 >= by0 AND ay0 <= by1
+""")
+def q_bbox_join(spark, sf):
+    # areas x lines whose bounding boxes overlap: both sides explode to their bbox cells
+    from relata.operators import geo
+
+    lines = _supplier_lines(spark, sf).withColumn("geom", geo.make_geom(F.lit("LINESTRING"), F.lit(4326), F.array(F.array(F.col("line")))))
+    return geo.bbox_join(_nation_areas(spark, sf), lines, 0.1, aid="aid", ag="geom", bid="lid", bg="geom").withColumnRenamed("bid", "bid")
+
+
+@register("geojson_features", f"""
+SELECT c_custkey, {_CX} AS x, {_CY} AS y FROM customer WHERE c_mktsegment = 'BUILDING'
+""")
+def q_geojson_features(spark, sf):
+    # GeoJSON features written and read back
+    from relata.sources.sinks import geojson_features
+
+    cat = _cat(spark, sf)
+    c = cat.frame("customer").filter(F.col("c_mktsegment") == "BUILDING")
+    c = c.select("c_custkey", cat.schema("customer").computed["geom"](c).alias("geom"))
+    f = geojson_features(c, "geom")
+    return f.select(
+        F.get_json_object("feature", "$.properties.c_custkey").cast("long").alias("c_custkey"),
+        F.get_json_object("feature", "$.geometry.coordinates[0]").cast("double").alias("x"),
+        F.get_json_object("feature", "$.geometry.coordinates[1]").cast("double").alias("y"),
+    )
+
+
+@register("validate_records", """
+SELECT field, rule, COUNT(*) AS n FROM (
+  SELECT 'c_acctbal' AS field, 'minimum' AS rule FROM customer WHERE c_acctbal < 0
+  UNION ALL SELECT 'c_mktsegment', 'enum' FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY', 'FURNITURE')
+  UNION ALL SELECT 'c_name', 'pattern' FROM customer WHERE NOT regexp_matches(c_name, '^Customer#0000000[0-9]{2}$')
+) GROUP BY field, rule
+""")
+def q_validate_records(spark, sf):
+    from relata.operators.validation import validate
+    from relata.sources.tables import load_table
+
+    errs = validate(load_table(spark, sf, "customer"), "c_custkey", {
+        "c_acctbal": {"type": "number", "minimum": 0},
+        "c_mktsegment": {"required": True, "enum": ["BUILDING", "MACHINERY", "FURNITURE"]},
+        "c_name": {"required": True, "pattern": "^Customer#0000000[0-9]{2}$"},
+    })
+    return errs.groupBy("field", "rule").agg(F.count(F.lit(1)).alias("n"))
