@@ -80,6 +80,16 @@ class ImportSpec:
     skip_steps: list[str] = field(default_factory=list)
     run_id: str = "run"
     parent_key: str | None = None  # for 1-n child imports: column holding the parent's natural key
+    children: dict = field(default_factory=dict)  # relation name -> ChildSpec
+
+
+@dataclass
+class ChildSpec:
+    """A 1-n relation imported from dotted columns ``<relation>.<column>``."""
+
+    code: str  # child object
+    fk: str  # child column pointing at the parent's PK
+    fields: dict[str, FieldSpec] = field(default_factory=dict)
 
 
 class MappingError(ValueError):
@@ -95,6 +105,7 @@ class ImportResult:
     errors: DataFrame | None = None
     table: DataFrame | None = None
     links: dict = field(default_factory=dict)
+    children: dict = field(default_factory=dict)
     last_step: str | None = None
 
 
@@ -446,6 +457,7 @@ class ImportRun:
         return bool(fs and fs.nn)
 
     def step_relations_view(self):
+        self.child_frames()
         proc = self.r.frames["process"]
         raw = self.r.frames["raw"]
         for c, fs in self.spec.fields.items():
@@ -463,6 +475,84 @@ class ImportRun:
             links = ex.join(dim, "__code", "left")
             self.r.frames[f"nn_{c}"] = links
 
+    def child_frames(self):
+        """Child rows from dotted columns, typed and resolved (everything but the parent key)."""
+        mapped = self.r.frames["mapping"]
+        for rel, ch in self.spec.children.items():
+            prefix = rel + "."
+            cols = [c for c in mapped.columns if c.startswith(prefix)]
+            if not cols:
+                continue
+            own = [c[len(prefix):] for c in cols]
+            cdf = mapped.select("id_import", *[qcol(u).alias(f"__parent_{u}") for u in self.spec.unique],
+                                *[qcol(c).alias(c[len(prefix):]) for c in cols])
+            cdf = cdf.filter(F.coalesce(*[qcol(c) for c in own]).isNotNull())  # C7: empty child rows dropped
+            sel = []
+            for c in own:
+                fs = ch.fields.get(c, FieldSpec())
+                sel.append(qcol(c).alias(c) if (fs.ref or fs.code_type) else cast_to(qcol(c), fs.type).alias(c))
+            raw = cdf.select("id_import", *[F.col(f"__parent_{u}") for u in self.spec.unique], *sel)
+            res = raw
+            for c in own:
+                fs = ch.fields.get(c, FieldSpec())
+                if fs.code_type:
+                    res = resolve_code(self.cat, res.withColumn(f"__raw_{c}", qcol(c)), c, fs.code_type)
+                elif fs.ref:
+                    res = resolve_key(self.cat, res.withColumn(f"__raw_{c}", qcol(c)), c, fs.ref, fs.ref_unique)
+            self.r.frames[f"child_raw_{rel}"] = raw
+            self.r.frames[f"child_{rel}"] = res
+
+    def child_checks(self):
+        for rel, ch in self.spec.children.items():
+            if f"child_{rel}" not in self.r.frames:
+                continue
+            raw, res = self.r.frames[f"child_raw_{rel}"], self.r.frames[f"child_{rel}"]
+            req = [c for c, fs in ch.fields.items() if fs.required and c in raw.columns]
+            if req:
+                prof = agg.required_profile(raw, req)
+                self.add_errors(prof.select(
+                    F.lit("ERR_IMPORT_REQUIRED").alias("error_code"), F.concat(F.lit(rel + "."), F.col("column")).alias("key"),
+                    F.lit(None).cast("string").alias("value"), F.col("nb_lines").cast("long").alias("nb_lines"),
+                    F.col("lines").cast("array<long>").alias("lines"), F.lit(None).cast("string").alias("valid_values"),
+                    F.lit("required").alias("msg")))
+            for c, fs in ch.fields.items():
+                if (fs.ref or fs.code_type) and c in raw.columns:
+                    bad = res.filter(F.col(f"__raw_{c}").isNotNull() & qcol(c).isNull()).select("id_import", F.col(f"__raw_{c}").alias("value"))
+                    e = _errors(agg.value_profile(bad, ["value"]), "ERR_IMPORT_UNRESOLVED", f"{rel}.{c}", "no match")
+                    if fs.code_type:
+                        e = e.drop("valid_values").crossJoin(code_values(self.cat, fs.code_type)).select(*ERROR_SCHEMA.names)
+                    self.add_errors(e)
+
+    def finish_children(self):
+        """After the parent merge: parent key by natural key, children of touched parents replaced."""
+        table = self.r.table if self.r.table is not None else self.target
+        for rel, ch in self.spec.children.items():
+            if f"child_{rel}" not in self.r.frames:
+                continue
+            res = self.r.frames[f"child_{rel}"]
+            csd = self.cat.schema(ch.code)
+            current = self.r.children.get(rel)
+            if current is None:
+                current = self.cat.frame(ch.code)
+            keys = table.select(*[F.col(u).cast("string").alias(f"__pk_{u}") for u in self.spec.unique], F.col(self.sd.pk).alias("__parent_pk"))
+            cond = None
+            for u in self.spec.unique:
+                e = F.col(f"__parent_{u}").cast("string") == F.col(f"__pk_{u}")
+                cond = e if cond is None else cond & e
+            own = [c for c in ch.fields if c in res.columns]
+            rows = res.join(keys, cond, "inner").select(F.col("__parent_pk").alias(ch.fk), *[qcol(c) for c in own]).distinct()
+            touched = rows.select(ch.fk).distinct()
+            kept = current.join(touched, ch.fk, "left_anti")
+            mx = current.agg(F.coalesce(F.max(csd.pk), F.lit(0)).alias("__mx"))
+            numbered = with_row_number(rows, [F.col(ch.fk).asc()] + [qcol(c).asc_nulls_last() for c in own], "__rn").crossJoin(F.broadcast(mx))
+            pk_type = current.schema[csd.pk].dataType
+            new = numbered.select(*[
+                ((F.col("__mx") + F.col("__rn")).cast(pk_type) if c == csd.pk else (qcol(c).cast(current.schema[c].dataType) if c in numbered.columns
+                                                                                      else F.lit(None).cast(current.schema[c].dataType))).alias(c)
+                for c in current.columns])
+            self.r.children[rel] = kept.unionByName(new)
+            self.r.res[f"nb_{rel}"] = new.count()
+
     def step_post_check(self):
         raw = self.r.frames["raw"]
         req = [c for c, fs in self.spec.fields.items() if fs.required and c in raw.columns]
@@ -473,6 +563,7 @@ class ImportRun:
                 F.col("nb_lines").cast("long").alias("nb_lines"), F.col("lines").cast("array<long>").alias("lines"),
                 F.lit(None).cast("string").alias("valid_values"), F.lit("required").alias("msg"),
             ))
+        self.child_checks()
         res = self.r.frames["resolved"]
         for c, fs in self.spec.fields.items():
             if c in self.spec.skip_check_on or c not in raw.columns:
@@ -587,7 +678,8 @@ class ImportRun:
         self.r.table = base.unionByName(new.select(*sel))
 
     def step_relations_data(self):
-        """Replace n-n rows of touched objects (C15): delete-using (anti join) then insert."""
+        """Replace n-n rows of touched objects (C15): delete-using (anti join) then insert; then 1-n children."""
+        self.finish_children()
         for c, fs in self.spec.fields.items():
             if not fs.nn or f"nn_{c}" not in self.r.frames:
                 continue
@@ -607,11 +699,17 @@ class ImportRun:
 
 
 def run_import(catalog: Catalog, spec: ImportSpec, source: DataFrame, target: DataFrame | None = None,
-               links: dict | None = None) -> ImportResult:
-    """Run an import (C1); ``links`` holds current n-n rows per column as (__pk, __link) frames."""
+               links: dict | None = None, children: dict | None = None) -> ImportResult:
+    """Run an import.
+
+    ``links`` holds current n-n rows per column as (__pk, __link) frames;
+    ``children`` the current child tables per 1-n relation.
+    """
     run = ImportRun(catalog, spec, source, target)
     if links:
         run.r.links.update(links)
+    if children:
+        run.r.children.update(children)
     return run.run()
 
 
