@@ -24,6 +24,11 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+GEOM_DDL = (
+    "struct<kind:string,srid:int,parts:array<array<array<struct<x:double,y:double>>>>,"
+    "bbox:struct<xmin:double,ymin:double,xmax:double,ymax:double>>"
+)
+
 KINDS = ("POINT", "LINESTRING", "POLYGON", "MULTIPOINT", "MULTILINESTRING", "MULTIPOLYGON")
 
 # WGS84 / GRS80 ellipsoid and the Lambert-93 (EPSG:2154) projection parameters.

@@ -21,6 +21,7 @@ import re
 import time
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -355,34 +356,53 @@ class ImportRun:
     def add_errors(self, df: DataFrame) -> None:
         self.err_parts.append(df)
 
-    def has_errors(self) -> bool:
-        return any(not e.isEmpty() for e in self.err_parts)
+    def _step_errors(self, start: int) -> DataFrame | None:
+        """Errors added since ``start``, as one frame; ``None`` when there are none (one job)."""
+        new = self.err_parts[start:]
+        if not new:
+            return None
+        errs = new[0]
+        for p in new[1:]:
+            errs = errs.unionByName(p)
+        # error rows are grouped summaries (one per bad value): small, kept for the report
+        errs = errs.persist(StorageLevel.MEMORY_AND_DISK)
+        return None if errs.isEmpty() else errs
+
+    def persist(self, name: str, df: DataFrame) -> DataFrame:
+        """Keep a frame reused by later steps; recomputed from its lineage if an executor is lost."""
+        df = df.persist(StorageLevel.MEMORY_AND_DISK)
+        self._persisted.append(df)
+        self.r.frames[name] = df
+        return df
 
     def run(self) -> ImportResult:
         self.r.status = "PROCESSING"
+        self._persisted = []
+        found = None
         for step in STEPS:
             if step in self.spec.skip_steps:
                 continue
             t0 = time.time()
+            start = len(self.err_parts)
             getattr(self, f"step_{step}")()
+            found = self._step_errors(start)
             self.r.steps[step] = round(time.time() - t0, 3)
             self.r.last_step = step
-            if self.err_parts and self.has_errors():
+            if found is not None:
                 self.r.status = "ERROR"
                 break
             if self.spec.target_step == step:
                 break
-        else:
-            self.r.status = "DONE"
         if self.r.status == "PROCESSING":
             self.r.status = "DONE"
-        parts = self.err_parts or [_error_frame(self.spark)]
-        errs = parts[0]
-        for p in parts[1:]:
-            errs = errs.unionByName(p)
-        self.r.errors = errs
+        self.r.errors = found if found is not None else _error_frame(self.spark)
         return self.r
 
+    def release(self) -> None:
+        """Drop persisted intermediate frames (call once the result has been written)."""
+        for df in getattr(self, "_persisted", []):
+            df.unpersist()
+
     # --- steps
     def step_init(self):
         if not self.spec.unique:
@@ -402,7 +422,7 @@ class ImportRun:
             self.add_errors(self.spark.createDataFrame(
                 [("ERR_IMPORT_MISSING_UNIQUE", ",".join(missing), None, 0, [], None, "natural key columns missing")], ERROR_SCHEMA))
         df = fill_natural_key(df, self.spec, self.own_columns())
-        self.r.frames["mapping"] = df
+        self.persist("mapping", df)
 
     def step_pre_check(self):
         df = self.r.frames["mapping"]
@@ -416,12 +436,13 @@ class ImportRun:
             col, user = self.spec.creator
             raw = raw.withColumn(col, F.lit(user))
         self.r.frames["raw"] = raw
-        self.r.res["nb_raw"] = raw.count()
+        # a parent's raw frame is a projection of the data: same row count, no job needed
+        self.r.res["nb_raw"] = self.r.res.get("nb_data") if "nb_data" in self.r.res else raw.count()
 
     def resolved(self) -> DataFrame:
         df = self.r.frames["raw"]
         for c, fs in self.spec.fields.items():
-            if c not in df.columns:
+            if c not in df.columns or fs.nn:
                 continue
             if fs.code_type:
                 df = df.withColumn(f"__raw_{c}", qcol(c))
@@ -446,11 +467,9 @@ class ImportRun:
         return df.withColumnRenamed("__tpk", "__pk")
 
     def step_import_view(self):
-        res = self.resolved()
-        self.r.frames["resolved"] = res
+        res = self.persist("resolved", self.resolved())
         group = [c for c in res.columns if c not in ("id_import",) and not c.startswith("__raw_") and not self._is_nn(c)]
-        proc = agg.collapse(res, group)
-        self.r.frames["process"] = proc
+        self.persist("process", agg.collapse(res, group))
 
     def _is_nn(self, c):
         fs = self.spec.fields.get(c)
@@ -468,8 +487,11 @@ class ImportRun:
             ex = first.select("__nk", "id_import", F.explode(split_list(F.col("__codes"), ",")).alias("__code"))
             ex = ex.filter(F.col("__code") != "")
             tsd = self.cat.schema(fs.nn)
-            tu = fs.nn_unique or (tsd.unique[0] if tsd.unique else tsd.pk)
-            dim = self.cat.frame(fs.nn).select(F.col(tu).cast("string").alias("__code"), F.col(tsd.pk).alias("__link"))
+            tu = fs.nn_unique or (tsd.unique[-1] if tsd.unique else tsd.pk)
+            dimf = self.cat.frame(fs.nn)
+            if fs.code_type:
+                dimf = dimf.filter(F.col("type") == fs.code_type)
+            dim = dimf.select(F.col(tu).cast("string").alias("__code"), F.col(tsd.pk).alias("__link"))
             if tsd.bounded:
                 dim = F.broadcast(dim)
             links = ex.join(dim, "__code", "left")
@@ -568,7 +590,7 @@ class ImportRun:
         for c, fs in self.spec.fields.items():
             if c in self.spec.skip_check_on or c not in raw.columns:
                 continue
-            if fs.ref or fs.code_type:
+            if (fs.ref or fs.code_type) and not fs.nn:
                 bad = res.filter(F.col(f"__raw_{c}").isNotNull() & qcol(c).isNull()).select("id_import", F.col(f"__raw_{c}").alias("value"))
                 prof = agg.value_profile(bad, ["value"])
                 valid = None
@@ -626,8 +648,9 @@ class ImportRun:
 
     def step_count(self):
         proc = self.r.frames["process"]
-        self.r.res["nb_process"] = proc.count()
-        self.r.res["nb_insert"] = proc.filter(F.col("__pk").isNull()).select(*self.spec.unique).distinct().count()
+        newkey = F.when(F.col("__pk").isNull(), F.struct(*[qcol(u) for u in self.spec.unique]))
+        c = proc.agg(F.count(F.lit(1)).alias("p"), F.count_distinct(newkey).alias("i")).first()
+        self.r.res["nb_process"], self.r.res["nb_insert"] = int(c.p), int(c.i)
         cmp = self.compare_frame()
         changed = cmp.filter(self.changed_condition(self.update_columns())).select("__pk")
         nn = self.nn_changed()
