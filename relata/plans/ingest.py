@@ -347,6 +347,7 @@ class ImportRun:
         self.target = target if target is not None else catalog.frame(spec.code)
         self.r = ImportResult()
         self.err_parts: list[DataFrame] = []
+        self._persisted: list[DataFrame] = []
         self.spark = source.sparkSession
 
     # --- helpers
@@ -377,7 +378,6 @@ class ImportRun:
 
     def run(self) -> ImportResult:
         self.r.status = "PROCESSING"
-        self._persisted = []
         found = None
         for step in STEPS:
             if step in self.spec.skip_steps:

@@ -13,7 +13,7 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-import duckdb  # noqa: E402
+import duckdb  # noqa: E402,F401
 
 import __spark_entry__ as entry  # noqa: E402
 from relata.session import get_spark  # noqa: E402
