@@ -67,6 +67,8 @@ class SchemaDef:
     scope_rule: Callable | None = None
     authorized_fields: list[str] | None = None
     titles: dict[str, str] = field(default_factory=dict)
+    load_only: list[str] = field(default_factory=list)  # written, never emitted (P13)
+    dump_only: list[str] = field(default_factory=list)  # emitted, never written (P13)
 
     def relation(self, name: str) -> Relation | None:
         return self.relations.get(name)

@@ -124,3 +124,15 @@ def export_view(df: DataFrame, scalar: list[str], many: list[str], sep: str = ",
     """Flattened export (A6/S13): group by scalar columns, distinct sorted text of to-many columns."""
     aggs = [F.array_join(F.array_sort(F.collect_set(F.col(m).cast("string"))), sep).alias(m) for m in many]
     return df.groupBy(*scalar).agg(*aggs)
+
+
+def observe_counts(df: DataFrame, name: str):
+    """Row count of a stage collected while the frame is computed anyway.
+
+    Returns (frame, Observation); read ``obs.get`` after an action on the
+    frame: no extra job is run.
+    """
+    from pyspark.sql import Observation
+
+    obs = Observation(name)
+    return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs

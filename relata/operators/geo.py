@@ -185,12 +185,36 @@ def collect(df: DataFrame, by: list[str], geom: str, out: str = "geom") -> DataF
 
 # ---------------------------------------------------------------- measures
 def centroid(g: Column) -> Column:
-    """Vertex-average centroid (G4 approximation for display: lines/polygons use the vertex mean)."""
-    pts = F.flatten(F.flatten(g["parts"]))
+    """Centroid (G4): area-weighted for polygons (holes subtract), length-weighted for lines, mean for points."""
+    rings = F.flatten(g["parts"])
+    pts = F.flatten(rings)
+    edges = F.flatten(F.transform(rings, lambda r: F.arrays_zip(F.slice(r, 1, F.size(r) - 1).alias("a"), F.slice(r, 2, F.size(r)).alias("b"))))
+
+    def sum_over(f):
+        return F.aggregate(F.transform(edges, f), F.lit(0.0), lambda acc, v: acc + v)
+
+    cross = lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
+    # polygon: signed areas; rings of a part in opposite orientation subtract
+    area2 = sum_over(cross)
+    cx_p = sum_over(lambda e: (e["a"]["x"] + e["b"]["x"]) * cross(e)) / (3 * area2)
+    cy_p = sum_over(lambda e: (e["a"]["y"] + e["b"]["y"]) * cross(e)) / (3 * area2)
+    seg_len = lambda e: F.sqrt(F.pow(e["b"]["x"] - e["a"]["x"], 2) + F.pow(e["b"]["y"] - e["a"]["y"], 2))
+    total = sum_over(seg_len)
+    cx_l = sum_over(lambda e: seg_len(e) * (e["a"]["x"] + e["b"]["x"]) / 2) / total
+    cy_l = sum_over(lambda e: seg_len(e) * (e["a"]["y"] + e["b"]["y"]) / 2) / total
     n = F.size(pts)
-    sx = F.aggregate(pts, F.lit(0.0), lambda acc, p: acc + p["x"])
-    sy = F.aggregate(pts, F.lit(0.0), lambda acc, p: acc + p["y"])
-    return F.struct((sx / n).alias("x"), (sy / n).alias("y"))
+    cx_m = F.aggregate(pts, F.lit(0.0), lambda acc, p: acc + p["x"]) / n
+    cy_m = F.aggregate(pts, F.lit(0.0), lambda acc, p: acc + p["y"]) / n
+    is_poly = g["kind"].endswith("POLYGON") & (area2 != 0)
+    is_line = g["kind"].endswith("LINESTRING") & (total > 0)
+    x = F.when(is_poly, cx_p).when(is_line, cx_l).otherwise(cx_m)
+    y = F.when(is_poly, cy_p).when(is_line, cy_l).otherwise(cy_m)
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def point_xy(g: Column) -> Column:
+    """First vertex of a geometry (the point itself for points): cheap, codegen-friendly."""
+    return F.get(F.get(F.get(g["parts"], 0), 0), 0)
 
 
 def dist_m(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
@@ -421,31 +445,62 @@ def segment_cells(line: Column, size: float) -> Column:
     return F.array_distinct(F.flatten(F.transform(segs, samples)))
 
 
+def line_segments(lines: DataFrame, lid: str = "lid", line: str = "line") -> DataFrame:
+    """One row per segment: lid, ax, ay, bx, by (a one-vertex line gives a zero-length segment)."""
+    v = F.col(line)
+    segs = F.when(F.size(v) > 1, F.arrays_zip(F.slice(v, 1, F.size(v) - 1).alias("a"), F.slice(v, 2, F.size(v)).alias("b"))).otherwise(
+        F.arrays_zip(v.alias("a"), v.alias("b")))
+    return lines.select(F.col(lid).alias("lid"), F.explode(segs).alias("s")).select(
+        "lid", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
+
+
+def segment_cell_rows(segs: DataFrame, size: float) -> DataFrame:
+    """Every grid cell a segment passes through (exact cover, with a hair of slack at cell borders).
+
+    Column by column along x: the segment's y-range inside the column gives
+    the cells of that column.  Fan-out per segment = cells crossed, so it
+    depends on the segment's length, not on the data volume.
+    """
+    eps = size * 1e-9
+    x_lo, x_hi = F.least("ax", "bx"), F.greatest("ax", "bx")
+    cols = segs.select("*", F.explode(F.sequence(_cell(x_lo - eps, size), _cell(x_hi + eps, size))).alias("cx"))
+    x0 = F.greatest(F.col("cx") * F.lit(size), F.least("ax", "bx"))
+    x1 = F.least((F.col("cx") + 1) * F.lit(size), F.greatest("ax", "bx"))
+    slope = (F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax"))
+    ya = F.when(F.col("bx") == F.col("ax"), F.col("ay")).otherwise(F.col("ay") + (x0 - F.col("ax")) * slope)
+    yb = F.when(F.col("bx") == F.col("ax"), F.col("by")).otherwise(F.col("ay") + (x1 - F.col("ax")) * slope)
+    y_lo, y_hi = F.least(ya, yb) - eps, F.greatest(ya, yb) + eps
+    return cols.select("*", F.explode(F.sequence(_cell(y_lo, size), _cell(y_hi, size))).alias("cy"))
+
+
+def _candidates(points: DataFrame, lines: DataFrame, r: float, pid: str, px: str, py: str, lid: str, line: str) -> DataFrame:
+    pts = points.select(F.col(pid).alias("pid"), F.col(px).alias("px"), F.col(py).alias("py"))
+    pts = pts.select("*", F.explode(_neigh(_cell(F.col("px"), r), 1)).alias("cx"))
+    pts = pts.select("*", F.explode(_neigh(_cell(F.col("py"), r), 1)).alias("cy"))
+    cells = segment_cell_rows(line_segments(lines, lid, line), r)
+    cand = pts.join(cells, ["cx", "cy"])
+    d = seg_dist(F.col("px"), F.col("py"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    return cand.select("pid", "lid", d.alias("dist")).filter(F.col("dist") <= F.lit(r))
+
+
 def join_within(
     points: DataFrame, lines: DataFrame, r: float, pid: str = "pid", px: str = "x", py: str = "y",
     lid: str = "lid", line: str = "line",
 ) -> DataFrame:
     """Point-line pairs within planar distance ``r`` (J16/G7), with the distance.
 
-    Points go to their cell and its 8 neighbours, lines to the cells of
-    samples taken every r/2 and their neighbours; any pair within r then
-    shares a cell.  Output: pid, lid, dist (one row per pair).
+    Lines are cut into segments; each segment goes to the cells it crosses,
+    each point to its cell and the 8 neighbours, so any point within r of a
+    segment meets it in a shared cell.  The distance is plain arithmetic
+    (whole-stage codegen); duplicate meetings collapse in a ``min`` that
+    combines map-side.  Output: pid, lid, dist (one row per pair).
     """
-    pts = points.select(F.col(pid).alias("pid"), F.col(px).alias("px"), F.col(py).alias("py"))
-    pts = pts.select("*", F.explode(_neigh(_cell(F.col("px"), r), 1)).alias("cx"))
-    pts = pts.select("*", F.explode(_neigh(_cell(F.col("py"), r), 1)).alias("cy"))
-    ln = lines.select(F.col(lid).alias("lid"), F.col(line).alias("line"))
-    cells = ln.select("lid", F.explode(segment_cells(F.col("line"), r)).alias("c"))
-    cells = cells.select("lid", F.explode(_neigh(F.col("c.cx"), 1)).alias("cx"), F.col("c.cy").alias("cy0"))
-    cells = cells.select("lid", "cx", F.explode(_neigh(F.col("cy0"), 1)).alias("cy")).distinct()
-    cand = pts.join(cells, ["cx", "cy"]).select("pid", "px", "py", "lid").distinct()
-    cand = cand.join(ln, "lid")
-    d = point_line_dist(F.col("px"), F.col("py"), F.col("line"))
-    return cand.select("pid", "lid", d.alias("dist")).filter(F.col("dist") <= F.lit(r))
+    c = _candidates(points, lines, r, pid, px, py, lid, line)
+    return c.groupBy("pid", "lid").agg(F.min("dist").alias("dist"))
 
 
 def nearest_per_type(pairs: DataFrame, lines: DataFrame, r: float | None = None, type_col: str = "type") -> DataFrame:
-    """Nearest line per (point, type) (J17/W2): ``min(struct(dist, lid))`` combines map-side."""
+    """Nearest line per (point, type) (J17/W2): ``min(struct(dist, lid))`` combines map-side; ties go to the smaller id."""
     j = pairs.join(lines.select(F.col("lid"), F.col(type_col).alias("type")), "lid")
     if r is not None:
         j = j.filter(F.col("dist") <= r)
@@ -453,6 +508,16 @@ def nearest_per_type(pairs: DataFrame, lines: DataFrame, r: float | None = None,
     return best.select("pid", "type", F.col("b.lid").alias("lid"), F.col("b.dist").alias("dist"))
 
 
+def nearest_within(points: DataFrame, lines: DataFrame, r: float, pid: str = "pid", px: str = "x", py: str = "y",
+                   lid: str = "lid", line: str = "line", type_col: str = "type") -> DataFrame:
+    """Nearest line per (point, line type) within ``r`` in one aggregation over the candidates."""
+    typed = lines.select(F.col(lid).alias("lid"), F.col(line).alias("line"), F.col(type_col).alias("type"))
+    c = _candidates(points, typed.select("lid", "line"), r, pid, px, py, "lid", "line")
+    c = c.join(typed.select("lid", "type"), "lid")
+    best = c.groupBy("pid", "type").agg(F.min(F.struct("dist", "lid")).alias("b"))
+    return best.select("pid", "type", F.col("b.lid").alias("lid"), F.col("b.dist").alias("dist"))
+
+
 def points_in_polygons(
     points: DataFrame, areas: DataFrame, cell: float, pid: str = "pid", px: str = "x", py: str = "y",
     aid: str = "aid", geom: str = "geom",
@@ -503,6 +568,21 @@ def filter_atom(c: Column, kind: str, value, ctx) -> Column:
             ox, oy, radius = ctx["dwithin"]
         else:
             ox, oy, radius = F.lit(float(parts[0])), F.lit(float(parts[1])), float(parts[2])
-        cen = centroid(c)
+        cen = F.when(c["kind"] == "POINT", point_xy(c)).otherwise(centroid(c))
         return dist_m(cen["x"], cen["y"], ox, oy) <= F.lit(float(radius))
     raise ValueError(kind)
+
+
+def link_areas(objects: DataFrame, areas: DataFrame, cell: float, oid: str = "pid", geom: str = "geom",
+               aid: str = "aid", agg: str = "geom", enabled: str | None = None) -> DataFrame:
+    """Object-area links for all objects (G12, J15): centroid in area, enabled areas only."""
+    a = areas.filter(F.col(enabled)) if enabled else areas
+    cen = F.when(F.col(geom)["kind"] == "POINT", point_xy(F.col(geom))).otherwise(centroid(F.col(geom)))
+    pts = objects.select(F.col(oid).alias("pid"), cen["x"].alias("x"), cen["y"].alias("y"))
+    return points_in_polygons(pts, a.select(F.col(aid).alias("aid"), F.col(agg).alias("geom")), cell)
+
+
+def refresh_links(links: DataFrame, changed: DataFrame, new_links: DataFrame, key: str = "pid") -> DataFrame:
+    """Incremental link refresh (G13): drop old links of changed objects, add their recomputed links."""
+    keys = changed.select(key).distinct()
+    return links.join(keys, key, "left_anti").unionByName(new_links.join(keys, key, "left_semi"))

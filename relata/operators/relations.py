@@ -224,3 +224,87 @@ def join_list(df: DataFrame, col: str, sep: str, dim: DataFrame, dim_key: str, h
 
     ex = df.select("*", F.explode(F.transform(F.split(qcol(col), re.escape(sep)), lambda x: F.trim(x))).alias("__member"))
     return ex.join(dim, F.col("__member") == dim[dim_key], how).drop("__member")
+
+
+def join_contains(a: DataFrame, a_id: str, a_text: str, b: DataFrame, b_id: str, b_text: str, k: int = 32) -> DataFrame:
+    """Pattern join ``a.text LIKE '%' || b.text || '%'`` (J21) without a cross join; returns (a_id, b_id).
+
+    Blocking that loses nothing: if a pattern of length m >= 2K-1 occurs in
+    a text, the occurrence fully covers one K-aligned block of the text.  So
+    texts are cut into non-overlapping K-blocks (len/K rows per text, the
+    text itself is not carried), patterns into all their K-grams, and the two
+    meet on an equi join.  K = min(k, (m+1)//2) per pattern, one pass per
+    distinct K (at most k passes).  Candidate pairs then get their texts back
+    for the exact ``instr`` test.  Empty or NULL patterns are left out (they
+    would pair with every row).
+    """
+    bk = b.select(qcol(b_id).alias("__bid"), qcol(b_text).alias("__pat")).filter(F.length("__pat") > 0)
+    bk = bk.withColumn("__k", F.least(F.lit(k), F.floor((F.length("__pat") + 1) / 2).cast("int")))
+    ks = sorted(r["__k"] for r in bk.select("__k").distinct().collect())  # at most k distinct values
+    at = a.select(qcol(a_id).alias("__aid"), qcol(a_text).alias("__txt"))
+    cand = None
+    for K in ks:
+        blocks = at.select("__aid", F.explode(F.expr(
+            f"transform(sequence(0, greatest(floor(length(__txt) / {K}) - 1, -1)), i -> substring(__txt, i * {K} + 1, {K}))"
+        )).alias("__key")).distinct()
+        grams = bk.filter(F.col("__k") == K).select("__bid", F.explode(F.expr(
+            f"transform(sequence(1, length(__pat) - {K} + 1), p -> substring(__pat, p, {K}))")).alias("__key")).distinct()
+        part = blocks.join(grams, "__key").select("__aid", "__bid")
+        cand = part if cand is None else cand.unionByName(part)
+    if cand is None:
+        return a.select(qcol(a_id)).join(b.select(qcol(b_id)), F.lit(False), "inner")
+    cand = cand.distinct()
+    full = cand.join(at, "__aid").join(bk.select("__bid", "__pat"), "__bid")
+    return full.filter(F.instr(F.col("__txt"), F.col("__pat")) > 0).select(F.col("__aid").alias(a_id), F.col("__bid").alias(b_id))
+
+
+def resolve_rows(rows: DataFrame, dims: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
+    """Rows holding codes resolved against several code tables by name.
+
+    ``dims[col] = (table, code column, id column)``; inner joins, so rows
+    with an unknown code are dropped.  Code tables are fixed-size lists.
+    """
+    out = rows
+    for col, (dim, code, idc) in dims.items():
+        d = F.broadcast(dim.select(F.col(code).alias(f"__c_{col}"), F.col(idc).alias(f"__id_{col}")))
+        out = out.join(d, qcol(col) == F.col(f"__c_{col}"), "inner").drop(f"__c_{col}", col).withColumnRenamed(f"__id_{col}", col)
+    return out
+
+
+def get_rows(df: DataFrame, values, fields: list[str] | str) -> DataFrame:
+    """Row lookup by key values (F15): one value per field, lists of equal length.
+
+    Bulk lookups pass a DataFrame of keys instead (semi join).
+    """
+    if isinstance(values, DataFrame):
+        return df.join(values.select(*([fields] if isinstance(fields, str) else fields)), fields, "left_semi")
+    fields = [fields] if isinstance(fields, str) else list(fields)
+    values = values if isinstance(values, (list, tuple)) else [values]
+    if len(values) != len(fields):
+        raise ValueError(f"{len(values)} values for {len(fields)} fields")
+    cond = None
+    for f, v in zip(fields, values):
+        c = qcol(f).isNull() if v is None else (qcol(f) == F.lit(v))
+        cond = c if cond is None else cond & c
+    return df.filter(cond)
+
+
+def filter_nested(df: DataFrame, array_col: str, path: str, value) -> DataFrame:
+    """Keep only the array elements whose ``path`` equals ``value``."""
+    def get(x):
+        for p in path.split("."):
+            x = x[p]
+        return x
+
+    return df.withColumn(array_col, F.filter(qcol(array_col), lambda x: get(x) == F.lit(value)))
+
+
+def expand_codes(df: DataFrame, col: str, mapping: DataFrame, parent: str = "parent", child: str = "child") -> DataFrame:
+    """Cascading codes (F19): each code of ``col`` that is a parent also yields its children.
+
+    ``mapping`` (parent, child) is a code hierarchy; the result keeps the
+    original rows and adds one row per child code.
+    """
+    m = mapping.select(F.col(parent).alias("__p"), F.col(child).alias("__c"))
+    kids = df.join(m, qcol(col) == F.col("__p"), "inner").withColumn(col, F.col("__c")).drop("__p", "__c")
+    return df.unionByName(kids).distinct()

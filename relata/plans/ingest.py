@@ -82,6 +82,7 @@ class ImportSpec:
     run_id: str = "run"
     parent_key: str | None = None  # for 1-n child imports: column holding the parent's natural key
     children: dict = field(default_factory=dict)  # relation name -> ChildSpec
+    where: str | None = None  # row filter applied in the mapping step (F20)
 
 
 @dataclass
@@ -111,7 +112,7 @@ class ImportResult:
 
 
 # ---------------------------------------------------------------- stage functions
-def map_fields(df: DataFrame, mapping: dict | None, values: dict | None = None) -> DataFrame:
+def map_fields(df: DataFrame, mapping: dict | None, values: dict | None = None, where: str | None = None) -> DataFrame:
     """Field and value mapping.
 
     ``mapping[target]`` may be a source column name (rename), a list of
@@ -153,6 +154,9 @@ def map_fields(df: DataFrame, mapping: dict | None, values: dict | None = None)
     for c in cols:
         if c not in used:
             out.append((c, qcol(c)))
+    if where:  # business-rule row filter of the mapping (F20)
+        check_expression(where)
+        df = df.filter(F.expr(where))
     return df.select(*[c.alias(k) for k, c in out])
 
 
@@ -416,7 +420,10 @@ class ImportRun:
                 [("ERR_IMPORT_DATA_EMPTY", None, None, 0, [], None, "no data")], ERROR_SCHEMA))
 
     def step_mapping_view(self):
-        df = map_fields(self.source, self.spec.mapping, self.spec.values)
+        df = map_fields(self.source, self.spec.mapping, self.spec.values, self.spec.where)
+        dump_only = [c for c in self.sd.dump_only if c in df.columns]
+        if dump_only:  # read-only columns are never written (P13)
+            df = df.drop(*dump_only)
         missing = [u for u in self.spec.unique if u not in df.columns and not (self.spec.fields.get(u) and self.spec.fields[u].default_uuid)]
         if missing:
             self.add_errors(self.spark.createDataFrame(
@@ -740,3 +747,53 @@ def commit_table(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
     """Write a new table snapshot (never read and overwrite one path in one plan)."""
     df.write.mode(mode).parquet(path)
     return path
+
+
+def run_record(spark: SparkSession, r: ImportResult, run_id: str, file: str | None = None) -> DataFrame:
+    """The import-run log row (S15): status, last step, counts and step timings as JSON."""
+    import json
+
+    row = (run_id, file, r.status, r.last_step, json.dumps(r.res, default=str), json.dumps(r.steps))
+    return spark.createDataFrame([row], "run_id string, file string, status string, last_step string, res string, steps string")
+
+
+def load_features(catalog: Catalog, groups: list[dict], specs: dict[str, ImportSpec], tables: dict[str, DataFrame] | None = None) -> dict:
+    """Feature load (C17, S14): inline rows per object, dependencies first, each group upserted by natural key.
+
+    ``groups``: [{"code", "keys", "items", "defaults", "dependencies"}].  The
+    dependency order is computed on the driver over the group list (a few
+    entries, not data).  Foreign keys inside the rows are resolved by the
+    import spec of each object; each group sees the tables written by the
+    groups before it.  Returns {code: ImportResult}.
+    """
+    from relata.sources.stage import feature_frame, stage_frame
+
+    by_code = {g["code"]: g for g in groups}
+    order, seen = [], set()
+
+    def visit(code, stack=()):
+        if code in seen:
+            return
+        if code in stack:
+            raise ValueError(f"circular feature dependencies: {' -> '.join(stack + (code,))}")
+        for dep in by_code.get(code, {}).get("dependencies", []):
+            if dep in by_code:
+                visit(dep, stack + (code,))
+        seen.add(code)
+        order.append(code)
+
+    for g in groups:
+        visit(g["code"])
+    tables = dict(tables or {})
+    out = {}
+    for code in order:
+        g = by_code[code]
+        frame = feature_frame(catalog.spark, g)
+        staged = stage_frame(frame)
+        target = tables.get(code)
+        r = run_import(catalog, specs[code], staged, target=target)
+        out[code] = r
+        if r.status == "DONE" and r.table is not None:
+            tables[code] = r.table
+            catalog.set_frame(code, r.table)
+    return out

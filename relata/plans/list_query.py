@@ -102,6 +102,7 @@ class ListQuery:
         select = []
         nested_specs: dict[str, list[str]] = defaultdict(list)
         keep = [sd.pk]
+        fields = [f for f in fields if f not in sd.load_only]
         for f in fields:
             if f == "row_number":
                 select.append(("row_number", F.col("row_number")))
@@ -177,6 +178,12 @@ class ListQuery:
             lastf.alias("last_page_filtered"),
         )
 
+    def page_with(self, pk_value) -> DataFrame:
+        """The page holding a given object (O10): its page number (one bounded row), then that page."""
+        r = self.page_of(pk_value).first()
+        page = int(r["page"]) if r is not None else 1
+        return ListQuery(**{**self.__dict__, "page": page}).build()
+
     def page_of(self, pk_value) -> DataFrame:
         """Page number holding a given object under the current filters and sort."""
         return ordering.page_of(self.catalog, self.code, self.filtered_frame(), self.sort, pk_value, int(self.page_size or 10))

@@ -925,9 +925,7 @@ SELECT pid, type, lid, ROUND(dist, 9) AS dist FROM typed WHERE rn = 1
 def q_nearest_per_type(spark, sf):
     from relata.operators import geo
 
-    lines = _supplier_lines(spark, sf)
-    pairs = geo.join_within(_customer_points(spark, sf), lines, 0.05)
-    best = geo.nearest_per_type(pairs, lines)
+    best = geo.nearest_within(_customer_points(spark, sf), _supplier_lines(spark, sf), 0.05)
     return best.select("pid", "type", "lid", F.round("dist", 9).alias("dist"))
 
 
@@ -1069,3 +1067,146 @@ def q_validate_records(spark, sf):
         "c_name": {"required": True, "pattern": "^Customer#0000000[0-9]{2}$"},
     })
     return errs.groupBy("field", "rule").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ---------------------------------------------------------------- more operators
+@register("join_contains", """
+SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON length(b.text) > 0 AND contains(d.text, b.text)
+""")
+def q_join_contains(spark, sf):
+    # which documents contain which benchmark passage, over whole texts
+    from relata.operators.relations import join_contains
+    from relata.sources.tables import load_table
+
+    d = load_table(spark, sf, "documents")
+    b = load_table(spark, sf, "benchmark")
+    return join_contains(d, "doc_id", "text", b, "item_id", "text")
+
+
+@register("flat_render", """
+WITH page AS (SELECT c_custkey, c_nationkey FROM customer ORDER BY c_custkey LIMIT 20 OFFSET 40)
+SELECT p.c_custkey AS "Key", n.n_name AS "Nation",
+       (SELECT string_agg(CAST(o.o_orderkey AS VARCHAR) || '_' || o.o_orderstatus, ', ' ORDER BY o.o_orderkey)
+        FROM orders o WHERE o.o_custkey = p.c_custkey) AS orders
+FROM page p LEFT JOIN nation n ON n.n_nationkey = p.c_nationkey
+""")
+def q_flat_render(spark, sf):
+    # nested list rendered flat: records joined by '_', lists by ', ' (P10, S12), headings
+    from relata.sources.sinks import export_headers, flatten
+
+    df = ListQuery(_cat(spark, sf), "customer", fields=["c_custkey", "nation.n_name", "orders.o_orderkey", "orders.o_orderstatus"],
+                   sort="c_custkey", page=3, page_size=20).build()
+    flat = flatten(df, sep="__")
+    return export_headers(flat, ["c_custkey,Key", "nation.n_name,Nation", "orders"])
+
+
+@register("get_rows", """
+SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 3)
+""")
+def q_get_rows(spark, sf):
+    # bulk row lookup by key values held in a frame (F15, O9): semi join, keys never collected
+    from relata.operators.relations import get_rows
+    from relata.sources.tables import load_table
+
+    keys = load_table(spark, sf, "customer").filter(F.col("c_nationkey") == 3).select(F.col("c_custkey").alias("o_custkey"))
+    return get_rows(load_table(spark, sf, "orders"), keys, "o_custkey").select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@register("filter_nested", """
+WITH page AS (SELECT c_custkey FROM customer ORDER BY c_custkey LIMIT 20)
+SELECT p.c_custkey, COUNT(o.o_orderkey) AS n_finished,
+       string_agg(CAST(o.o_orderkey AS VARCHAR), ',' ORDER BY o.o_orderkey) AS finished
+FROM page p LEFT JOIN orders o ON o.o_custkey = p.c_custkey AND o.o_orderstatus = 'F' GROUP BY p.c_custkey
+""")
+def q_filter_nested(spark, sf):
+    from relata.operators.relations import filter_nested
+
+    df = ListQuery(_cat(spark, sf), "customer", fields=["c_custkey", "orders.o_orderkey", "orders.o_orderstatus"],
+                   sort="c_custkey", page_size=20).build()
+    df = filter_nested(df, "orders", "o_orderstatus", "F")
+    return df.select("c_custkey", F.size("orders").cast("long").alias("n_finished"),
+                     F.when(F.size("orders") > 0, F.array_join(F.transform("orders", lambda x: x["o_orderkey"].cast("string")), ",")).alias("finished"))
+
+
+@register("expand_codes", """
+SELECT r_name AS code FROM region WHERE r_name IN ('ASIA', 'EUROPE')
+UNION SELECT n.n_name FROM nation n JOIN region r ON r.r_regionkey = n.n_regionkey WHERE r.r_name IN ('ASIA', 'EUROPE')
+""")
+def q_expand_codes(spark, sf):
+    # a region code also selects the codes of its nations
+    from relata.operators.relations import expand_codes
+    from relata.sources.tables import load_table
+
+    r = load_table(spark, sf, "region")
+    n = load_table(spark, sf, "nation")
+    mapping = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(F.col("r_name").alias("parent"), F.col("n_name").alias("child"))
+    chosen = r.filter(F.col("r_name").isin("ASIA", "EUROPE")).select(F.col("r_name").alias("code"))
+    return expand_codes(chosen, "code", mapping)
+
+
+@register("resolve_rows", """
+WITH codes AS (
+  SELECT 'region' AS type, r_name AS code FROM region UNION SELECT 'nation', n_name FROM nation
+  UNION SELECT 'priority', o_orderpriority FROM orders UNION SELECT 'brand', p_brand FROM part
+  UNION SELECT 'segment', c_mktsegment FROM customer),
+nom AS (SELECT CAST(row_number() OVER (ORDER BY type, code) AS INTEGER) AS id_nomenclature, type, code FROM codes),
+pairs AS (SELECT DISTINCT c.c_mktsegment, n.n_name FROM customer c JOIN nation n ON n.n_nationkey = c.c_nationkey)
+SELECT s.id_nomenclature AS c_mktsegment, n.n_nationkey AS n_name
+FROM pairs p JOIN nom s ON s.type = 'segment' AND s.code = p.c_mktsegment JOIN nation n ON n.n_name = p.n_name
+""")
+def q_resolve_rows(spark, sf):
+    # rows of codes resolved against several code tables by name
+    from relata.operators.relations import resolve_rows
+    from relata.sources.tables import load_table
+
+    cat = _cat(spark, sf)
+    c, n = load_table(spark, sf, "customer"), load_table(spark, sf, "nation")
+    pairs = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey).select("c_mktsegment", "n_name").distinct()
+    seg = cat.frame("nomenclature").filter(F.col("type") == "segment")
+    return resolve_rows(pairs, {"c_mktsegment": (seg, "cd_nomenclature", "id_nomenclature"), "n_name": (n, "n_name", "n_nationkey")})
+
+
+@register("page_with_row", """
+WITH ranked AS (SELECT c_custkey, c_acctbal, ROW_NUMBER() OVER (ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS rn
+                FROM customer WHERE c_mktsegment = 'MACHINERY')
+SELECT c_custkey, c_acctbal FROM ranked
+WHERE CEIL(rn / 25.0) = (SELECT CEIL(rn / 25.0) FROM ranked WHERE c_custkey = (SELECT MIN(c_custkey) FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_custkey >= 700))
+""")
+def q_page_with_row(spark, sf):
+    # the page holding a given object
+    from relata.sources.tables import load_table
+
+    target = load_table(spark, sf, "customer").filter((F.col("c_mktsegment") == "MACHINERY") & (F.col("c_custkey") >= 700)).agg(F.min("c_custkey")).first()[0]
+    q = ListQuery(_cat(spark, sf), "customer", fields=["c_custkey", "c_acctbal"], filters="c_mktsegment = MACHINERY", sort="c_acctbal-", page_size=25)
+    return q.page_with(target)
+
+
+@register("centroids", f"""
+SELECT n_nationkey AS aid, ROUND({_BOX_SQL} + 0.1, 6) AS cx, ROUND({_BOY_SQL} + 0.1, 6) AS cy FROM nation
+""")
+def q_centroids(spark, sf):
+    # area-weighted centroid of polygons
+    from relata.operators import geo
+
+    a = _nation_areas(spark, sf)
+    c = geo.centroid(F.col("geom"))
+    return a.select("aid", F.round(c["x"], 6).alias("cx"), F.round(c["y"], 6).alias("cy"))
+
+
+@register("refresh_links", f"""
+WITH pts AS (
+  SELECT c_custkey AS pid,
+         CASE WHEN c_custkey % 7 = 0 THEN {_CX} + CAST(0.2 AS DOUBLE) ELSE {_CX} END AS x, {_CY} AS y FROM customer)
+SELECT p.pid, n.n_nationkey AS aid FROM pts p, nation n
+WHERE p.x > {_BOX_SQL} AND p.x < {_BOX_SQL} + 0.2 AND p.y > {_BOY_SQL} AND p.y < {_BOY_SQL} + 0.2
+""")
+def q_refresh_links(spark, sf):
+    # full link rebuild, then an incremental refresh for objects whose geometry moved
+    from relata.operators import geo
+
+    pts = _customer_points(spark, sf)
+    areas = _nation_areas(spark, sf)
+    links = geo.points_in_polygons(pts, areas, 0.1)
+    moved = pts.filter(F.col("pid") % 7 == 0).withColumn("x", F.col("x") + F.lit(0.2))
+    new = geo.points_in_polygons(moved, areas, 0.1)
+    return geo.refresh_links(links, moved.select("pid"), new)

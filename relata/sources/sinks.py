@@ -30,11 +30,16 @@ def render_cell(c: Column, dtype: T.DataType, labels: list[str] | None = None) -
 
 
 def flatten(df: DataFrame, sep: str = ".", labels: dict[str, list[str]] | None = None) -> DataFrame:
-    """Flat records (S12): nested columns rendered as text, path separators shown as ``sep``."""
+    """Flat records (S12): list and record columns rendered as text (booleans too when labels
+    are given), scalar columns kept with their type; path separators shown as ``sep``."""
     labels = labels or {}
-    return df.select(*[
-        render_cell(qcol(f.name), f.dataType, labels.get(f.name)).alias(f.name.replace(SEP, sep)) for f in df.schema.fields
-    ])
+    out = []
+    for f in df.schema.fields:
+        c = qcol(f.name)
+        if isinstance(f.dataType, (T.ArrayType, T.StructType)) or (isinstance(f.dataType, T.BooleanType) and f.name in labels):
+            c = render_cell(c, f.dataType, labels.get(f.name))
+        out.append(c.alias(f.name.replace(SEP, sep)))
+    return df.select(*out)
 
 
 def export_headers(df: DataFrame, defs: list[str], titles: dict[str, str] | None = None, use_titles: bool = False) -> DataFrame:
