@@ -499,7 +499,7 @@ def attach_chain(catalog: Catalog, code: str, df: DataFrame, sub: dict) -> DataF
 
 
 def _attach_dwithin_objects(catalog: Catalog, df: DataFrame, atoms: list[dict]) -> DataFrame:
-    """``dwithin code;pk;field;radius``: the other object's centroid as a one-row broadcast."""
+    """``dwithin code;pk;field;radius``: the other object's centroid, fetched once by key, as literals."""
     from relata.operators import geo
 
     for i, a in enumerate(atoms):
@@ -514,9 +514,9 @@ def _attach_dwithin_objects(catalog: Catalog, df: DataFrame, atoms: list[dict])
         g = sd.computed[gfield](other) if gfield in sd.computed else F.col(gfield)
         cen = geo.centroid(g)
         one = other.filter(F.col(sd.pk) == F.lit(pk_value).try_cast(other.schema[sd.pk].dataType)).select(
-            cen["x"].alias(f"__dwx{i}"), cen["y"].alias(f"__dwy{i}")).limit(1)
-        df = df.crossJoin(F.broadcast(one))
-        a["_ctx"] = (F.col(f"__dwx{i}"), F.col(f"__dwy{i}"), float(radius))
+            cen["x"].alias("x"), cen["y"].alias("y")).first()  # one row, by primary key
+        ox, oy = (one["x"], one["y"]) if one is not None else (None, None)
+        a["_ctx"] = (F.lit(ox).cast("double"), F.lit(oy).cast("double"), float(radius))
     return df
 
 

@@ -173,7 +173,8 @@ def page_of(
 ) -> DataFrame:
     """Page holding a given object (W3): count rows sorting before it, then ``ceil``.
 
-    One aggregate over ``df`` against a one-row broadcast of the target's keys.
+    The target's sort keys are fetched once (one row, by key) and compared as
+    literals in one aggregate over ``df``.
     """
     sd = catalog.schema(code)
     df2, _ = sort_columns(catalog, code, df, spec)
@@ -182,15 +183,18 @@ def page_of(
         desc.extend([d] * (3 if kind else 1))
     desc.append(False)  # primary key
     names = sort_helpers(df2)
-    target = df2.filter(qcol(sd.pk) == F.lit(pk_value)).select(*[F.col(k).alias(f"__t{i}") for i, k in enumerate(names)])
-    joined = df2.select(*names).crossJoin(F.broadcast(target.limit(1)))
-    before = lex_before([(F.col(k), F.col(f"__t{i}"), d) for i, (k, d) in enumerate(zip(names, desc))])
-    cnt = joined.agg(F.count_if(before).alias("n_before"), F.count(F.lit(1)).alias("n_rows"))
+    # the target's sort keys: one row fetched by primary key, then used as literals
+    t = df2.filter(qcol(sd.pk) == F.lit(pk_value)).select(*names).first()
+    if t is None:
+        return df.sparkSession.createDataFrame([], "pk string, row_number long, page long")
+    types = {f.name: f.dataType for f in df2.schema.fields}
+    before = lex_before([(F.col(k), F.lit(t[k]).cast(types[k]), d) for k, d in zip(names, desc)])
+    cnt = df2.select(*names).agg(F.count_if(before).alias("n_before"))
     return cnt.select(
         F.lit(pk_value).alias("pk"),
         (F.col("n_before") + 1).alias("row_number"),
         F.ceil((F.col("n_before") + 1) / F.lit(page_size)).cast("long").alias("page"),
-    ).where(F.col("n_rows") > 0)
+    )
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list[Column], k: int = 1) -> DataFrame:

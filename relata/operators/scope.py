@@ -59,46 +59,46 @@ def prune_rights(granted: DataFrame, offered: DataFrame, key: list[str]) -> Data
 
 
 # ---------------------------------------------------------------- rules on the driver tables
-def _user_row(catalog: Catalog, user) -> DataFrame:
-    """One row: the user's key and organisation (a customer and its nation)."""
+def _user_row(catalog: Catalog, user) -> tuple:
+    """The user's key and organisation (a customer and its nation): one row fetched by key."""
     c = catalog.frame("customer")
-    return F.broadcast(
-        c.filter(F.col("c_custkey") == F.lit(user)).select(
-            F.col("c_custkey").alias("__me"), F.col("c_nationkey").alias("__org")
-        ).limit(1)
-    )
+    r = c.filter(F.col("c_custkey") == F.lit(user)).select("c_custkey", "c_nationkey").first()
+    return (user, r["c_nationkey"] if r is not None else None)
 
 
 def customer_scope(catalog: Catalog, df: DataFrame, user) -> DataFrame:
-    me = _user_row(catalog, user)
-    out = df.crossJoin(me) if "c_nationkey" in df.columns else df
+    me, org = _user_row(catalog, user)
+    out = df
     if "c_nationkey" not in df.columns:
         base = catalog.frame("customer").select(F.col("c_custkey").alias("__ck"), "c_nationkey")
-        out = df.join(base, F.col("c_custkey") == F.col("__ck"), "left").drop("__ck").crossJoin(me)
+        out = df.join(base, F.col("c_custkey") == F.col("__ck"), "left").drop("__ck")
+    org_lit = F.lit(org).cast("int")
     level = (
-        F.when(F.col("c_custkey") == F.col("__me"), 1)
-        .when(F.col("c_nationkey").isNotNull() & (F.col("c_nationkey") == F.col("__org")), 2)
+        F.when(F.col("c_custkey") == F.lit(me), 1)
+        .when(F.col("c_nationkey").isNotNull() & org_lit.isNotNull() & (F.col("c_nationkey") == org_lit), 2)
         .otherwise(3)
     )
-    keep = [qcol(c) for c in df.columns]
-    return out.select(*keep, level.alias("scope"))
+    return out.select(*[qcol(c) for c in df.columns], level.alias("scope"))
 
 
 def order_scope(catalog: Catalog, df: DataFrame, user) -> DataFrame:
-    """Order: creator (o_custkey) = me -> 1; a line supplied by my organisation -> 2; else 3."""
-    me = _user_row(catalog, user)
+    """Order: creator (o_custkey) = me -> 1; a line supplied by my organisation -> 2; else 3.
+
+    The organisation flag is the distinct order keys of lines whose supplier
+    is in the user's nation (combined map-side), left-joined by order key.
+    """
+    me, org = _user_row(catalog, user)
     li = catalog.frame("lineitem").select("l_orderkey", "l_suppkey")
-    sup = catalog.frame("supplier").select("s_suppkey", "s_nationkey")
+    sup = catalog.frame("supplier").select("s_suppkey", "s_nationkey").filter(F.col("s_nationkey") == F.lit(org))
     org_lines = (
         li.join(sup, F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(me, F.col("s_nationkey") == F.col("__org"))
         .select(F.col("l_orderkey").alias("__ok"))
         .distinct()
         .withColumn("__org_hit", F.lit(True))
     )
-    out = df.crossJoin(me).join(org_lines, F.col("o_orderkey") == F.col("__ok"), "left")
+    out = df.join(org_lines, F.col("o_orderkey") == F.col("__ok"), "left")
     level = (
-        F.when(F.col("o_custkey") == F.col("__me"), 1)
+        F.when(F.col("o_custkey") == F.lit(me), 1)
         .when(F.coalesce(F.col("__org_hit"), F.lit(False)), 2)
         .otherwise(3)
     )

@@ -332,11 +332,11 @@ def resolve_code(catalog: Catalog, df: DataFrame, col: str, code_type: str, out:
     return j.withColumnRenamed(f"__id_{out}", out)
 
 
-def code_values(catalog: Catalog, code_type: str) -> DataFrame:
-    """Valid codes of a type, as one text value (bounded by the code list)."""
+def code_values(catalog: Catalog, code_type: str) -> str | None:
+    """Valid codes of a type as one text value; one row fetched (the code list is fixed-size)."""
     return catalog.frame("nomenclature").filter(F.col("type") == code_type).agg(
         F.array_join(F.array_sort(F.collect_list("cd_nomenclature")), ", ").alias("valid_values")
-    )
+    ).first()["valid_values"]
 
 
 # ---------------------------------------------------------------- the run
@@ -549,7 +549,7 @@ class ImportRun:
                     bad = res.filter(F.col(f"__raw_{c}").isNotNull() & qcol(c).isNull()).select("id_import", F.col(f"__raw_{c}").alias("value"))
                     e = _errors(agg.value_profile(bad, ["value"]), "ERR_IMPORT_UNRESOLVED", f"{rel}.{c}", "no match")
                     if fs.code_type:
-                        e = e.drop("valid_values").crossJoin(code_values(self.cat, fs.code_type)).select(*ERROR_SCHEMA.names)
+                        e = e.withColumn("valid_values", F.lit(code_values(self.cat, fs.code_type)))
                     self.add_errors(e)
 
     def finish_children(self):
@@ -572,8 +572,8 @@ class ImportRun:
             rows = res.join(keys, cond, "inner").select(F.col("__parent_pk").alias(ch.fk), *[qcol(c) for c in own]).distinct()
             touched = rows.select(ch.fk).distinct()
             kept = current.join(touched, ch.fk, "left_anti")
-            mx = current.agg(F.coalesce(F.max(csd.pk), F.lit(0)).alias("__mx"))
-            numbered = with_row_number(rows, [F.col(ch.fk).asc()] + [qcol(c).asc_nulls_last() for c in own], "__rn").crossJoin(F.broadcast(mx))
+            mx = current.agg(F.coalesce(F.max(csd.pk), F.lit(0)).alias("__mx")).first()["__mx"]  # one value
+            numbered = with_row_number(rows, [F.col(ch.fk).asc()] + [qcol(c).asc_nulls_last() for c in own], "__rn").withColumn("__mx", F.lit(mx))
             pk_type = current.schema[csd.pk].dataType
             new = numbered.select(*[
                 ((F.col("__mx") + F.col("__rn")).cast(pk_type) if c == csd.pk else (qcol(c).cast(current.schema[c].dataType) if c in numbered.columns
@@ -603,7 +603,7 @@ class ImportRun:
                 valid = None
                 e = _errors(prof, "ERR_IMPORT_UNRESOLVED", c, "no match", valid)
                 if fs.code_type:
-                    e = e.drop("valid_values").crossJoin(code_values(self.cat, fs.code_type)).select(*ERROR_SCHEMA.names)
+                    e = e.withColumn("valid_values", F.lit(code_values(self.cat, fs.code_type)))
                 self.add_errors(e)
             if fs.nn and f"nn_{c}" in self.r.frames:
                 links = self.r.frames[f"nn_{c}"]
@@ -690,9 +690,9 @@ class ImportRun:
         if self.sd.pk in self.spec.unique:
             new = new.withColumn("__newpk", qcol(self.sd.pk).try_cast(pk_type))
         elif isinstance(pk_type, (T.IntegerType, T.LongType)):
-            mx = self.target.agg(F.coalesce(F.max(self.sd.pk), F.lit(0)).alias("__mx"))
+            mx = self.target.agg(F.coalesce(F.max(self.sd.pk), F.lit(0)).alias("__mx")).first()["__mx"]  # one value
             order = [qcol(u).asc_nulls_last() for u in self.spec.unique]
-            new = with_row_number(new, order, "__rn").crossJoin(F.broadcast(mx))
+            new = with_row_number(new, order, "__rn").withColumn("__mx", F.lit(mx))
             new = new.withColumn("__newpk", (F.col("__mx") + F.col("__rn")).cast(pk_type))
         else:
             new = new.withColumn("__newpk", F.col("__nk"))
