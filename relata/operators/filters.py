@@ -294,7 +294,7 @@ def compile_filter(catalog: Catalog, code: str, df: DataFrame, ast, geo_ctx=None
         if node[0] == "atom" and node[1]["type"] == "any":
             at = info[id(node[1])]
             rel = groups[("any",) + at.prefix + (_last_rel(catalog, code, node[1]["field"]).name,)]
-            keys = child_frame(catalog, rel, []).select(KEY).distinct()
+            keys = child_frame(catalog, rel, [], dedupe=False).select(KEY).distinct()
             semis.append(("left_anti" if neg else "left_semi", keys, col_name(prefix_name(at.prefix), rel.local_key)))
             continue
         remaining.append(c)
@@ -303,7 +303,7 @@ def compile_filter(catalog: Catalog, code: str, df: DataFrame, ast, geo_ctx=None
         at = info[id(a)]
         if at.flag and at.flag not in df.columns and any(a in atoms_of(c) for c in remaining):
             rel = _last_rel(catalog, code, a["field"])
-            keys = child_frame(catalog, rel, []).select(F.col(KEY)).distinct().withColumn(at.flag, F.lit(True))
+            keys = child_frame(catalog, rel, [], dedupe=False).select(F.col(KEY)).distinct().withColumn(at.flag, F.lit(True))
             left = col_name(prefix_name(at.prefix), rel.local_key)
             df = df.join(keys, qcol(left) == F.col(KEY), "left").drop(KEY)
             df = df.withColumn(at.flag, F.coalesce(F.col(at.flag), F.lit(False)))
@@ -378,7 +378,8 @@ def compile_filter(catalog: Catalog, code: str, df: DataFrame, ast, geo_ctx=None
                     sub[at.prefix].add(at.column)
                 else:
                     cols.add(at.column)
-            ch = child_frame(catalog, rel, sorted(cols) + sorted({r.local_key for r in _first_many(catalog, rel.target, sub)}))
+            # code sets and semi joins ignore repeated rows: no bridge de-duplication needed
+            ch = child_frame(catalog, rel, sorted(cols) + sorted({r.local_key for r in _first_many(catalog, rel.target, sub)}), dedupe=False)
             if sub:
                 ch = attach_chain(catalog, rel.target, ch, sub)
             child_frames[g] = ch

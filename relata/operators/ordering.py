@@ -77,7 +77,7 @@ def sort_columns(
     cols: list[Column] = []
     for n, (kind_, prefix, rel, rest, last, desc, nat) in enumerate(resolved):
         if kind_ == "many":
-            ch = child_frame(catalog, rel, [last] if not rest else None)
+            ch = child_frame(catalog, rel, [last] if not rest else None, dedupe=False)  # min/max ignore repeats
             name = last
             if rest:
                 ch = attach_to_one(catalog, rel.target, ch, {rest: {last}})

@@ -74,11 +74,13 @@ def attach_to_one(
     return df
 
 
-def child_frame(catalog: Catalog, rel: Relation, columns: list[str] | None = None) -> DataFrame:
+def child_frame(catalog: Catalog, rel: Relation, columns: list[str] | None = None, dedupe: bool = True) -> DataFrame:
     """Rows of a to-many relation keyed by the parent key in column ``__key``.
 
-    ``columns`` limits the target columns carried (None = all).
-    n-n bridges are de-duplicated (a correlation table holds each pair once).
+    ``columns`` limits the target columns carried (None = all).  n-n bridges
+    are de-duplicated (a correlation table holds each pair once) unless the
+    consumer is insensitive to repeats (sets, semi joins, min/max), which
+    saves a shuffle of the bridge.
     """
     target = catalog.frame(rel.target)
     if columns is not None:
@@ -91,7 +93,9 @@ def child_frame(catalog: Catalog, rel: Relation, columns: list[str] | None = Non
     if rel.kind == "n-n":
         bridge = catalog.frame(rel.bridge).select(
             F.col(rel.bridge_local).alias(KEY), F.col(rel.bridge_foreign).alias("__bf")
-        ).distinct()
+        )
+        if dedupe:
+            bridge = bridge.distinct()
         cols = list(dict.fromkeys([rel.foreign_key] + (columns if columns is not None else target.columns)))
         t = target.select(*cols)
         return bridge.join(t, F.col("__bf") == F.col(rel.foreign_key), "inner").drop("__bf")
@@ -108,7 +112,7 @@ def parent_key(catalog: Catalog, code: str, df: DataFrame, prefix: tuple[str, ..
 def where_any(catalog: Catalog, code: str, df: DataFrame, rel_name: str, negate: bool = False) -> DataFrame:
     """Objects having at least one row in a to-many relation (J11, F10); ``negate`` gives J12."""
     rel = catalog.schema(code).relation(rel_name)
-    keys = child_frame(catalog, rel, []).select(KEY)
+    keys = child_frame(catalog, rel, [], dedupe=False).select(KEY)
     return df.join(keys, qcol(rel.local_key) == F.col(KEY), "left_anti" if negate else "left_semi")
 
 
@@ -162,7 +166,7 @@ def related_labels(
     """Related-label list (P7): labels over a to-many relation joined by ``sep``, ordered."""
     rel = catalog.schema(code).relation(rel_name)
     hops, last = catalog.split_path(rel.target, label)
-    child = child_frame(catalog, rel, None if hops else [last])
+    child = child_frame(catalog, rel, None if hops else [last], dedupe=not distinct)
     lab = last
     if hops:
         prefix = tuple(h.name for h in hops)

@@ -42,7 +42,7 @@ def export_view_of(catalog: Catalog, code: str, fields: list[str], names: dict[s
         df = attach_to_one(catalog, code, df, scalar_reqs)
     df = df.select(qcol(sd.pk).alias("__pk"), *[qcol(src).alias(o) for o, src in scalars])
     for o, rel, rest, last in many:
-        ch = child_frame(catalog, rel, [last] if not rest else None)
+        ch = child_frame(catalog, rel, [last] if not rest else None, dedupe=False)  # collect_set ignores repeats
         name = last
         if rest:
             ch = attach_to_one(catalog, rel.target, ch, {rest: {last}})
