@@ -96,9 +96,20 @@ def having(df: DataFrame, by: list[str], agg: Column, pred) -> DataFrame:
 
 
 def agg_text(df: DataFrame, by: list[str], col: str, out: str, sep: str = ", ", distinct: bool = False) -> DataFrame:
-    """Ordered string aggregation (A7): the values of ``col`` per group, sorted, joined by ``sep``."""
-    vals = F.collect_set(F.col(col).cast("string")) if distinct else F.collect_list(F.col(col).cast("string"))
-    return df.groupBy(*by).agg(F.array_join(F.array_sort(vals), sep).alias(out))
+    """Ordered string aggregation (A7): the values of ``col`` per group, sorted, joined by ``sep``.
+
+    Values are first counted per (group, value), combined map-side, so a
+    group made of many copies of few values is small before the shuffle;
+    repeats are expanded again only in the final text.
+    """
+    v = F.col(col).cast("string")
+    counted = df.filter(v.isNotNull()).groupBy(*by, v.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
+    pairs = F.sort_array(F.collect_list(F.struct(F.col("__v"), F.col("__n"))))
+    if distinct:
+        vals = F.transform(pairs, lambda x: x["__v"])
+    else:
+        vals = F.flatten(F.transform(pairs, lambda x: F.array_repeat(x["__v"], x["__n"].cast("int"))))
+    return counted.groupBy(*by).agg(F.array_join(vals, sep).alias(out))
 
 
 def keep_first(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:

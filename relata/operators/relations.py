@@ -123,6 +123,7 @@ def nested(
     rel_name: str,
     fields: list[str] | None = None,
     out: str | None = None,
+    page_keys: bool = False,
 ) -> DataFrame:
     """To-many nested field (P3): a sorted list of child records per object.
 
@@ -145,7 +146,8 @@ def nested(
     if reqs:
         child = attach_to_one(catalog, rel.target, child, reqs)
     keys = df.select(qcol(rel.local_key).alias(KEY)).distinct()
-    child = child.join(keys, KEY, "left_semi")
+    # a page holds at most page_size parents: that key set is safe to broadcast
+    child = child.join(F.broadcast(keys) if page_keys else keys, KEY, "left_semi")
     names = [f.replace(".", SEP) for f in fields]
     rec = F.struct(*[qcol(n).alias(n) for n in names])
     agg = child.groupBy(KEY).agg(F.sort_array(F.collect_list(rec)).alias(out or rel_name))

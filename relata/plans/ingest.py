@@ -632,17 +632,32 @@ class ImportRun:
         return cmp
 
     def nn_changed(self) -> DataFrame | None:
-        """Objects whose n-n code list differs from the stored one (A9), compared as sorted lists."""
+        """Objects whose n-n code set differs from the stored one.
+
+        Sets are compared through a bounded per-object signature (size and
+        two independent 64-bit hash sums of the distinct links), aggregated
+        map-side on both sides; no object's list is ever gathered in one row.
+        """
+        def sig(df, key):
+            d = df.select(key, F.col("__link").cast("long").alias("__link")).distinct()
+            # each hash reduced modulo a prime below 2^31 first: sums of billions of rows fit in a long
+            return d.groupBy(key).agg(
+                F.count(F.lit(1)).alias("__n"), F.sum(F.pmod(F.xxhash64("__link"), F.lit(2147483647))).alias("__h1"),
+                F.sum(F.pmod(F.hash("__link").cast("long"), F.lit(2147483629))).alias("__h2"))
+
         out = None
         for c, fs in self.spec.fields.items():
             if not fs.nn or f"nn_{c}" not in self.r.frames:
                 continue
-            links = self.r.frames[f"nn_{c}"]
+            links = self.r.frames[f"nn_{c}"].filter(F.col("__link").isNotNull())
             proc = self.r.frames["process"].select("__nk", "__pk").filter(F.col("__pk").isNotNull())
-            new = links.groupBy("__nk").agg(F.sort_array(F.collect_set("__link")).alias("__new_l")).join(proc, "__nk")
-            store = self.links_store(c)
-            old = store.groupBy("__pk").agg(F.sort_array(F.collect_set("__link")).alias("__old_l"))
-            diff = new.join(old, "__pk", "full").filter(F.col("__nk").isNotNull() & ~F.col("__new_l").eqNullSafe(F.col("__old_l"))).select("__pk")
+            new = sig(links, "__nk").join(proc, "__nk").select("__pk", *[F.col(x).alias(f"{x}_new") for x in ("__n", "__h1", "__h2")])
+            old = sig(self.links_store(c), "__pk")
+            j = proc.select("__pk").join(new, "__pk", "left").join(old, "__pk", "left")
+            differs = F.lit(False)
+            for x in ("__n", "__h1", "__h2"):
+                differs = differs | ~F.col(f"{x}_new").eqNullSafe(F.col(x))
+            diff = j.filter(differs).select("__pk")
             out = diff if out is None else out.unionByName(diff)
         return out
 

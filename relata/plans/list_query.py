@@ -152,7 +152,8 @@ class ListQuery:
             df = relations.attach_to_one(cat, self.code, df, reqs)
         for rel_name, subs in nested_specs.items():
             subs = [s for s in subs if s] or None
-            df = relations.nested(cat, self.code, df, rel_name, subs, out=rel_name)
+            paged = bool(self.page_size and int(self.page_size) > 0)
+            df = relations.nested(cat, self.code, df, rel_name, subs, out=rel_name, page_keys=paged)
             select.append((rel_name, F.col(rel_name)))
         helpers = ordering.sort_helpers(df)
         return df.select(*[c.alias(n) for n, c in select], *[F.col(h) for h in helpers])

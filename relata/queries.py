@@ -869,13 +869,13 @@ def q_near_object(spark, sf):
 def _supplier_lines(spark, sf):
     from relata.sources.tables import load_table, supplier_point_x, supplier_point_y
 
+    # lines of (at most) 4 consecutive suppliers: lid = key div 4, type = lid mod 5; arrays stay bounded
     s = load_table(spark, sf, "supplier")
-    s = s.select("s_suppkey", "s_nationkey", supplier_point_x(s).alias("x"), supplier_point_y(s).alias("y"))
-    lines = s.groupBy("s_nationkey").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "x", "y"))).alias("pts"))
-    lines = lines.select(F.col("s_nationkey").alias("lid"),
-                         F.transform("pts", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("line"))
-    n = F.broadcast(load_table(spark, sf, "nation").select(F.col("n_nationkey").alias("lid"), F.col("n_regionkey").alias("type")))
-    return lines.join(n, "lid")
+    s = s.select(F.floor(F.col("s_suppkey") / 4).cast("long").alias("lid"), "s_suppkey",
+                 supplier_point_x(s).alias("x"), supplier_point_y(s).alias("y"))
+    lines = s.groupBy("lid").agg(F.sort_array(F.collect_list(F.struct("s_suppkey", "x", "y"))).alias("pts"))
+    return lines.select("lid", F.transform("pts", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))).alias("line"),
+                        (F.col("lid") % 5).alias("type"))
 
 
 def _customer_points(spark, sf):
@@ -886,11 +886,11 @@ def _customer_points(spark, sf):
 
 
 _SEGS_SQL = f"""
-WITH sp AS (SELECT s_suppkey, s_nationkey, {_SX} AS x, {_SY} AS y FROM supplier),
-seg AS (SELECT s_nationkey AS lid, x AS ax, y AS ay,
-               LEAD(x) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS bx,
-               LEAD(y) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS by_,
-               COUNT(*) OVER (PARTITION BY s_nationkey) AS nv FROM sp),
+WITH sp AS (SELECT s_suppkey, CAST(floor(s_suppkey / 4) AS BIGINT) AS lid, {_SX} AS x, {_SY} AS y FROM supplier),
+seg AS (SELECT lid, x AS ax, y AS ay,
+               LEAD(x) OVER (PARTITION BY lid ORDER BY s_suppkey) AS bx,
+               LEAD(y) OVER (PARTITION BY lid ORDER BY s_suppkey) AS by_,
+               COUNT(*) OVER (PARTITION BY lid) AS nv FROM sp),
 pts AS (SELECT c_custkey AS pid, {_CX} AS px, {_CY} AS py FROM customer),
 d AS (
   SELECT p.pid, s.lid,
@@ -918,8 +918,7 @@ def q_near_lines(spark, sf):
 
 @register("nearest_per_type", _SEGS_SQL + """
 , pl AS (SELECT pid, lid, MIN(dist) AS dist FROM d GROUP BY pid, lid HAVING MIN(dist) <= 0.05),
-typed AS (SELECT pl.*, n.n_regionkey AS type, ROW_NUMBER() OVER (PARTITION BY pid, n.n_regionkey ORDER BY dist, pl.lid) AS rn
-          FROM pl JOIN nation n ON n.n_nationkey = pl.lid)
+typed AS (SELECT pl.*, pl.lid % 5 AS type, ROW_NUMBER() OVER (PARTITION BY pid, pl.lid % 5 ORDER BY dist, pl.lid) AS rn FROM pl)
 SELECT pid, type, lid, ROUND(dist, 9) AS dist FROM typed WHERE rn = 1
 """)
 def q_nearest_per_type(spark, sf):
@@ -1020,7 +1019,8 @@ def q_reproject_l93(spark, sf):
 
 
 @register("bbox_join", f"""
-WITH sp AS (SELECT s_nationkey AS bid, MIN({_SX}) AS bx0, MAX({_SX}) AS bx1, MIN({_SY}) AS by0, MAX({_SY}) AS by1 FROM supplier GROUP BY s_nationkey),
+WITH sp AS (SELECT CAST(floor(s_suppkey / 4) AS BIGINT) AS bid, MIN({_SX}) AS bx0, MAX({_SX}) AS bx1, MIN({_SY}) AS by0, MAX({_SY}) AS by1
+            FROM supplier GROUP BY 1),
 ar AS (SELECT n_nationkey AS aid, ROUND({_BOX_SQL}, 4) AS ax0, ROUND({_BOX_SQL} + 0.2, 4) AS ax1, ROUND({_BOY_SQL}, 4) AS ay0, ROUND({_BOY_SQL} + 0.2, 4) AS ay1 FROM nation)
 SELECT aid, bid FROM ar, sp WHERE ax1 >= bx0 AND ax0 <= bx1 AND ay1 >= by0 AND ay0 <= by1
 """)
