@@ -176,9 +176,9 @@ def related_labels(
         lab = col_name(prefix_name(prefix), last)
     if where is not None:
         child = child.filter(where)
-    v = qcol(lab).cast("string")
-    coll = F.collect_set(v) if distinct else F.collect_list(v)
-    agg = child.groupBy(KEY).agg(F.array_join(F.array_sort(coll), sep).alias(out))
+    from relata.operators.aggregates import agg_text
+
+    agg = agg_text(child.select(KEY, qcol(lab).alias("__lab")), [KEY], "__lab", out, sep=sep, distinct=distinct)
     return df.join(agg, qcol(rel.local_key) == F.col(KEY), "left").drop(KEY)
 
 

@@ -1,16 +1,15 @@
 """Delimited-file staging (S1-S5) and inline feature frames.
 
 Every staged column is text.  Each line gets a stable id ``id_import``
-(1..n in file order): the order key is (file, block start, position in the
-split), numbered with the checkpointed global row number, so a recompute
-after a lost executor gives every line the same id.
+(1..n in file order) from per-split offsets (see ``line_numbers``), so a
+recompute after a lost executor gives every line the same id.
 """
 
 from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,10 +62,27 @@ def stage_csv(spark: SparkSession, path: str, delimiter: str | None = None, mult
     )
     df = df.toDF(*names)
     df = blank_to_null(df)
-    order = [F.input_file_name(), F.input_file_block_start(), F.monotonically_increasing_id()]
-    keyed = df.select("*", *[o.alias(f"__o{i}") for i, o in enumerate(order)])
-    numbered = with_row_number(keyed, [F.col(f"__o{i}").asc() for i in range(3)], "id_import")
-    return numbered.select("id_import", *[F.col(f"`{n}`") for n in names])
+    return line_numbers(df).select("id_import", *[F.col(f"`{n}`") for n in names])
+
+
+def line_numbers(scan: DataFrame, name: str = "id_import") -> DataFrame:
+    """Consecutive line numbers 1..n in file order for a frame read straight from files.
+
+    File splits and their packing into partitions are deterministic, and
+    inside a partition the rows of one split are contiguous and in file
+    order.  A first, small pass gives one row per (file, split): its row
+    count and the position of its first row; running offsets over those
+    rows (one per split, so bounded by the number of splits) are broadcast
+    back.  Nothing is materialised, and a recomputed partition gets the same
+    numbers.
+    """
+    keyed = scan.select("*", F.input_file_name().alias("__f"), F.input_file_block_start().alias("__b"),
+                        F.monotonically_increasing_id().alias("__m"))
+    splits = keyed.groupBy("__f", "__b").agg(F.count(F.lit(1)).alias("__n"), F.min("__m").alias("__m0"))
+    w = Window.orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.select("__f", "__b", "__m0", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
+    out = keyed.join(F.broadcast(offsets), ["__f", "__b"])
+    return out.withColumn(name, F.col("__off") + (F.col("__m") - F.col("__m0")) + 1).drop("__f", "__b", "__m", "__m0", "__off")
 
 
 def _split_header(header: str, sep: str) -> list[str]:

@@ -196,3 +196,48 @@ def test_mapping(spark):
         map_fields(df, {"bad": "(SELECT 1); DROP TABLE t"})
     with pytest.raises(MappingError):
         map_fields(df, {"bad": "CONCAT(x, 'DELETE FROM t')"})
+
+
+def test_line_ids_many_splits(spark, tmp_path):
+    p = tmp_path / "many.csv"
+    with open(p, "w") as f:
+        f.write("a;b\n")
+        for i in range(3000):
+            f.write(f"{i};text {i}\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        df = stage_csv(spark, str(p))
+        assert df.rdd.getNumPartitions() > 5
+        bad = df.filter(F.col("id_import") != F.col("a").cast("long") + 1).count()
+        assert bad == 0 and df.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_feature_load_dependencies(spark, fx):
+    from relata.plans.ingest import load_features
+
+    cat, frames = fx
+    groups = [
+        {"code": "actor", "keys": ["id_site", "id_organism", "id_type"], "items": [["0a1b2c3d-0000-4000-8000-00000000000f", "River board", "OWN"]],
+         "dependencies": ["site"]},
+        {"code": "site", "keys": ["uuid_site", "site_name"], "items": [["0a1b2c3d-0000-4000-8000-00000000000f", "Feature site"]],
+         "defaults": {"geom": "POINT(5 45)"}},
+    ]
+    specs = {
+        "site": ImportSpec("site", unique=["uuid_site"], fields={
+            "uuid_site": FieldSpec("uuid"), "site_name": FieldSpec("string"), "geom": FieldSpec("geometry", srid=4326)}),
+        "actor": ImportSpec("actor", unique=["id_site", "id_organism"], fields={
+            "id_site": FieldSpec(ref="site", ref_unique=["uuid_site"]), "id_organism": FieldSpec(ref="organism", ref_unique=["org_name"]),
+            "id_type": FieldSpec(code_type="actor_type")}),
+    }
+    try:
+        out = load_features(cat, groups, specs)
+        assert list(out) == ["site", "actor"]
+        assert out["site"].res["nb_insert"] == 1 and out["actor"].status == "DONE", out["actor"].errors.collect()
+        a = out["actor"].table.first()
+        assert (a.id_organism, a.id_type) == (2, 4) and a.id_site == out["site"].table.first().id_site
+    finally:
+        cat.set_frame("site", frames["site"])
+        cat.set_frame("actor", frames["actor"])
