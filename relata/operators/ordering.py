@@ -186,12 +186,13 @@ def page_of(
     # the target's sort keys: one row fetched by primary key, then used as literals
     t = df2.filter(qcol(sd.pk) == F.lit(pk_value)).select(*names).first()
     if t is None:
-        return df.sparkSession.createDataFrame([], "pk string, row_number long, page long")
+        return df2.select(F.lit(pk_value).cast(df2.schema[sd.pk].dataType).alias("pk"), F.lit(None).cast("long").alias("row_number"),
+                          F.lit(None).cast("long").alias("page")).limit(0)
     types = {f.name: f.dataType for f in df2.schema.fields}
     before = lex_before([(F.col(k), F.lit(t[k]).cast(types[k]), d) for k, d in zip(names, desc)])
     cnt = df2.select(*names).agg(F.count_if(before).alias("n_before"))
     return cnt.select(
-        F.lit(pk_value).alias("pk"),
+        F.lit(pk_value).cast(df2.schema[sd.pk].dataType).alias("pk"),
         (F.col("n_before") + 1).alias("row_number"),
         F.ceil((F.col("n_before") + 1) / F.lit(page_size)).cast("long").alias("page"),
     )

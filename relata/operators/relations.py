@@ -250,9 +250,8 @@ def join_contains(a: DataFrame, a_id: str, a_text: str, b: DataFrame, b_id: str,
     at = a.select(qcol(a_id).alias("__aid"), qcol(a_text).alias("__txt"))
     cand = None
     for K in ks:
-        blocks = at.select("__aid", F.explode(F.expr(
-            f"transform(sequence(0, greatest(floor(length(__txt) / {K}) - 1, -1)), i -> substring(__txt, i * {K} + 1, {K}))"
-        )).alias("__key")).distinct()
+        # consecutive full K-character blocks of the text (native regex, no per-element lambda)
+        blocks = at.select("__aid", F.explode(F.regexp_extract_all(F.col("__txt"), F.lit(f"(?s).{{{K}}}"), F.lit(0))).alias("__key")).distinct()
         grams = bk.filter(F.col("__k") == K).select("__bid", F.explode(F.expr(
             f"transform(sequence(1, length(__pat) - {K} + 1), p -> substring(__pat, p, {K}))")).alias("__key")).distinct()
         part = blocks.join(grams, "__key").select("__aid", "__bid")

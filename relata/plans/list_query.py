@@ -86,7 +86,7 @@ class ListQuery:
             # the page is small: numbering inside it is a bounded window
             from pyspark.sql import Window
 
-            pg = pg.withColumn("row_number", F.row_number().over(Window.orderBy(*order)) + F.lit(off))
+            pg = pg.withColumn("row_number", (F.row_number().over(Window.orderBy(*order)) + F.lit(off)).cast("long"))
         elif want_rn:
             pg = ordering.with_row_number(df, order, "row_number")
         else:

@@ -608,7 +608,7 @@ def q_relation_replace(spark, sf):
 
 @register("relation_update_counts", _ORDER_PARTS_SQL + """
 SELECT (SELECT COUNT(DISTINCT l_orderkey) FROM pairs) AS nb_process,
-       0 AS nb_insert,
+       CAST(0 AS BIGINT) AS nb_insert,
        (SELECT COUNT(DISTINCT l_orderkey) FROM ranked WHERE l_orderkey % 5 = 0 AND n > 1) AS nb_update
 """)
 def q_relation_update_counts(spark, sf):
@@ -987,7 +987,7 @@ def q_collect_geom(spark, sf):
     c = load_table(spark, sf, "customer")
     c = c.withColumn("geom", cat.schema("customer").computed["geom"](c))
     g = geo.collect(c, ["c_nationkey"], "geom")
-    return g.select(F.col("c_nationkey").alias("nation"), F.col("geom")["kind"].alias("kind"), F.size(F.col("geom")["parts"]).alias("n_parts"),
+    return g.select(F.col("c_nationkey").alias("nation"), F.col("geom")["kind"].alias("kind"), F.size(F.col("geom")["parts"]).cast("long").alias("n_parts"),
                     F.round(F.col("geom")["bbox"]["xmin"], 6).alias("xmin"), F.round(F.col("geom")["bbox"]["ymax"], 6).alias("ymax"))
 
 
