@@ -307,8 +307,7 @@ def _lcc_consts():
 def lonlat_to_l93(lon: Column, lat: Column) -> tuple[Column, Column]:
     e, a, n, f, rho0 = _lcc_consts()
     phi = F.radians(lat)
-    es = F.lit(e) * F.sin(phi)
-    t = F.tan(F.lit(math.pi / 4) - phi / 2) / F.pow((1 - es) / (1 + es), F.lit(e / 2))
+    t = F.tan(F.lit(math.pi / 4) - phi / 2) / F.pow(F.lit(2.0) / (F.lit(1.0) + F.lit(e) * F.sin(phi)) - F.lit(1.0), F.lit(e / 2))
     rho = F.lit(a * f) * F.pow(t, F.lit(n))
     theta = F.lit(n) * F.radians(lon - F.lit(L93_LON0))
     return F.lit(L93_X0) + rho * F.sin(theta), F.lit(L93_Y0 + rho0) - rho * F.cos(theta)
@@ -323,8 +322,9 @@ def l93_to_lonlat(x: Column, y: Column) -> tuple[Column, Column]:
     t = F.pow(rho / F.lit(a * f), F.lit(1 / n))
     phi = F.lit(math.pi / 2) - 2 * F.atan(t)
     for _ in range(8):  # fixed-point iteration, converges to < 1e-12 rad
-        es = F.lit(e) * F.sin(phi)
-        phi = F.lit(math.pi / 2) - 2 * F.atan(t * F.pow((1 - es) / (1 + es), F.lit(e / 2)))
+        # (1 - es) / (1 + es) written as 2 / (1 + es) - 1: phi appears once per step, so the
+        # expression grows linearly with the number of steps instead of doubling
+        phi = F.lit(math.pi / 2) - 2 * F.atan(t * F.pow(F.lit(2.0) / (F.lit(1.0) + F.lit(e) * F.sin(phi)) - F.lit(1.0), F.lit(e / 2)))
     lon = F.degrees(theta / F.lit(n)) + F.lit(L93_LON0)
     return lon, F.degrees(phi)
 

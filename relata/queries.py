@@ -1210,3 +1210,46 @@ def q_refresh_links(spark, sf):
     moved = pts.filter(F.col("pid") % 7 == 0).withColumn("x", F.col("x") + F.lit(0.2))
     new = geo.points_in_polygons(moved, areas, 0.1)
     return geo.refresh_links(links, moved.select("pid"), new)
+
+
+@register("fix_srid", f"""
+SELECT c_custkey, ROUND({_CX}, 6) AS x, ROUND({_CY}, 6) AS y FROM customer
+""")
+def q_fix_srid(spark, sf):
+    # a third of the geometries stored in Lambert-93 are rewritten to lon/lat; the rest untouched
+    from relata.operators import geo
+
+    pts = _customer_points(spark, sf)
+    g = geo.make_point(F.col("x"), F.col("y"), 4326)
+    stored = pts.select("pid", F.when(F.col("pid") % 3 == 0, geo.reproject(g, 4326, 2154)).otherwise(g).alias("geom"))
+    fixed = geo.fix_srid(stored, "geom", 4326)
+    p = geo.point_xy(F.col("geom"))
+    return fixed.select(F.col("pid").alias("c_custkey"), F.round(p["x"], 6).alias("x"), F.round(p["y"], 6).alias("y"))
+
+
+@register("explode_parts", """
+SELECT c_nationkey AS nation, 'POINT' AS kind, COUNT(*) AS n FROM customer GROUP BY c_nationkey
+""")
+def q_explode_parts(spark, sf):
+    # points collected per nation into multi-points, then dumped back to single parts
+    from relata.operators import geo
+    from relata.sources.tables import load_table
+
+    c = load_table(spark, sf, "customer")
+    c = c.withColumn("geom", _cat(spark, sf).schema("customer").computed["geom"](c))
+    parts = geo.explode_parts(geo.collect(c, ["c_nationkey"], "geom"), "geom", "part")
+    return parts.groupBy(F.col("c_nationkey").alias("nation"), F.col("part")["kind"].alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("display_functions", """
+SELECT o.o_orderkey, strftime(o.o_orderdate, '%d/%m/%Y') AS shown_date,
+       upper(substr(lower(c.c_mktsegment), 1, 1)) || substr(lower(c.c_mktsegment), 2) AS segment
+FROM orders o JOIN customer c ON c.c_custkey = o.o_custkey
+""")
+def q_display_functions(spark, sf):
+    from relata.functions.text import capitalise, show_date
+    from relata.sources.tables import load_table
+
+    o, c = load_table(spark, sf, "orders"), load_table(spark, sf, "customer")
+    j = o.join(c, o.o_custkey == c.c_custkey)
+    return j.select("o_orderkey", show_date(F.col("o_orderdate")).alias("shown_date"), capitalise(F.lower("c_mktsegment")).alias("segment"))
