@@ -182,8 +182,9 @@ class ListQuery:
     def page_with(self, pk_value) -> DataFrame:
         """The page holding a given object (O10): its page number (one bounded row), then that page."""
         r = self.page_of(pk_value).first()
-        page = int(r["page"]) if r is not None else 1
-        return ListQuery(**{**self.__dict__, "page": page}).build()
+        if r is None:  # unknown object: no page holds it
+            return ListQuery(**self.__dict__).build().limit(0)
+        return ListQuery(**{**self.__dict__, "page": int(r["page"])}).build()
 
     def page_of(self, pk_value) -> DataFrame:
         """Page number holding a given object under the current filters and sort."""

@@ -1170,13 +1170,16 @@ def q_resolve_rows(spark, sf):
 WITH ranked AS (SELECT c_custkey, c_acctbal, ROW_NUMBER() OVER (ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS rn
                 FROM customer WHERE c_mktsegment = 'MACHINERY')
 SELECT c_custkey, c_acctbal FROM ranked
-WHERE CEIL(rn / 25.0) = (SELECT CEIL(rn / 25.0) FROM ranked WHERE c_custkey = (SELECT MIN(c_custkey) FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_custkey >= 700))
+WHERE CEIL(rn / 25.0) = (SELECT CEIL(rn / 25.0) FROM ranked WHERE c_custkey = (
+  SELECT MIN(c_custkey) FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_custkey >= (SELECT MAX(c_custkey) / 2 FROM customer)))
 """)
 def q_page_with_row(spark, sf):
     # the page holding a given object
     from relata.sources.tables import load_table
 
-    target = load_table(spark, sf, "customer").filter((F.col("c_mktsegment") == "MACHINERY") & (F.col("c_custkey") >= 700)).agg(F.min("c_custkey")).first()[0]
+    c = load_table(spark, sf, "customer")
+    half = c.agg((F.max("c_custkey") / 2).alias("h")).first()["h"]  # one value
+    target = c.filter((F.col("c_mktsegment") == "MACHINERY") & (F.col("c_custkey") >= F.lit(half))).agg(F.min("c_custkey")).first()[0]
     q = ListQuery(_cat(spark, sf), "customer", fields=["c_custkey", "c_acctbal"], filters="c_mktsegment = MACHINERY", sort="c_acctbal-", page_size=25)
     return q.page_with(target)
 
