@@ -100,3 +100,31 @@ def test_nearest_per_type(spark):
     lines = spark.createDataFrame([(10, "a"), (11, "a"), (12, "b")], "lid long, type string")
     got = {(r.pid, r.type, r.lid) for r in geo.nearest_per_type(pairs, lines).collect()}
     assert got == {(1, "a", 11), (1, "b", 12), (2, "a", 10)}
+
+
+def test_points_in_large_polygon_relational(spark):
+    # a 400-vertex star-shaped polygon takes the relational path; compare with a direct parity test
+    n = 400
+    ring = []
+    for i in range(n):
+        ang = 2 * math.pi * i / n
+        rad = 5 + (2 if i % 2 else 0)
+        ring.append((10 + rad * math.cos(ang), 10 + rad * math.sin(ang)))
+    ring.append(ring[0])
+    w = "POLYGON((" + ",".join(f"{x} {y}" for x, y in ring) + "))"
+    A = spark.createDataFrame([(1, w)], "aid long, w string").select("aid", geo.parse_wkt(F.col("w")).alias("geom"))
+    rnd = random.Random(5)
+    pts = [(i, rnd.uniform(2, 18), rnd.uniform(2, 18)) for i in range(500)]
+    P = spark.createDataFrame(pts, "pid long, x double, y double")
+    got = {r.pid for r in geo.points_in_polygons(P, A, 1.0, relational=True).collect()}
+    got_inline = {r.pid for r in geo.points_in_polygons(P, A, 1.0).collect()}
+
+    def inside(x, y):
+        c = False
+        for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+            if (ay > y) != (by > y) and x < ax + (y - ay) * (bx - ax) / (by - ay):
+                c = not c
+        return c
+
+    exp = {i for i, x, y in pts if inside(x, y)}
+    assert got == exp == got_inline and 50 < len(exp) < 450
