@@ -165,7 +165,7 @@ def check_expression(expr: str) -> None:
     if ";" in expr:
         raise MappingError(f"mapping expression must be one statement: {expr!r}")
     up = expr.upper()
-    bad = [w for w in FORBIDDEN_WORDS if re.search(rf"\b{w}\b", up)]
+    bad = [w for w in FORBIDDEN_WORDS if re.search(rf"{w}\s", up)]  # the word followed by a blank
     if bad:
         raise MappingError(f"forbidden word(s) {', '.join(bad)} in mapping expression {expr!r}")
 
