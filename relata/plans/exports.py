@@ -41,19 +41,35 @@ def export_view_of(catalog: Catalog, code: str, fields: list[str], names: dict[s
     if scalar_reqs:
         df = attach_to_one(catalog, code, df, scalar_reqs)
     df = df.select(qcol(sd.pk).alias("__pk"), *[qcol(src).alias(o) for o, src in scalars])
+    # to-many fields of the same relation share one child frame and one aggregation
+    by_rel: dict = defaultdict(list)
     for o, rel, rest, last in many:
-        ch = child_frame(catalog, rel, [last] if not rest else None, dedupe=False)  # collect_set ignores repeats
-        name = last
-        if rest:
-            ch = attach_to_one(catalog, rel.target, ch, {rest: {last}})
-            name = col_name(prefix_name(rest), last)
-        agg = ch.groupBy(KEY).agg(F.collect_set(qcol(name).cast("string")).alias(o))
+        by_rel[rel.name].append((o, rel, rest, last))
+    for items in by_rel.values():
+        rel = items[0][1]
+        own = sorted({last for _, _, rest, last in items if not rest})
+        reqs: dict = defaultdict(set)
+        for _, _, rest, last in items:
+            if rest:
+                reqs[rest].add(last)
+        hop_keys = {catalog.schema(rel.target).relation(rest[0]).local_key for rest in reqs}
+        ch = child_frame(catalog, rel, sorted(set(own) | hop_keys), dedupe=False)  # collect_set ignores repeats
+        if reqs:
+            ch = attach_to_one(catalog, rel.target, ch, reqs)
+        aggs = [F.collect_set(qcol(col_name(prefix_name(rest), last) if rest else last).cast("string")).alias(o)
+                for o, _, rest, last in items]
+        agg = ch.groupBy(KEY).agg(*aggs)
         df = df.join(agg, F.col("__pk") == F.col(KEY), "left").drop(KEY)
     outs = [o for o, _ in scalars]
-    aggs = []
-    for o, *_ in many:
-        merged = F.array_sort(F.array_distinct(F.flatten(F.collect_list(qcol(o)))))
-        aggs.append(F.when(F.size(merged) > 0, F.array_join(merged, sep)).alias(o))
-    if not aggs:
+
+    def text(c):
+        c = F.array_sort(c)
+        return F.when(F.size(c) > 0, F.array_join(c, sep))
+
+    if sd.pk in [src for _, src in scalars]:
+        # one object per group: no regrouping needed
+        return df.select(*[qcol(o) for o in outs], *[text(F.coalesce(qcol(o), F.array())).alias(o) for o, *_ in many])
+    if not many:
         return df.select(*[qcol(o) for o in outs]).distinct()
+    aggs = [text(F.array_distinct(F.flatten(F.collect_list(qcol(o))))).alias(o) for o, *_ in many]
     return df.groupBy(*[qcol(o) for o in outs]).agg(*aggs)
