@@ -232,6 +232,7 @@ def conflict_errors(df: DataFrame, spec: ImportSpec, own: list[str]) -> DataFram
 def to_raw(df: DataFrame, spec: ImportSpec, pk: str, geom_col: str | None = None, child_of: str | None = None) -> DataFrame:
     """Typed frame (C6, C7, G1-G3): own and n-n columns cast, geometry built, pk := natural key text."""
     cols = []
+    reproj: dict[str, tuple[int, int]] = {}
     for c, fs in spec.fields.items():
         if c not in df.columns:
             continue
@@ -239,22 +240,22 @@ def to_raw(df: DataFrame, spec: ImportSpec, pk: str, geom_col: str | None = None
             cols.append(qcol(c).alias(c))
         elif fs.type == "geometry":
             src = spec.srid or fs.srid or 4326
-            g = geo.parse_wkt(qcol(c), src)
+            cols.append(geo.parse_wkt(qcol(c), src).alias(c))
             if fs.srid and src != fs.srid:
-                g = geo.reproject(g, src, fs.srid)
-            cols.append(g.alias(c))
+                reproj[c] = (src, fs.srid)
         else:
             cols.append(cast_to(qcol(c), fs.type).alias(c))
     if geom_col and geom_col not in df.columns and "x" in df.columns and "y" in df.columns:
         fs = spec.fields.get(geom_col, FieldSpec("geometry"))
         src = spec.srid or fs.srid or 4326
-        g = geo.make_point(F.col("x").try_cast("double"), F.col("y").try_cast("double"), src)
+        cols.append(geo.make_point(F.col("x").try_cast("double"), F.col("y").try_cast("double"), src).alias(geom_col))
         if fs.srid and src != fs.srid:
-            g = geo.reproject(g, src, fs.srid)
-        cols.append(g.alias(geom_col))
+            reproj[geom_col] = (src, fs.srid)
     nk = F.concat_ws("|", *[qcol(u).cast("string") for u in spec.unique]) if len(spec.unique) > 1 else qcol(spec.unique[0]).cast("string")
     extra = [qcol(spec.parent_key).alias(spec.parent_key)] if spec.parent_key and spec.parent_key in df.columns else []
     out = df.select("id_import", *cols, nk.alias("__nk"), *extra)
+    for c, (src, dst) in reproj.items():  # reprojected from the parsed column, not from the parse expression
+        out = out.withColumn(c, geo.reproject(qcol(c), src, dst))
     if child_of:
         own = [c for c in spec.fields if c in df.columns and c not in spec.unique]
         if own:

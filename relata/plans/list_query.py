@@ -50,6 +50,11 @@ class ListQuery:
     sensitive_only: bool = False
     object_prefilters: object = None
     geo_ctx: dict | None = field(default=None)
+    strict: bool = False  # check fields before planning (P12) instead of skipping unknown ones (P1)
+
+    def __post_init__(self):
+        if self.strict and self.fields:
+            check_fields(self.catalog, self.code, list(self.fields))
 
     # ------------------------------------------------------------ stages
     def _scoped(self) -> DataFrame:
