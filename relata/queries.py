@@ -73,11 +73,11 @@ _UNACCENT_SQL = "replace(replace(replace(replace(replace(strip_accents({c}), 'œ
 
 @register("filter_text_unaccent", f"""
 SELECT doc_id, lang FROM documents
-WHERE {_UNACCENT_SQL.format(c='text')} ILIKE '%ouen%' AND {_UNACCENT_SQL.format(c='text')} ILIKE '%strasse%'
+WHERE {_UNACCENT_SQL.format(c='text')} ILIKE '%iess%' AND {_UNACCENT_SQL.format(c='text')} ILIKE '%ete%'
 """)
 def q_filter_text_unaccent(spark, sf):
-    # '~': every word, accent- and case-insensitive ('Straße' matches 'strasse')
-    return _list(spark, sf, "document", fields=["doc_id", "lang"], filters="text ~ OUÉN straße")
+    # '~': every word, accent- and case-insensitive ('ß' searches as 'ss', 'É' as 'e')
+    return _list(spark, sf, "document", fields=["doc_id", "lang"], filters="text ~ iEß Été")
 
 
 @register("filter_like_unaccent", f"""
@@ -299,10 +299,21 @@ def q_page_info(spark, sf):
 @register("page_of_row", """
 SELECT pk, row_number, CAST(CEIL(row_number / 25.0) AS BIGINT) AS page FROM (
   SELECT c_custkey AS pk, ROW_NUMBER() OVER (ORDER BY c_acctbal DESC NULLS LAST, c_custkey) AS row_number
-  FROM customer WHERE c_mktsegment = 'MACHINERY') t WHERE pk = 777
+  FROM customer WHERE c_mktsegment = 'MACHINERY') t
+WHERE pk = (SELECT MIN(c_custkey) FROM customer WHERE c_mktsegment = 'MACHINERY' AND c_custkey >= (SELECT MAX(c_custkey) / 2 FROM customer))
 """)
 def q_page_of_row(spark, sf):
-    return ListQuery(_cat(spark, sf), "customer", filters="c_mktsegment = MACHINERY", sort="c_acctbal-", page_size=25).page_of(777)
+    return ListQuery(_cat(spark, sf), "customer", filters="c_mktsegment = MACHINERY", sort="c_acctbal-", page_size=25).page_of(
+        _machinery_target(spark, sf))
+
+
+def _machinery_target(spark, sf):
+    """The MACHINERY customer with the smallest key at or above half the largest key (exists at every scale)."""
+    from relata.sources.tables import load_table
+
+    c = load_table(spark, sf, "customer")
+    half = c.agg((F.max("c_custkey") / 2).alias("h")).first()["h"]  # one value
+    return c.filter((F.col("c_mktsegment") == "MACHINERY") & (F.col("c_custkey") >= F.lit(half))).agg(F.min("c_custkey")).first()[0]
 
 
 @register("global_row_number", """
@@ -1175,11 +1186,7 @@ WHERE CEIL(rn / 25.0) = (SELECT CEIL(rn / 25.0) FROM ranked WHERE c_custkey = (
 """)
 def q_page_with_row(spark, sf):
     # the page holding a given object
-    from relata.sources.tables import load_table
-
-    c = load_table(spark, sf, "customer")
-    half = c.agg((F.max("c_custkey") / 2).alias("h")).first()["h"]  # one value
-    target = c.filter((F.col("c_mktsegment") == "MACHINERY") & (F.col("c_custkey") >= F.lit(half))).agg(F.min("c_custkey")).first()[0]
+    target = _machinery_target(spark, sf)
     q = ListQuery(_cat(spark, sf), "customer", fields=["c_custkey", "c_acctbal"], filters="c_mktsegment = MACHINERY", sort="c_acctbal-", page_size=25)
     return q.page_with(target)
 
