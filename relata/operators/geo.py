@@ -473,19 +473,32 @@ def segment_cell_rows(segs: DataFrame, size: float) -> DataFrame:
     return cols.select("*", F.explode(F.sequence(_cell(y_lo, size), _cell(y_hi, size))).alias("cy"))
 
 
-def _candidates(points: DataFrame, lines: DataFrame, r: float, pid: str, px: str, py: str, lid: str, line: str) -> DataFrame:
+def _candidates(points: DataFrame, lines: DataFrame, r: float, pid: str, px: str, py: str, lid: str, line: str,
+                hot_cell_rows: int | None = None, salt: int = 16) -> DataFrame:
     pts = points.select(F.col(pid).alias("pid"), F.col(px).alias("px"), F.col(py).alias("py"))
     pts = pts.select("*", F.explode(_neigh(_cell(F.col("px"), r), 1)).alias("cx"))
     pts = pts.select("*", F.explode(_neigh(_cell(F.col("py"), r), 1)).alias("cy"))
     cells = segment_cell_rows(line_segments(lines, lid, line), r)
-    cand = pts.join(cells, ["cx", "cy"])
+    if hot_cell_rows:
+        # Hot cells (more than hot_cell_rows point rows) are split: their points get one of
+        # `salt` buckets, their segment rows are copied to every bucket.  The hot-cell table has
+        # at most (point rows / hot_cell_rows) rows by construction, so it is broadcast.
+        hot = pts.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_cell_rows)
+        hot = F.broadcast(hot.select("cx", "cy", F.lit(True).alias("__hot")))
+        pts = pts.join(hot, ["cx", "cy"], "left").withColumn(
+            "__s", F.when(F.col("__hot"), F.pmod(F.xxhash64("pid"), F.lit(salt))).otherwise(F.lit(0))).drop("__hot")
+        cells = cells.join(hot, ["cx", "cy"], "left").withColumn(
+            "__s", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salt - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+        cand = pts.join(cells, ["cx", "cy", "__s"])
+    else:
+        cand = pts.join(cells, ["cx", "cy"])
     d = seg_dist(F.col("px"), F.col("py"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     return cand.select("pid", "lid", d.alias("dist")).filter(F.col("dist") <= F.lit(r))
 
 
 def join_within(
     points: DataFrame, lines: DataFrame, r: float, pid: str = "pid", px: str = "x", py: str = "y",
-    lid: str = "lid", line: str = "line",
+    lid: str = "lid", line: str = "line", hot_cell_rows: int | None = None, salt: int = 16,
 ) -> DataFrame:
     """Point-line pairs within planar distance ``r`` (J16/G7), with the distance.
 
@@ -495,7 +508,7 @@ def join_within(
     (whole-stage codegen); duplicate meetings collapse in a ``min`` that
     combines map-side.  Output: pid, lid, dist (one row per pair).
     """
-    c = _candidates(points, lines, r, pid, px, py, lid, line)
+    c = _candidates(points, lines, r, pid, px, py, lid, line, hot_cell_rows, salt)
     return c.groupBy("pid", "lid").agg(F.min("dist").alias("dist"))
 
 
@@ -509,10 +522,11 @@ def nearest_per_type(pairs: DataFrame, lines: DataFrame, r: float | None = None,
 
 
 def nearest_within(points: DataFrame, lines: DataFrame, r: float, pid: str = "pid", px: str = "x", py: str = "y",
-                   lid: str = "lid", line: str = "line", type_col: str = "type") -> DataFrame:
+                   lid: str = "lid", line: str = "line", type_col: str = "type", hot_cell_rows: int | None = None,
+                   salt: int = 16) -> DataFrame:
     """Nearest line per (point, line type) within ``r`` in one aggregation over the candidates."""
     typed = lines.select(F.col(lid).alias("lid"), F.col(line).alias("line"), F.col(type_col).alias("type"))
-    c = _candidates(points, typed.select("lid", "line"), r, pid, px, py, "lid", "line")
+    c = _candidates(points, typed.select("lid", "line"), r, pid, px, py, "lid", "line", hot_cell_rows, salt)
     c = c.join(typed.select("lid", "type"), "lid")
     best = c.groupBy("pid", "type").agg(F.min(F.struct("dist", "lid")).alias("b"))
     return best.select("pid", "type", F.col("b.lid").alias("lid"), F.col("b.dist").alias("dist"))

@@ -128,3 +128,17 @@ def test_points_in_large_polygon_relational(spark):
 
     exp = {i for i, x, y in pts if inside(x, y)}
     assert got == exp == got_inline and 50 < len(exp) < 450
+
+
+def test_grid_join_salted_hot_cell(spark):
+    # a third of the points sit in one cell: salting that cell must not change the result
+    rnd = random.Random(11)
+    pts = [(i, rnd.uniform(0, 10), rnd.uniform(0, 10)) for i in range(300)]
+    pts += [(1000 + i, 5.05 + rnd.uniform(0, 0.05), 5.05 + rnd.uniform(0, 0.05)) for i in range(150)]
+    lines = [(j, [{"x": rnd.uniform(0, 10), "y": rnd.uniform(0, 10)} for _ in range(3)]) for j in range(30)]
+    lines.append((99, [{"x": 5.0, "y": 5.0}, {"x": 5.2, "y": 5.2}]))
+    P = spark.createDataFrame(pts, "pid long, x double, y double")
+    L = spark.createDataFrame(lines, "lid long, line array<struct<x:double,y:double>>")
+    plain = {(r.pid, r.lid, round(r.dist, 12)) for r in geo.join_within(P, L, 0.3).collect()}
+    salted = {(r.pid, r.lid, round(r.dist, 12)) for r in geo.join_within(P, L, 0.3, hot_cell_rows=50, salt=8).collect()}
+    assert plain == salted and sum(1 for p, l, _ in plain if l == 99) >= 150
