@@ -109,6 +109,12 @@ class ImportResult:
     links: dict = field(default_factory=dict)
     children: dict = field(default_factory=dict)
     last_step: str | None = None
+    run: object = None
+
+    def release(self) -> None:
+        """Drop the persisted intermediate frames of the run."""
+        if self.run is not None:
+            self.run.release()
 
 
 # ---------------------------------------------------------------- stage functions
@@ -756,7 +762,9 @@ def run_import(catalog: Catalog, spec: ImportSpec, source: DataFrame, target: Da
         run.r.links.update(links)
     if children:
         run.r.children.update(children)
-    return run.run()
+    result = run.run()
+    result.run = run  # keeps the handle for release() once the result has been used
+    return result
 
 
 def commit_table(df: DataFrame, path: str, mode: str = "errorifexists") -> str:

@@ -575,6 +575,7 @@ def q_upsert_counts(spark, sf):
     if r.status != "DONE":
         raise RuntimeError(f"import stopped at {r.last_step}: {r.errors.limit(5).collect()}")
     keys = ["nb_data", "nb_raw", "nb_process", "nb_insert", "nb_update", "nb_unchanged"]
+    r.release()
     return spark.createDataFrame([tuple(int(r.res[k]) for k in keys)], ", ".join(f"{k} long" for k in keys))
 
 
@@ -625,6 +626,7 @@ SELECT (SELECT COUNT(DISTINCT l_orderkey) FROM pairs) AS nb_process,
 def q_relation_update_counts(spark, sf):
     r = _order_parts_import(spark, sf)
     keys = ["nb_process", "nb_insert", "nb_update"]
+    r.release()
     return spark.createDataFrame([tuple(int(r.res[k]) for k in keys)], ", ".join(f"{k} long" for k in keys))
 
 
