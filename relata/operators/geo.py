@@ -427,24 +427,6 @@ def _neigh(c: Column, k: int) -> Column:
     return F.sequence(c - k, c + k)
 
 
-def segment_cells(line: Column, size: float) -> Column:
-    """Cells of vertices sampled every ``size/2`` along each segment of a vertex list."""
-    step = size / 2.0
-    segs = F.arrays_zip(F.slice(line, 1, F.greatest(F.size(line) - 1, F.lit(1))).alias("a"),
-                        F.slice(line, F.least(F.lit(2), F.size(line)), F.size(line)).alias("b"))
-
-    def samples(s):
-        ax, ay, bx, by = s["a"]["x"], s["a"]["y"], s["b"]["x"], s["b"]["y"]
-        length = F.sqrt(F.pow(bx - ax, 2) + F.pow(by - ay, 2))
-        n = F.greatest(F.ceil(length / F.lit(step)).cast("int"), F.lit(1))
-        return F.transform(
-            F.sequence(F.lit(0), n),
-            lambda i: F.struct(_cell(ax + (bx - ax) * i / n, size).alias("cx"), _cell(ay + (by - ay) * i / n, size).alias("cy")),
-        )
-
-    return F.array_distinct(F.flatten(F.transform(segs, samples)))
-
-
 def line_segments(lines: DataFrame, lid: str = "lid", line: str = "line") -> DataFrame:
     """One row per segment: lid, ax, ay, bx, by (a one-vertex line gives a zero-length segment)."""
     v = F.col(line)

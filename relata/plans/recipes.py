@@ -6,7 +6,7 @@ table is changed in place.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from relata.functions.text import classify, json_of, round_half_up
@@ -16,6 +16,23 @@ from relata.operators.changes import update_from
 from relata.operators.relations import join_list
 from relata.operators.sets import union_distinct
 
+# Class names, type codes and prefixes the recipes must reproduce.
+# road classes -> linear type codes
+ROAD_TYPE_CODES = {"Départementale": "RT_DEP", "Nationale": "RT_NAT", "Autoroute": "RT_AUT"}
+# road classes numbered without a department suffix
+ROAD_UNSUFFIXED = ("Autoroute", "Nationale")
+ROAD_DEPARTMENTAL = "Départementale"
+# segment id prefix shortened in linear names
+SEGMENT_ID_PREFIX, SEGMENT_ID_SHORT = "TRONROUT000000", "TR "
+# railway: high-speed category, kept segment natures, their type codes, group name prefixes
+RAIL_HIGH_SPEED = "Ligne à grande vitesse"
+RAIL_NATURES = ("Voie de service", "Voie ferrée principale", "LGV")
+RAIL_TYPE_LGV, RAIL_TYPE_MAIN = "VF_LGV", "VF_P"
+RAIL_GROUP_LGV, RAIL_GROUP_OTHER = "LGV_", "L_"
+# route numbers: prefix -> type code, everything else departmental
+ROUTE_PREFIX_CODES = (("A%", "RT_AUT"), ("N%", "RT_NAT"))
+ROUTE_DEFAULT_CODE = "RT_DEP"
+
 
 def dedupe_min(df: DataFrame, key: str = "id", order: str = "gid") -> DataFrame:
     """Keep the row with the smallest ``order`` per ``key``."""
@@ -36,23 +53,23 @@ def roads(segments: DataFrame, names: DataFrame, areas: DataFrame | None = None,
     nm = nm.withColumn("numero_dept", F.lit(None).cast("string"))
     if areas is not None:
         a = areas.select(F.col("area_name").alias("gestion"), F.col("area_code"))
-        nm = update_from(nm, a, ["gestion"], {"numero_dept": F.when(F.col("type_route") == "Départementale",
+        nm = update_from(nm, a, ["gestion"], {"numero_dept": F.when(F.col("type_route") == ROAD_DEPARTMENTAL,
                                                                     F.concat(F.col("numero"), F.lit(" ("), F.col("__o_area_code"), F.lit(")")))
                                              .otherwise(F.col("numero_dept"))})
     for gestion, code in (overrides or {}).items():
-        nm = nm.withColumn("numero_dept", F.when((F.col("type_route") == "Départementale") & (F.col("gestion") == gestion),
+        nm = nm.withColumn("numero_dept", F.when((F.col("type_route") == ROAD_DEPARTMENTAL) & (F.col("gestion") == gestion),
                                                  F.concat(F.col("numero"), F.lit(f" ({code})"))).otherwise(F.col("numero_dept")))
-    nm = nm.withColumn("numero_dept", F.when(F.col("type_route").isin("Autoroute", "Nationale"), F.col("numero")).otherwise(F.col("numero_dept")))
+    nm = nm.withColumn("numero_dept", F.when(F.col("type_route").isin(*ROAD_UNSUFFIXED), F.col("numero")).otherwise(F.col("numero_dept")))
     groups = nm.groupBy("numero_dept", "type_route").agg(F.lit(1).alias("_")).select(
         F.col("numero_dept").alias("code"), F.concat_ws(" ", "type_route", "numero_dept").alias("name"))
-    tc = type_codes or {"Départementale": "RT_DEP", "Nationale": "RT_NAT", "Autoroute": "RT_AUT"}
+    tc = type_codes or ROAD_TYPE_CODES
     joined = join_list(seg, "id_rn", "/", nm.select(F.col("id").alias("rn_id"), "numero_dept"), "rn_id")
     lin = agg_text(joined, ["id"], "numero_dept", "groups", sep=",")
     lin = lin.join(seg, "id")
     linear = lin.select(
         classify([(F.col("cl_admin") == k, v) for k, v in tc.items()]).alias("id_type"),
         F.col("id").alias("linear_code"),
-        F.concat(F.regexp_replace(F.col("groups"), ",", ", "), F.lit(" "), F.replace(F.col("id"), F.lit("TRONROUT000000"), F.lit("TR "))).alias("linear_name"),
+        F.concat(F.regexp_replace(F.col("groups"), ",", ", "), F.lit(" "), F.replace(F.col("id"), F.lit(SEGMENT_ID_PREFIX), F.lit(SEGMENT_ID_SHORT))).alias("linear_name"),
         F.col("groups"),
         F.col("geom"),
         F.concat(F.lit('{ "largeur": '), F.col("largeur").cast("string"), F.lit(" }")).alias("additional_data"),
@@ -61,39 +78,36 @@ def roads(segments: DataFrame, names: DataFrame, areas: DataFrame | None = None,
 
 
 def lines_within(a: DataFrame, b: DataFrame, r: float, aid="aid", aline="line", bid="bid", bline="line") -> DataFrame:
-    """Line pairs within planar distance ``r`` (J16 for lines): grid candidates, then exact distance.
-
-    Two segments are within r iff they cross or an end point of one is
-    within r of the other, so the exact test is vertex-to-line both ways
-    plus a crossing test.
+    """Line pairs within planar distance ``r`` (J16 for lines), with the distance.
+
+    Both sides are cut into segments; ``a``'s segments go to the cells they
+    cross and their 8 neighbours, ``b``'s to the cells they cross, so any
+    pair within r shares a cell.  Two segments are within r iff they cross
+    or an end point of one is within r of the other: the distance is the
+    minimum of four point-segment distances (0 when they cross), plain
+    arithmetic; a map-side ``min`` per line pair removes duplicates.
     """
-    def cells(df, idc, lc, name):
-        return df.select(F.col(idc).alias(name), F.explode(geo.segment_cells(F.col(lc), r)).alias("c")).select(
-            name, F.explode(F.sequence(F.col("c.cx") - 1, F.col("c.cx") + 1)).alias("cx"), F.col("c.cy").alias("cy0")
-        ).select(name, "cx", F.explode(F.sequence(F.col("cy0") - 1, F.col("cy0") + 1)).alias("cy")).distinct()
-
-    ca = cells(a, aid, aline, "__a")
-    cb = b.select(F.col(bid).alias("__b"), F.explode(geo.segment_cells(F.col(bline), r)).alias("c")).select("__b", F.col("c.cx").alias("cx"), F.col("c.cy").alias("cy")).distinct()
-    cand = ca.join(cb, ["cx", "cy"]).select("__a", "__b").distinct()
-    cand = cand.join(a.select(F.col(aid).alias("__a"), F.col(aline).alias("__la")), "__a").join(
-        b.select(F.col(bid).alias("__b"), F.col(bline).alias("__lb")), "__b")
-    d_ab = F.array_min(F.transform("__la", lambda p: geo.point_line_dist(p["x"], p["y"], F.col("__lb"))))
-    d_ba = F.array_min(F.transform("__lb", lambda p: geo.point_line_dist(p["x"], p["y"], F.col("__la"))))
-    dist = F.when(_lines_cross(F.col("__la"), F.col("__lb")), F.lit(0.0)).otherwise(F.least(d_ab, d_ba))
-    return cand.select(F.col("__a").alias(aid), F.col("__b").alias(bid), dist.alias("dist")).filter(F.col("dist") <= r)
-
-
-def _segs(line: Column) -> Column:
-    return F.arrays_zip(F.slice(line, 1, F.size(line) - 1).alias("a"), F.slice(line, 2, F.size(line)).alias("b"))
-
+    sa = geo.segment_cell_rows(geo.line_segments(a, aid, aline), r)
+    sa = sa.select(F.col("lid").alias("__a"), *[F.col(c).alias(f"a_{c}") for c in ("ax", "ay", "bx", "by")],
+                   F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)).alias("cx"), F.col("cy").alias("cy0"))
+    sa = sa.select("*", F.explode(F.sequence(F.col("cy0") - 1, F.col("cy0") + 1)).alias("cy")).drop("cy0")
+    sb = geo.segment_cell_rows(geo.line_segments(b, bid, bline), r)
+    sb = sb.select(F.col("lid").alias("__b"), *[F.col(c).alias(f"b_{c}") for c in ("ax", "ay", "bx", "by")], "cx", "cy")
+    c = sa.join(sb, ["cx", "cy"])
+    A = [F.col(f"a_{x}") for x in ("ax", "ay", "bx", "by")]
+    B = [F.col(f"b_{x}") for x in ("ax", "ay", "bx", "by")]
+    d = F.least(
+        geo.seg_dist(A[0], A[1], *B), geo.seg_dist(A[2], A[3], *B),
+        geo.seg_dist(B[0], B[1], *A), geo.seg_dist(B[2], B[3], *A),
+    )
 
-def _lines_cross(la: Column, lb: Column) -> Column:
-    def orient(p, q, r):
-        return (q["x"] - p["x"]) * (r["y"] - p["y"]) - (q["y"] - p["y"]) * (r["x"] - p["x"])
+    def orient(px, py, qx, qy, rx, ry):
+        return F.signum((qx - px) * (ry - py) - (qy - py) * (rx - px))
 
-    return F.exists(_segs(la), lambda s: F.exists(_segs(lb), lambda t: (
-        (F.signum(orient(s["a"], s["b"], t["a"])) * F.signum(orient(s["a"], s["b"], t["b"])) < 0)
-        & (F.signum(orient(t["a"], t["b"], s["a"])) * F.signum(orient(t["a"], t["b"], s["b"])) < 0))))
+    cross = (orient(*A, B[0], B[1]) * orient(*A, B[2], B[3]) < 0) & (orient(*B, A[0], A[1]) * orient(*B, A[2], A[3]) < 0)
+    dist = F.when(cross, F.lit(0.0)).otherwise(d)
+    near = c.select("__a", "__b", dist.alias("dist")).filter(F.col("dist") <= F.lit(r))
+    return near.groupBy("__a", "__b").agg(F.min("dist").alias("dist")).select(F.col("__a").alias(aid), F.col("__b").alias(bid), "dist")
 
 
 def railways(lines_status: DataFrame, lines_kind: DataFrame, segments: DataFrame, r: float = 10.0) -> tuple[DataFrame, DataFrame]:
@@ -103,25 +117,25 @@ def railways(lines_status: DataFrame, lines_kind: DataFrame, segments: DataFrame
     lines_kind:   code_ligne, catlig
     segments:     gid, id, nature, line
     """
-    kinds = lines_kind.groupBy("code_ligne").agg(any_equals(F.col("catlig"), "Ligne à grande vitesse").alias("lgv"))
+    kinds = lines_kind.groupBy("code_ligne").agg(any_equals(F.col("catlig"), RAIL_HIGH_SPEED).alias("lgv"))
     g = lines_status.join(kinds, "code_ligne")
-    groups = g.groupBy("code_ligne", "lib_ligne", "lgv").agg(F.flatten(F.collect_list(F.array(F.col("line")))).alias("lines"))
-    groups = groups.select(
+    groups = g.groupBy("code_ligne", "lib_ligne", "lgv").agg(F.count(F.lit(1)).alias("n_parts")).select(
         F.col("code_ligne").alias("code"),
-        F.concat(F.when(F.col("lgv"), F.lit("LGV_")).otherwise(F.lit("L_")), F.col("code_ligne"), F.lit(" "), F.col("lib_ligne")).alias("name"),
-        F.col("lines"),
+        F.concat(F.when(F.col("lgv"), F.lit(RAIL_GROUP_LGV)).otherwise(F.lit(RAIL_GROUP_OTHER)), F.col("code_ligne"), F.lit(" "), F.col("lib_ligne")).alias("name"),
+        "n_parts",
     )
-    glines = groups.select("code", F.explode("lines").alias("line"))
-    seg = dedupe_min(segments).filter(F.col("nature").isin("Voie de service", "Voie ferrée principale", "LGV"))
+    # the group's geometry stays in long form (one row per part): no group is gathered into one row
+    glines = g.select(F.col("code_ligne").alias("code"), "line")
+    seg = dedupe_min(segments).filter(F.col("nature").isin(*RAIL_NATURES))
     near = lines_within(seg.select(F.col("id").alias("sid"), "line"), glines.select(F.col("code").alias("gcode"), "line"), r,
                         aid="sid", bid="gcode").select("sid", "gcode").distinct()
     linked = agg_text(near, ["sid"], "gcode", "groups")
     out = linked.join(seg.withColumnRenamed("id", "sid"), "sid").select(
         F.col("sid").alias("linear_code"), F.col("groups"),
         F.concat(F.col("groups"), F.lit(" "), F.col("sid")).alias("linear_name"),
-        classify([(F.col("nature") == "LGV", "VF_LGV"), (F.col("nature").isin("Voie de service", "Voie ferrée principale"), "VF_P")]).alias("id_type"),
+        classify([(F.col("nature") == RAIL_NATURES[2], RAIL_TYPE_LGV), (F.col("nature").isin(*RAIL_NATURES[:2]), RAIL_TYPE_MAIN)]).alias("id_type"),
     )
-    return groups.drop("lines"), out
+    return groups, out
 
 
 def waterways(segments: DataFrame, rivers: DataFrame) -> DataFrame:
@@ -168,7 +182,7 @@ def merge_routes(a: DataFrame, b: DataFrame) -> DataFrame:
     u = union_distinct([a.select("numero", "geom"), b.select("numero", "geom")])
     c = geo.collect(u, ["numero"], "geom")
     num = F.regexp_replace(F.col("numero"), r"\s+", "")
-    return c.select(num.alias("code"), classify([(num.like("A%"), "RT_AUT"), (num.like("N%"), "RT_NAT")], "RT_DEP").alias("id_type"), "geom")
+    return c.select(num.alias("code"), classify([(num.like(p), code) for p, code in ROUTE_PREFIX_CODES], ROUTE_DEFAULT_CODE).alias("id_type"), "geom")
 
 
 def reassign(df: DataFrame, mapping: DataFrame, on: list[str], column: str, new_col: str) -> DataFrame:

@@ -67,3 +67,34 @@ def test_merge_routes_and_profile(spark):
     assert [tuple(r) for r in p["frequencies"].collect()] == [("x", 2), ("y", 1)]
     assert [r.k for r in p["duplicated_keys"].collect()] == [1]
     assert sorted(r.k for r in p["unmatched"].collect()) == [1, 1]
+
+
+def test_lines_within_brute_force(spark):
+    import math
+    import random
+
+    rnd = random.Random(2)
+    A = [(i, [(rnd.uniform(0, 20), rnd.uniform(0, 20)) for _ in range(rnd.randint(2, 4))]) for i in range(40)]
+    B = [(j, [(rnd.uniform(0, 20), rnd.uniform(0, 20)) for _ in range(rnd.randint(2, 4))]) for j in range(40)]
+    r = 0.7
+
+    def sd(p, a, b):
+        vx, vy = b[0] - a[0], b[1] - a[1]
+        l2 = vx * vx + vy * vy
+        t = 0.0 if l2 == 0 else max(0.0, min(1.0, ((p[0] - a[0]) * vx + (p[1] - a[1]) * vy) / l2))
+        return math.hypot(p[0] - (a[0] + t * vx), p[1] - (a[1] + t * vy))
+
+    def cross(a, b, c, d):
+        o = lambda p, q, s: (q[0] - p[0]) * (s[1] - p[1]) - (q[1] - p[1]) * (s[0] - p[0])
+        return o(a, b, c) * o(a, b, d) < 0 and o(c, d, a) * o(c, d, b) < 0
+
+    exp = set()
+    for i, la in A:
+        for j, lb in B:
+            best = min(0.0 if cross(a, b, c, d) else min(sd(a, c, d), sd(b, c, d), sd(c, a, b), sd(d, a, b))
+                       for a, b in zip(la, la[1:]) for c, d in zip(lb, lb[1:]))
+            if best <= r:
+                exp.add((i, j))
+    to_df = lambda rows, k: spark.createDataFrame([(x, [{"x": p[0], "y": p[1]} for p in v]) for x, v in rows], f"{k} long, line array<struct<x:double,y:double>>")
+    got = {(x.aid, x.bid) for x in recipes.lines_within(to_df(A, "aid"), to_df(B, "bid"), r).collect()}
+    assert got == exp and len(exp) > 20
