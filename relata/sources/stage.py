@@ -72,16 +72,17 @@ def line_numbers(scan: DataFrame, name: str = "id_import") -> DataFrame:
     inside a partition the rows of one split are contiguous and in file
     order.  A first, small pass gives one row per (file, split): its row
     count and the position of its first row; running offsets over those
-    rows (one per split, so bounded by the number of splits) are broadcast
-    back.  Nothing is materialised, and a recomputed partition gets the same
-    numbers.
+    rows (one per split) are joined back.  Nothing is materialised, and a
+    recomputed partition gets the same numbers.
     """
     keyed = scan.select("*", F.input_file_name().alias("__f"), F.input_file_block_start().alias("__b"),
                         F.monotonically_increasing_id().alias("__m"))
     splits = keyed.groupBy("__f", "__b").agg(F.count(F.lit(1)).alias("__n"), F.min("__m").alias("__m0"))
     w = Window.orderBy("__f", "__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.select("__f", "__b", "__m0", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
-    out = keyed.join(F.broadcast(offsets), ["__f", "__b"])
+    # one row per split: small next to the data, but it grows with the input, so the join
+    # strategy is left to the planner / AQE size check rather than forced
+    out = keyed.join(offsets, ["__f", "__b"])
     return out.withColumn(name, F.col("__off") + (F.col("__m") - F.col("__m0")) + 1).drop("__f", "__b", "__m", "__m0", "__off")
 
 
