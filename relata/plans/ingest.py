@@ -420,14 +420,15 @@ class ImportRun:
             raise ValueError("an import needs the natural key (unique) of its object")
 
     def step_data_table(self):
-        self.r.frames["data"] = self.source
-        self.r.res["nb_data"] = self.source.count()
+        # the staged rows are read by every later step: keep them after the first pass
+        src = self.persist("data", self.source)
+        self.r.res["nb_data"] = src.count()
         if self.r.res["nb_data"] == 0:
             self.add_errors(self.spark.createDataFrame(
                 [("ERR_IMPORT_DATA_EMPTY", None, None, 0, [], None, "no data")], ERROR_SCHEMA))
 
     def step_mapping_view(self):
-        df = map_fields(self.source, self.spec.mapping, self.spec.values, self.spec.where)
+        df = map_fields(self.r.frames.get("data", self.source), self.spec.mapping, self.spec.values, self.spec.where)
         dump_only = [c for c in self.sd.dump_only if c in df.columns]
         if dump_only:  # read-only columns are never written (P13)
             df = df.drop(*dump_only)
@@ -509,7 +510,8 @@ class ImportRun:
             if tsd.bounded:
                 dim = F.broadcast(dim)
             links = ex.join(dim, "__code", "left")
-            self.r.frames[f"nn_{c}"] = links
+            # read by the unresolved check, the update count and the link rebuild
+            self.persist(f"nn_{c}", links)
 
     def child_frames(self):
         """Child rows from dotted columns, typed and resolved (everything but the parent key)."""
