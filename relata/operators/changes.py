@@ -13,14 +13,6 @@ from pyspark.sql import types as T
 from relata.catalog import qcol
 
 
-def _cond(keys: list[str], a: str = "__a", b: str = "__b") -> Column:
-    c = None
-    for k in keys:
-        e = F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}"))
-        c = e if c is None else c & e
-    return c
-
-
 def update_from(df: DataFrame, other: DataFrame, on: list[str], sets: dict[str, Column | str]) -> DataFrame:
     """``UPDATE df SET col = expr FROM other WHERE df.on = other.on``.
 

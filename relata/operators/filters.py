@@ -22,7 +22,7 @@ without rows become a plain semi join of the filtered child rows.
 from __future__ import annotations
 
 from collections import defaultdict
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -200,11 +200,6 @@ class _Atom:
     json_path: str | None = None
 
 
-@dataclass
-class _Plan:
-    atoms: dict[int, _Atom] = field(default_factory=dict)
-
-
 def _split(catalog: Catalog, code: str, path: str):
     """-> (to_one_prefix, to_many_rel or None, rest_prefix, column)"""
     hops, last = catalog.split_path(code, path)

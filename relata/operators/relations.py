@@ -87,8 +87,6 @@ def child_frame(catalog: Catalog, rel: Relation, columns: list[str] | None = Non
         target = with_computed(catalog, rel.target, target, columns)
     if rel.kind == "1-n":
         cols = list(dict.fromkeys(columns if columns is not None else target.columns))
-        if rel.foreign_key in cols:
-            return target.select(F.col(rel.foreign_key).alias(KEY), *cols)
         return target.select(F.col(rel.foreign_key).alias(KEY), *cols)
     if rel.kind == "n-n":
         bridge = catalog.frame(rel.bridge).select(
@@ -102,13 +100,6 @@ def child_frame(catalog: Catalog, rel: Relation, columns: list[str] | None = Non
     raise ValueError(f"relation {rel.name} is not to-many")
 
 
-def parent_key(catalog: Catalog, code: str, df: DataFrame, prefix: tuple[str, ...], rel: Relation) -> tuple[DataFrame, str]:
-    """Column on ``df`` holding the key the to-many relation ``rel`` hangs on."""
-    if prefix:
-        df = attach_to_one(catalog, code, df, {prefix: {rel.local_key}})
-    return df, col_name(prefix_name(prefix), rel.local_key)
-
-
 def where_any(catalog: Catalog, code: str, df: DataFrame, rel_name: str, negate: bool = False) -> DataFrame:
     """Objects having at least one row in a to-many relation (J11, F10); ``negate`` gives J12."""
     rel = catalog.schema(code).relation(rel_name)

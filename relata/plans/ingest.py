@@ -22,7 +22,7 @@ import time
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,6 +62,7 @@ class FieldSpec:
     nn: str | None = None  # n-n: object code of the linked rows; text holds a comma list of codes
     nn_unique: str | None = None
     srid: int | None = None
+    geometry_type: str | None = None  # e.g. "multipolygon": single geometries are wrapped (G1)
     minimum: float | None = None
     default_uuid: bool = False
     nullable_key: bool = False
@@ -239,6 +240,7 @@ def to_raw(df: DataFrame, spec: ImportSpec, pk: str, geom_col: str | None = None
     """Typed frame (C6, C7, G1-G3): own and n-n columns cast, geometry built, pk := natural key text."""
     cols = []
     reproj: dict[str, tuple[int, int]] = {}
+    multis: list[str] = []
     for c, fs in spec.fields.items():
         if c not in df.columns:
             continue
@@ -249,6 +251,8 @@ def to_raw(df: DataFrame, spec: ImportSpec, pk: str, geom_col: str | None = None
             cols.append(geo.parse_wkt(qcol(c), src).alias(c))
             if fs.srid and src != fs.srid:
                 reproj[c] = (src, fs.srid)
+            if fs.geometry_type and fs.geometry_type.lower().startswith("multi"):
+                multis.append(c)
         else:
             cols.append(cast_to(qcol(c), fs.type).alias(c))
     if geom_col and geom_col not in df.columns and "x" in df.columns and "y" in df.columns:
@@ -262,6 +266,8 @@ def to_raw(df: DataFrame, spec: ImportSpec, pk: str, geom_col: str | None = None
     out = df.select("id_import", *cols, nk.alias("__nk"), *extra)
     for c, (src, dst) in reproj.items():  # reprojected from the parsed column, not from the parse expression
         out = out.withColumn(c, geo.reproject(qcol(c), src, dst))
+    for c in multis:
+        out = out.withColumn(c, geo.multi(qcol(c)))
     if child_of:
         own = [c for c in spec.fields if c in df.columns and c not in spec.unique]
         if own:

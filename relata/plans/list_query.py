@@ -7,7 +7,6 @@ last_page (A1, A2, O6) computed by one aggregate plan.
 
 from __future__ import annotations
 
-import math
 from collections import defaultdict
 from dataclasses import dataclass, field
 
@@ -165,7 +164,6 @@ class ListQuery:
 
     def info(self) -> DataFrame:
         """One row: page, page_size, total, filtered, last_page, last_page_filtered."""
-        sd = self.catalog.schema(self.code)
         tot = self.total_frame()
         if self.filters:
             wide, pred = flt.filter_column(self.catalog, self.code, tot, self.filters, self.geo_ctx)

@@ -1007,7 +1007,7 @@ def q_collect_geom(spark, sf):
 def _l93_sql():
     import math
 
-    from relata.operators.geo import GRS80_E, L93_LON0, L93_X0, L93_Y0, _lcc_consts
+    from relata.operators.geo import L93_LON0, L93_X0, L93_Y0, _lcc_consts
 
     e, a, n, f, rho0 = _lcc_consts()
     phi = f"radians({_CY})"

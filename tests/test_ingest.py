@@ -241,3 +241,11 @@ def test_feature_load_dependencies(spark, fx):
     finally:
         cat.set_frame("site", frames["site"])
         cat.set_frame("actor", frames["actor"])
+
+
+def test_multi_geometry_wrap(spark, fx):
+    cat, _ = fx
+    spec = area_spec()
+    spec.fields["geom"] = FieldSpec("geometry", srid=4326, geometry_type="multipolygon")
+    r = run_import(cat, spec, stage_csv(spark, os.path.join(D, "area.csv")))
+    assert {x.geom.kind for x in r.table.collect()} == {"MULTIPOLYGON"}
