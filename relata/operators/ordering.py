@@ -3,7 +3,8 @@
 No operator here funnels the whole input through one partition:
 
 * a page is ``orderBy().offset().limit()`` -> top-(offset+size) per partition,
-  merged (TakeOrderedAndProject); deep pages switch to global row numbers;
+  merged in one task (TakeOrderedAndProject); when partitions x (offset+size)
+  is large, the page is cut from global row numbers instead;
 * global row numbers (W1) are range-partitioned, numbered inside each
   partition, then shifted by the running count of the preceding partitions
   (a table with one row per partition, the only thing broadcast);
@@ -23,7 +24,10 @@ from relata.functions.text import natural_keys
 from relata.session import checkpoint_dir
 from relata.operators.relations import attach_to_one, child_frame, prefix_name, KEY
 
-DEEP_PAGE_ROWS = 200_000  # beyond this offset+size, pages use global row numbers
+# A page via orderBy().offset().limit() keeps the top (offset+size) rows of every partition and
+# merges them in one task: partitions x (offset+size) rows.  Above this many merged rows the page
+# is cut from global row numbers instead (a distributed path).
+DEEP_PAGE_ROWS = 2_000_000
 
 
 def parse_sort(spec) -> list[tuple[str, bool, str | None]]:
@@ -118,7 +122,7 @@ def page(df: DataFrame, order: list[Column], page_no: int | None, page_size: int
     size = int(page_size)
     p = max(int(page_no or 1), 1)
     off = (p - 1) * size
-    if off + size <= DEEP_PAGE_ROWS or not order:
+    if (off + size) * _partitions(df) <= DEEP_PAGE_ROWS or not order:
         q = df.orderBy(*order) if order else df
         return q.offset(off).limit(size) if off else q.limit(size)
     rn = "__rn"
@@ -126,6 +130,14 @@ def page(df: DataFrame, order: list[Column], page_no: int | None, page_size: int
     return numbered.filter((F.col(rn) > off) & (F.col(rn) <= off + size)).orderBy(rn).drop(rn)
 
 
+def _partitions(df: DataFrame) -> int:
+    """Partitions of the frame's physical plan (planning only, no job)."""
+    try:
+        return max(int(df.rdd.getNumPartitions()), 1)
+    except Exception:  # noqa: BLE001 - fall back to the shuffle setting
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def with_row_number(df: DataFrame, order: list[Column], name: str = "row_number", partitions: int | None = None) -> DataFrame:
     """Global ``ROW_NUMBER() OVER (ORDER BY order)`` (W1) without a one-partition window.
 

@@ -21,7 +21,7 @@ def test_deep_page_equals_offset(spark):
     order = [F.col("v").asc(), F.col("id").asc()]
     old = o.DEEP_PAGE_ROWS
     try:
-        o.DEEP_PAGE_ROWS = 10
+        o.DEEP_PAGE_ROWS = 100
         deep = [tuple(r) for r in page(df, order, 40, 25).collect()]
     finally:
         o.DEEP_PAGE_ROWS = old
