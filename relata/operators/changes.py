@@ -18,10 +18,15 @@ def update_from(df: DataFrame, other: DataFrame, on: list[str], sets: dict[str,
 
     ``sets`` expressions may use ``other``'s columns (prefixed ``__o_``) and
     ``df``'s columns; rows without a match keep their values.  ``other``
-    must hold one row per key (checked by a distinct in the plan).
+    should hold one row per key; if it repeats one, the smallest row wins.
     """
-    o = other.select(*[F.col(k).alias(f"__ok_{k}") for k in on],
-                     *[F.col(c).alias(f"__o_{c}") for c in other.columns if c not in on]).dropDuplicates([f"__ok_{k}" for k in on])
+    rest = [c for c in other.columns if c not in on]
+    # one row per key, chosen deterministically (smallest values) when ``other`` repeats a key
+    o = other.groupBy(*[F.col(k).alias(f"__ok_{k}") for k in on]).agg(
+        F.min(F.struct(*[F.col(c).alias(f"__o_{c}") for c in rest])).alias("__r")) if rest else other.select(
+        *[F.col(k).alias(f"__ok_{k}") for k in on]).distinct()
+    if rest:
+        o = o.select(*[f"__ok_{k}" for k in on], *[F.col(f"__r.__o_{c}").alias(f"__o_{c}") for c in rest])
     cond = None
     for k in on:
         e = qcol(k) == F.col(f"__ok_{k}")

@@ -308,9 +308,8 @@ def resolve_key(
             dtype = dim.schema[u].dataType
             tmp = tmp.withColumn(pcol, parts[i].try_cast(dtype) if not isinstance(dtype, T.StringType) else parts[i])
             key_cols.append((pcol, u))
-    d = dim.select(*[F.col(dc).alias(f"__d_{dc}") for _, dc in key_cols], F.col(sd.pk).alias(f"__dpk_{out}")).dropDuplicates(
-        [f"__d_{dc}" for _, dc in key_cols]
-    )
+    # one PK per natural key, chosen deterministically (the smallest) if the key is not unique
+    d = dim.groupBy(*[F.col(dc).alias(f"__d_{dc}") for _, dc in key_cols]).agg(F.min(sd.pk).alias(f"__dpk_{out}"))
     cond = None
     for pc, dc in key_cols:
         e = F.col(pc).eqNullSafe(F.col(f"__d_{dc}")) if nullable else (F.col(pc) == F.col(f"__d_{dc}"))
@@ -474,7 +473,7 @@ class ImportRun:
         # primary key by natural key against the current table
         t = self.target
         unique = self.spec.unique
-        tk = t.select(*[F.col(u).alias(f"__t_{u}") for u in unique], F.col(self.sd.pk).alias("__tpk")).dropDuplicates([f"__t_{u}" for u in unique])
+        tk = t.groupBy(*[F.col(u).alias(f"__t_{u}") for u in unique]).agg(F.min(self.sd.pk).alias("__tpk"))
         cond = None
         for u in unique:
             dt = t.schema[u].dataType
@@ -701,7 +700,11 @@ class ImportRun:
         """Changed rows rewritten (C13): every own column but the PK and the creator."""
         cols = self.update_columns()
         proc = self.r.frames["process"].filter(F.col("__pk").isNotNull())
-        new = proc.select(F.col("__pk"), *[qcol(c).alias(f"__new_{c}") for c in cols]).dropDuplicates(["__pk"])
+        # one row per PK (conflicting rows were refused by the pre-check); min(struct) keeps the choice deterministic
+        new = proc.groupBy("__pk").agg(F.min(F.struct(*[qcol(c).alias(f"__new_{c}") for c in cols])).alias("__r")) if cols else \
+            proc.select("__pk").distinct()
+        if cols:
+            new = new.select("__pk", *[F.col(f"__r.__new_{c}").alias(f"__new_{c}") for c in cols])
         t = self.target.join(new, self.target[self.sd.pk] == F.col("__pk"), "left")
         sel = []
         for c in self.target.columns:
@@ -715,7 +718,9 @@ class ImportRun:
         """New rows (C14): NULL PK; integer PKs continue after the current maximum, in natural-key order."""
         proc = self.r.frames["process"].filter(F.col("__pk").isNull())
         base = self.r.table if self.r.table is not None else self.target
-        new = proc.dropDuplicates(self.spec.unique)
+        keep = [c for c in proc.columns if c not in self.spec.unique]
+        new = proc.groupBy(*[qcol(u) for u in self.spec.unique]).agg(F.min(F.struct(*[qcol(c) for c in keep])).alias("__r"))
+        new = new.select(*[qcol(u) for u in self.spec.unique], *[F.col(f"__r.`{c}`").alias(c) for c in keep])
         pk_type = self.target.schema[self.sd.pk].dataType
         if self.sd.pk in self.spec.unique:
             new = new.withColumn("__newpk", qcol(self.sd.pk).try_cast(pk_type))
