@@ -1265,3 +1265,12 @@ def q_display_functions(spark, sf):
     o, c = load_table(spark, sf, "orders"), load_table(spark, sf, "customer")
     j = o.join(c, o.o_custkey == c.c_custkey)
     return j.select("o_orderkey", show_date(F.col("o_orderdate")).alias("shown_date"), capitalise(F.lower("c_mktsegment")).alias("segment"))
+
+
+@register("one_to_one_path", """
+SELECT d.doc_id, d.lang, l.quality AS labels__quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id
+WHERE l.toxic = 0 AND d.lang IN ('fr', 'de')
+""")
+def q_one_to_one_path(spark, sf):
+    # a 1-1 relation used in a field and in a filter
+    return _list(spark, sf, "document", fields=["doc_id", "lang", "labels.quality"], filters="labels.toxic = 0,lang in fr;de")
