@@ -36,3 +36,21 @@ def test_get_rows_filter_nested_expand(spark):
     codes = spark.createDataFrame([("R1",), ("X",)], "code string")
     m = spark.createDataFrame([("R1", "D1"), ("R1", "D2"), ("R2", "D3")], "parent string, child string")
     assert sorted(r.code for r in expand_codes(codes, "code", m).collect()) == ["D1", "D2", "R1", "X"]
+
+
+def test_join_contains_hot_block(spark):
+    # every text holds a long run of '#' (a block common to all texts); patterns mix the run with rare parts
+    rnd = random.Random(9)
+    texts = [(i, "".join(rnd.choice("xyz") for _ in range(rnd.randint(20, 80))) + "#" * 40 + "".join(rnd.choice("xyz") for _ in range(30)))
+             for i in range(80)]
+    pats = []
+    for j in range(30):
+        t = texts[rnd.randrange(len(texts))][1]
+        p = t.index("#") - 12
+        pats.append((j, t[p:p + 30]))
+    pats.append((100, "#" * 20))  # genuinely matches every text
+    a = spark.createDataFrame(texts, "id long, txt string")
+    b = spark.createDataFrame(pats, "pid long, pat string")
+    got = {(r.id, r.pid) for r in join_contains(a, "id", "txt", b, "pid", "pat", k=8).collect()}
+    exp = {(i, j) for i, t in texts for j, p in pats if p in t}
+    assert got == exp
