@@ -563,7 +563,7 @@ def points_in_polygons(
 
 
 def bbox_join(a: DataFrame, b: DataFrame, cell: float, aid="aid", ag="geom", bid="bid", bg="geom") -> DataFrame:
-    """Pairs whose bounding boxes overlap (J24): both sides explode to their bbox cells."""
+    """Pairs whose bounding boxes overlap (J24): both sides explode to their bbox cells, equi join on the cell."""
     def cells(df, idc, gc, name):
         bb = F.col(gc)["bbox"]
         return df.select(F.col(idc).alias(name), bb.alias(f"{name}_bb")).select(
@@ -574,7 +574,12 @@ def bbox_join(a: DataFrame, b: DataFrame, cell: float, aid="aid", ag="geom", bid
 
     ca, cb = cells(a, aid, ag, "aid"), cells(b, bid, bg, "bid")
     j = ca.join(cb, ["cx", "cy"])
-    return j.filter(bbox_overlap(F.col("aid_bb"), F.col("bid_bb"))).select("aid", "bid").distinct()
+    # reference-point rule: keep the pair only in the cell holding the lower-left corner of the two
+    # boxes' intersection (a cell both boxes cover), so each pair comes out once without a distinct
+    rx = F.greatest(F.col("aid_bb.xmin"), F.col("bid_bb.xmin"))
+    ry = F.greatest(F.col("aid_bb.ymin"), F.col("bid_bb.ymin"))
+    once = (F.col("cx") == _cell(rx, cell)) & (F.col("cy") == _cell(ry, cell))
+    return j.filter(bbox_overlap(F.col("aid_bb"), F.col("bid_bb")) & once).select("aid", "bid")
 
 
 # ---------------------------------------------------------------- filter atoms
