@@ -71,53 +71,49 @@ def make_point(x: Column, y: Column, srid: int = 4326) -> Column:
     return F.when(x.isNotNull() & y.isNotNull(), geom)
 
 
-def _coords(s: Column) -> Column:
-    """'x y[ z[ m]]' -> struct(x, y); extra dimensions dropped (forced 2D)."""
-    a = F.split(F.trim(s), " +")
-    return _pt(F.get(a, 0).try_cast("double"), F.get(a, 1).try_cast("double"))
+_NUM = r"-?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][-+]?[0-9]+)?"
 
 
-def _ring(s: Column) -> Column:
-    return F.transform(F.split(s, ","), _coords)
+def _xy(a: Column) -> Column:
+    return F.struct(F.get(a, 0).alias("x"), F.get(a, 1).alias("y"))
 
 
 def parse_wkt(text: Column, srid: int = 4326) -> Column:
-    """WKT (optionally ``SRID=n;`` prefixed) -> geometry struct (G1); NULL when invalid."""
+    """WKT (optionally ``SRID=n;`` prefixed) -> geometry struct (G1); NULL when invalid.
+
+    The coordinate list is rewritten to JSON arrays by one regex (``x y [z [m]]``
+    -> ``[x,y]``: forced 2D; parentheses -> brackets) and read with
+    ``from_json`` at the nesting depth the geometry kind implies; malformed
+    text gives NULL.  Small expression, native functions.
+    """
     t = F.trim(text)
     has_srid = F.upper(t).startswith("SRID=")
     srid_val = F.when(has_srid, F.regexp_extract(t, r"^(?i)SRID=(\d+);", 1).try_cast("int")).otherwise(F.lit(srid))
     body0 = F.when(has_srid, F.regexp_replace(t, r"^(?i)SRID=\d+;", "")).otherwise(t)
     kind = F.upper(F.regexp_extract(body0, r"^\s*([A-Za-z]+)", 1))
-    rest = F.regexp_replace(body0, r"^\s*[A-Za-z]+\s*([ZzMm]{1,2}\s*)?", "")
-    rest = F.regexp_replace(rest, r"\s*([(),])\s*", "$1")
-    inner = F.regexp_replace(F.regexp_replace(rest, r"^\(", ""), r"\)$", "")  # strip one pair
-    inner2 = F.regexp_replace(F.regexp_replace(inner, r"^\(", ""), r"\)$", "")  # strip two pairs
-    inner3 = F.regexp_replace(F.regexp_replace(inner2, r"^\(", ""), r"\)$", "")
-    point = F.array(F.array(F.array(_coords(inner))))
-    line = F.array(F.array(_ring(inner)))
-    polygon = F.array(F.transform(F.split(inner2, r"\),\("), _ring))
-    mpoint = F.transform(F.split(F.regexp_replace(inner, r"[()]", ""), ","), lambda p: F.array(F.array(_coords(p))))
-    mline = F.transform(F.split(inner2, r"\),\("), lambda l: F.array(_ring(l)))
-    mpoly = F.transform(F.split(inner3, r"\)\),\(\("), lambda pg: F.transform(F.split(pg, r"\),\("), _ring))
+    rest = F.regexp_replace(body0, r"^\s*[A-Za-z]+\s*(?:[ZzMm]{1,2}\s*)?", "")
+    js = F.regexp_replace(rest, rf"({_NUM})\s+({_NUM})(?:\s+{_NUM}){{0,2}}", "[$1,$2]")
+    js = F.translate(F.regexp_replace(js, r"\s+", ""), "()", "[]")
+    d2 = F.from_json(js, "array<array<double>>")
+    d3 = F.from_json(js, "array<array<array<double>>>")
+    d4 = F.from_json(js, "array<array<array<array<double>>>>")
     parts = (
-        F.when(kind == "POINT", point)
-        .when(kind == "LINESTRING", line)
-        .when(kind == "POLYGON", polygon)
-        .when(kind == "MULTIPOINT", mpoint)
-        .when(kind == "MULTILINESTRING", mline)
-        .when(kind == "MULTIPOLYGON", mpoly)
+        F.when((kind == "POINT") & (F.size(d2) == 1), F.array(F.array(F.transform(d2, _xy))))
+        .when(kind == "LINESTRING", F.array(F.array(F.transform(d2, _xy))))
+        .when(kind == "POLYGON", F.array(F.transform(d3, lambda r: F.transform(r, _xy))))
+        .when(kind == "MULTIPOINT", F.coalesce(F.transform(d3, lambda p: F.array(F.transform(p, _xy))),
+                                               F.transform(d2, lambda p: F.array(F.array(_xy(p))))))
+        .when(kind == "MULTILINESTRING", F.transform(d3, lambda ln: F.array(F.transform(ln, _xy))))
+        .when(kind == "MULTIPOLYGON", F.transform(d4, lambda pg: F.transform(pg, lambda r: F.transform(r, _xy))))
     )
-    balanced = F.length(F.regexp_replace(rest, r"[^(]", "")) == F.length(F.regexp_replace(rest, r"[^)]", ""))
     pts = F.flatten(F.flatten(parts))
     ok = (
-        kind.isin(*KINDS)
-        & rest.startswith("(")
-        & balanced
+        rest.startswith("(")
         & (F.size(pts) > 0)
         & F.forall(pts, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
         & srid_val.isNotNull()
     )
-    return F.when(ok, make_geom(kind, srid_val, parts))
+    return F.when(parts.isNotNull() & ok, make_geom(kind, srid_val, parts))
 
 
 def is_valid_wkt(text: Column) -> Column:

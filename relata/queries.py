@@ -980,7 +980,8 @@ def q_wkt_roundtrip(spark, sf):
     # WKT -> geometry -> WKT -> geometry
     from relata.operators import geo
 
-    a = _nation_areas(spark, sf).withColumn("g2", geo.parse_wkt(geo.to_wkt(F.col("geom"))))
+    # each step bound to a column: geometry functions read their input several times
+    a = _nation_areas(spark, sf).withColumn("w2", geo.to_wkt(F.col("geom"))).withColumn("g2", geo.parse_wkt(F.col("w2")))
     b = F.col("g2")["bbox"]
     return a.select("aid", F.col("g2")["kind"].alias("kind"), F.size(F.flatten(F.flatten(F.col("g2")["parts"]))).alias("n_vertices"),
                     F.round(b["xmin"], 4).alias("xmin"), F.round(b["ymin"], 4).alias("ymin"),
