@@ -55,7 +55,9 @@ def _bbox_of_parts(parts: Column) -> Column:
 
 
 def make_geom(kind: Column, srid: Column, parts: Column) -> Column:
-    return F.struct(kind.alias("kind"), srid.cast("int").alias("srid"), parts.alias("parts"), _bbox_of_parts(parts).alias("bbox"))
+    """Geometry struct; ``parts`` is evaluated once (it is read for the bbox too)."""
+    return bind(parts, lambda p: F.struct(kind.alias("kind"), srid.cast("int").alias("srid"), p.alias("parts"),
+                                          _bbox_of_parts(p).alias("bbox")))
 
 
 def make_point(x: Column, y: Column, srid: int = 4326) -> Column:
@@ -106,14 +108,18 @@ def parse_wkt(text: Column, srid: int = 4326) -> Column:
         .when(kind == "MULTILINESTRING", F.transform(d3, lambda ln: F.array(F.transform(ln, _xy))))
         .when(kind == "MULTIPOLYGON", F.transform(d4, lambda pg: F.transform(pg, lambda r: F.transform(r, _xy))))
     )
-    pts = F.flatten(F.flatten(parts))
-    ok = (
-        rest.startswith("(")
-        & (F.size(pts) > 0)
-        & F.forall(pts, lambda p: p["x"].isNotNull() & p["y"].isNotNull())
-        & srid_val.isNotNull()
-    )
-    return F.when(parts.isNotNull() & ok, make_geom(kind, srid_val, parts))
+    def build(p: Column) -> Column:
+        pts = F.flatten(F.flatten(p))
+        ok = (F.size(pts) > 0) & F.forall(pts, lambda q: q["x"].isNotNull() & q["y"].isNotNull())
+        return F.when(p.isNotNull() & ok & rest.startswith("(") & srid_val.isNotNull(), make_geom(kind, srid_val, p))
+
+    return bind(parts, build)
+
+
+def bind(expr: Column, fn) -> Column:
+    """Evaluate ``expr`` once and hand it to ``fn`` (a one-element ``transform``): keeps expressions
+    that read a large input several times from copying that input into each reference."""
+    return F.get(F.transform(F.array(expr), fn), 0)
 
 
 def is_valid_wkt(text: Column) -> Column:
