@@ -457,8 +457,13 @@ def segment_cell_rows(segs: DataFrame, size: float) -> DataFrame:
     return cols.select("*", F.explode(F.sequence(_cell(y_lo, size), _cell(y_hi, size))).alias("cy"))
 
 
+# cells holding more point rows than this are split across salt buckets (see _candidates);
+# None switches the detection pass off
+HOT_CELL_ROWS = 1_000_000
+
+
 def _candidates(points: DataFrame, lines: DataFrame, r: float, pid: str, px: str, py: str, lid: str, line: str,
-                hot_cell_rows: int | None = None, salt: int = 16) -> DataFrame:
+                hot_cell_rows: int | None = HOT_CELL_ROWS, salt: int = 16) -> DataFrame:
     pts = points.select(F.col(pid).alias("pid"), F.col(px).alias("px"), F.col(py).alias("py"))
     pts = pts.select("*", F.explode(_neigh(_cell(F.col("px"), r), 1)).alias("cx"))
     pts = pts.select("*", F.explode(_neigh(_cell(F.col("py"), r), 1)).alias("cy"))
@@ -482,7 +487,7 @@ def _candidates(points: DataFrame, lines: DataFrame, r: float, pid: str, px: str
 
 def join_within(
     points: DataFrame, lines: DataFrame, r: float, pid: str = "pid", px: str = "x", py: str = "y",
-    lid: str = "lid", line: str = "line", hot_cell_rows: int | None = None, salt: int = 16,
+    lid: str = "lid", line: str = "line", hot_cell_rows: int | None = HOT_CELL_ROWS, salt: int = 16,
 ) -> DataFrame:
     """Point-line pairs within planar distance ``r`` (J16/G7), with the distance.
 
@@ -506,7 +511,7 @@ def nearest_per_type(pairs: DataFrame, lines: DataFrame, r: float | None = None,
 
 
 def nearest_within(points: DataFrame, lines: DataFrame, r: float, pid: str = "pid", px: str = "x", py: str = "y",
-                   lid: str = "lid", line: str = "line", type_col: str = "type", hot_cell_rows: int | None = None,
+                   lid: str = "lid", line: str = "line", type_col: str = "type", hot_cell_rows: int | None = HOT_CELL_ROWS,
                    salt: int = 16) -> DataFrame:
     """Nearest line per (point, line type) within ``r`` in one aggregation over the candidates."""
     typed = lines.select(F.col(lid).alias("lid"), F.col(line).alias("line"), F.col(type_col).alias("type"))
