@@ -249,3 +249,9 @@ def test_multi_geometry_wrap(spark, fx):
     spec.fields["geom"] = FieldSpec("geometry", srid=4326, geometry_type="multipolygon")
     r = run_import(cat, spec, stage_csv(spark, os.path.join(D, "area.csv")))
     assert {x.geom.kind for x in r.table.collect()} == {"MULTIPOLYGON"}
+
+
+def test_preview_stops_after_count(spark, fx):
+    r = run(spark, fx, "site_missing_uuid.csv", spec=site_spec(target_step="count"))
+    assert r.status == "DONE" and r.last_step == "count" and r.table is None
+    assert counts(r, ("nb_process", "nb_insert", "nb_update", "nb_unchanged")) == (2, 2, 0, 0)
