@@ -6,8 +6,9 @@ import itself is idempotent on natural keys, so a replayed micro-batch
 finds everything unchanged.  One file per trigger keeps runs independent:
 a file with errors is recorded as ERROR and does not block the next one.
 
-Run records (status, counts, step timings) are appended to
-``<state>/runs``, error rows to ``<state>/errors``, and each successful run
+Run records (status PROCESSING when a file is taken, then DONE or ERROR
+with counts and step timings) are appended to ``<state>/runs``, error rows
+to ``<state>/errors``, and each successful run
 writes a new table snapshot ``<state>/table/run=<batch id>``; the current
 table is the latest snapshot.
 """
@@ -41,7 +42,9 @@ def latest_snapshot(spark: SparkSession, state: str) -> DataFrame | None:
 
 def process_file(spark: SparkSession, catalog: Catalog, spec: ImportSpec, path: str, state: str, run_id: int,
                  initial: DataFrame) -> dict:
-    """Import one staged file against the latest snapshot; record the run."""
+    """Import one staged file against the latest snapshot; record the run (PROCESSING, then DONE or ERROR)."""
+    spark.createDataFrame([(run_id, path, "PROCESSING", None, "{}", "{}")], RUN_SCHEMA).write.mode("append").parquet(
+        os.path.join(state, "runs"))
     target = latest_snapshot(spark, state)
     if target is None:
         target = initial

@@ -24,4 +24,5 @@ def test_inbox_imports_each_file_once(spark, tmp_path):
     shutil.copy(os.path.join(FIXTURES, "import", "linear_type.csv"), inbox / "b.csv")
     start_inbox(spark, str(inbox), str(state), cat, spec, initial, on_run=runs.append)
     assert len(runs) == 2 and runs[1]["res"]["nb_unchanged"] == 2 and runs[1]["res"]["nb_insert"] == 0
-    assert spark.read.parquet(str(state / "runs")).count() == 2
+    log = spark.read.parquet(str(state / "runs"))
+    assert sorted(r.status for r in log.collect()) == ["DONE", "DONE", "PROCESSING", "PROCESSING"]
