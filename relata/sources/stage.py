@@ -7,13 +7,12 @@ recompute after a lost executor gives every line the same id.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relata.operators.ordering import with_row_number
+from relata.sources import fs
 
 
 class StageError(Exception):
@@ -46,7 +45,7 @@ def stage_csv(spark: SparkSession, path: str, delimiter: str | None = None, mult
     """
     if not path.lower().endswith((".csv", ".tsv", ".txt")):
         raise StageError("ERR_IMPORT_DATA_FILE_TYPE_NOT_FOUND", f"unsupported file type: {path}")
-    if "://" not in path and not os.path.exists(path):
+    if not fs.exists(spark, path):
         raise StageError("ERR_IMPORT_DATA_FILE_NOT_FOUND", f"file not found: {path}")
     first = spark.read.text(path).limit(1).collect()
     if not first:

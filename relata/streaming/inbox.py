@@ -24,27 +24,17 @@ from pyspark.sql import functions as F
 
 from relata.catalog import Catalog
 from relata.plans.ingest import ImportSpec, run_import
+from relata.sources import fs
 from relata.sources.stage import StageError, stage_csv
 
 RUN_SCHEMA = "run_id long, file string, status string, last_step string, res string, steps string"
 
 
-def _fs(spark: SparkSession, path: str):
-    """Hadoop FileSystem of ``path`` (local, HDFS, object stores alike)."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
 def latest_snapshot(spark: SparkSession, state: str) -> DataFrame | None:
     """The newest completed table snapshot under ``<state>/table`` (listed through the Hadoop FS)."""
     root = os.path.join(state, "table")
-    fs, rp = _fs(spark, root)
-    if not fs.exists(rp):
-        return None
-    names = [st.getPath().getName() for st in fs.listStatus(rp) if st.isDirectory()]
-    runs = sorted((d for d in names if d.startswith("run=")), key=lambda d: int(d.split("=")[1]))
-    done = [d for d in runs if fs.exists(_fs(spark, os.path.join(root, d, "_SUCCESS"))[1])]
+    runs = sorted((d for d in fs.subdirs(spark, root) if d.startswith("run=")), key=lambda d: int(d.split("=")[1]))
+    done = [d for d in runs if fs.exists(spark, os.path.join(root, d, "_SUCCESS"))]
     if not done:
         return None
     return spark.read.parquet(os.path.join(root, done[-1]))
