@@ -359,9 +359,15 @@ def compile_filter(catalog: Catalog, code: str, df: DataFrame, ast, geo_ctx=None
         g_atoms: dict = {g: [] for g in gset}
         for a in atoms_of(node):
             at = info[id(a)]
-            if at.group is not None and a not in g_atoms[at.group]:
+            if at.group is None:
+                continue
+            # equal conditions (same field, operator, value) share one digit of the code
+            same = next((i for i, b in enumerate(g_atoms[at.group]) if b == a), None)
+            if same is None:
                 at.idx = len(g_atoms[at.group])
                 g_atoms[at.group].append(a)
+            else:
+                at.idx = same
         child_frames = {}
         for g in gset:
             rel = groups[g]
