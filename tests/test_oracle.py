@@ -4,13 +4,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from relata import queries as registered
 from relata.sources.tables import TABLES
 
 from conftest import SF_SMALL
 from oracle_check import rows_of
 
-QUERIES = entry.queries()
-ORACLES = entry.oracle_sql()
+QUERIES = registered.QUERIES
+ORACLES = registered.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +24,7 @@ def con():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_entry(spark):
