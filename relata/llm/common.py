@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,44 +55,86 @@ def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
 
 
+def split_words(batch: pa.RecordBatch, column: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words between ASCII white space: the distinct ones, each word's number among them in text order, words per row."""
+    col = pc.fill_null(batch.column(batch.schema.get_field_index(column)), "")
+    lists = pc.ascii_split_whitespace(col)
+    counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = pc.list_flatten(lists).dictionary_encode()
+    words = coded.dictionary.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
+    index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    if b"" in words:  # from white space at a text's ends
+        kept = index != words.index(b"")
+        counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[kept], minlength=len(counts))
+        index = index[kept]
+    return words, index, counts
+
+
+def gather(pieces: list[bytes], index: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The packed ``pieces`` of ``index`` one after the other, and the length of each."""
+    flat = np.frombuffer(b"".join(pieces), kind)
+    size = np.array([len(x) for x in pieces], np.int64) // np.dtype(kind).itemsize
+    first = np.cumsum(size) - size
+    n = size[index]
+    kind_at = np.int32 if len(flat) < 2**31 and n.sum() < 2**31 else np.int64
+    at = np.repeat((first[index] - (np.cumsum(n) - n)).astype(kind_at), n)
+    at += np.arange(len(at), dtype=kind_at)
+    return flat[at], n
+
+
 def dense_sum(df: DataFrame, accumulate: Callable[[pa.RecordBatch, np.ndarray], None], length: int,
-              block: int = 4096) -> np.ndarray:
+              block: int = 4096, task_type: type = np.int64,
+              finish: Callable[[np.ndarray], np.ndarray] | None = None, out_type: type = np.int64) -> np.ndarray:
     """Sum a fixed-length integer vector that every task fills from its rows.
 
     Each task sends its non-zero blocks (compressed); blocks are dealt out by
     number and summed as a stream, so no task holds more than its blocks and
-    the driver gets ``length`` numbers, whatever the size of ``df``.
+    the driver gets ``length`` numbers, whatever the size of ``df``.  A task's
+    vector has ``task_type``; sums are 64-bit, and ``finish`` can turn them
+    into a smaller ``out_type`` before they reach the driver.
     """
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = np.zeros(length, np.int64)
+        acc = np.zeros(length, task_type)
         for b in batches:
-            accumulate(b, acc)
-        blocks = [(i, acc[i * block:(i + 1) * block]) for i in range((length + block - 1) // block)]
-        kept = [(i, zlib.compress(x.tobytes(), 1)) for i, x in blocks if x.any()]
-        for at in range(0, len(kept), 64):
-            some = kept[at:at + 64]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())],
-                names=["block", "payload"])
+            for at in range(0, b.num_rows, 512):
+                accumulate(b.slice(at, 512), acc)
+        kept = []
+        for i in range((length + block - 1) // block):
+            x = acc[i * block:(i + 1) * block]
+            if x.any():
+                kept.append((i, pa.compress(x.tobytes(), codec="zstd", asbytes=True)))
+            if len(kept) == 64:
+                yield packed(kept)
+                kept = []
+        if kept:
+            yield packed(kept)
+
+    def packed(some: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([i for i, _ in some], pa.int32()), pa.array([x for _, x in some], pa.binary())], names=["block", "payload"])
+
+    def opened(i: int, payload: bytes, kind: type) -> np.ndarray:
+        n = min(block, length - i * block)
+        return np.frombuffer(pa.decompress(payload, n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc: dict[int, np.ndarray] = {}
         for b in batches:
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                v = np.frombuffer(zlib.decompress(x), np.int64)
-                acc[i] = acc[i] + v if i in acc else v
-        if acc:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(acc), pa.int32()),
-                 pa.array([zlib.compress(x.tobytes(), 1) for x in acc.values()], pa.binary())],
-                names=["block", "payload"])
+                if i in acc:
+                    acc[i] += opened(i, x, task_type)
+                else:
+                    acc[i] = opened(i, x, task_type).astype(np.int64)
+        for i, x in acc.items():
+            x = (finish(x) if finish else x).astype(out_type)
+            yield packed([(i, pa.compress(x.tobytes(), codec="zstd", asbytes=True))])
 
     schema = "block int, payload binary"
     parts = min(64, max(1, (length + block - 1) // block))
     sums = df.mapInArrow(part, schema).repartition(parts, "block").mapInArrow(total, schema)
-    out = np.zeros(length, np.int64)
+    out = np.zeros(length, out_type)
     for r in sums.collect():
-        out[r.block * block:(r.block + 1) * block] = np.frombuffer(zlib.decompress(r.payload), np.int64)
+        out[r.block * block:(r.block + 1) * block] = opened(r.block, r.payload, out_type)
     return out
 
 
