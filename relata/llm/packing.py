@@ -10,54 +10,107 @@ cut there, and both pieces carry boundary records.  Nothing is shuffled.
 
 from __future__ import annotations
 
-import re
+import json
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relata.llm.common import checkpoint, text_bytes
+from relata.llm.common import checkpoint, gather, split_words
 
 WINDOW = 2048
 END_ID = 1
-CHUNK_CACHE = 300_000
-_SPACE = re.compile(rb"[ \t\n\r]+")
+#: Entries (chunks between white space, and words) that a task may remember.
+CACHE = 1_500_000
+# The tokenizer's own word pattern, and its special tokens' first characters.
+_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+_SPECIAL = "<|"
+_ENDS = frozenset(b".,;:!?")
 
 
 class _Chunks(dict):
-    """Chunk between white space -> its ids as little-endian uint32; emptied when full.
+    """Chunk between white space -> its ids as little-endian uint32.
 
-    The tokenizer never joins across white space, so a document's ids are its
-    chunks' ids in order.
+    The tokenizer never joins across white space, nor across words of its
+    pattern, so a document's ids are its words' ids in order.  Chunks with
+    letters beyond Latin, where the libraries' character tables could differ,
+    and chunks that may hold a special token are encoded whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
         self.tokenizer = Tokenizer.from_file(path)
-
-    def add(self, chunks: list[bytes]) -> None:
-        new = [c for c in dict.fromkeys(chunks) if c not in self]
-        if len(self) + len(new) > CHUNK_CACHE:
+        tokenizer = json.loads(self.tokenizer.to_str())
+        pattern = [x.get("pattern", {}).get("Regex") for x in (tokenizer.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        self.by_word = _WORD.pattern in pattern
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _encode(self, chunks: list[bytes]) -> None:
+        texts = [c.decode("utf-8", "replace") for c in chunks]
+        for c, e in zip(chunks, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            self[c] = array("I", e.ids).tobytes()
+
+    def _encode_words(self, words: list[bytes]) -> None:
+        """Words of the pattern, as one text: each ends at its only id that ends a word."""
+        for at in range(0, len(words), 10_000):
+            some = words[at:at + 10_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+            if len(ends) != len(some):
+                self._encode(some)
+                continue
+            packed, start = ids.tobytes(), 0
+            for w, end in zip(some, ends):
+                self[w], start = packed[start:end], end
+
+    def _words(self, c: bytes) -> tuple[bytes, ...] | None:
+        """The chunk's words in lower case; None for a chunk that is encoded whole."""
+        if c.isalpha():  # of bytes: ASCII letters only
+            return (c.lower(),)
+        if c[-1] in _ENDS and c[:-1].isalpha():
+            return (c[:-1].lower(), c[-1:])
+        text = c.decode("utf-8", "replace")
+        if _SPECIAL in text or max(text) >= "\u0250":
+            return None
+        text = text.lower()  # below U+0250 this is all that the tokenizer's normalizer does
+        if text.isalpha():
+            return (text.encode(),)
+        if text[-1] in ".,;:!?" and text[:-1].isalpha():
+            return (text[:-1].encode(), c[-1:])
+        return tuple(w.encode() for w in _WORD.findall(text))
+
+    def _add(self, chunks: list[bytes]) -> None:
+        if not self.by_word:
+            return self._encode(chunks)
+        split = [(c, self._words(c)) for c in chunks]
+        self._encode([c for c, ws in split if ws is None])
+        self._encode_words(list({w for _, ws in split if ws for w in ws if w not in self}))
+        for c, ws in split:
+            if ws is not None:
+                self[c] = self[ws[0]] if len(ws) == 1 else b"".join([self[w] for w in ws])
+
+    def ids(self, batch: pa.RecordBatch, column: str) -> list[bytes]:
+        """The ids of whole texts (null: none)."""
+        chunks, index, counts = split_words(batch, column)
+        new = [c for c in chunks if c and c not in self]
+        if len(self) + len(new) > CACHE:
             self.clear()
-            new = list(dict.fromkeys(chunks))
-        if new:
-            texts = [c.decode("utf-8", "replace") for c in new]
-            for c, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                self[c] = np.array(e.ids, "<u4").tobytes()
-
-    def ids(self, raw: bytes | None) -> bytes:
-        chunks = [c for c in _SPACE.split(raw) if c] if raw else []
-        out = []
-        for at in range(0, len(chunks), 100_000):
-            some = chunks[at:at + 100_000]
-            self.add(some)
-            out.append(b"".join([self[c] for c in some]))
-        return b"".join(out)
+            new = [c for c in chunks if c]
+        self._add(new)
+        ids, sizes = gather([self[c] if c else b"" for c in chunks], index, "<u4")
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
+        return [ids[lo:hi].tobytes() for lo, hi in zip([0, *ends[:-1]], ends)]
 
 
 _caches: dict[str, _Chunks] = {}
@@ -95,12 +148,12 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks, part, pos = chunks_of(path), TaskContext.get().partitionId(), 0
         for b in batches:
-            for at in range(0, b.num_rows, 512):
-                c = b.slice(at, 512)
-                ids = [chunks.ids(raw) + end for raw in text_bytes(c, "text")]
+            for at in range(0, b.num_rows, 4096):
+                c = b.slice(at, 4096)
+                ids = [x + end for x in chunks.ids(c, "text")]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * len(ids), pa.int32()), pa.array(range(pos, pos + len(ids)), pa.int64()), c.column(0),
-                     pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.compress(x, 1) for x in ids], pa.binary())],
+                     pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in ids], pa.binary())],
                     names=["part", "pos", "doc_id", "n", "ids"])
                 pos += len(ids)
 
@@ -118,7 +171,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
             for part, pos, doc, n, packed in zip(*(c.to_pylist() for c in b.columns)):
                 if at is None or pos == 0:
                     at = place[part]
-                ids, start = zlib.decompress(packed), 0
+                ids, start = pa.decompress(packed, 4 * n, codec="zstd", asbytes=True), 0
                 while start < n:
                     take = min(window - at % window, n - start)
                     piece = ids[4 * start:4 * (start + take)]
