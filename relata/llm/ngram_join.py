@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 
 from relata.llm.common import checkpoint, components, dense_sum, split_words
 
-#: The n-gram frequency table has 2^24 counters, one byte each (eight steps to a doubling): 16 MB for
+#: The n-gram frequency table has 2^23 counters, one byte each (eight steps to a doubling): 8 MB for
 #: every task, whatever the corpus.  The order they give is a heuristic; results do not depend on it.
-COUNTERS_BITS = 24
+COUNTERS_BITS = 23
 #: Bits of the filter that tells which documents' sets are needed: 128 kB for every task.
 FILTER_BITS = 20
 

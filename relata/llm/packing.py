@@ -27,14 +27,30 @@ from relata.llm.common import checkpoint, gather, split_words
 
 WINDOW = 2048
 END_ID = 1
-#: Entries (chunks between white space, and words) that a task may remember.
-CACHE = 1_500_000
+#: Entries (chunks between white space, and words) that a task may remember; they go when it ends.
+CACHE = 500_000
 # The tokenizer's own word pattern, and its special tokens' first characters.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _SPECIAL = "<|"
 _ENDS = frozenset(b".,;:!?")
 
 
+_loaded: dict[str, tuple] = {}
+
+
+def _load(path: str) -> tuple:
+    """The tokenizer, whether it splits by the word pattern, and which ids end a word."""
+    from tokenizers import Tokenizer
+
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
+    tokenizer = Tokenizer.from_file(path)
+    steps = (json.loads(tokenizer.to_str()).get("pre_tokenizer") or {}).get("pretokenizers", [])
+    vocabulary = tokenizer.get_vocab()
+    ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+    ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+    return tokenizer, _WORD.pattern in [x.get("pattern", {}).get("Regex") for x in steps], ends_word
+
+
 class _Chunks(dict):
     """Chunk between white space -> its ids as little-endian uint32.
 
@@ -45,16 +61,9 @@ class _Chunks(dict):
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
-        self.tokenizer = Tokenizer.from_file(path)
-        tokenizer = json.loads(self.tokenizer.to_str())
-        pattern = [x.get("pattern", {}).get("Regex") for x in (tokenizer.get("pre_tokenizer") or {}).get("pretokenizers", [])]
-        self.by_word = _WORD.pattern in pattern
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        if path not in _loaded:
+            _loaded[path] = _load(path)
+        self.tokenizer, self.by_word, self.ends_word = _loaded[path]
 
     def _encode(self, chunks: list[bytes]) -> None:
         texts = [c.decode("utf-8", "replace") for c in chunks]
@@ -113,15 +122,6 @@ class _Chunks(dict):
         return [ids[lo:hi].tobytes() for lo, hi in zip([0, *ends[:-1]], ends)]
 
 
-_caches: dict[str, _Chunks] = {}
-
-
-def chunks_of(path: str) -> _Chunks:
-    if path not in _caches:
-        _caches[path] = _Chunks(path)
-    return _caches[path]
-
-
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -146,10 +146,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     end = np.array([end_id], "<u4").tobytes()
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, part, pos = chunks_of(path), TaskContext.get().partitionId(), 0
+        chunks, part, pos = _Chunks(path), TaskContext.get().partitionId(), 0
         for b in batches:
-            for at in range(0, b.num_rows, 4096):
-                c = b.slice(at, 4096)
+            for at in range(0, b.num_rows, 2048):
+                c = b.slice(at, 2048)
                 ids = [x + end for x in chunks.ids(c, "text")]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * len(ids), pa.int32()), pa.array(range(pos, pos + len(ids)), pa.int64()), c.column(0),

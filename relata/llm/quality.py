@@ -50,7 +50,7 @@ def _entry(token: str) -> int:
 
 
 class _Chunks(dict):
-    """White-space separated chunk -> its entries as packed int32; emptied when full.
+    """White-space separated chunk -> its entries as packed int32; each task has its own, emptied when full.
 
     A word gives its lower-case form; a run of capitals and a run of
     punctuation give an entry each.
@@ -68,13 +68,12 @@ class _Chunks(dict):
         return packed
 
 
-_chunks = _Chunks()
 _REPEAT = np.array([_entry("\x00repeat")], np.int32).tobytes()
 
 
-def word_entries(raw: bytes | None) -> np.ndarray:
+def word_entries(raw: bytes | None, chunks: _Chunks) -> np.ndarray:
     """The entries of a whole text in order (empty for null); a chunk equal to the one before adds an entry for that."""
-    packed = [_chunks[c] for c in raw.split()] if raw else []
+    packed = [chunks[c] for c in raw.split()] if raw else []
     for i in [i for i, (a, b) in enumerate(zip(packed, packed[1:]), 1) if a == b]:
         packed[i] += _REPEAT
     return np.frombuffer(b"".join(packed), np.int32)
@@ -90,11 +89,11 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
 def context_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     """Context vectors of all entries, summed over every document."""
     at, sign = index_vectors()
-    width = BUCKETS * DIM
+    width, chunks = BUCKETS * DIM, _Chunks()  # travels empty to each task
 
     def add(batch: pa.RecordBatch, acc: np.ndarray) -> None:
         gap = np.full(WINDOW, -1, np.int32)
-        parts = [x for raw in text_bytes(batch, text) for x in (word_entries(raw), gap)]
+        parts = [x for raw in text_bytes(batch, text) for x in (word_entries(raw, chunks), gap)]
         ids = np.concatenate(parts or [gap]).astype(np.int64)
         for lo in range(0, len(ids), 1 << 20):
             x = ids[lo:lo + (1 << 20) + WINDOW]
@@ -213,8 +212,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = [pooled(word_entries(raw), shared.value) for raw in text_bytes(b, "text")]
+        chunks = _Chunks()
+        for b in (big.slice(at, 512) for big in batches for at in range(0, big.num_rows, 512)):
+            rows = [pooled(word_entries(raw, chunks), shared.value) for raw in text_bytes(b, "text")]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
@@ -234,9 +234,9 @@ def score(docs: DataFrame, model: QualityModel, column: str = "score", text: str
     schema = T.StructType(docs.schema.fields + [T.StructField(column, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in batches:
-            x = [pooled(word_entries(raw), m.vectors) for raw in text_bytes(b, text)]
+        m, chunks = shared.value, _Chunks()
+        for b in (big.slice(at, 512) for big in batches for at in range(0, big.num_rows, 512)):
+            x = [pooled(word_entries(raw, chunks), m.vectors) for raw in text_bytes(b, text)]
             s = m.scores(np.array(x)) if x else np.empty(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, column])
 
