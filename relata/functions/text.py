@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Letters without a canonical decomposition, mapped the way the
-# reference's database-side accent stripping maps them.
+# Letters without a canonical decomposition, mapped the way
+# database-side accent stripping maps them.
 # ligatures (one letter -> two letters): œ oe, Œ OE, æ ae, Æ AE, ß ss
 LIGATURES = {"œ": "oe", "Œ": "OE", "æ": "ae", "Æ": "AE", "ß": "ss"}
 # single letters: ø o, Ø O, đ d, Đ D, ł l, Ł L, ħ h, Ħ H, ŧ t, Ŧ T, ı i
@@ -58,23 +59,19 @@ def unaccent(c: Column) -> Column:
     return out
 
 
+def literal_underscores(v: str) -> str:
+    """Escape the underscores that are not escaped yet, so that LIKE reads them as themselves."""
+    return re.sub(r"(?<!\\)_", r"\\_", v)
+
+
 def like_value(v: str) -> str:
-    """Value rule of like/ilike (F8): without ``%`` wrap in ``%...%`` and escape ``_``."""
-    if "%" not in v:
-        v = f"%{v}%"
-        if "_" in v and "\\_" not in v:
-            v = v.replace("_", "\\_")
-    return v
+    """The pattern of like/ilike (F8): a value with ``%`` is one already, any other is searched for anywhere."""
+    return v if "%" in v else f"%{literal_underscores(v)}%"
 
 
 def search_words(v: str) -> list[str]:
-    """Words of a ``~`` search (F9): unaccented, split on single spaces, ``_`` escaped."""
-    words = []
-    for w in unaccent_py(v).split(" "):
-        if "_" in w and "\\_" not in w:
-            w = w.replace("_", "\\_")
-        words.append(w)
-    return words
+    """The words of a ``~`` search (F9), without accents."""
+    return [literal_underscores(word) for word in unaccent_py(v).split(" ")]
 
 
 def contains_all_words(c: Column, value: str) -> Column:
@@ -162,7 +159,7 @@ def split_list(c: Column, sep: str = ",") -> Column:
 
 def capitalise(c: Column) -> Column:
     """First letter upper case, rest unchanged."""
-    return F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 1 << 30))
+    return F.concat(F.upper(F.substring(c, 1, 1)), F.substr(c, F.lit(2)))
 
 
 def human_number(c: Column) -> Column:

@@ -20,11 +20,20 @@ SPARK_TYPES = {
 }
 
 
+#: What a value must look like before it is cast: casts alone take suffixes (12d) and parts of dates (2020-01).
+FORMS = {
+    "integer": r"^[+-]?[0-9]+$",
+    "number": r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$",
+    "date": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$",
+    "datetime": r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}([T ][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?$",
+}
+
+
 def fits_type(c: Column, kind: str) -> Column:
     """True when text ``c`` converts to ``kind`` (E1); NULL input fits; never raises; unknown type is false."""
     t = F.trim(c)
-    if kind in ("integer", "number", "date", "datetime"):
-        ok = t.try_cast(SPARK_TYPES[kind]).isNotNull()
+    if kind in FORMS:
+        ok = t.rlike(FORMS[kind]) & t.try_cast(SPARK_TYPES[kind]).isNotNull()
     elif kind == "boolean":
         ok = F.lower(t).isin("true", "t", "false", "f", "yes", "y", "no", "n", "1", "0", "on", "off")
     elif kind == "string":

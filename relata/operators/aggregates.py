@@ -58,9 +58,8 @@ def key_conflicts(df: DataFrame, unique: list[str], cols: list[str], line: str =
     rows = df.join(keys, _ns_cond(df, keys, unique), "left_semi")
     prof = rows.groupBy(*unique).agg(F.count(F.lit(1)).alias("nb_lines"))
     firsts = first_lines(rows, unique, line)
-    return prof.join(bad, _ns_cond(prof, bad, unique)).select(
-        *[prof[u] for u in unique], "nb_lines", "nb_distinct"
-    ).join(firsts, unique, "left")
+    out = prof.join(bad, _ns_cond(prof, bad, unique)).select(*[prof[u] for u in unique], "nb_lines", "nb_distinct")
+    return out.join(firsts, _ns_cond(out, firsts, unique), "left").drop(*[firsts[u] for u in unique])
 
 
 def _ns_cond(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:

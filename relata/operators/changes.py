@@ -68,8 +68,13 @@ def apply_changes(table: DataFrame, changes: DataFrame, key: list[str], writable
     ``changes`` has the table's columns plus ``op`` in ('insert', 'update',
     'delete').  Updates only touch ``writable`` columns and only when a value
     differs; deletes match the whole key; inserts of existing keys become
-    updates.  One full outer join.
+    updates.  Of several changes of one key one counts: a delete before an
+    update before an insert, then the greatest values.  One full outer join.
     """
+    weight = F.when(F.col("op") == "delete", 3).when(F.col("op") == "update", 2).otherwise(1)
+    whole = F.struct(*[F.col(c) for c in changes.columns])
+    changes = changes.groupBy(*[F.col(k).alias(f"__k_{k}") for k in key]).agg(
+        F.max_by(whole, F.struct(weight, F.to_json(whole))).alias("__change")).select("__change.*")
     cols = [c for c in table.columns]
     writable = writable or [c for c in cols if c not in key]
     ch = changes.select(*[F.col(c).alias(f"__n_{c}") for c in changes.columns if c != "op"], F.col("op").alias("__op"))

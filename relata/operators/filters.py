@@ -21,7 +21,9 @@ without rows become a plain semi join of the filtered child rows.
 
 from __future__ import annotations
 
-from collections import defaultdict
+import re
+from collections import defaultdict, deque
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -32,8 +34,15 @@ from relata.catalog import Catalog, Relation, col_name, qcol, with_computed
 from relata.functions.text import contains_all_words, like_value, unaccent
 from relata.operators.relations import KEY, attach_to_one, child_frame, prefix_name
 
+# The names of the comparison operators, and the symbols between conditions.
 REGISTERED = ["=", "<", ">", ">=", "<=", "like", "ilike", "in", "~", "dwithin", "bbox", "any"]
 STRUCTURED_ONLY = ["!="]
+AND, OR, NOT, OPEN, CLOSE = "*|![]"
+
+_OPERATORS = "|".join(re.escape(op) for op in sorted(REGISTERED, key=len, reverse=True))
+# field, operator, value: the shortest field wins, so the first operator in the text counts
+_CONDITION = re.compile(rf"(?P<field>.*?\S.*?) (?P<type>{_OPERATORS})(?: (?P<value>.*))?", re.S)
+_EXISTS = re.compile(r"has_(?P<field>\S+)")
 
 
 class FilterSyntaxError(ValueError):
@@ -41,99 +50,76 @@ class FilterSyntaxError(ValueError):
 
 
 # ---------------------------------------------------------------- parsing
-def parse_item(s: str):
-    if s in ("*", "|", "!", "[", "]"):
-        return s
-    if s.strip() == "" or set(s) <= set("*|![] "):
-        raise FilterSyntaxError(f"bad filter item {s!r}")
-    if s.startswith("has_"):
-        return {"field": s[4:], "type": "any"}
-    if s.count(" ") == 1:
-        s = s + " "
-    best, best_op = None, None
-    for op in REGISTERED:
-        i = s.find(f" {op} ")
-        if i < 0:
-            continue
-        if best is None or i < best or (i == best and len(op) > len(best_op)):
-            best, best_op = i, op
-    if best_op is None:
-        raise FilterSyntaxError(f"no operator in filter item {s!r}")
-    value = s[best + len(best_op) + 2 :]
-    item = {"field": s[:best], "type": best_op, "value": value}
-    if best_op == "in":
-        item["value"] = value.split(";")
-    return item
+def parse_item(text: str):
+    """One item of the string form: a symbol as it is, or a condition as a record."""
+    if text in (AND, OR, NOT, OPEN, CLOSE):
+        return text
+    if m := _EXISTS.fullmatch(text):
+        return {"field": m["field"], "type": "any"}
+    m = _CONDITION.fullmatch(text)
+    if m is None:
+        raise FilterSyntaxError(f"filter item {text!r} is not of the form 'field operator value'")
+    value = m["value"] or ""
+    return {"field": m["field"], "type": m["type"], "value": value.split(";") if m["type"] == "in" else value}
 
 
 def parse_filters(spec) -> list:
-    """String or list of strings -> nested token list."""
+    """String or list of items -> tokens, groups as nested lists."""
     if not spec:
         return []
-    items = spec.split(",") if isinstance(spec, str) else list(spec)
-    out, i = [], 0
-    while i < len(items):
-        tok = parse_item(items[i]) if isinstance(items[i], str) else items[i]
-        if tok == "[":
-            depth, j = 0, i + 1
-            while j < len(items):
-                if items[j] == "[":
-                    depth += 1
-                elif items[j] == "]":
-                    if depth == 0:
-                        break
-                    depth -= 1
-                j += 1
-            else:
-                raise FilterSyntaxError(f"missing ] in {','.join(map(str, items[i:]))}")
-            out.append(parse_filters(items[i + 1 : j]))
-            i = j + 1
-        elif tok == "]":
-            raise FilterSyntaxError(f"unmatched ] in {','.join(map(str, items))}")
-        else:
-            out.append(tok)
-            i += 1
-    return out
+    return _group(iter(spec.split(",") if isinstance(spec, str) else spec), inside=False)
+
+
+def _group(items: Iterator, inside: bool) -> list:
+    """Tokens up to the bracket that closes this group, or to the end of the items."""
+    tokens = []
+    for item in items:
+        token = parse_item(item) if isinstance(item, str) else item
+        if token == CLOSE:
+            if inside:
+                return tokens
+            raise FilterSyntaxError("a closing bracket has no opening one")
+        tokens.append(_group(items, inside=True) if token == OPEN else token)
+    if inside:
+        raise FilterSyntaxError("an opening bracket has no closing one")
+    return tokens
 
 
 def to_ast(tokens):
-    """Token list -> AST of ('and'|'or', a, b), ('not', a), ('atom', dict)."""
-    if isinstance(tokens, str):
-        tokens = parse_filters(tokens)
+    """Tokens -> AST of ('and'|'or', a, b), ('not', a), ('atom', dict); None if there are none.
+
+    expression = operand, { [ "*" | "|" ], operand };  operand = { "!" }, ( condition | group ).
+    Expressions associate to the left, without precedence.
+    """
     if isinstance(tokens, dict):
         tokens = [tokens]
-    cur, ops = None, []
-    for elem in tokens:
+    elif isinstance(tokens, str):
+        tokens = parse_filters(tokens)
+    tree, rest = None, deque(tokens)
+    while rest:
+        joined = "and"
+        if tree is not None and rest[0] in (AND, OR):
+            joined = "and" if rest.popleft() == AND else "or"
+        operand = _operand(rest)
+        tree = operand if tree is None else (joined, tree, operand)
+    return tree
+
+
+def _operand(rest: deque):
+    negations = 0
+    while rest and rest[0] == NOT:
+        rest.popleft()
+        negations += 1
+    token = rest.popleft() if rest else None
+    if isinstance(token, dict):
+        node = ("atom", {**token, "field": str(token["field"]).strip()})
+    elif isinstance(token, (list, tuple)) or (isinstance(token, str) and token not in (AND, OR)):
+        node = to_ast(token)
+    else:
         node = None
-        if isinstance(elem, list):
-            node = to_ast(elem)
-        elif isinstance(elem, dict):
-            node = ("atom", dict(elem, field=str(elem["field"]).strip()))
-        elif elem in ("!", "|", "*"):
-            if elem == "!" and ops and ops[-1] == "!":
-                ops.pop()
-            else:
-                if elem != "!" and ops and ops[-1] != "!":
-                    raise FilterSyntaxError("two binary operators in a row")
-                if elem != "!" and cur is None:
-                    raise FilterSyntaxError(f"operator {elem} without a left operand")
-                ops.append(elem)
-        elif isinstance(elem, str):
-            node = to_ast(parse_filters(elem))
-        else:
-            raise FilterSyntaxError(f"bad filter element {elem!r}")
-        if node is not None:
-            op = ops.pop() if ops else "*"
-            if op == "!":
-                node = ("not", node)
-                op = ops.pop() if ops else "*"
-            if cur is None:
-                cur = node
-            else:
-                cur = ("and" if op == "*" else "or", cur, node)
-    if ops:
-        raise FilterSyntaxError(f"dangling operator(s) {ops}")
-    return cur
+    if node is None:
+        raise FilterSyntaxError(f"a condition or a group is expected in place of {token!r}")
+    return ("not", node) if negations % 2 else node
 
 
 def atoms_of(ast) -> list[dict]:
@@ -161,18 +147,27 @@ def typed_literal(v, dtype: T.DataType) -> Column:
     return F.lit(str(v)).try_cast(dtype)
 
 
+def _same_as_text(values: list, dtype: T.DataType) -> bool:
+    """Whether comparing whole numbers gives what comparing their text would (and can be pushed down)."""
+    bits = {T.IntegerType: 31, T.LongType: 63}.get(type(dtype))
+    return bool(bits and values) and all(
+        re.fullmatch(r"0|-?[1-9][0-9]{0,18}", str(v)) and -(1 << bits) <= int(v) < 1 << bits for v in values)
+
+
 def atom_column(c: Column, dtype: T.DataType, item: dict, geo_ctx=None) -> Column:
     """Column for one comparison on column ``c`` of type ``dtype``."""
     t, v = item["type"], item.get("value")
     if t == "=":
         return c.isNull() if v is None else c == typed_literal(v, dtype)
     if t == "!=":
-        return c.cast("string") != F.lit(str(v))
+        return c != F.lit(str(v)).cast(dtype) if _same_as_text([v], dtype) else c.cast("string") != F.lit(str(v))
     if t in ("<", "<=", ">", ">="):
         lit = typed_literal(v, dtype)
         return {"<": c < lit, "<=": c <= lit, ">": c > lit, ">=": c >= lit}[t]
     if t == "in":
         vals = v if isinstance(v, list) else str(v).split(";")
+        if _same_as_text(vals, dtype):
+            return c.isin([int(x) for x in vals])
         return c.cast("string").isin([str(x) for x in vals])
     if t in ("like", "ilike"):
         target = unaccent(c.cast("string"))

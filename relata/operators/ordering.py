@@ -14,6 +14,7 @@ No operator here funnels the whole input through one partition:
 
 from __future__ import annotations
 
+import re
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, Window
@@ -28,25 +29,21 @@ from relata.operators.relations import attach_to_one, child_frame, prefix_name,
 # merges them in one task: partitions x (offset+size) rows.  Above this many merged rows the page
 # is cut from global row numbers instead (a distributed path).
 DEEP_PAGE_ROWS = 2_000_000
+LETTERS_FIRST, DIGITS_FIRST = "letters first", "digits first"
+
+
+_SORT_MARK = re.compile(r"[-+*%]")
 
 
 def parse_sort(spec) -> list[tuple[str, bool, str | None]]:
-    """``"a,b-,c*"`` -> [(field, descending, natural kind)]."""
-    if not spec:
-        return []
-    toks = spec.split(",") if isinstance(spec, str) else list(spec)
-    out = []
-    for t in toks:
-        t = t.strip()
-        if not t:
-            continue
-        desc = "-" in t
-        kind = "str_num" if "*" in t else ("num_str" if "%" in t else None)
-        f = t
-        for ch in "+-%*":
-            f = f.replace(ch, "")
-        out.append((f.strip(), desc, kind))
-    return out
+    """``"a,b-,c*"`` -> [(field, descending, natural kind)]; marks may stand anywhere in a key."""
+    keys = []
+    for key in spec.split(",") if isinstance(spec, str) else spec or ():
+        field, marks = _SORT_MARK.sub("", key).strip(), set(_SORT_MARK.findall(key))
+        if field or marks:
+            natural = LETTERS_FIRST if "*" in marks else DIGITS_FIRST if "%" in marks else None
+            keys.append((field, "-" in marks, natural))
+    return keys
 
 
 def sort_columns(
@@ -98,7 +95,7 @@ def sort_columns(
             if last in sd.computed and last not in df.columns:
                 df = df.withColumn(last, sd.computed[last](df))
             c = qcol(last)
-        keys = natural_keys(c, nat == "str_num") if nat else [c]
+        keys = natural_keys(c, nat == LETTERS_FIRST) if nat else [c]
         for k in keys:
             name = f"__s{len(cols)}"
             df = df.withColumn(name, k)

@@ -331,12 +331,12 @@ def _rel_by_local(sd, col):
 
 
 def resolve_code(catalog: Catalog, df: DataFrame, col: str, code_type: str, out: str | None = None) -> DataFrame:
-    """Code-list resolution (J9, E23): code = value AND type = fixed type -> id.  The code list is fixed-size: broadcast."""
+    """Code-list resolution (J9, E23): code = value AND type = fixed type -> id.  Of several ids for one code the smallest counts."""
     out = out or col
     codes = catalog.frame("nomenclature").filter(F.col("type") == code_type).select(
         F.col("cd_nomenclature").alias(f"__cd_{out}"), F.col("id_nomenclature").alias(f"__id_{out}")
-    )
-    j = df.join(F.broadcast(codes), qcol(col).cast("string") == F.col(f"__cd_{out}"), "left").drop(f"__cd_{out}")
+    ).groupBy(f"__cd_{out}").agg(F.min(f"__id_{out}").alias(f"__id_{out}"))
+    j = df.join(codes, qcol(col).cast("string") == F.col(f"__cd_{out}"), "left").drop(f"__cd_{out}")
     if out == col:
         j = j.drop(col)
     elif out in j.columns:
@@ -456,8 +456,8 @@ class ImportRun:
             col, user = self.spec.creator
             raw = raw.withColumn(col, F.lit(user))
         self.r.frames["raw"] = raw
-        # a parent's raw frame is a projection of the data: same row count, no job needed
-        self.r.res["nb_raw"] = self.r.res.get("nb_data") if "nb_data" in self.r.res else raw.count()
+        # without a row filter the raw frame is a projection of the data: same row count, no job needed
+        self.r.res["nb_raw"] = self.r.res["nb_data"] if "nb_data" in self.r.res and not self.spec.where else raw.count()
 
     def resolved(self) -> DataFrame:
         df = self.r.frames["raw"]
@@ -511,9 +511,7 @@ class ImportRun:
             dimf = self.cat.frame(fs.nn)
             if fs.code_type:
                 dimf = dimf.filter(F.col("type") == fs.code_type)
-            dim = dimf.select(F.col(tu).cast("string").alias("__code"), F.col(tsd.pk).alias("__link"))
-            if tsd.bounded:
-                dim = F.broadcast(dim)
+            dim = dimf.groupBy(F.col(tu).cast("string").alias("__code")).agg(F.min(tsd.pk).alias("__link"))
             links = ex.join(dim, "__code", "left")
             # read by the unresolved check, the update count and the link rebuild
             self.persist(f"nn_{c}", links)

@@ -832,7 +832,7 @@ def q_text_functions(spark, sf):
         json_of(["c_mktsegment", "nation"]).alias("extras"),
         classify([(F.col("c_mktsegment").like("M%"), "m"), (F.col("c_acctbal") < 0, "neg")], "other").alias("klass"),
         F.regexp_replace("c_name", "[0-9]+", "N").alias("masked"),
-        F.substring("c_name", 9, 1 << 20).alias("tail"),
+        F.substr("c_name", F.lit(9)).alias("tail"),
         F.coalesce(F.nullif(F.col("c_mktsegment"), F.lit("BUILDING")), F.lit("B")).alias("seg"),
     )
 

@@ -43,6 +43,9 @@ def latest_snapshot(spark: SparkSession, state: str) -> DataFrame | None:
 def process_file(spark: SparkSession, catalog: Catalog, spec: ImportSpec, path: str, state: str, run_id: int,
                  initial: DataFrame) -> dict:
     """Import one staged file against the latest snapshot; record the run (PROCESSING, then DONE or ERROR)."""
+    done = os.path.join(state, "table", f"run={run_id}", "_SUCCESS")
+    if fs.exists(spark, done):  # a replayed batch: this run's snapshot is complete
+        return {"run_id": run_id, "file": path, "status": "DONE", "res": {}}
     spark.createDataFrame([(run_id, path, "PROCESSING", None, "{}", "{}")], RUN_SCHEMA).write.mode("append").parquet(
         os.path.join(state, "runs"))
     target = latest_snapshot(spark, state)
@@ -56,9 +59,15 @@ def process_file(spark: SparkSession, catalog: Catalog, spec: ImportSpec, path:
             r.errors.withColumn("run_id", F.lit(run_id)).withColumn("file", F.lit(path)).write.mode("append").parquet(
                 os.path.join(state, "errors"))
         if status == "DONE" and r.table is not None:
-            r.table.write.mode("errorifexists").parquet(os.path.join(state, "table", f"run={run_id}"))
+            for kind, frames in (("links", r.links), ("children", r.children)):
+                for name, frame in frames.items():
+                    frame.write.mode("overwrite").parquet(os.path.join(state, kind, str(name), f"run={run_id}"))
+            # last: a snapshot with _SUCCESS means that the whole run is stored
+            r.table.write.mode("overwrite").parquet(os.path.join(state, "table", f"run={run_id}"))
     except StageError as e:
         status, last, res, steps = "ERROR", "data_table", {"error": e.code}, {}
+    except Exception as e:  # one bad file must not stop the files after it
+        status, last, res, steps = "ERROR", None, {"error": type(e).__name__, "message": str(e)[:500]}, {}
     rec = (run_id, path, status, last, json.dumps(res, default=str), json.dumps(steps))
     spark.createDataFrame([rec], RUN_SCHEMA).write.mode("append").parquet(os.path.join(state, "runs"))
     return {"run_id": run_id, "file": path, "status": status, "res": res}
