@@ -16,6 +16,7 @@ DataFrame operations only.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -28,8 +29,10 @@ FEATURES = 4096
 #: At most this many labelled documents are counted, lowest id hash first.
 MAX_TRAIN = 20_000
 SHARPNESS = 8
-ROUNDS = 60
-TOLERANCE = 1e-7
+ROUNDS = 100
+#: The fit ends at this loss per token, or when a step lowers the loss by less than this part.
+TOLERANCE = 1e-12
+STALL = 1e-4
 
 
 def _words(text: Column) -> Column:
@@ -110,11 +113,14 @@ def fit_rates(members: DataFrame, weights: list[float], least: float = 0.0, tota
     fitted = members.withColumn("rate", F.greatest(F.lit(1.0), F.lit(float(least))))
     if not any(now):
         return fitted
+    last = math.inf
     for step in range(1, ROUNDS + 1):
         got = totals(fitted, F.col("rate"))
         pull = [(g - s * total) / t if t > 0 else 0.0 for g, s, t in zip(got, share, now)]
-        if max(abs(p) * t for p, t in zip(pull, now)) <= TOLERANCE * total:
+        loss = sum(p * p * t for p, t in zip(pull, now))
+        if loss <= TOLERANCE * total or last - loss <= STALL * loss:
             break
+        last = loss
         move = reduce(lambda a, b: a + b, (F.col(f"p{i}") * F.lit(p) for i, p in enumerate(pull)))
         fitted = fitted.withColumn("rate", F.greatest(F.col("rate") - move, F.lit(float(least))))
         if step % 10 == 0:
