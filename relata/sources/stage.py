@@ -41,7 +41,9 @@ def stage_csv(spark: SparkSession, path: str, delimiter: str | None = None, mult
     """Read a delimited file as all-text columns plus ``id_import``.
 
     Only the header line reaches the driver.  ``multiline`` must be set for
-    files with quoted line breaks (such files cannot be split).
+    files with quoted line breaks (such files cannot be split); without it
+    they are refused.  So are files with lines that have fewer or more cells
+    than the header: the error names the first of them.
     """
     if not path.lower().endswith((".csv", ".tsv", ".txt")):
         raise StageError("ERR_IMPORT_DATA_FILE_TYPE_NOT_FOUND", f"unsupported file type: {path}")
@@ -54,12 +56,21 @@ def stage_csv(spark: SparkSession, path: str, delimiter: str | None = None, mult
     sep = delimiter or detect_delimiter(header)
     raw_names = _split_header(header, sep)
     names = [normalise_header(n) for n in raw_names]
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
+    if not multiline:  # quotes come in pairs on a line unless a quoted cell goes on in the next one
+        text = spark.read.text(path).filter(F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2)) == 1)
+        if text.limit(1).collect():
+            raise StageError("ERR_IMPORT_DATA_LINE_BREAK", f"quoted line break in {path}; stage it with multiline=True")
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("_malformed", T.StringType())])
     df = (
         spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
-        .option("multiLine", multiline).option("mode", "PERMISSIVE").schema(schema).csv(path)
+        .option("multiLine", multiline).option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", "_malformed").option("columnPruning", False).schema(schema).csv(path)
     )
-    df = df.toDF(*names)
+    uneven = line_numbers(df).filter(F.col("_malformed").isNotNull()).select("id_import", "_c0").orderBy("id_import").limit(5).collect()
+    if uneven:
+        lines = ", ".join(str(r.id_import) for r in uneven)
+        raise StageError("ERR_IMPORT_DATA_LINE_CELLS", f"lines {lines} do not have {len(names)} cells: {path}")
+    df = df.drop("_malformed").toDF(*names)
     df = blank_to_null(df)
     return line_numbers(df).select("id_import", *[F.col(f"`{n}`") for n in names])
 
