@@ -27,8 +27,8 @@ from relata.llm.common import checkpoint, gather, split_words
 
 WINDOW = 2048
 END_ID = 1
-#: Entries (chunks between white space, and words) that a task may remember; they go when it ends.
-CACHE = 500_000
+#: Entries (chunks between white space, and words) that a Python worker remembers, about 170 MB; emptied when full.
+CACHE = 800_000
 # The tokenizer's own word pattern, and its special tokens' first characters.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _SPECIAL = "<|"
@@ -38,8 +38,10 @@ _ENDS = frozenset(b".,;:!?")
 _loaded: dict[str, tuple] = {}
 
 
-def _load(path: str) -> tuple:
+def _tokenizer(path: str) -> tuple:
     """The tokenizer, whether it splits by the word pattern, and which ids end a word."""
+    if path in _loaded:
+        return _loaded[path]
     from tokenizers import Tokenizer
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task for each core
@@ -48,7 +50,8 @@ def _load(path: str) -> tuple:
     vocabulary = tokenizer.get_vocab()
     ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
     ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-    return tokenizer, _WORD.pattern in [x.get("pattern", {}).get("Regex") for x in steps], ends_word
+    _loaded[path] = tokenizer, _WORD.pattern in [x.get("pattern", {}).get("Regex") for x in steps], ends_word
+    return _loaded[path]
 
 
 class _Chunks(dict):
@@ -61,9 +64,7 @@ class _Chunks(dict):
     """
 
     def __init__(self, path: str):
-        if path not in _loaded:
-            _loaded[path] = _load(path)
-        self.tokenizer, self.by_word, self.ends_word = _loaded[path]
+        self.tokenizer, self.by_word, self.ends_word = _tokenizer(path)
 
     def _encode(self, chunks: list[bytes]) -> None:
         texts = [c.decode("utf-8", "replace") for c in chunks]
@@ -109,8 +110,8 @@ class _Chunks(dict):
             if ws is not None:
                 self[c] = self[ws[0]] if len(ws) == 1 else b"".join([self[w] for w in ws])
 
-    def ids(self, batch: pa.RecordBatch, column: str) -> list[bytes]:
-        """The ids of whole texts (null: none)."""
+    def ids(self, batch: pa.RecordBatch, column: str, kind: str = "<u4") -> list[bytes]:
+        """The ids of whole texts (null: none), packed as ``kind``."""
         chunks, index, counts = split_words(batch, column)
         new = [c for c in chunks if c and c not in self]
         if len(self) + len(new) > CACHE:
@@ -118,10 +119,13 @@ class _Chunks(dict):
             new = [c for c in chunks if c]
         self._add(new)
         ids, sizes = gather([self[c] if c else b"" for c in chunks], index, "<u4")
-        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)]
+        ends, ids = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)], ids.astype(kind)
         return [ids[lo:hi].tobytes() for lo, hi in zip([0, *ends[:-1]], ends)]
 
 
+_chunks: dict[str, _Chunks] = {}
+
+
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
@@ -143,17 +147,18 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     An empty table gives no rows.
     """
     path = tokenizer or public_tokenizer()
-    end = np.array([end_id], "<u4").tobytes()
+    kind = "<u2" if max(_tokenizer(path)[2].size, end_id) < 1 << 16 else "<u4"  # as stored between the passes
+    end, width = np.array([end_id], kind).tobytes(), np.dtype(kind).itemsize
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, part, pos = _Chunks(path), TaskContext.get().partitionId(), 0
+        chunks, part, pos = _chunks.setdefault(path, _Chunks(path)), TaskContext.get().partitionId(), 0
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 c = b.slice(at, 2048)
-                ids = [x + end for x in chunks.ids(c, "text")]
+                ids = [x + end for x in chunks.ids(c, "text", kind)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * len(ids), pa.int32()), pa.array(range(pos, pos + len(ids)), pa.int64()), c.column(0),
-                     pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in ids], pa.binary())],
+                     pa.array([len(x) // width for x in ids], pa.int64()), pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in ids], pa.binary())],
                     names=["part", "pos", "doc_id", "n", "ids"])
                 pos += len(ids)
 
@@ -171,7 +176,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
             for part, pos, doc, n, packed in zip(*(c.to_pylist() for c in b.columns)):
                 if at is None or pos == 0:
                     at = place[part]
-                ids, start = pa.decompress(packed, 4 * n, codec="zstd", asbytes=True), 0
+                ids = np.frombuffer(pa.decompress(packed, width * n, codec="zstd"), kind).astype("<u4").tobytes()
+                start = 0
                 while start < n:
                     take = min(window - at % window, n - start)
                     piece = ids[4 * start:4 * (start + take)]
