@@ -120,11 +120,9 @@ class Catalog:
         self._frames[code] = df
 
     def dim(self, code: str, columns: list[str]) -> DataFrame:
-        """Columns of an object's table, broadcast-hinted only when the table is a fixed-size code list."""
-        sd = self.schema(code)
+        """Columns of an object's table; how it is joined is left to the planner and its size check."""
         df = with_computed(self, code, self.frame(code), columns)
-        df = df.select(*dict.fromkeys(columns))
-        return F.broadcast(df) if sd.bounded else df
+        return df.select(*dict.fromkeys(columns))
 
     # ------------------------------------------------------------------ paths
     def split_path(self, code: str, path: str) -> tuple[list[Relation], str | None]:

@@ -90,7 +90,9 @@ def natural_keys(c: Column, letters_first: bool = True) -> list[Column]:
     """Natural-sort keys (O2/O3): leading letters run, digits run as a number, raw value."""
     s = c.cast("string")
     letters = F.regexp_substr(s, F.lit("[a-zA-Z]+"))
-    number = F.regexp_substr(s, F.lit("[0-9]+")).try_cast("decimal(38,0)")
+    digits = F.regexp_replace(F.regexp_substr(s, F.lit("[0-9]+")), "^0+(?=[0-9])", "")
+    # numbers of any length compare as text once their number of digits stands before them
+    number = F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)
     keys = [letters, number] if letters_first else [number, letters]
     return keys + [c]
 
@@ -141,7 +143,7 @@ def classify(cases: list[tuple[Column, object]], default=None) -> Column:
 
 def round_half_up(c: Column, scale: int = 0) -> Column:
     """Null-safe ``ROUND(x::NUMERIC)``, half away from zero."""
-    return F.round(c.cast("decimal(38,10)"), scale)
+    return F.round(c, scale)
 
 
 def explode_list(c: Column, sep: str = ",") -> Column:

@@ -21,10 +21,10 @@ def first_lines(df: DataFrame, by: list[str], line: str = "id_import", k: int =
 
 
 def value_profile(df: DataFrame, by: list[str], line: str = "id_import", k: int = FIRST_LINES) -> DataFrame:
-    """Grouped profile (A5): count and first ``k`` lines per value, most frequent first."""
+    """Grouped profile (A5): count and first ``k`` lines per value."""
     counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("nb_lines"))
     firsts = first_lines(df, by, line, k)
-    return counts.join(firsts, by, "left").orderBy(F.col("nb_lines").desc(), *by)
+    return counts.join(firsts, by, "left")
 
 
 def collapse(df: DataFrame, cols: list[str], line: str = "id_import") -> DataFrame:

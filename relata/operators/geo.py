@@ -219,22 +219,42 @@ def point_xy(g: Column) -> Column:
     return F.get(F.get(F.get(g["parts"], 0), 0), 0)
 
 
-def dist_m(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+#: Beyond this distance (m) the local formula of ``dist_m`` gives way to the one for long lines.
+LOCAL_M = 50_000
+
+
+def dist_m(x1: Column, y1: Column, x2: Column, y2: Column, reach: float | None = None) -> Column:
     """Distance in metres between lon/lat points.
 
-    Local ellipsoidal approximation (radii of curvature at the mean latitude
-    on WGS84): within 0.1 % of the geodesic for distances below ~50 km,
-    which is the range ``dwithin`` is used for.
+    Below 50 km a local ellipsoidal approximation (radii of curvature at the
+    mean latitude on WGS84, within 0.1 % of the geodesic), beyond it
+    Lambert's formula for long lines (some ten metres on thousands of
+    kilometres).  Longitudes go the short way round the antimeridian.
+    ``reach`` says that distances are only compared with that many metres;
+    within 50 km the cheap local formula then serves all rows.
     """
+    turn = F.when(F.abs(x2 - x1) > 180, x2 - x1 - F.signum(x2 - x1) * 360).otherwise(x2 - x1)
     e2 = WGS84_F * (2 - WGS84_F)
     phi = F.radians((y1 + y2) / 2)
     s2 = F.pow(F.sin(phi), 2)
     w = F.sqrt(1 - e2 * s2)
     m_rad = WGS84_A * (1 - e2) / (w * w * w)
     n_rad = WGS84_A / w
-    dx = F.radians(x2 - x1) * n_rad * F.cos(phi)
+    dx = F.radians(turn) * n_rad * F.cos(phi)
     dy = F.radians(y2 - y1) * m_rad
-    return F.sqrt(dx * dx + dy * dy)
+    near = F.sqrt(dx * dx + dy * dy)
+    if reach is not None and reach < LOCAL_M:
+        return near
+    b1, b2 = (F.atan((1 - WGS84_F) * F.tan(F.radians(y))) for y in (y1, y2))
+    mean, half = (b1 + b2) / 2, (b2 - b1) / 2
+    hav = F.pow(F.sin(half), 2) + F.cos(b1) * F.cos(b2) * F.pow(F.sin(F.radians(turn) / 2), 2)
+
+    def measure(arc):
+        flat = (arc - F.sin(arc)) * F.pow(F.sin(mean) * F.cos(half) / F.cos(arc / 2), 2) + (
+            arc + F.sin(arc)) * F.pow(F.cos(mean) * F.sin(half) / F.sin(arc / 2), 2)
+        return F.when(arc * WGS84_A < LOCAL_M, near).otherwise(WGS84_A * (arc - WGS84_F / 2 * flat))
+
+    return bind(2 * F.asin(F.sqrt(F.least(hav, F.lit(1.0)))), measure)
 
 
 def seg_dist(px: Column, py: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
@@ -425,10 +445,6 @@ def _cell(v: Column, size: float) -> Column:
     return F.floor(v / F.lit(size)).cast("long")
 
 
-def _neigh(c: Column, k: int) -> Column:
-    return F.sequence(c - k, c + k)
-
-
 def line_segments(lines: DataFrame, lid: str = "lid", line: str = "line") -> DataFrame:
     """One row per segment: lid, ax, ay, bx, by (a one-vertex line gives a zero-length segment)."""
     v = F.col(line)
@@ -438,8 +454,10 @@ def line_segments(lines: DataFrame, lid: str = "lid", line: str = "line") -> Dat
         "lid", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
 
 
-def segment_cell_rows(segs: DataFrame, size: float) -> DataFrame:
-    """Every grid cell a segment passes through (exact cover, with a hair of slack at cell borders).
+def segment_cell_rows(segs: DataFrame, size: float, around: int = 0) -> DataFrame:
+    """Every grid cell a segment passes through (exact cover, with a hair of slack at cell borders), once each.
+
+    ``around`` adds the cells up to that many cells away.
 
     Column by column along x: the segment's y-range inside the column gives
     the cells of that column.  Fan-out per segment = cells crossed, so it
@@ -447,37 +465,36 @@ def segment_cell_rows(segs: DataFrame, size: float) -> DataFrame:
     """
     eps = size * 1e-9
     x_lo, x_hi = F.least("ax", "bx"), F.greatest("ax", "bx")
-    cols = segs.select("*", F.explode(F.sequence(_cell(x_lo - eps, size), _cell(x_hi + eps, size))).alias("cx"))
-    x0 = F.greatest(F.col("cx") * F.lit(size), F.least("ax", "bx"))
-    x1 = F.least((F.col("cx") + 1) * F.lit(size), F.greatest("ax", "bx"))
+    cols = segs.select("*", F.explode(F.sequence(_cell(x_lo - eps, size) - around, _cell(x_hi + eps, size) + around)).alias("cx"))
+    x0 = F.least(F.greatest((F.col("cx") - around) * F.lit(size), x_lo), x_hi)
+    x1 = F.greatest(F.least((F.col("cx") + 1 + around) * F.lit(size), x_hi), x_lo)
     slope = (F.col("by") - F.col("ay")) / (F.col("bx") - F.col("ax"))
     ya = F.when(F.col("bx") == F.col("ax"), F.col("ay")).otherwise(F.col("ay") + (x0 - F.col("ax")) * slope)
     yb = F.when(F.col("bx") == F.col("ax"), F.col("by")).otherwise(F.col("ay") + (x1 - F.col("ax")) * slope)
     y_lo, y_hi = F.least(ya, yb) - eps, F.greatest(ya, yb) + eps
-    return cols.select("*", F.explode(F.sequence(_cell(y_lo, size), _cell(y_hi, size))).alias("cy"))
+    return cols.select("*", F.explode(F.sequence(_cell(y_lo, size) - around, _cell(y_hi, size) + around)).alias("cy"))
 
 
-# cells holding more point rows than this are split across salt buckets (see _candidates);
+# points per bucket of a cell: a cell with more is split into as many buckets as that takes;
 # None switches the detection pass off
 HOT_CELL_ROWS = 1_000_000
 
 
 def _candidates(points: DataFrame, lines: DataFrame, r: float, pid: str, px: str, py: str, lid: str, line: str,
-                hot_cell_rows: int | None = HOT_CELL_ROWS, salt: int = 16) -> DataFrame:
+                hot_cell_rows: int | None = HOT_CELL_ROWS, salt: int = 1) -> DataFrame:
+    # a point has one cell; the segments, the smaller side, carry their neighbourhood
     pts = points.select(F.col(pid).alias("pid"), F.col(px).alias("px"), F.col(py).alias("py"))
-    pts = pts.select("*", F.explode(_neigh(_cell(F.col("px"), r), 1)).alias("cx"))
-    pts = pts.select("*", F.explode(_neigh(_cell(F.col("py"), r), 1)).alias("cy"))
-    cells = segment_cell_rows(line_segments(lines, lid, line), r)
+    pts = pts.select("*", _cell(F.col("px"), r).alias("cx"), _cell(F.col("py"), r).alias("cy"))
+    cells = segment_cell_rows(line_segments(lines, lid, line), r, around=1)
     if hot_cell_rows:
-        # Hot cells (more than hot_cell_rows point rows) are split: their points get one of
-        # `salt` buckets, their segment rows are copied to every bucket.  The hot-cell table has
-        # at most (point rows / hot_cell_rows) rows by construction, so it is broadcast.
+        # Cells with more than hot_cell_rows points are split into buckets of about that many
+        # points (at least `salt`); their segment rows are copied to every bucket.
         hot = pts.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_cell_rows)
-        hot = F.broadcast(hot.select("cx", "cy", F.lit(True).alias("__hot")))
-        pts = pts.join(hot, ["cx", "cy"], "left").withColumn(
-            "__s", F.when(F.col("__hot"), F.pmod(F.xxhash64("pid"), F.lit(salt))).otherwise(F.lit(0))).drop("__hot")
+        hot = hot.select("cx", "cy", F.greatest(F.ceil(F.col("__n") / hot_cell_rows), F.lit(salt)).cast("long").alias("__b"))
+        zero = F.lit(0).cast("long")
+        pts = pts.join(hot, ["cx", "cy"], "left").withColumn("__s", F.coalesce(F.pmod(F.xxhash64("pid"), F.col("__b")), zero)).drop("__b")
         cells = cells.join(hot, ["cx", "cy"], "left").withColumn(
-            "__s", F.explode(F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salt - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+            "__s", F.explode(F.sequence(zero, F.coalesce(F.col("__b"), F.lit(1).cast("long")) - 1))).drop("__b")
         cand = pts.join(cells, ["cx", "cy", "__s"])
     else:
         cand = pts.join(cells, ["cx", "cy"])
@@ -487,13 +504,13 @@ def _candidates(points: DataFrame, lines: DataFrame, r: float, pid: str, px: str
 
 def join_within(
     points: DataFrame, lines: DataFrame, r: float, pid: str = "pid", px: str = "x", py: str = "y",
-    lid: str = "lid", line: str = "line", hot_cell_rows: int | None = HOT_CELL_ROWS, salt: int = 16,
+    lid: str = "lid", line: str = "line", hot_cell_rows: int | None = HOT_CELL_ROWS, salt: int = 1,
 ) -> DataFrame:
     """Point-line pairs within planar distance ``r`` (J16/G7), with the distance.
 
-    Lines are cut into segments; each segment goes to the cells it crosses,
-    each point to its cell and the 8 neighbours, so any point within r of a
-    segment meets it in a shared cell.  The distance is plain arithmetic
+    Lines are cut into segments; each segment goes to the cells it crosses
+    and their 8 neighbours, each point to its cell, so any point within r of
+    a segment meets it there, once.  The distance is plain arithmetic
     (whole-stage codegen); duplicate meetings collapse in a ``min`` that
     combines map-side.  Output: pid, lid, dist (one row per pair).
     """
@@ -512,7 +529,7 @@ def nearest_per_type(pairs: DataFrame, lines: DataFrame, r: float | None = None,
 
 def nearest_within(points: DataFrame, lines: DataFrame, r: float, pid: str = "pid", px: str = "x", py: str = "y",
                    lid: str = "lid", line: str = "line", type_col: str = "type", hot_cell_rows: int | None = HOT_CELL_ROWS,
-                   salt: int = 16) -> DataFrame:
+                   salt: int = 1) -> DataFrame:
     """Nearest line per (point, line type) within ``r`` in one aggregation over the candidates."""
     typed = lines.select(F.col(lid).alias("lid"), F.col(line).alias("line"), F.col(type_col).alias("type"))
     c = _candidates(points, typed.select("lid", "line"), r, pid, px, py, "lid", "line", hot_cell_rows, salt)
@@ -606,7 +623,7 @@ def filter_atom(c: Column, kind: str, value, ctx) -> Column:
         else:
             ox, oy, radius = F.lit(float(parts[0])), F.lit(float(parts[1])), float(parts[2])
         cen = F.when(c["kind"] == "POINT", point_xy(c)).otherwise(centroid(c))
-        return dist_m(cen["x"], cen["y"], ox, oy) <= F.lit(float(radius))
+        return bind(cen, lambda p: dist_m(p["x"], p["y"], ox, oy, float(radius)) <= F.lit(float(radius)))
     raise ValueError(kind)
 
 

@@ -3,8 +3,8 @@
 No operator here funnels the whole input through one partition:
 
 * a page is ``orderBy().offset().limit()`` -> top-(offset+size) per partition,
-  merged in one task (TakeOrderedAndProject); when partitions x (offset+size)
-  is large, the page is cut from global row numbers instead;
+  merged in one task (TakeOrderedAndProject); a page that ends deep in the
+  order (known from its number and size alone) is cut from global row numbers;
 * global row numbers (W1) are range-partitioned, numbered inside each
   partition, then shifted by the running count of the preceding partitions
   (a table with one row per partition, the only thing broadcast);
@@ -26,9 +26,9 @@ from relata.session import checkpoint_dir
 from relata.operators.relations import attach_to_one, child_frame, prefix_name, KEY
 
 # A page via orderBy().offset().limit() keeps the top (offset+size) rows of every partition and
-# merges them in one task: partitions x (offset+size) rows.  Above this many merged rows the page
-# is cut from global row numbers instead (a distributed path).
-DEEP_PAGE_ROWS = 2_000_000
+# merges them in one task.  A page that ends after this many rows is cut from global row numbers
+# instead (a distributed path).
+DEEP_PAGE_ROWS = 100_000
 LETTERS_FIRST, DIGITS_FIRST = "letters first", "digits first"
 
 
@@ -66,7 +66,7 @@ def sort_columns(
             prefix = tuple(h.name for h in hops[:i])
             if prefix:
                 reqs[prefix].add(rel.local_key)
-            resolved.append(("many", prefix, rel, tuple(h.name for h in hops[i + 1 :]), last, desc, kind))
+            resolved.append(("many", prefix, rel, tuple(hops[i + 1 :]), last, desc, kind))
         elif hops:
             prefix = tuple(h.name for h in hops)
             reqs[prefix].add(last)
@@ -78,14 +78,8 @@ def sort_columns(
     cols: list[Column] = []
     for n, (kind_, prefix, rel, rest, last, desc, nat) in enumerate(resolved):
         if kind_ == "many":
-            ch = child_frame(catalog, rel, [last] if not rest else None, dedupe=False)  # min/max ignore repeats
-            name = last
-            if rest:
-                ch = attach_to_one(catalog, rel.target, ch, {rest: {last}})
-                name = col_name(prefix_name(rest), last)
             agg_name = f"__sort_{n}"
-            fn = F.max if desc else F.min
-            agg = ch.groupBy(KEY).agg(fn(qcol(name)).alias(agg_name))
+            agg = _extremes(catalog, rel, rest, last, desc).withColumnRenamed("__value", agg_name)
             left = col_name(prefix_name(prefix), rel.local_key)
             df = df.join(agg, qcol(left) == F.col(KEY), "left").drop(KEY)
             c = F.col(agg_name)
@@ -108,6 +102,26 @@ def sort_columns(
     return df, cols
 
 
+def _extremes(catalog: Catalog, rel, rest: tuple, last: str, desc: bool) -> DataFrame:
+    """``(__key, __value)``: per object the smallest (largest) value at the end of a path.
+
+    Every to-many hop is aggregated by itself before it meets the hop above.
+    """
+    i = next((k for k, h in enumerate(rest) if h.to_many), len(rest))
+    names = tuple(h.name for h in rest[:i])
+    deeper = rest[i] if i < len(rest) else None
+    need = deeper.local_key if deeper else last
+    ch = child_frame(catalog, rel, None if names else [need], dedupe=False)  # min/max ignore repeats
+    if names:
+        ch = attach_to_one(catalog, rel.target, ch, {names: {need}})
+    value = qcol(col_name(prefix_name(names), need))
+    if deeper:
+        inner = _extremes(catalog, deeper, rest[i + 1 :], last, desc).withColumnRenamed(KEY, "__inner")
+        ch = ch.join(inner, value == F.col("__inner"), "left")
+        value = F.col("__value")
+    return ch.groupBy(KEY).agg((F.max if desc else F.min)(value).alias("__value"))
+
+
 def sort_helpers(df: DataFrame) -> list[str]:
     return [c for c in df.columns if c.startswith("__s") and c[3:].isdigit()]
 
@@ -119,7 +133,7 @@ def page(df: DataFrame, order: list[Column], page_no: int | None, page_size: int
     size = int(page_size)
     p = max(int(page_no or 1), 1)
     off = (p - 1) * size
-    if (off + size) * _partitions(df) <= DEEP_PAGE_ROWS or not order:
+    if off + size <= DEEP_PAGE_ROWS or not order:
         q = df.orderBy(*order) if order else df
         return q.offset(off).limit(size) if off else q.limit(size)
     rn = "__rn"
@@ -127,14 +141,6 @@ def page(df: DataFrame, order: list[Column], page_no: int | None, page_size: int
     return numbered.filter((F.col(rn) > off) & (F.col(rn) <= off + size)).orderBy(rn).drop(rn)
 
 
-def _partitions(df: DataFrame) -> int:
-    """Partitions of the frame's physical plan (planning only, no job)."""
-    try:
-        return max(int(df.rdd.getNumPartitions()), 1)
-    except Exception:  # noqa: BLE001 - fall back to the shuffle setting
-        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def with_row_number(df: DataFrame, order: list[Column], name: str = "row_number", partitions: int | None = None) -> DataFrame:
     """Global ``ROW_NUMBER() OVER (ORDER BY order)`` (W1) without a one-partition window.
 

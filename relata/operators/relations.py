@@ -114,11 +114,13 @@ def nested(
     rel_name: str,
     fields: list[str] | None = None,
     out: str | None = None,
-    page_keys: bool = False,
+    below: str = "",
 ) -> DataFrame:
     """To-many nested field (P3): a sorted list of child records per object.
 
-    Children are restricted to the parents present in ``df`` first (a page is
+    Fields may name to-many relations of the children; these become lists in
+    the child records, at any depth.  ``below`` is the prefix of the joined
+    to-one path whose object (``code``) owns the relation.  Children are restricted to the parents present in ``df`` first (a page is
     small; the key set is semi-joined, never collected), then aggregated per
     parent, then left-joined.  Sorting the list makes the value deterministic.
     """
@@ -126,23 +128,44 @@ def nested(
     rel = sd.relation(rel_name)
     tsd = catalog.schema(rel.target)
     fields = fields or tsd.defaults()
-    plain = [f for f in fields if "." not in f]
-    dotted = [f for f in fields if "." in f]
-    child = child_frame(catalog, rel, list(dict.fromkeys(plain + [c.split(".")[0] for c in dotted if not tsd.relation(c.split(".")[0])])))
+    left = qcol(col_name(below, rel.local_key))
+    own: list[str] = []
+    names: list[str] = []
     reqs: dict[tuple[str, ...], set[str]] = defaultdict(set)
-    for f in dotted:
+    deeper: dict[tuple[str, ...], list[str]] = defaultdict(list)
+    for f in fields:
         hops, last = catalog.split_path(rel.target, f)
+        i = next((k for k, h in enumerate(hops) if h.to_many), None)
+        if i is not None:
+            path = tuple(h.name for h in hops[: i + 1])
+            if path[:-1]:
+                reqs[path[:-1]].add(hops[i].local_key)
+                own.append(hops[0].local_key)
+            else:
+                own.append(hops[i].local_key)
+            sub = ".".join([h.name for h in hops[i + 1 :]] + ([last] if last else []))
+            deeper[path].append(sub) if sub else deeper[path]
+            names.append(SEP.join(path))
+            continue
         if hops:
             reqs[tuple(h.name for h in hops)].add(last)
+            own.append(hops[0].local_key)
+        else:
+            own.append(f.split(".")[0])
+        names.append(f.replace(".", SEP))
+    child = child_frame(catalog, rel, list(dict.fromkeys(own)))
+    keys = df.select(left.alias(KEY)).distinct()
+    child = child.join(keys, KEY, "left_semi")
     if reqs:
         child = attach_to_one(catalog, rel.target, child, reqs)
-    keys = df.select(qcol(rel.local_key).alias(KEY)).distinct()
-    # a page holds at most page_size parents: that key set is safe to broadcast
-    child = child.join(F.broadcast(keys) if page_keys else keys, KEY, "left_semi")
-    names = [f.replace(".", SEP) for f in fields]
-    rec = F.struct(*[qcol(n).alias(n) for n in names])
+    for path, subs in deeper.items():
+        owner = relation_chain(catalog, rel.target, path[:-1])[-1].target if path[:-1] else rel.target
+        # the parent key of this level steps aside while the level below is keyed by its own
+        child = nested(catalog, owner, child.withColumnRenamed(KEY, "__outer"), path[-1], subs or None, SEP.join(path),
+                       SEP.join(path[:-1])).withColumnRenamed("__outer", KEY)
+    rec = F.struct(*[qcol(n).alias(n) for n in dict.fromkeys(names)])
     agg = child.groupBy(KEY).agg(F.sort_array(F.collect_list(rec)).alias(out or rel_name))
-    return df.join(agg, qcol(rel.local_key) == F.col(KEY), "left").drop(KEY)
+    return df.join(agg, left == F.col(KEY), "left").drop(KEY)
 
 
 def related_labels(
@@ -271,7 +294,7 @@ def resolve_rows(rows: DataFrame, dims: dict[str, tuple[DataFrame, str, str]]) -
     """
     out = rows
     for col, (dim, code, idc) in dims.items():
-        d = F.broadcast(dim.select(F.col(code).alias(f"__c_{col}"), F.col(idc).alias(f"__id_{col}")))
+        d = dim.select(F.col(code).alias(f"__c_{col}"), F.col(idc).alias(f"__id_{col}"))
         out = out.join(d, qcol(col) == F.col(f"__c_{col}"), "inner").drop(f"__c_{col}", col).withColumnRenamed(f"__id_{col}", col)
     return out
 

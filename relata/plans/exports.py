@@ -23,15 +23,16 @@ def export_view_of(catalog: Catalog, code: str, fields: list[str], names: dict[s
     df = base if base is not None else catalog.frame(code)
     scalar_reqs: dict = defaultdict(set)
     scalars: list[tuple[str, str]] = []
-    many: list[tuple[str, object, tuple, str]] = []
+    many: list[tuple[str, tuple, object, tuple, str]] = []
     for f in fields:
         hops, last = catalog.split_path(code, f)
         out = names.get(f, f.replace(".", SEP))
         if any(h.to_many for h in hops):
             i = next(k for k, h in enumerate(hops) if h.to_many)
-            if i:
-                raise ValueError(f"to-many below a to-one path is not exported: {f}")
-            many.append((out, hops[0], tuple(h.name for h in hops[1:]), last))
+            prefix = tuple(h.name for h in hops[:i])
+            if prefix:
+                scalar_reqs[prefix].add(hops[i].local_key)
+            many.append((out, prefix, hops[i], tuple(h.name for h in hops[i + 1:]), last))
         elif hops:
             prefix = tuple(h.name for h in hops)
             scalar_reqs[prefix].add(last)
@@ -40,12 +41,13 @@ def export_view_of(catalog: Catalog, code: str, fields: list[str], names: dict[s
             scalars.append((out, last))
     if scalar_reqs:
         df = attach_to_one(catalog, code, df, scalar_reqs)
-    df = df.select(qcol(sd.pk).alias("__pk"), *[qcol(src).alias(o) for o, src in scalars])
+    links = dict.fromkeys(col_name(prefix_name(prefix), rel.local_key) for _, prefix, rel, _, _ in many)
+    df = df.select(*[qcol(k).alias(f"__l_{k}") for k in links], *[qcol(src).alias(o) for o, src in scalars])
     # to-many fields of the same relation share one child frame and one aggregation
     by_rel: dict = defaultdict(list)
-    for o, rel, rest, last in many:
-        by_rel[rel.name].append((o, rel, rest, last))
-    for items in by_rel.values():
+    for o, prefix, rel, rest, last in many:
+        by_rel[prefix, rel.name].append((o, rel, rest, last))
+    for (prefix, _), items in by_rel.items():
         rel = items[0][1]
         own = sorted({last for _, _, rest, last in items if not rest})
         reqs: dict = defaultdict(set)
@@ -59,7 +61,7 @@ def export_view_of(catalog: Catalog, code: str, fields: list[str], names: dict[s
         aggs = [F.collect_set(qcol(col_name(prefix_name(rest), last) if rest else last).cast("string")).alias(o)
                 for o, _, rest, last in items]
         agg = ch.groupBy(KEY).agg(*aggs)
-        df = df.join(agg, F.col("__pk") == F.col(KEY), "left").drop(KEY)
+        df = df.join(agg, qcol(f"__l_{col_name(prefix_name(prefix), rel.local_key)}") == F.col(KEY), "left").drop(KEY)
     outs = [o for o, _ in scalars]
 
     def text(c):

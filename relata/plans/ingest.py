@@ -41,6 +41,19 @@ STEPS = [
 # Words refused in mapping expressions (one statement, no DDL/DML).
 FORBIDDEN_WORDS = ["INSERT", "DROP", "DELETE", "UPDATE", "EXECUTE", "TRUNCATE", "ALTER", "CREATE", "GRANT", "COPY", "PERFORM"]
 
+#: What may stand before a bracket in a mapping expression: operators, and functions of their arguments alone.
+EXPRESSION_WORDS = frozenset("""
+and or not in when then else case is between like ilike rlike decimal varchar char
+cast try_cast coalesce nullif nvl ifnull if greatest least isnull isnotnull
+concat concat_ws upper lower initcap trim ltrim rtrim btrim left right lpad rpad repeat reverse translate replace
+substring substr split_part split length char_length instr locate position contains startswith endswith
+regexp_replace regexp_extract regexp_substr regexp_count regexp_like md5 sha1 sha2 crc32
+abs ceil ceiling floor round bround sign mod pmod power sqrt exp ln log10 format_number
+to_date try_to_date to_timestamp try_to_timestamp date_format make_date date_add date_sub datediff add_months year month day hour minute
+array array_join array_contains element_at size struct named_struct to_json get_json_object
+""".split())
+_QUOTED = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`""", re.S)
+
 ERROR_SCHEMA = T.StructType([
     T.StructField("error_code", T.StringType()),
     T.StructField("key", T.StringType()),
@@ -168,9 +181,15 @@ def map_fields(df: DataFrame, mapping: dict | None, values: dict | None = None,
 
 
 def check_expression(expr: str) -> None:
-    """One scalar expression only; refuse statements and the fixed forbidden words."""
-    if ";" in expr:
+    """One scalar expression of known functions only; refuse statements, queries and the fixed forbidden words."""
+    bare = _QUOTED.sub(" 0 ", expr)  # what is quoted is data
+    if re.search(r"[;'\"`]|--|/\*", bare):
         raise MappingError(f"mapping expression must be one statement: {expr!r}")
+    if re.search(r"\b(select|from|with|table|values)\b", bare, re.I):
+        raise MappingError(f"mapping expression must not hold a query: {expr!r}")
+    unknown = sorted({n for n in re.findall(r"([A-Za-z_][\w.]*)\s*\(", bare) if n.lower() not in EXPRESSION_WORDS})
+    if unknown:
+        raise MappingError(f"function(s) {', '.join(unknown)} not allowed in mapping expression {expr!r}")
     up = expr.upper()
     bad = [w for w in FORBIDDEN_WORDS if re.search(rf"{w}\s", up)]  # the word followed by a blank
     if bad:
@@ -236,6 +255,14 @@ def conflict_errors(df: DataFrame, spec: ImportSpec, own: list[str]) -> DataFram
     )
 
 
+def key_text(unique: list[str]) -> Column:
+    """A natural key as one text, ``a|b``; bars and backslashes in values are escaped and NULL is ``\\N``, so keys never collide."""
+    if len(unique) == 1:
+        return qcol(unique[0]).cast("string")
+    escaped = (F.regexp_replace(qcol(u).cast("string"), r"([|\\])", r"\\$1") for u in unique)
+    return F.concat_ws("|", *(F.coalesce(e, F.lit("\\N")) for e in escaped))
+
+
 def to_raw(df: DataFrame, spec: ImportSpec, pk: str, geom_col: str | None = None, child_of: str | None = None) -> DataFrame:
     """Typed frame (C6, C7, G1-G3): own and n-n columns cast, geometry built, pk := natural key text."""
     cols = []
@@ -261,7 +288,7 @@ def to_raw(df: DataFrame, spec: ImportSpec, pk: str, geom_col: str | None = None
         cols.append(geo.make_point(F.col("x").try_cast("double"), F.col("y").try_cast("double"), src).alias(geom_col))
         if fs.srid and src != fs.srid:
             reproj[geom_col] = (src, fs.srid)
-    nk = F.concat_ws("|", *[qcol(u).cast("string") for u in spec.unique]) if len(spec.unique) > 1 else qcol(spec.unique[0]).cast("string")
+    nk = key_text(spec.unique)
     extra = [qcol(spec.parent_key).alias(spec.parent_key)] if spec.parent_key and spec.parent_key in df.columns else []
     out = df.select("id_import", *cols, nk.alias("__nk"), *extra)
     for c, (src, dst) in reproj.items():  # reprojected from the parsed column, not from the parse expression
@@ -364,6 +391,7 @@ class ImportRun:
         self.r = ImportResult()
         self.err_parts: list[DataFrame] = []
         self._persisted: list[DataFrame] = []
+        self.keep = True  # False: single steps are run and nobody calls release()
         self.spark = source.sparkSession
 
     # --- helpers
@@ -383,12 +411,17 @@ class ImportRun:
             errs = errs.unionByName(p)
         # error rows are grouped summaries (one per bad value): small, kept for the report
         errs = errs.persist(StorageLevel.MEMORY_AND_DISK)
-        return None if errs.isEmpty() else errs
+        if errs.isEmpty():
+            errs.unpersist()
+            return None
+        self._persisted.append(errs)
+        return errs
 
     def persist(self, name: str, df: DataFrame) -> DataFrame:
         """Keep a frame reused by later steps; recomputed from its lineage if an executor is lost."""
-        df = df.persist(StorageLevel.MEMORY_AND_DISK)
-        self._persisted.append(df)
+        if self.keep:
+            df = df.persist(StorageLevel.MEMORY_AND_DISK)
+            self._persisted.append(df)
         self.r.frames[name] = df
         return df
 
@@ -674,10 +707,14 @@ class ImportRun:
         return out
 
     def links_store(self, c: str) -> DataFrame:
-        """Current n-n rows of column ``c``: (__pk, __link)."""
+        """Current n-n rows of column ``c``: (__pk, __link); the bridge of the relation, if none were given."""
         s = self.r.links.get(c)
         if s is not None:
             return s
+        rel = self.sd.relation(c)
+        if rel is not None and rel.kind == "n-n" and rel.bridge in self.cat.codes():
+            return self.cat.frame(rel.bridge).select(
+                F.col(rel.bridge_local).alias("__pk"), F.col(rel.bridge_foreign).alias("__link")).distinct()
         return self.spark.createDataFrame([], "__pk long, __link long")
 
     def step_count(self):
@@ -751,14 +788,13 @@ class ImportRun:
             keys = self._nk_to_pk(table)
             new = links.join(keys, "__nk").select("__pk", "__link").distinct()
             store = self.links_store(c)
-            touched = new.select("__pk").distinct()
+            # every imported object's rows are replaced, also when its list is empty now
+            touched = self.r.frames["process"].select("__nk").join(keys, "__nk").select("__pk").distinct()
             kept = store.join(touched, "__pk", "left_anti")
             self.r.links[c] = kept.unionByName(new)
 
     def _nk_to_pk(self, table: DataFrame) -> DataFrame:
-        u = self.spec.unique
-        nk = F.concat_ws("|", *[qcol(x).cast("string") for x in u]) if len(u) > 1 else qcol(u[0]).cast("string")
-        return table.select(nk.alias("__nk"), F.col(self.sd.pk).alias("__pk"))
+        return table.select(key_text(self.spec.unique).alias("__nk"), F.col(self.sd.pk).alias("__pk"))
 
 
 def run_import(catalog: Catalog, spec: ImportSpec, source: DataFrame, target: DataFrame | None = None,

@@ -93,6 +93,8 @@ class ListQuery:
             pg = pg.withColumn("row_number", (F.row_number().over(Window.orderBy(*order)) + F.lit(off)).cast("long"))
         elif want_rn:
             pg = ordering.with_row_number(df, order, "row_number")
+        elif not self.sort and not (self.page_size and int(self.page_size) > 0):
+            return self._project(df, fields).drop(*ordering.sort_helpers(df))  # everything, in no order asked for
         else:
             pg = ordering.page(df, order, self.page, self.page_size)
         out = self._project(pg, fields)
@@ -104,7 +106,7 @@ class ListQuery:
         cat = self.catalog
         reqs: dict[tuple[str, ...], set[str]] = defaultdict(set)
         select = []
-        nested_specs: dict[str, list[str]] = defaultdict(list)
+        nested_specs: dict[tuple[str, ...], list[str]] = defaultdict(list)
         keep = [sd.pk]
         fields = [f for f in fields if f not in sd.load_only]
         for f in fields:
@@ -121,10 +123,11 @@ class ListQuery:
                 continue
             if any(h.to_many for h in hops):
                 i = next(k for k, h in enumerate(hops) if h.to_many)
+                path = tuple(h.name for h in hops[: i + 1])
                 if i > 0:
-                    continue  # to-many below a to-one path: not offered as a field
-                sub = ".".join([h.name for h in hops[1:]] + ([last] if last else []))
-                nested_specs[hops[0].name].append(sub) if sub else nested_specs[hops[0].name]
+                    reqs[path[:-1]].add(hops[i].local_key)
+                sub = ".".join([h.name for h in hops[i + 1 :]] + ([last] if last else []))
+                nested_specs[path].append(sub) if sub else nested_specs[path]
                 continue
             if hops and last is None:
                 # relation without sub-field: its default fields
@@ -154,11 +157,11 @@ class ListQuery:
             select.append((f.replace(".", SEP), F.get_json_object(qcol(base), jp) if jp else qcol(base)))
         if reqs:
             df = relations.attach_to_one(cat, self.code, df, reqs)
-        for rel_name, subs in nested_specs.items():
-            subs = [s for s in subs if s] or None
-            paged = bool(self.page_size and int(self.page_size) > 0)
-            df = relations.nested(cat, self.code, df, rel_name, subs, out=rel_name, page_keys=paged)
-            select.append((rel_name, F.col(rel_name)))
+        for path, subs in nested_specs.items():
+            owner = relations.relation_chain(cat, self.code, path[:-1])[-1].target if path[:-1] else self.code
+            name = SEP.join(path)
+            df = relations.nested(cat, owner, df, path[-1], [s for s in subs if s] or None, out=name, below=SEP.join(path[:-1]))
+            select.append((name, F.col(name)))
         helpers = ordering.sort_helpers(df)
         return df.select(*[c.alias(n) for n, c in select], *[F.col(h) for h in helpers])
 

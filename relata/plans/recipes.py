@@ -87,10 +87,8 @@ def lines_within(a: DataFrame, b: DataFrame, r: float, aid="aid", aline="line",
     minimum of four point-segment distances (0 when they cross), plain
     arithmetic; a map-side ``min`` per line pair removes duplicates.
     """
-    sa = geo.segment_cell_rows(geo.line_segments(a, aid, aline), r)
-    sa = sa.select(F.col("lid").alias("__a"), *[F.col(c).alias(f"a_{c}") for c in ("ax", "ay", "bx", "by")],
-                   F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)).alias("cx"), F.col("cy").alias("cy0"))
-    sa = sa.select("*", F.explode(F.sequence(F.col("cy0") - 1, F.col("cy0") + 1)).alias("cy")).drop("cy0")
+    sa = geo.segment_cell_rows(geo.line_segments(a, aid, aline), r, around=1)
+    sa = sa.select(F.col("lid").alias("__a"), *[F.col(c).alias(f"a_{c}") for c in ("ax", "ay", "bx", "by")], "cx", "cy")
     sb = geo.segment_cell_rows(geo.line_segments(b, bid, bline), r)
     sb = sb.select(F.col("lid").alias("__b"), *[F.col(c).alias(f"b_{c}") for c in ("ax", "ay", "bx", "by")], "cx", "cy")
     c = sa.join(sb, ["cx", "cy"])

@@ -412,6 +412,7 @@ def _faulty_run(spark, sf, steps):
     from relata.sources.staged import customer_import_spec, staged_customers_faulty
 
     run = ImportRun(_cat(spark, sf), customer_import_spec(), staged_customers_faulty(spark, sf))
+    run.keep = False
     for s in steps:
         getattr(run, f"step_{s}")()
     return run
@@ -531,6 +532,7 @@ def q_unresolved_codes(spark, sf):
     spec = ImportSpec("order", unique=["o_orderkey"], fields={
         "o_orderkey": FieldSpec("integer", required=True), "id_priority": FieldSpec("integer", code_type="priority")})
     run = ImportRun(_cat(spark, sf), spec, staged_orders_codes(spark, sf))
+    run.keep = False
     for s in ["data_table", "mapping_view", "raw_view", "import_view", "post_check"]:
         getattr(run, f"step_{s}")()
     errs = run.err_parts[0]
@@ -615,6 +617,7 @@ SELECT l_orderkey AS o_orderkey, l_partkey AS p_partkey FROM ranked WHERE NOT (l
 """)
 def q_relation_replace(spark, sf):
     r = _order_parts_import(spark, sf)
+    r.release()
     return r.links["parts"].select(F.col("__pk").alias("o_orderkey"), F.col("__link").alias("p_partkey"))
 
 
@@ -1275,3 +1278,6 @@ WHERE l.toxic = 0 AND d.lang IN ('fr', 'de')
 def q_one_to_one_path(spark, sf):
     # a 1-1 relation used in a field and in a filter
     return _list(spark, sf, "document", fields=["doc_id", "lang", "labels.quality"], filters="labels.toxic = 0,lang in fr;de")
+
+
+from relata import more_queries  # noqa: E402,F401 - registers its queries beside these

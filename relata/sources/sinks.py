@@ -63,7 +63,7 @@ def export_csv(df: DataFrame, path: str, sep: str = ",", single_file: bool = Fal
     flat = flatten(df)
     if single_file:
         flat = flat.coalesce(1)
-    flat.write.mode(mode).option("header", True).option("sep", sep).option("quoteAll", False).csv(path)
+    flat.write.mode(mode).option("header", True).option("sep", sep).option("escape", '"').csv(path)
     return path
 
 
