@@ -6,7 +6,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from relata.queries import _ORDER_PARTS_SQL, _STAGED_FAULTY_SQL, _cat, _list, register
+from relata.queries import (
+    _BOX_SQL, _BOY_SQL, _CX, _CY, _ORDER_PARTS_SQL, _STAGED_FAULTY_SQL, _cat, _customer_points, _dist_sql, _list, _nation_areas, register)
 from relata.session import checkpoint_dir
 from relata.sources.tables import load_table
 
@@ -256,7 +257,115 @@ def q_cascade_delete(spark, sf):
     return cascade_delete(load_table(spark, sf, "orders"), "o_custkey", left, "c_custkey").select("o_orderkey")
 
 
-# ---------------------------------------------------------------- recipes (R-1, R-3, R-4, R-5, R-7, R-8)
+# ---------------------------------------------------------------- sibling branches of a filter
+@register("filter_sibling_branches", """
+SELECT s_suppkey FROM supplier WHERE EXISTS (
+  SELECT 1 FROM customer JOIN orders ON o_custkey = c_custkey JOIN events ON user_id = c_custkey
+  WHERE c_nationkey = s_nationkey AND o_totalprice > 400000 AND event_type = 'purchase' AND value > 150)
+""")
+def q_filter_sibling_branches(spark, sf):
+    # one customer of the supplier's nation has both: a large order and a large purchase
+    return _list(spark, sf, "supplier", fields=["s_suppkey"], filters=(
+        "nation.customers.orders.o_totalprice > 400000,nation.customers.events.event_type = purchase,nation.customers.events.value > 150"))
+
+
+# ---------------------------------------------------------------- exact spatial predicates
+_XY_SQL = f"(SELECT c_custkey AS pid, {_CX} AS x, {_CY} AS y FROM customer)"
+_AREAS_SQL = f"(SELECT n_nationkey AS aid, {_BOX_SQL} AS b_x, {_BOY_SQL} AS b_y FROM nation)"
+
+
+def _customer_shapes(spark, sf, kind, vertices):
+    """Customers as lines or polygons: ``vertices(x, y)`` gives the corners."""
+    from relata.operators import geo
+
+    ring = F.array(*(F.struct(a.alias("x"), b.alias("y")) for a, b in vertices(F.col("x"), F.col("y"))))
+    return _customer_points(spark, sf).select("pid", geo.make_geom(F.lit(kind), F.lit(4326), F.array(F.array(ring))).alias("geom"))
+
+
+@register("lines_in_areas", f"""
+SELECT pid, aid FROM {_XY_SQL}, {_AREAS_SQL}
+WHERE y > b_y + 1e-9 AND y < b_y + 0.2 - 1e-9 AND x + 0.3 > b_x + 1e-9 AND x < b_x + 0.2 - 1e-9
+""")
+def q_lines_in_areas(spark, sf):
+    from relata.operators import geo
+
+    lines = _customer_shapes(spark, sf, "LINESTRING", lambda x, y: [(x, y), (x + 0.3, y)])
+    return geo.link_areas(lines, _nation_areas(spark, sf), 0.1, aid="aid", agg="geom")
+
+
+@register("polygons_in_areas", f"""
+SELECT pid, aid FROM {_XY_SQL}, {_AREAS_SQL}
+WHERE y + 0.07 > b_y + 1e-9 AND y < b_y + 0.2 - 1e-9 AND x + 0.3 > b_x + 1e-9 AND x < b_x + 0.2 - 1e-9
+""")
+def q_polygons_in_areas(spark, sf):
+    from relata.operators import geo
+
+    boxes = _customer_shapes(spark, sf, "POLYGON", lambda x, y: [(x, y), (x, y + 0.07), (x + 0.3, y + 0.07), (x + 0.3, y), (x, y)])
+    return geo.link_areas(boxes, _nation_areas(spark, sf), 0.1, aid="aid", agg="geom")
+
+
+@register("bbox_lines", f"""
+SELECT pid FROM {_XY_SQL}
+WHERE GREATEST(5.2005 - x, 45.2003 - y, 0) <= LEAST(5.4007 - x, 45.5009 - y, 0.3)
+""")
+def q_bbox_lines(spark, sf):
+    from relata.operators import geo
+
+    lines = _customer_shapes(spark, sf, "LINESTRING", lambda x, y: [(x, y), (x + 0.3, y + 0.3)])
+    return lines.filter(geo.filter_atom(F.col("geom"), "bbox", "5.2005;45.2003;5.4007;45.5009", None)).select("pid")
+
+
+@register("dwithin_lines", f"""
+SELECT pid FROM {_XY_SQL} WHERE {_dist_sql('LEAST(GREATEST(CAST(5.5 AS DOUBLE), x), x + 0.3)', 'y', 'CAST(5.5 AS DOUBLE)', 'CAST(45.5 AS DOUBLE)')} <= 20000
+""")
+def q_dwithin_lines(spark, sf):
+    from relata.operators import geo
+
+    lines = _customer_shapes(spark, sf, "LINESTRING", lambda x, y: [(x, y), (x + 0.3, y)])
+    return lines.filter(geo.filter_atom(F.col("geom"), "dwithin", "5.5;45.5;20000", None)).select("pid")
+
+
+# ---------------------------------------------------------------- recipes (R-1 to R-8)
+@register("recipe_railways", """
+SELECT CAST(o_orderkey AS VARCHAR) AS linear_code, 'C' || c_custkey AS groups, 'C' || c_custkey || ' ' || o_orderkey AS linear_name,
+       CASE WHEN o_orderkey % 4 = 0 THEN 'VF_LGV' ELSE 'VF_P' END AS id_type
+FROM orders JOIN customer ON c_custkey = o_custkey WHERE o_orderkey % 4 <> 3 AND o_orderkey % 20 <= 10
+""")
+def q_recipe_railways(spark, sf):
+    # customers as railway lines 200 m apart, orders as segments 0 to 19 m beside the line of their customer
+    from relata.plans import recipes
+
+    def line(*xy):
+        return F.array(*(F.struct(x.cast("double").alias("x"), y.cast("double").alias("y")) for x, y in xy))
+
+    k, o = F.col("c_custkey"), F.col("o_orderkey")
+    c = load_table(spark, sf, "customer").withColumn("code_ligne", F.concat(F.lit("C"), k.cast("string")))
+    status = c.select("code_ligne", F.col("c_name").alias("lib_ligne"), line((k * 200, F.lit(0)), (k * 200 + 50, F.lit(0))).alias("line"))
+    kinds = c.select("code_ligne", F.when(k % 3 == 0, F.lit(recipes.RAIL_HIGH_SPEED)).otherwise(F.col("c_mktsegment")).alias("catlig"))
+    natures = F.array(F.lit("LGV"), F.lit("Voie de service"), F.lit("Voie ferrée principale"), F.lit("Autre"))
+    at = F.col("o_custkey") * 200 + 25
+    segments = load_table(spark, sf, "orders").select(
+        o.alias("gid"), o.cast("string").alias("id"), F.get(natures, (o % 4).cast("int")).alias("nature"), line((at, o % 20), (at, o % 20 + 5)).alias("line"))
+    return recipes.railways(status, kinds, segments, r=10.0)[1].select("linear_code", "groups", "linear_name", "id_type")
+
+
+@register("recipe_routes", """
+SELECT substring('AND', CAST(c_custkey // 2 % 3 AS INT) + 1, 1) || CAST(c_custkey // 2 AS VARCHAR) AS code,
+       CASE c_custkey // 2 % 3 WHEN 0 THEN 'RT_AUT' WHEN 1 THEN 'RT_NAT' ELSE 'RT_DEP' END AS id_type, COUNT(*) AS n_parts
+FROM customer GROUP BY c_custkey // 2
+""")
+def q_recipe_routes(spark, sf):
+    # two route tables that share some rows: pairs of customers make one route
+    from relata.operators import geo
+    from relata.plans.recipes import merge_routes
+
+    k = F.floor(F.col("pid") / 2)
+    number = F.concat(F.substring(F.lit("AND"), (k % 3 + 1).cast("int"), F.lit(1)), F.lit(" "), k.cast("string"))
+    routes = _customer_points(spark, sf).select("pid", number.alias("numero"), geo.make_point(F.col("x"), F.col("y")).alias("geom"))
+    merged = merge_routes(routes.filter("pid % 5 <> 0"), routes.filter("pid % 5 = 0 OR pid % 3 = 0"))
+    return merged.select("code", "id_type", F.size(F.col("geom")["parts"]).cast("long").alias("n_parts"))
+
+
 @register("recipe_roads", """
 WITH nm AS (SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'D' || c_custkey || ' (' || n_regionkey || ')' ELSE 'D' || c_custkey END AS dept
             FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey),

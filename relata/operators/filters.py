@@ -364,6 +364,7 @@ def compile_filter(catalog: Catalog, code: str, df: DataFrame, ast, geo_ctx=None
             else:
                 at.idx = same
         child_frames = {}
+        verdicts: dict[int, str] = {}  # conditions on sibling branches: the column that holds their truth
         for g in gset:
             rel = groups[g]
             sub = defaultdict(set)
@@ -376,6 +377,14 @@ def compile_filter(catalog: Catalog, code: str, df: DataFrame, ast, geo_ctx=None
                     cols.add(at.column)
             # code sets and semi joins ignore repeated rows: no bridge de-duplication needed
             ch = child_frame(catalog, rel, sorted(cols) + sorted({r.local_key for r in _first_many(catalog, rel.target, sub)}), dedupe=False)
+            below = [a for a in g_atoms[g] if _has_many(catalog, rel.target, info[id(a)].prefix)]
+            if len({info[id(a)].prefix[0] for a in below}) > 1:
+                wanted = []
+                for a in below:
+                    verdicts[id(a)] = f"__v{len(verdicts)}"
+                    wanted.append((verdicts[id(a)], info[id(a)], info[id(a)].prefix))
+                    sub.pop(info[id(a)].prefix, None)
+                ch = attach_verdicts(catalog, rel.target, ch, wanted, geo_ctx)
             if sub:
                 ch = attach_chain(catalog, rel.target, ch, sub)
             child_frames[g] = ch
@@ -383,6 +392,8 @@ def compile_filter(catalog: Catalog, code: str, df: DataFrame, ast, geo_ctx=None
         def child_atom(g, a, frame_null=False):
             at = info[id(a)]
             rel = groups[g]
+            if id(a) in verdicts and not frame_null:
+                return F.col(verdicts[id(a)])
             tcode = _target(catalog, rel.target, at.prefix) if at.prefix else rel.target
             dtype = T.StringType() if at.json_path else catalog.column_type(tcode, at.column)
             name = col_name(prefix_name(at.prefix), at.column)
@@ -468,8 +479,8 @@ def _chain(catalog: Catalog, code: str, prefix) -> list[Relation]:
 def attach_chain(catalog: Catalog, code: str, df: DataFrame, sub: dict) -> DataFrame:
     """Attach relation paths below a child frame; to-many hops are left joins.
 
-    Only one to-many chain per relation frame is supported (a second one
-    would multiply rows); to-one hops use ``attach_to_one``.
+    One to-many chain per relation frame (sibling chains would multiply rows:
+    ``attach_verdicts`` serves those); to-one hops use ``attach_to_one``.
     """
     one = {p: c for p, c in sub.items() if not any(r.to_many for r in _chain(catalog, code, p))}
     many = {p: c for p, c in sub.items() if p not in one}
@@ -495,6 +506,50 @@ def attach_chain(catalog: Catalog, code: str, df: DataFrame, sub: dict) -> DataF
     return df
 
 
+def _has_many(catalog: Catalog, code: str, prefix) -> bool:
+    return any(r.to_many for r in _chain(catalog, code, prefix))
+
+
+def attach_verdicts(catalog: Catalog, code: str, df: DataFrame, wanted: list[tuple[str, _Atom, tuple]], geo_ctx=None) -> DataFrame:
+    """``df`` with the truth of conditions on sibling to-many branches below it.
+
+    ``wanted`` holds ``(column, condition, path below code)``.  Each branch is
+    reduced to the distinct truth values its rows give to each parent before
+    it is joined, so a row of ``df`` meets at most 3^k combinations of a
+    branch with k conditions, however many related rows there are.
+    """
+    def truth(name: str, at: _Atom, value: Column | None = None) -> Column:
+        target = _target(catalog, code, tuple(path_of[name]))
+        dtype = T.StringType() if at.json_path else catalog.column_type(target, at.column)
+        return atom_column(F.lit(None).cast(dtype) if value is None else _col_expr(value, at.json_path), dtype, at.item, geo_ctx)
+
+    path_of = {name: path for name, _, path in wanted}
+    for head in sorted({path[0] for _, _, path in wanted}):
+        mine = [(name, at, path[1:]) for name, at, path in wanted if path[0] == head]
+        rel = catalog.schema(code).relation(head)
+        if not rel.to_many:
+            raise FilterSyntaxError(f"sibling to-many branches below the to-one path {head!r}")
+        own = [w for w in mine if not _has_many(catalog, rel.target, w[2])]
+        deep = [w for w in mine if w not in own]
+        one: dict = defaultdict(set)
+        for _, at, path in own:
+            if path:
+                one[path].add(at.column)
+        keys = {catalog.schema(rel.target).relation(path[0]).local_key for _, _, path in mine if path}
+        inner = child_frame(catalog, rel, sorted({at.column for _, at, path in own if not path} | keys), dedupe=False)
+        if one:
+            inner = attach_to_one(catalog, rel.target, inner, one)
+        if deep:
+            inner = attach_verdicts(catalog, rel.target, inner, deep, geo_ctx)
+        truths = [truth(name, at, qcol(col_name(prefix_name(path), at.column))).alias(name) for name, at, path in own]
+        inner = inner.select(F.col(KEY).alias("__k2"), F.lit(True).alias("__has"), *truths, *[F.col(name) for name, _, _ in deep]).distinct()
+        df = df.join(inner, qcol(rel.local_key) == F.col("__k2"), "left")
+        for name, at, _ in mine:  # a parent without rows gets the truth of a null
+            df = df.withColumn(name, F.when(F.col("__has"), F.col(name)).otherwise(truth(name, at)))
+        df = df.drop("__k2", "__has")
+    return df
+
+
 def _attach_dwithin_objects(catalog: Catalog, df: DataFrame, atoms: list[dict]) -> DataFrame:
     """``dwithin code;pk;field;radius``: the other object's centroid, fetched once by key, as literals."""
     from relata.operators import geo

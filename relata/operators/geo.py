@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GEOM_DDL = (
@@ -304,6 +304,61 @@ def in_bbox(g: Column, xmin, ymin, xmax, ymax) -> Column:
     return (b["xmax"] >= xmin) & (b["xmin"] <= xmax) & (b["ymax"] >= ymin) & (b["ymin"] <= ymax)
 
 
+def _edges(ring: Column) -> Column:
+    """Consecutive vertex pairs ``(a, b)`` of a ring or line; none for a single vertex."""
+    return F.arrays_zip(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))).alias("a"), F.slice(ring, 2, F.size(ring)).alias("b"))
+
+
+def meets_box(g: Column, xmin: float, ymin: float, xmax: float, ymax: float) -> Column:
+    """Whether a geometry has a point in a box, the box's border included.
+
+    A segment meets the box if their envelopes do and the box's corners do not
+    all lie on one side of it; a polygon also if it holds the box.  The
+    envelope test comes first and decides alone for points.
+    """
+    x0, y0, x1, y1 = (F.lit(float(v)) for v in (xmin, ymin, xmax, ymax))
+    rings = F.flatten(g["parts"])
+
+    def vertex(p):
+        return p["x"].between(x0, x1) & p["y"].between(y0, y1)
+
+    def edge(e):
+        ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
+        over = (F.greatest(ax, bx) >= x0) & (F.least(ax, bx) <= x1) & (F.greatest(ay, by) >= y0) & (F.least(ay, by) <= y1)
+        sides = [(bx - ax) * (y - ay) - (by - ay) * (x - ax) for x in (x0, x1) for y in (y0, y1)]
+        return over & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+
+    inside = F.when(g["kind"] == "POINT", F.lit(True)).otherwise(
+        F.exists(F.flatten(rings), vertex) | F.exists(rings, lambda r: F.exists(_edges(r), edge))
+        | (g["kind"].endswith("POLYGON") & point_in_polygon(x0, y0, g)))
+    return in_bbox(g, x0, y0, x1, y1) & inside
+
+
+def within_m(g: Column, x: Column, y: Column, radius: float) -> Column:
+    """Whether a lon/lat geometry comes within ``radius`` metres of a point (F12): its vertices, its edges, its inside.
+
+    The nearest point of an edge is found with longitudes scaled at the
+    point's latitude; its distance is ``dist_m``.
+    """
+    near = F.lit(float(radius))
+
+    def vertex(p):
+        return dist_m(p["x"], p["y"], x, y, radius) <= near
+
+    def edge(e):
+        ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
+        k = F.cos(F.radians(y))
+        vx, vy = (bx - ax) * k, by - ay
+        along = F.coalesce(((x - ax) * k * vx + (y - ay) * vy) / F.nullif(vx * vx + vy * vy, F.lit(0.0)), F.lit(0.0))
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
+        return dist_m(ax + t * (bx - ax), ay + t * (by - ay), x, y, radius) <= near
+
+    rings = F.flatten(g["parts"])
+    whole = (F.exists(F.flatten(rings), vertex) | F.exists(rings, lambda r: F.exists(_edges(r), edge))
+             | (g["kind"].endswith("POLYGON") & point_in_polygon(x, y, g)))
+    return F.when(g["kind"] == "POINT", bind(point_xy(g), vertex)).otherwise(whole)
+
+
 def bbox_overlap(a: Column, b: Column) -> Column:
     return (a["xmax"] >= b["xmin"]) & (a["xmin"] <= b["xmax"]) & (a["ymax"] >= b["ymin"]) & (a["ymin"] <= b["ymax"])
 
@@ -480,24 +535,30 @@ def segment_cell_rows(segs: DataFrame, size: float, around: int = 0) -> DataFram
 HOT_CELL_ROWS = 1_000_000
 
 
+def meet(left: DataFrame, right: DataFrame, keys: list[str], rows: int | None = HOT_CELL_ROWS, least: int = 1) -> DataFrame:
+    """Equi join on ``keys`` in which no task gets more than about ``rows`` left rows of one key.
+
+    A key with more left rows is split into as many buckets as its counted
+    rows fill (at least ``least``); its right rows are copied to each bucket.
+    """
+    if not rows:
+        return left.join(right, keys)
+    crowd = left.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > rows).select(
+        *keys, F.greatest(F.ceil(F.col("__rows") / rows), F.lit(least)).cast("long").alias("__buckets"))
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    bucket = F.coalesce(F.pmod(F.xxhash64(*left.columns), F.col("__buckets")), zero)
+    dealt = left.join(crowd, keys, "left").withColumn("__bucket", bucket).drop("__buckets")
+    copied = right.join(crowd, keys, "left").withColumn(
+        "__bucket", F.explode(F.sequence(zero, F.coalesce(F.col("__buckets"), one) - 1))).drop("__buckets")
+    return dealt.join(copied, [*keys, "__bucket"]).drop("__bucket")
+
+
 def _candidates(points: DataFrame, lines: DataFrame, r: float, pid: str, px: str, py: str, lid: str, line: str,
                 hot_cell_rows: int | None = HOT_CELL_ROWS, salt: int = 1) -> DataFrame:
     # a point has one cell; the segments, the smaller side, carry their neighbourhood
     pts = points.select(F.col(pid).alias("pid"), F.col(px).alias("px"), F.col(py).alias("py"))
     pts = pts.select("*", _cell(F.col("px"), r).alias("cx"), _cell(F.col("py"), r).alias("cy"))
-    cells = segment_cell_rows(line_segments(lines, lid, line), r, around=1)
-    if hot_cell_rows:
-        # Cells with more than hot_cell_rows points are split into buckets of about that many
-        # points (at least `salt`); their segment rows are copied to every bucket.
-        hot = pts.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > hot_cell_rows)
-        hot = hot.select("cx", "cy", F.greatest(F.ceil(F.col("__n") / hot_cell_rows), F.lit(salt)).cast("long").alias("__b"))
-        zero = F.lit(0).cast("long")
-        pts = pts.join(hot, ["cx", "cy"], "left").withColumn("__s", F.coalesce(F.pmod(F.xxhash64("pid"), F.col("__b")), zero)).drop("__b")
-        cells = cells.join(hot, ["cx", "cy"], "left").withColumn(
-            "__s", F.explode(F.sequence(zero, F.coalesce(F.col("__b"), F.lit(1).cast("long")) - 1))).drop("__b")
-        cand = pts.join(cells, ["cx", "cy", "__s"])
-    else:
-        cand = pts.join(cells, ["cx", "cy"])
+    cand = meet(pts, segment_cell_rows(line_segments(lines, lid, line), r, around=1), ["cx", "cy"], hot_cell_rows, salt)
     d = seg_dist(F.col("px"), F.col("py"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
     return cand.select("pid", "lid", d.alias("dist")).filter(F.col("dist") <= F.lit(r))
 
@@ -548,7 +609,7 @@ def polygon_edges(areas: DataFrame, aid: str = "aid", geom: str = "geom") -> Dat
 
 def points_in_polygons(
     points: DataFrame, areas: DataFrame, cell: float, pid: str = "pid", px: str = "x", py: str = "y",
-    aid: str = "aid", geom: str = "geom", relational: bool = False,
+    aid: str = "aid", geom: str = "geom", relational: bool = False, hot_cell_rows: int | None = HOT_CELL_ROWS,
 ) -> DataFrame:
     """Point-in-area links.
 
@@ -567,19 +628,16 @@ def points_in_polygons(
     pts = pts.select("*", _cell(F.col("px"), cell).alias("cx"), _cell(F.col("py"), cell).alias("cy"))
     ar = areas.select(F.col(aid).alias("aid"), F.col(geom).alias("g"))
     b = F.col("g")["bbox"]
-    ac = ar.select(
-        "aid",
-        F.explode(F.sequence(_cell(b["xmin"], cell), _cell(b["xmax"], cell))).alias("cx"),
-        b.alias("bb"),
-    ).select("aid", "cx", F.explode(F.sequence(_cell(F.col("bb.ymin"), cell), _cell(F.col("bb.ymax"), cell))).alias("cy"))
-    if not relational:
-        cand = pts.join(ac, ["cx", "cy"]).select("pid", "px", "py", "aid").join(ar, "aid")
+    ac = ar.select("*", F.explode(F.sequence(_cell(b["xmin"], cell), _cell(b["xmax"], cell))).alias("cx")).select(
+        "*", F.explode(F.sequence(_cell(b["ymin"], cell), _cell(b["ymax"], cell))).alias("cy"))
+    if not relational:  # the area comes along with its cells, so an area that holds most points is no hot key
+        cand = meet(pts, ac, ["cx", "cy"], hot_cell_rows)
         return cand.filter(point_in_polygon(F.col("px"), F.col("py"), F.col("g"))).select("pid", "aid")
-    cand = pts.join(ac, ["cx", "cy"]).select("pid", "px", "py", "cy", "aid")
+    cand = meet(pts, ac.drop("g"), ["cx", "cy"], hot_cell_rows).select("pid", "px", "py", "cy", "aid")
     edges = polygon_edges(ar, "aid", "g")
     edges = edges.filter(F.col("ay") != F.col("by")).select(
         "*", F.explode(F.sequence(_cell(F.least("ay", "by"), cell), _cell(F.greatest("ay", "by"), cell))).alias("cy"))
-    j = cand.join(edges, ["aid", "cy"])
+    j = meet(cand, edges, ["aid", "cy"], hot_cell_rows)
     straddle = (F.col("ay") > F.col("py")) != (F.col("by") > F.col("py"))
     xint = F.col("ax") + (F.col("py") - F.col("ay")) * (F.col("bx") - F.col("ax")) / (F.col("by") - F.col("ay"))
     crossings = j.filter(straddle & (F.col("px") < xint)).groupBy("pid", "aid", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -597,7 +655,7 @@ def bbox_join(a: DataFrame, b: DataFrame, cell: float, aid="aid", ag="geom", bid
                  F.explode(F.sequence(_cell(F.col(f"{name}_bb.ymin"), cell), _cell(F.col(f"{name}_bb.ymax"), cell))).alias("cy"))
 
     ca, cb = cells(a, aid, ag, "aid"), cells(b, bid, bg, "bid")
-    j = ca.join(cb, ["cx", "cy"])
+    j = meet(ca, cb, ["cx", "cy"])
     # reference-point rule: keep the pair only in the cell holding the lower-left corner of the two
     # boxes' intersection (a cell both boxes cover), so each pair comes out once without a distinct
     rx = F.greatest(F.col("aid_bb.xmin"), F.col("bid_bb.xmin"))
@@ -616,24 +674,96 @@ def filter_atom(c: Column, kind: str, value, ctx) -> Column:
     parts = str(value).split(";")
     if kind == "bbox":
         xmin, ymin, xmax, ymax = (float(p) for p in parts)
-        return in_bbox(c, xmin, ymin, xmax, ymax)
+        return meets_box(c, xmin, ymin, xmax, ymax)
     if kind == "dwithin":
         if ctx is not None and "dwithin" in ctx:
             ox, oy, radius = ctx["dwithin"]
         else:
             ox, oy, radius = F.lit(float(parts[0])), F.lit(float(parts[1])), float(parts[2])
-        cen = F.when(c["kind"] == "POINT", point_xy(c)).otherwise(centroid(c))
-        return bind(cen, lambda p: dist_m(p["x"], p["y"], ox, oy, float(radius)) <= F.lit(float(radius)))
+        return within_m(c, ox, oy, float(radius))
     raise ValueError(kind)
 
 
+def _sided_edges(df: DataFrame) -> DataFrame:
+    """Edges ``pid, side, ax, ay, bx, by`` of ``(pid, geom)``; ``side`` is 1 where a polygon's inside lies left of the edge, -1 right, 0 for lines."""
+    rings = df.select("pid", F.col("geom")["kind"].endswith("POLYGON").alias("area"), F.explode(F.col("geom")["parts"]).alias("part")).select(
+        "pid", "area", F.posexplode("part").alias("nr", "r"))
+    turn = F.aggregate(F.transform(_edges(F.col("r")), lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]),
+                       F.lit(0.0), lambda total, v: total + v)
+    # a hole's inside is outside the area
+    side = F.when(F.col("area"), F.signum(turn) * F.when(F.col("nr") == 0, 1.0).otherwise(-1.0)).otherwise(0.0)
+    e = rings.select("pid", side.alias("side"), F.explode(_edges(F.col("r"))).alias("e"))
+    return e.select("pid", "side", F.col("e.a.x").alias("ax"), F.col("e.a.y").alias("ay"), F.col("e.b.x").alias("bx"),
+                    F.col("e.b.y").alias("by")).filter("ax <> bx OR ay <> by")
+
+
+def _pieces(edges: DataFrame, others: DataFrame, cell: float) -> DataFrame:
+    """``edges`` cut where ``others`` meet them: the columns of ``edges`` and the piece's part ``t`` to ``t1`` of its edge.
+
+    Edges meet on the grid cells they cross.  Cuts that are not needed do no harm.
+    """
+    other = segment_cell_rows(others, cell).select("cx", "cy", F.struct("ax", "ay", "bx", "by").alias("o"))
+    c = meet(segment_cell_rows(edges, cell), other, ["cx", "cy"])
+    vx, vy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    wx, wy = F.col("o.bx") - F.col("o.ax"), F.col("o.by") - F.col("o.ay")
+    ux, uy = F.col("o.ax") - F.col("ax"), F.col("o.ay") - F.col("ay")
+    cross = F.nullif(vx * wy - vy * wx, F.lit(0.0))
+    on_other = ((ux * vy - uy * vx) / cross).between(-1e-9, 1 + 1e-9)
+    long2 = vx * vx + vy * vy
+    parallel = F.array((ux * vx + uy * vy) / long2, ((ux + wx) * vx + (uy + wy) * vy) / long2)
+    cuts = F.when(cross.isNull(), parallel).when(on_other, F.array((ux * wy - uy * wx) / cross))
+    names = ["pid", "side", "ax", "ay", "bx", "by"]
+    cut = c.select(*names, F.explode(cuts).alias("t")).filter((F.col("t") > 1e-9) & (F.col("t") < 1 - 1e-9))
+    every = edges.select(*names, F.lit(0.0).alias("t")).union(cut)
+    along = Window.partitionBy(*names).orderBy("t")
+    return every.withColumn("t1", F.lead("t", 1, 1.0).over(along)).filter(F.col("t1") - F.col("t") > 1e-9)
+
+
+def _beside(pieces: DataFrame, side: Column) -> DataFrame:
+    """A point a hair beside the middle of each piece: ``x, y`` added."""
+    vx, vy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    middle, hair = (F.col("t") + F.col("t1")) / 2, (F.col("t1") - F.col("t")) * 1e-6 * side
+    return pieces.withColumn("x", F.col("ax") + middle * vx - hair * vy).withColumn("y", F.col("ay") + middle * vy + hair * vx)
+
+
+def intersecting_areas(objects: DataFrame, areas: DataFrame, cell: float) -> DataFrame:
+    """Pairs ``(pid, aid)`` of objects ``(pid, geom)`` whose inside meets the inside of an area ``(aid, geom)``.
+
+    Contact of borders alone does not count.  Points are tested as they are.
+    Lines and polygon borders are cut where the other side's edges meet them,
+    so that each piece lies wholly inside, outside or on a border:
+
+    * a line meets an area if both sides of some piece lie in it;
+    * two polygons meet if the inner side of some piece of one lies in the other.
+
+    Every step is an equi join on grid cells followed by arithmetic.
+    """
+    kind = F.col("geom")["kind"]
+    points = objects.filter(kind.endswith("POINT")).select("pid", F.explode(F.flatten(F.flatten(F.col("geom")["parts"]))).alias("p")).select(
+        "pid", "p.x", "p.y", "p.x", "p.y", F.lit(0.0), F.lit(1), "p.x", "p.y").toDF("pid", "ax", "ay", "bx", "by", "t", "need", "x", "y")
+    borders, outlines = _sided_edges(areas.withColumnRenamed("aid", "pid")), _sided_edges(objects.filter(~kind.endswith("POINT")))
+
+    line = F.col("side") == 0
+    sides = F.explode(F.when(line, F.array(F.lit(-1.0), F.lit(1.0))).otherwise(F.array("side")))
+    pieces = _pieces(outlines, borders, cell).select("*", sides.alias("s"), F.when(line, 2).otherwise(1).alias("need"))
+    tested = _beside(pieces, F.col("s")).select(*points.columns).union(points)
+    what = F.struct("pid", "ax", "ay", "bx", "by", "t", "need").alias("pid")
+    # counting crowded cells here would compute the pieces twice: left to AQE's skew join
+    inner = points_in_polygons(tested.select(what, "x", "y"), areas, cell, hot_cell_rows=None)
+    inner = inner.groupBy("pid", "aid").agg(F.count(F.lit(1)).alias("n"))
+    inner = inner.filter(F.col("n") >= F.col("pid.need")).select("pid.pid", "aid")
+
+    shapes = objects.filter(kind.endswith("POLYGON")).withColumnRenamed("pid", "aid")
+    outer = points_in_polygons(_beside(_pieces(borders, outlines.filter(~line), cell), F.col("side")), shapes, cell, hot_cell_rows=None)
+    return inner.union(outer.select(F.col("aid").alias("pid"), F.col("pid").alias("aid"))).distinct()
+
+
 def link_areas(objects: DataFrame, areas: DataFrame, cell: float, oid: str = "pid", geom: str = "geom",
                aid: str = "aid", agg: str = "geom", enabled: str | None = None) -> DataFrame:
-    """Object-area links for all objects (G12, J15): centroid in area, enabled areas only."""
+    """Object-area links for all objects (G12, J15): geometries that meet, enabled areas only."""
     a = areas.filter(F.col(enabled)) if enabled else areas
-    cen = F.when(F.col(geom)["kind"] == "POINT", point_xy(F.col(geom))).otherwise(centroid(F.col(geom)))
-    pts = objects.select(F.col(oid).alias("pid"), cen["x"].alias("x"), cen["y"].alias("y"))
-    return points_in_polygons(pts, a.select(F.col(aid).alias("aid"), F.col(agg).alias("geom")), cell)
+    return intersecting_areas(objects.select(F.col(oid).alias("pid"), F.col(geom).alias("geom")),
+                              a.select(F.col(aid).alias("aid"), F.col(agg).alias("geom")), cell)
 
 
 def refresh_links(links: DataFrame, changed: DataFrame, new_links: DataFrame, key: str = "pid") -> DataFrame:

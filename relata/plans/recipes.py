@@ -91,8 +91,8 @@ def lines_within(a: DataFrame, b: DataFrame, r: float, aid="aid", aline="line",
     sa = sa.select(F.col("lid").alias("__a"), *[F.col(c).alias(f"a_{c}") for c in ("ax", "ay", "bx", "by")], "cx", "cy")
     sb = geo.segment_cell_rows(geo.line_segments(b, bid, bline), r)
     sb = sb.select(F.col("lid").alias("__b"), *[F.col(c).alias(f"b_{c}") for c in ("ax", "ay", "bx", "by")], "cx", "cy")
-    c = sa.join(sb, ["cx", "cy"])
-    A = [F.col(f"a_{x}") for x in ("ax", "ay", "bx", "by")]
+    c = geo.meet(sa, sb, ["cx", "cy"])
+    A =[F.col(f"a_{x}") for x in ("ax", "ay", "bx", "by")]
     B = [F.col(f"b_{x}") for x in ("ax", "ay", "bx", "by")]
     d = F.least(
         geo.seg_dist(A[0], A[1], *B), geo.seg_dist(A[2], A[3], *B),
