@@ -3,6 +3,9 @@ from pyspark.sql import functions as F
 
 from relata.operators.filters import FilterSyntaxError, parse_filters, to_ast
 from relata.plans.list_query import ListQuery
+from relata.sources.tables import driver_catalog
+
+from conftest import SF_SMALL
 
 
 def test_parse_items_and_groups():
@@ -80,3 +83,24 @@ def test_info_counts(cat):
     filt = c.filter((F.col("c_mktsegment") == "BUILDING") & (F.col("c_acctbal") > 5000)).count()
     assert (r.total, r.filtered) == (total, filt)
     assert r.last_page == -(-total // 7)
+
+
+@pytest.mark.parametrize("spec, where", [
+    ("!,customers.orders.o_totalprice > 30000,customers.events.event_type = error", "NOT o_totalprice > 30000 AND event_type = 'error'"),
+    ("customers.orders.o_totalprice > 400000,|,customers.events.value > 300", "o_totalprice > 400000 OR value > 300"),
+    ("customers.orders.lineitems.l_quantity > 49,customers.events.value > 200,customers.c_acctbal > 5000",
+     "l_quantity > 49 AND value > 200 AND c_acctbal > 5000"),
+    ([{"field": "customers.orders.o_orderkey", "type": "=", "value": None}, {"field": "customers.events.value", "type": ">", "value": "250"}],
+     "o_orderkey IS NULL AND value > 250"),
+])
+def test_sibling_branches_equal_joined_rows(spark, spec, where):
+    cat = driver_catalog(spark, SF_SMALL)  # a third of the customers are without orders
+    cat.set_frame("order", cat.frame("order").filter("o_custkey % 3 <> 0"))
+    n, c, o, e, li = (cat.frame(t) for t in ("nation", "customer", "order", "event", "lineitem"))
+    rows = (n.join(c, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(o, F.col("o_custkey") == F.col("c_custkey"), "left")
+            .join(e, F.col("user_id") == F.col("c_custkey"), "left"))
+    if "l_quantity" in where:
+        rows = rows.join(li, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    want = {r.n_nationkey for r in rows.filter(where).select("n_nationkey").distinct().collect()}
+    got = [r.n_nationkey for r in ListQuery(cat, "nation", fields=["n_nationkey"], filters=spec).build().collect()]
+    assert sorted(got) == sorted(want) and 0 < len(want)
