@@ -6,9 +6,10 @@ marks per node, its link share the part of its characters inside links.  The
 two ratios, taken along the page in node order, are smoothed with a Gaussian,
 fused as a product and cut by links; nodes at or above ``CUT`` times the mean
 are content nodes.  Elements that say what they are (navigation, footers,
-adverts, comments ...) never take part.  The content nodes vote for the
-element that holds the article, and all of that element's own text is
-returned, so that short paragraphs and headings between content nodes stay.
+adverts, comments ...) never take part.  The content nodes, and no others,
+vote for the element that holds the article; <article> and <main> are one vote
+among these (``VOTE``).  All of that element's own text is returned, so that
+short paragraphs and headings between content nodes stay.
 """
 
 from __future__ import annotations
@@ -27,6 +28,8 @@ from pyspark.sql import functions as F
 CUT = 0.5
 #: An element holds the article if its content nodes have this part of the votes.
 HOLDS = 0.8
+#: What <article> and <main> are worth: this part of all votes, on top of those of their content nodes.
+VOTE = 0.3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -52,6 +55,7 @@ _HEADER_NAMES = frozenset("header masthead topbar".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
            "option": ("option",)}
 _LISTS = frozenset("ul ol dl table select".split())
+_LEAVES = frozenset("p li td th tr blockquote pre".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
@@ -184,39 +188,46 @@ def path_scores(nodes: list[_Node]) -> np.ndarray:
     return out
 
 
+def _elected(nodes: list[_Node], scores: np.ndarray, content: np.ndarray) -> list[bool]:
+    """The nodes of the element that the content nodes vote for.
+
+    All <article> and <main> elements with content nodes count as one element,
+    which has ``VOTE`` of all votes on top.  If it does not win, the deepest
+    element that holds ``HOLDS`` of the votes does.
+    """
+    total = float(scores[content].sum())
+    marked = np.array([n.root > 0 for n in nodes])
+    if not total:  # nothing but links: the mark is the only vote
+        return [bool(m) for m in marked]
+    if float(scores[content & marked].sum()) + VOTE * total >= HOLDS * total:
+        roots = {n.root for n, ok in zip(nodes, content) if ok and n.root}
+        return [n.root in roots for n in nodes]
+    votes: dict[int, float] = defaultdict(float)
+    depth: dict[int, int] = {}
+    tags: dict[int, str] = {}
+    for n, s, ok in zip(nodes, scores, content):
+        for d, h in enumerate(n.holders):
+            if ok and n.path[d] not in _LEAVES and n.path[d] not in _HEADINGS:
+                depth[h], tags[h] = d, n.path[d]
+                votes[h] += s
+    best = max((h for h in votes if votes[h] >= HOLDS * total), key=lambda h: depth[h], default=None)
+    if best is not None and tags[best] not in ("html", "body"):
+        return [best in n.holders for n in nodes]
+    # no element but the page itself: the content paths, headings, and what lies between content nodes and is no link
+    chosen = {n.path for n, ok in zip(nodes, content) if ok}
+    at = np.flatnonzero(content)
+    return [n.path in chosen or (i <= at[-1] and (bool(_HEADINGS & set(n.path)) or (i >= at[0] and scores[i] > 0)))
+            for i, n in enumerate(nodes)]
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, one per line; empty if there is none."""
     nodes = text_nodes(page) if page else []
-    if not nodes:
+    real = np.array([bool(n.text.strip()) for n in nodes], bool)
+    if not real.any():
         return ""
     scores = path_scores(nodes)
-    real = [bool(n.text.strip()) for n in nodes]
-    cut = CUT * scores[real].mean() if any(real) else 0.0
-    content = (scores >= cut) & np.array(real) & (scores > 0)
-    roots: dict[int, float] = defaultdict(float)
-    for n, s, ok in zip(nodes, scores, real):
-        if n.root and ok:
-            roots[n.root] += s
-    if roots:  # the page names its article: the one with most votes
-        best = max(roots, key=lambda r: (roots[r], -r))
-        keep = [n.root == best for n in nodes]
-    elif any(n.root for n in nodes):
-        keep = [False] * len(nodes)
-    else:
-        votes: dict[int, float] = defaultdict(float)
-        depth: dict[int, int] = {}
-        for n, s, ok in zip(nodes, scores, content):
-            for d, h in enumerate(n.holders):
-                if n.path[d] not in ("p", "li", "td", "th", "tr", "blockquote", "pre") and n.path[d] not in _HEADINGS:
-                    depth[h] = d
-                    votes[h] += s * ok
-        total = float(scores[content].sum())
-        best = max((h for h in votes if total and votes[h] >= HOLDS * total), key=lambda h: depth[h], default=None)
-        inside = [best is None or best in n.holders for n in nodes]
-        chosen = {n.path for n, ok, i in zip(nodes, content, inside) if ok and i}
-        last = max((i for i, n in enumerate(nodes) if content[i] and inside[i]), default=-1)
-        keep = [i and (n.path in chosen or (bool(_HEADINGS & set(n.path)) and at <= last)) and total > 0
-                for at, (n, i) in enumerate(zip(nodes, inside))]
+    keep = _elected(nodes, scores, real & (scores > 0) & (scores >= CUT * scores[real].mean()))
     blocks: dict[int, list[str]] = {}
     for n, k in zip(nodes, keep):
         if k:

@@ -232,6 +232,28 @@ def test_main_text():
     assert html_text.main_text("<article>" + "<p>" + "x" * 10**6 + "</p>" * 3) == "x" * 10**6
 
 
+def test_content_nodes_elect_the_element():
+    """Pages where <article>/<main> alone would choose wrongly: none, several, blank, or only a notice."""
+    one = "<p>A long paragraph, with commas, and more. It goes on, and on.</p><p>Short.</p>"
+    two = "<p>Another long one, also with commas. Fine, it ends, here.</p>"
+    first, second = "A long paragraph, with commas, and more. It goes on, and on.\nShort.", "Another long one, also with commas. Fine, it ends, here."
+    menu = "<ul><li><a href=1>Home</a></li><li><a href=2>News</a></li><li><a href=3>Sport</a></li></ul>"
+    whole = f"{first}\n{second}"
+    for page, want in {
+        "<article></article><p>outside</p>": "outside",
+        f"<body>{menu}<article>{one}</article><article>{two}</article>{menu}</body>": whole,
+        f"<body>{menu}<article>{one}</article>{menu}<article><a href=4>More of this</a></article></body>": first,
+        f"<body>{menu}<main> <p> </p></main><div>{one}{two}</div>{menu}</body>": whole,
+        f"<body>{menu}<main><p>Loading</p></main><div>{one}{two}</div>{menu}</body>": whole,
+        f"<body>{menu}<div><div>{one}{two}</div><div>{menu}</div></div></body>": whole,
+        f"<body>{menu}{one}{two}{menu}</body>": whole,
+        f"<body>{menu}<h2>Head</h2>{one}<div>aside of two words</div>{two}{menu}</body>": f"Head\n{first}\naside of two words\n{second}",
+        "<article><a href=1>Only a link</a></article>": "Only a link",
+        f"<body>{menu}</body>": "",
+    }.items():
+        assert html_text.main_text(page) == want, page
+
+
 def test_extract(spark):
     rows = [(1, "u", p) for p in PAGES] + [(None, None, None), (1, "u", "<article>same</article>"), (1, "u", "<article>same</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
