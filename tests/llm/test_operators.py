@@ -254,6 +254,34 @@ def test_content_nodes_elect_the_element():
         assert html_text.main_text(page) == want, page
 
 
+def test_names_and_open_tags_keep_the_article():
+    text = "<p>A long paragraph, with commas, and more. It goes on, and on.</p><p>Another long one, also with commas. Fine, it ends.</p>"
+    want = "A long paragraph, with commas, and more. It goes on, and on.\nAnother long one, also with commas. Fine, it ends."
+    menu = "<ul><li><a href=1>Home</a></li><li><a href=2>News</a></li></ul>"
+    for page in (
+        *(f"<body>{menu}<div {name}><article>{text}</article></div></body>" for name in (
+            "class='content with-sidebar'", "class='layout-has-sidebar'", "id='search-content'", "class='post share-enabled'",
+            "class='search'", "id=overlay", "role=search")),
+        *(f"<body>{menu}<div {name}>{text}</div></body>" for name in ("class='content with-sidebar'", "id='search-content'", "class=widget")),
+        f"<body>{menu}" + "".join(f"<div class=widget>{p}</p></div>" for p in text.split("</p>")[:-1]) + "</body>",
+        f"<body><form action=x>{menu}<article>{text}</article></form></body>",
+        f"<body><form action=x>{menu}<div>{text}</div></form></body>",
+        f"<body><article><svg class=icon />{text}</article></body>",
+        f"<body><article><svg class='a>b'/>{text}</article><svg><text>x</text></svg></body>",
+        f"<body><article><math />{text}</article></body>",
+        f"<body><article><svg><g><svg/></g><text>x</text></svg>{text}</article></body>",
+        *(f"<body><article><{tag} name=a>{text}</article></body>" for tag in ("select", "button", "object")),
+        f"<body><article>{text}<div class='share'>Share, now!</div><form>Name <input></form></article><div class='ad-2-box'>Buy, now!</div></body>",
+        f"<body><article>{text}</article><section class='post-comments'><article class=comment><p>Reader says.</p></article></section></body>",
+        f"<body>{menu}<article><div class=widget>{text}</div></article></body>",
+        f"<body><div class=share>{text.split('</p>')[0]}</p></div><div class=widget>{text.split('</p>')[1]}</p></div></body>",
+        f"<body><article>{text}<p hidden>gone</p><button>Like</button><select><option>A</select></article></body>",
+    ):
+        assert html_text.main_text(page) == want, page
+    long_advert = "<div class=ad>Buy, now, all of it, here, today, at once, and again, and again! Cheap, good, new, and more.</div>"
+    assert html_text.main_text(f"<body>{menu}{long_advert}<article><h1>Brief.</h1></article></body>") == "Brief."
+
+
 def test_extract(spark):
     rows = [(1, "u", p) for p in PAGES] + [(None, None, None), (1, "u", "<article>same</article>"), (1, "u", "<article>same</article>")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
