@@ -27,8 +27,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near duplicates on five-word shingles at 0.8: the smallest doc_id of each group stays."""
-    return one_of_each_group(docs, k=5, percent=80)
+    """Near duplicates on five-word shingles at 0.8: of each group one row stays, the first by doc_id."""
+    return one_of_each_group(docs, k=5, percent=80, repeats=False)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

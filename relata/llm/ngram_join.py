@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relata.llm.common import checkpoint, components, dense_sum, split_words
+from relata.llm.common import checkpoint, components, dense_sum, free_name, split_words
 
 #: The n-gram frequency table has 2^23 counters, one byte each (eight steps to a doubling): 8 MB for
 #: every task, whatever the corpus.  The order they give is a heuristic; results do not depend on it.
@@ -263,11 +263,30 @@ def ngram_join(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFram
     return out, links
 
 
-def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents whose doc_id is the smallest of its component; all columns kept.
+def one_of_each_group(docs: DataFrame, k: int = 5, percent: int = 80, repeats: bool = True) -> DataFrame:
+    """One row of each group of near copies, the first by (doc_id, hash of the text); all columns kept.
 
-    Rows without doc_id stay: nothing names them as a copy.
+    Rows are judged each by its own text, whatever their doc_id: rows without
+    one come last in their group.  Rows equal in doc_id and text to the one
+    that stays also stay, unless ``repeats`` is false.  Rows without words are
+    nobody's copy and stay.
     """
-    found, _ = ngram_join(docs, k, percent)
-    gone = checkpoint(found.filter("doc_id <> component_id").select("doc_id").distinct())
-    return docs.join(gone, docs["doc_id"].cast("long") == gone["doc_id"], "left_anti")
+    mark, ident, times = (free_name(docs, x) for x in ("__mark", "__ident", "__times"))
+    text = docs["text"].cast("string")
+    marked = docs.withColumns({mark: F.when(text.rlike(r"[^ \t\n\x0B\f\r]"), F.xxhash64(text)), ident: docs["doc_id"].cast("long")})
+    words = marked.filter(F.col(mark).isNotNull())
+    # the hash of the text is the row's id in the join, so that no two texts share one
+    found, _ = ngram_join(words.select(F.col(mark).alias("doc_id"), text.alias("text")), k, percent)
+    place = found.select(F.col("doc_id").alias("mark"), "component_id").distinct()
+    rows = words.groupBy(F.col(mark).alias("mark"), F.col(ident).alias("ident")).agg(F.count("*").alias("times"))
+    of_text = rows.groupBy("mark").agg(F.min(F.struct(F.col("ident").isNull().alias("none"), "ident", "times")).alias("r"))
+    first = of_text.join(place, "mark").groupBy("component_id").agg(F.min(F.struct("r.none", "r.ident", "mark", "r.times")).alias("w"))
+    first = checkpoint(first.select(F.col("w.mark").alias("mark"), F.col("w.ident").alias("ident"), F.col("w.times").alias(times)))
+
+    of = [free_name(marked, x) for x in ("__of_mark", "__of_ident")]
+    met = (F.col(mark) == F.col(of[0])) & F.col(ident).eqNullSafe(F.col(of[1]))
+    kept = marked.join(first.toDF(*of, times), met, "left").filter(F.col(mark).isNull() | F.col(times).isNotNull())
+    if not repeats and not first.filter(F.col(times) > 1).isEmpty():
+        repeated = kept.filter(F.col(times) > 1).dropDuplicates([mark, ident])  # combined before the shuffle
+        kept = kept.filter(F.col(times).isNull() | (F.col(times) == 1)).union(repeated)
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -109,3 +109,24 @@ def test_long_texts_are_read_whole(spark):
     rows = [(1, LONG), (2, LONG + " " + " ".join(f"tail{i}" for i in range(20_000)))]
     out, _ = ngram_join(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80)
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in out.collect()} == brute(rows, 5, 80)[0]
+
+
+def test_one_row_of_each_group(spark):
+    """Repeated ids with different texts, repeated rows, and rows without id or words."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(200)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (2, b + " end"), (3, c), (3, c), (3, c), (4, c + " end"), (None, c), (None, d), (None, d), (None, d + " end"),
+            (5, "short"), (None, "short"), (6, None), (6, None), (7, " \t\n"), (None, ""), (8, a + " end"), (8, "else")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("mark", F.lit("x")).withColumn("times", F.lit(1))
+    out = one_of_each_group(df, repeats=False)
+    assert out.columns == df.columns
+    got = Counter((r.doc_id, r.text) for r in out.collect())
+    either = [r for r in [(2, b), (2, b + " end")] + [(None, d), (None, d + " end")] if got.pop(r, 0)]
+    assert sorted(i or 0 for i, _ in either) == [0, 2]
+    assert got == Counter([(1, a), (3, c), (5, "short"), (6, None), (6, None), (7, " \t\n"), (None, ""), (8, "else")])
+    again = Counter((r.doc_id, r.text) for r in one_of_each_group(df).collect())
+    assert again[3, c] == 3 and again[6, None] == 2 and again[1, a] == 1 and not again[None, c]
+    assert one_of_each_group(df.limit(0), repeats=False).count() == 0
