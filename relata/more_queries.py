@@ -357,13 +357,13 @@ FROM customer GROUP BY c_custkey // 2
 def q_recipe_routes(spark, sf):
     # two route tables that share some rows: pairs of customers make one route
     from relata.operators import geo
-    from relata.plans.recipes import merge_routes
+    from relata.plans.recipes import route_summary
 
     k = F.floor(F.col("pid") / 2)
     number = F.concat(F.substring(F.lit("AND"), (k % 3 + 1).cast("int"), F.lit(1)), F.lit(" "), k.cast("string"))
     routes = _customer_points(spark, sf).select("pid", number.alias("numero"), geo.make_point(F.col("x"), F.col("y")).alias("geom"))
-    merged = merge_routes(routes.filter("pid % 5 <> 0"), routes.filter("pid % 5 = 0 OR pid % 3 = 0"))
-    return merged.select("code", "id_type", F.size(F.col("geom")["parts"]).cast("long").alias("n_parts"))
+    merged = route_summary(routes.filter("pid % 5 <> 0"), routes.filter("pid % 5 = 0 OR pid % 3 = 0"))
+    return merged.select("code", "id_type", "n_parts")
 
 
 @register("recipe_roads", """

@@ -170,19 +170,43 @@ def explode_parts(df: DataFrame, geom: str, out: str = "part") -> DataFrame:
     ).withColumn(out, make_geom(single, F.col(geom)["srid"], F.array(F.col("__part")))).drop("__pi", "__part")
 
 
+def collect_parts(df: DataFrame, by: list[str], geom: str, out: str = "part") -> DataFrame:
+    """Union/collect per group (G10, A14) in long form: the group key and one single part a row.
+
+    Nothing is gathered: a group may have any number of parts.
+    """
+    return explode_parts(df.select(*by, geom), geom, out).select(*by, out)
+
+
+def _common_kind(geom: str) -> tuple[Column, Column]:
+    """Aggregates: the collection's kind from the smallest and largest single kind, and its srid."""
+    single = F.regexp_replace(F.col(geom)["kind"], "^MULTI", "")
+    low, high = F.min(single), F.max(single)
+    kind = F.when(low == high, F.concat(F.lit("MULTI"), low)).otherwise(F.lit("GEOMETRYCOLLECTION"))
+    return kind, F.min(F.col(geom)["srid"])
+
+
+def collect_summary(df: DataFrame, by: list[str], geom: str) -> DataFrame:
+    """Per group ``kind, srid, n_parts, bbox`` of what ``collect`` would build, from map-side combined aggregates."""
+    kind, srid = _common_kind(geom)
+    box = F.col(geom)["bbox"]
+    return df.groupBy(*by).agg(
+        kind.alias("kind"), srid.alias("srid"), F.coalesce(F.sum(F.size(F.col(geom)["parts"])), F.lit(0)).cast("long").alias("n_parts"),
+        F.struct(F.min(box["xmin"]).alias("xmin"), F.min(box["ymin"]).alias("ymin"),
+                 F.max(box["xmax"]).alias("xmax"), F.max(box["ymax"]).alias("ymax")).alias("bbox"))
+
+
 def collect(df: DataFrame, by: list[str], geom: str, out: str = "geom") -> DataFrame:
-    """Union/collect per group (G10, A14): parts gathered into one multi-geometry.
+    """Union/collect per group (G10, A14) as one multi-geometry value, for the groups of a page.
 
+    A value holds all parts of its group, so filter ``df`` to the page's groups
+    first; ``collect_parts`` and ``collect_summary`` take any number of rows.
     Boundaries are not dissolved (collect only).  The kind is the common
     single kind, or a mixed collection flag when parts differ.
     """
-    single = F.regexp_replace(F.col(geom)["kind"], "^MULTI", "")
-    agg = df.groupBy(*by).agg(
-        F.flatten(F.collect_list(F.col(geom)["parts"])).alias("__parts"),
-        F.min(single).alias("__k1"), F.max(single).alias("__k2"), F.min(F.col(geom)["srid"]).alias("__srid"),
-    )
-    kind = F.when(F.col("__k1") == F.col("__k2"), F.concat(F.lit("MULTI"), F.col("__k1"))).otherwise(F.lit("GEOMETRYCOLLECTION"))
-    return agg.select(*by, make_geom(kind, F.col("__srid"), F.col("__parts")).alias(out))
+    kind, srid = _common_kind(geom)
+    agg = df.groupBy(*by).agg(F.flatten(F.collect_list(F.col(geom)["parts"])).alias("__parts"), kind.alias("__kind"), srid.alias("__srid"))
+    return agg.select(*by, make_geom(F.col("__kind"), F.col("__srid"), F.col("__parts")).alias(out))
 
 
 # ---------------------------------------------------------------- measures

@@ -172,15 +172,38 @@ def observations(points: DataFrame, lines: DataFrame, polygons: DataFrame, descr
                       F.coalesce(F.col("precision"), F.lit("unknown")).alias("precision"), "geom")
 
 
+def _routes(a: DataFrame, b: DataFrame) -> DataFrame:
+    return union_distinct([a.select("numero", "geom"), b.select("numero", "geom")])
+
+
+def _with_route_code(c: DataFrame) -> DataFrame:
+    num = F.regexp_replace(F.col("numero"), r"\s+", "")
+    id_type = classify([(num.like(p), code) for p, code in ROUTE_PREFIX_CODES], ROUTE_DEFAULT_CODE)
+    return c.select(num.alias("code"), id_type.alias("id_type"), *(x for x in c.columns if x != "numero"))
+
+
+def route_parts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """R-6 in long form: merge two route tables, one row ``(code, id_type, part)`` for each part of a route.
+
+    a, b: numero, geom
+    """
+    return _with_route_code(geo.collect_parts(_routes(a, b), ["numero"], "geom"))
+
+
+def route_summary(a: DataFrame, b: DataFrame) -> DataFrame:
+    """R-6: per merged route ``(code, id_type, kind, srid, n_parts, bbox)``; a route may have any number of parts."""
+    return _with_route_code(geo.collect_summary(_routes(a, b), ["numero"], "geom"))
+
+
 def merge_routes(a: DataFrame, b: DataFrame) -> DataFrame:
     """R-6: merge two route tables, one geometry per route, normalised number and type by prefix.
 
+    A geometry holds all parts of its route: for the routes of a page;
+    ``route_parts`` and ``route_summary`` take whole tables.
+
     a, b: numero, geom
     """
-    u = union_distinct([a.select("numero", "geom"), b.select("numero", "geom")])
-    c = geo.collect(u, ["numero"], "geom")
-    num = F.regexp_replace(F.col("numero"), r"\s+", "")
-    return c.select(num.alias("code"), classify([(num.like(p), code) for p, code in ROUTE_PREFIX_CODES], ROUTE_DEFAULT_CODE).alias("id_type"), "geom")
+    return _with_route_code(geo.collect(_routes(a, b), ["numero"], "geom"))
 
 
 def reassign(df: DataFrame, mapping: DataFrame, on: list[str], column: str, new_col: str) -> DataFrame:

@@ -1003,9 +1003,9 @@ def q_collect_geom(spark, sf):
     cat = _cat(spark, sf)
     c = load_table(spark, sf, "customer")
     c = c.withColumn("geom", cat.schema("customer").computed["geom"](c))
-    g = geo.collect(c, ["c_nationkey"], "geom")
-    return g.select(F.col("c_nationkey").alias("nation"), F.col("geom")["kind"].alias("kind"), F.size(F.col("geom")["parts"]).cast("long").alias("n_parts"),
-                    F.round(F.col("geom")["bbox"]["xmin"], 6).alias("xmin"), F.round(F.col("geom")["bbox"]["ymax"], 6).alias("ymax"))
+    g = geo.collect_summary(c, ["c_nationkey"], "geom")
+    return g.select(F.col("c_nationkey").alias("nation"), "kind", "n_parts",
+                    F.round(F.col("bbox")["xmin"], 6).alias("xmin"), F.round(F.col("bbox")["ymax"], 6).alias("ymax"))
 
 
 def _l93_sql():
@@ -1247,13 +1247,13 @@ def q_fix_srid(spark, sf):
 SELECT c_nationkey AS nation, 'POINT' AS kind, COUNT(*) AS n FROM customer GROUP BY c_nationkey
 """)
 def q_explode_parts(spark, sf):
-    # points collected per nation into multi-points, then dumped back to single parts
+    # points collected per nation, the collection in long form: single parts
     from relata.operators import geo
     from relata.sources.tables import load_table
 
     c = load_table(spark, sf, "customer")
     c = c.withColumn("geom", _cat(spark, sf).schema("customer").computed["geom"](c))
-    parts = geo.explode_parts(geo.collect(c, ["c_nationkey"], "geom"), "geom", "part")
+    parts = geo.collect_parts(c, ["c_nationkey"], "geom")
     return parts.groupBy(F.col("c_nationkey").alias("nation"), F.col("part")["kind"].alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -142,3 +142,29 @@ def test_grid_join_salted_hot_cell(spark):
     plain = {(r.pid, r.lid, round(r.dist, 12)) for r in geo.join_within(P, L, 0.3).collect()}
     salted = {(r.pid, r.lid, round(r.dist, 12)) for r in geo.join_within(P, L, 0.3, hot_cell_rows=50, salt=8).collect()}
     assert plain == salted and sum(1 for p, l, _ in plain if l == 99) >= 150
+
+
+def test_collection_in_long_form(spark):
+    """Summary and parts agree with the value that ``collect`` builds, mixed kinds and missing geometries included."""
+    w = [("a", "POINT(1 2)"), ("a", "MULTIPOINT((3 4),(-1 0))"), ("a", "POINT(1 2)"), ("b", "POINT(0 0)"), ("b", "LINESTRING(0 0, 5 6)"), ("c", None),
+         ("c", "POLYGON((0 0,4 0,4 4,0 0))"), ("d", None), (None, "POINT(7 7)")]
+    df = spark.createDataFrame(w, "k string, w string").select("k", geo.parse_wkt(F.col("w")).alias("geom"))
+    values = {r.k: r.geom for r in geo.collect(df, ["k"], "geom").collect()}
+    summary = {r.k: r for r in geo.collect_summary(df, ["k"], "geom").collect()}
+    parts = geo.collect_parts(df, ["k"], "geom").collect()
+    assert values.keys() == summary.keys() == {"a", "b", "c", "d", None}
+    for k, g in values.items():
+        mine = [r.part for r in parts if r.k == k]
+        assert (summary[k].kind, summary[k].srid, summary[k].n_parts) == (g.kind, g.srid, len(g.parts)) and len(mine) == len(g.parts)
+        assert sorted(str(p.parts[0]) for p in mine) == sorted(map(str, g.parts)) and all(len(p.parts) == 1 for p in mine)
+        if g.parts:
+            assert summary[k].bbox == g.bbox
+    assert [r.part.kind for r in parts if r.k == "a"] == ["POINT"] * 4
+
+
+def test_no_query_gathers_a_group_of_geometries(spark):
+    from relata.queries import QUERIES
+
+    for name in ("collect_geom", "explode_parts", "recipe_routes"):
+        plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "collect_list" not in plan, name
