@@ -212,15 +212,21 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = _Chunks()
+        chunks, sent = _Chunks(), set()  # a task pools a document once
         for b in (big.slice(at, 512) for big in batches for at in range(0, big.num_rows, 512)):
+            new = [i not in sent and not sent.add(i) for i in b.column(0).to_pylist()]
+            b = b.filter(pa.array(new, pa.bool_()))
             rows = [pooled(word_entries(raw, chunks), shared.value) for raw in text_bytes(b, "text")]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "quality", "x"])
 
-    sample = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-              .join(F.broadcast(training_rows(labels, max_train)), "doc_id").select("doc_id", "quality", "text"))
-    got = sample.mapInArrow(pool, "doc_id long, quality int, x array<double>").collect()
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    # a document has one text, that of the smallest hash, however many rows repeat its id
+    one = texts.join(F.broadcast(training_rows(labels, max_train)), "doc_id").groupBy("doc_id", "quality").agg(F.min("h").alias("h"))
+    sample = texts.join(F.broadcast(one), ["doc_id", "h"]).select("doc_id", "quality", "text")
+    pools = sample.mapInArrow(pool, "doc_id long, quality int, x array<double>")
+    got = pools.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.first("x").alias("x")).collect()
     got.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r.doc_id)), r.doc_id, r.x))
     x = np.array([r.x for r in got]).reshape(len(got), DIM + 2)
     return _fit_network(x, np.array([float(r.quality) for r in got]), vectors)

@@ -520,3 +520,17 @@ def test_judge(spark):
     assert url_filter.judge(df.limit(0), url_filter.rules_frame(spark, rules)).collect() == []
     none = url_filter.judge(df, url_filter.rules_frame(spark, rules).limit(0), "block").collect()
     assert {(r.rule, r.verdict) for r in none} == {(None, "block")}
+
+
+def test_one_text_of_each_labelled_id_reaches_the_driver(spark, monkeypatch):
+    rows = [(i, f"text number {i}") for i in range(1, 41)] + [(1, f"other {j % 7}") for j in range(300)] + [(None, "no id")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 41)], "doc_id long, quality int")
+    seen, fit = [], quality._fit_network
+    monkeypatch.setattr(quality, "_fit_network", lambda x, y, vectors: seen.append((x, y)) or fit(x, y, vectors))
+    for _ in range(2):
+        quality.fit_quality(docs, labels, max_train=1000)
+    trained = quality.training_rows(labels).collect()
+    assert 1 in {r.doc_id for r in trained}
+    assert len(seen[0][0]) == len(trained) and seen[0][1].sum() == sum(r.quality for r in trained)
+    assert np.array_equal(seen[0][0], seen[1][0])
