@@ -147,3 +147,79 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     from relata.llm.html_text import extract
 
     return extract(table(spark, sf, "pages"))
+
+
+# ---------------------------------------------------------------- 12: filter interaction audit
+@register("op12_filter_audit", """
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT *, list_filter(regexp_split_to_array(t, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS copy
+  FROM d),
+l AS (SELECT doc_id AS id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+b AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(ws) < 200 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(ws)) < 50 * len(ws) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN copy THEN 16 ELSE 0 END AS bits
+  FROM w LEFT JOIN l ON w.doc_id = l.id),
+c AS (
+  SELECT part, bits, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM b GROUP BY part, bits),
+x(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (
+  SELECT p.f || q.f || r.f || s.f || u.f AS filter_order FROM x p, x q, x r, x s, x u
+  WHERE len(list_distinct([p.f, q.f, r.f, s.f, u.f])) = 5),
+g AS (
+  SELECT filter_order, CAST(step AS INTEGER) AS step, 1 << (ascii(filter_order[step]) - 65) AS f,
+    coalesce(list_sum(list_transform(range(1, step), lambda i: 1 << (ascii(filter_order[i]) - 65))), 0)::INTEGER AS before
+  FROM o, range(1, 6) r(step))
+SELECT part, filter_order, step,
+  CAST(sum(CASE WHEN bits & (f | before) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+  CAST(sum(CASE WHEN bits & f <> 0 AND bits & before = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+  CAST(sum(CASE WHEN bits & f <> 0 AND bits & before <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+  CAST(sum(CASE WHEN bits = f THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+  CAST(sum(CASE WHEN bits & f <> 0 AND bits & before = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+  CAST(sum(CASE WHEN bits & f <> 0 AND bits & before = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+  CAST(sum(CASE WHEN bits & f <> 0 THEN n * 120 // bit_count(bits) ELSE 0 END) AS BIGINT) AS shapley
+FROM c, g GROUP BY part, filter_order, step
+""")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    from relata.llm.filter_audit import audit
+
+    return audit(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+# ---------------------------------------------------------------- 13: centroid clustering
+def _cluster_sql(k: int = 40, rounds: int = 5) -> str:
+    """Plain Lloyd rounds, each centroid compared with each vector."""
+    parts = [f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), x) - 1 AS cluster, x FROM v
+  QUALIFY row_number() OVER (ORDER BY sha256('2:' || vec_id), x) <= {k})"""]
+    for i in range(rounds + 1):
+        parts.append(f"""
+a{i} AS MATERIALIZED (
+  SELECT r, arg_min(cluster, (d, cluster)) AS cluster, min(d) AS distance
+  FROM (SELECT r, cluster, list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{i} c)
+  GROUP BY r)""")
+        if i < rounds:
+            parts.append(f"""
+s{i} AS (
+  SELECT cluster, j, sum(x[j])::BIGINT AS s, count(*) AS n FROM a{i} JOIN v USING (r), range(1, 65) t(j) GROUP BY cluster, j),
+c{i + 1} AS MATERIALIZED (
+  SELECT cluster, coalesce(m.x, c{i}.x) AS x
+  FROM c{i} LEFT JOIN (SELECT cluster, list((s - ((s % n + n) % n)) // n ORDER BY j) AS x FROM s{i} GROUP BY cluster) m USING (cluster))""")
+    return ",".join(parts) + f"""
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{rounds}.x, ',')) AS centroid_sha256
+FROM a{rounds} JOIN v USING (r) JOIN c{rounds} USING (cluster)"""
+
+
+@register("op13_ptolemaic_clusters", _cluster_sql())
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    from relata.llm.ptolemaic import cluster
+
+    return cluster(table(spark, sf, "embeddings"))
