@@ -149,6 +149,14 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
     return extract(table(spark, sf, "pages"))
 
 
+# ---------------------------------------------------------------- 11: personal data
+@register("op11_skip_chain_pii")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    from relata.llm.pii_crf import digests, find_spans
+
+    return digests(find_spans(table(spark, sf, "documents")))
+
+
 # ---------------------------------------------------------------- 12: filter interaction audit
 @register("op12_filter_audit", """
 WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t FROM documents),
