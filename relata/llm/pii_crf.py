@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -103,6 +104,16 @@ def _bucket(kind: str, value) -> int:
     return zlib.crc32(f"{kind} {value}".encode("utf-8", "surrogatepass")) % BUCKETS
 
 
+@lru_cache(maxsize=20_000)  # of bounded strings
+def _features(core: str, tail: str, before: str, after: str) -> list[int]:
+    digits = _NOT_DIGIT.sub("", core) if len(core) <= 64 else ""
+    parts = [("shape", _shape(core)), ("digits", len(digits)), ("luhn", 12 <= len(digits) <= 19 and luhn(digits)),
+             ("at", "@" in core), ("dots", min(core.count("."), 5)), ("plus", core.startswith("+")),
+             ("long", min(len(core) // 8, 8)), ("before", _shape(before)), ("after", _shape(after)),
+             ("head", _shape(core[:3])), ("tail", _shape(tail))]
+    return [0] + [_bucket(*p) or 1 for p in parts]
+
+
 class Graph:
     """The mentions of some documents with features, evidence and edges; documents never share an edge."""
 
@@ -132,7 +143,7 @@ class Graph:
                 node = len(self.spans)
                 self.spans.append((doc, start, end))
                 self.label.append(min((b[1] for b in reach if b[0] < end), default=-1) + 1)
-                self.features.append(self._features(core, word_before, after[0] if after else ""))
+                self.features.append(_features(core[:65], core[-3:], word_before[-24:], after[0][:24] if after else ""))
                 if mention_before == number - 1:
                     self.chain.append((node - 1, node))
                 for key in self._keys(core):
@@ -143,15 +154,6 @@ class Graph:
             word_before, m = m[0], after
             number += 1
 
-    @staticmethod
-    def _features(core: str, before: str, after: str) -> list[int]:
-        digits = _NOT_DIGIT.sub("", core) if len(core) <= 64 else ""
-        parts = [("shape", _shape(core[:64])), ("digits", len(digits)), ("luhn", 12 <= len(digits) <= 19 and luhn(digits)),
-                 ("at", "@" in core), ("dots", min(core.count("."), 5)), ("plus", core.startswith("+")),
-                 ("long", min(len(core) // 8, 8)), ("before", _shape(before[-24:])), ("after", _shape(after[:24])),
-                 ("head", _shape(core[:3])), ("tail", _shape(core[-3:]))]
-        return [0] + [_bucket(*p) or 1 for p in parts]
-
     @staticmethod
     def _keys(core: str) -> set[str]:
         """What tells that two mentions are equal or similar."""
