@@ -55,25 +55,29 @@ def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     return col.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
 
 
-def split_words(batch: pa.RecordBatch, column: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def split_coded(batch: pa.RecordBatch, column: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Words between ASCII white space: the distinct ones, each word's number among them in text order, words per row."""
     col = pc.fill_null(batch.column(batch.schema.get_field_index(column)), "")
     lists = pc.ascii_split_whitespace(col)
     counts = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = pc.list_flatten(lists).dictionary_encode()
-    words = coded.dictionary.cast(pa.large_binary() if pa.types.is_large_string(col.type) else pa.binary()).to_pylist()
     index = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    if b"" in words:  # from white space at a text's ends
-        kept = index != words.index(b"")
+    blank = pc.index(coded.dictionary, pa.scalar("", coded.dictionary.type)).as_py()
+    if blank >= 0:  # from white space at a text's ends
+        kept = index != blank
         counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[kept], minlength=len(counts))
         index = index[kept]
-    return words, index, counts
+    return coded.dictionary, index, counts
+
+
+def split_words(batch: pa.RecordBatch, column: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """``split_coded`` with the distinct words as bytes."""
+    words, index, counts = split_coded(batch, column)
+    return words.cast(pa.large_binary() if pa.types.is_large_string(words.type) else pa.binary()).to_pylist(), index, counts
 
 
-def gather(pieces: list[bytes], index: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    """The packed ``pieces`` of ``index`` one after the other, and the length of each."""
-    flat = np.frombuffer(b"".join(pieces), kind)
-    size = np.array([len(x) for x in pieces], np.int64) // np.dtype(kind).itemsize
+def gather(flat: np.ndarray, size: np.ndarray, index: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pieces of ``flat``, whose lengths are ``size``, those of ``index`` one after the other, and the length of each."""
     first = np.cumsum(size) - size
     n = size[index]
     kind_at = np.int32 if len(flat) < 2**31 and n.sum() < 2**31 else np.int64

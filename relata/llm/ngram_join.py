@@ -117,13 +117,14 @@ def _gram_counts(docs: DataFrame, k: int) -> np.ndarray:
     shift = np.uint64(64 - COUNTERS_BITS)
 
     def add(batch: pa.RecordBatch, acc: np.ndarray) -> None:
-        for g in gram_sets(batch, k):
-            np.add.at(acc, g >> shift, 1)
+        for g in gram_sets(batch, k):  # two bytes a counter: a task's count stops at 65,535, the sums go on
+            at = g >> shift
+            acc[at] += acc[at] < 65_535
 
     def steps(sums: np.ndarray) -> np.ndarray:
         return np.minimum(8 * np.log2(1.0 + sums), 255)
 
-    return dense_sum(docs.select("text"), add, 1 << COUNTERS_BITS, 1 << 16, np.int32, steps, np.uint8)
+    return dense_sum(docs.select("text"), add, 1 << COUNTERS_BITS, 1 << 16, np.uint16, steps, np.uint8)
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:

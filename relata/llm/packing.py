@@ -13,26 +13,28 @@ from __future__ import annotations
 import json
 import os
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relata.llm.common import checkpoint, gather, split_words
+from relata.llm.common import checkpoint, gather, split_coded
 
 WINDOW = 2048
 END_ID = 1
-#: Entries (chunks between white space, and words) that a Python worker remembers, about 170 MB; emptied when full.
-CACHE = 800_000
+#: Rows whose distinct words are encoded together, and the bytes of text after which fewer rows are taken.
+ROWS, BYTES = 4096, 1 << 24
 # The tokenizer's own word pattern, and its special tokens' first characters.
 _WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _SPECIAL = "<|"
-_ENDS = frozenset(b".,;:!?")
+_MARKS = ".,;:!?"
+#: Latin letters (but U+0130, whose lower case is two characters), then at most one mark.
+_PLAIN = "^[A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+[.,;:!?]?$"
 
 
 _loaded: dict[str, tuple] = {}
@@ -54,11 +56,12 @@ def _tokenizer(path: str) -> tuple:
     return _loaded[path]
 
 
-class _Chunks(dict):
-    """Chunk between white space -> its ids as little-endian uint32.
+class _Encoder:
+    """Ids of whole texts, a batch at a time; nothing is kept between batches.
 
     The tokenizer never joins across white space, nor across words of its
-    pattern, so a document's ids are its words' ids in order.  Chunks with
+    pattern, so a document's ids are its words' ids in order, and a batch's
+    distinct words are encoded once, together.  Chunks between white space with
     letters beyond Latin, where the libraries' character tables could differ,
     and chunks that may hold a special token are encoded whole.
     """
@@ -66,64 +69,90 @@ class _Chunks(dict):
     def __init__(self, path: str):
         self.tokenizer, self.by_word, self.ends_word = _tokenizer(path)
 
-    def _encode(self, chunks: list[bytes]) -> None:
+    def _whole(self, chunks: list[bytes]) -> list[bytes]:
         texts = [c.decode("utf-8", "replace") for c in chunks]
-        for c, e in zip(chunks, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            self[c] = array("I", e.ids).tobytes()
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[bytes]) -> None:
-        """Words of the pattern, as one text: each ends at its only id that ends a word."""
+    def _vocabulary(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words of the pattern, encoded as one text: each word ends at its only id that ends a word."""
+        flat, sizes = [], []
         for at in range(0, len(words), 10_000):
             some = words[at:at + 10_000]
             ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
-            ends = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
-            if len(ends) != len(some):
-                self._encode(some)
-                continue
-            packed, start = ids.tobytes(), 0
-            for w, end in zip(some, ends):
-                self[w], start = packed[start:end], end
-
-    def _words(self, c: bytes) -> tuple[bytes, ...] | None:
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(some):
+                flat.append(ids)
+                sizes.append(np.diff(ends, prepend=0))
+            else:
+                whole = self._whole(some)
+                flat.append(np.frombuffer(b"".join(whole), "<u4"))
+                sizes.append(np.array([len(x) // 4 for x in whole]))
+        return np.concatenate([np.empty(0, "<u4"), *flat]), np.concatenate([np.empty(0, np.int64), *sizes]).astype(np.int64)
+
+    @staticmethod
+    def _words(c: bytes) -> list[bytes] | None:
         """The chunk's words in lower case; None for a chunk that is encoded whole."""
-        if c.isalpha():  # of bytes: ASCII letters only
-            return (c.lower(),)
-        if c[-1] in _ENDS and c[:-1].isalpha():
-            return (c[:-1].lower(), c[-1:])
         text = c.decode("utf-8", "replace")
-        if _SPECIAL in text or max(text) >= "\u0250":
+        if _SPECIAL in text or not text or max(text) >= "\u0250":
             return None
-        text = text.lower()  # below U+0250 this is all that the tokenizer's normalizer does
-        if text.isalpha():
-            return (text.encode(),)
-        if text[-1] in ".,;:!?" and text[:-1].isalpha():
-            return (text[:-1].encode(), c[-1:])
-        return tuple(w.encode() for w in _WORD.findall(text))
-
-    def _add(self, chunks: list[bytes]) -> None:
-        if not self.by_word:
-            return self._encode(chunks)
-        split = [(c, self._words(c)) for c in chunks]
-        self._encode([c for c, ws in split if ws is None])
-        self._encode_words(list({w for _, ws in split if ws for w in ws if w not in self}))
-        for c, ws in split:
-            if ws is not None:
-                self[c] = self[ws[0]] if len(ws) == 1 else b"".join([self[w] for w in ws])
+        return [w.encode() for w in _WORD.findall(text.lower())]  # below U+0250 lower case is all that the normalizer does
+
+    def _distinct(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct chunks one after the other, and how many each has."""
+        raw = chunks.cast(pa.large_binary() if pa.types.is_large_string(chunks.type) else pa.binary())
+        plain = pc.match_substring_regex(chunks, _PLAIN) if self.by_word else pa.array(np.zeros(len(chunks), bool))
+        rest = raw.filter(pc.invert(plain)).to_pylist()
+        split = [self._words(c) if self.by_word else None for c in rest]
+
+        # plain chunks: a word, then at most one mark
+        lower = pc.utf8_lower(chunks.filter(plain))
+        stems = pc.utf8_rtrim(lower, characters=_MARKS).dictionary_encode()
+        marks = pc.index_in(pc.utf8_slice_codeunits(lower, -1), pa.array(list(_MARKS), lower.type))
+        words = [*stems.dictionary.to_pylist(), *_MARKS]
+        place = {w.encode(): i for i, w in enumerate(words)} if rest else {}
+        words = [w.encode() for w in words]
+        parts = [np.array([place.setdefault(w, len(place)) for w in ws], np.int64) for ws in split if ws is not None]
+        words += list(place)[len(words):]
+        flat, size = self._vocabulary(words)
+
+        pairs = np.stack([stems.indices.to_numpy(zero_copy_only=False).astype(np.int64),
+                          marks.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)], axis=1)
+        pairs[:, 1] += np.where(pairs[:, 1] >= 0, len(stems.dictionary), 0)
+        ids, sizes = gather(flat, size, pairs[pairs >= 0])
+        of = np.repeat(np.arange(len(pairs)), (pairs >= 0).sum(axis=1))
+        n_plain = np.bincount(of, sizes, len(pairs)).astype(np.int64)
+        more, more_sizes = gather(flat, size, np.concatenate([np.empty(0, np.int64), *parts]))
+        of = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
+        n_words = np.bincount(of, more_sizes, len(parts)).astype(np.int64)
+        whole = self._whole([c for c, ws in zip(rest, split) if ws is None])
+        n_whole = np.array([len(x) // 4 for x in whole], np.int64)
+
+        # back to the chunks' order
+        plain = plain.to_numpy(zero_copy_only=False)
+        kind = np.zeros(len(chunks), np.int64)
+        kind[~plain] = [1 if ws is not None else 2 for ws in split]
+        order = np.empty(len(chunks), np.int64)
+        order[np.argsort(kind, kind="stable")] = np.arange(len(chunks))
+        every = np.concatenate([ids, more, np.frombuffer(b"".join(whole), "<u4")])
+        return gather(every, np.concatenate([n_plain, n_words, n_whole]), order)
 
     def ids(self, batch: pa.RecordBatch, column: str, kind: str = "<u4") -> list[bytes]:
         """The ids of whole texts (null: none), packed as ``kind``."""
-        chunks, index, counts = split_words(batch, column)
-        new = [c for c in chunks if c and c not in self]
-        if len(self) + len(new) > CACHE:
-            self.clear()
-            new = [c for c in chunks if c]
-        self._add(new)
-        ids, sizes = gather([self[c] if c else b"" for c in chunks], index, "<u4")
+        chunks, index, counts = split_coded(batch, column)
+        ids, sizes = gather(*self._distinct(chunks), index)
         ends, ids = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(counts)], ids.astype(kind)
         return [ids[lo:hi].tobytes() for lo, hi in zip([0, *ends[:-1]], ends)]
 
 
-_chunks: dict[str, _Chunks] = {}
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of at most ``ROWS`` rows and, beyond the first row, ``BYTES`` bytes of text."""
+    size = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(size.astype(np.int64)), 0
+    while at < batch.num_rows:
+        full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + BYTES, side="right"))
+        n = max(1, min(ROWS, full - at))
+        yield batch.slice(at, n)
+        at += n
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -151,11 +180,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
     end, width = np.array([end_id], kind).tobytes(), np.dtype(kind).itemsize
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, part, pos = _chunks.setdefault(path, _Chunks(path)), TaskContext.get().partitionId(), 0
+        encoder, part, pos = _Encoder(path), TaskContext.get().partitionId(), 0
         for b in batches:
-            for at in range(0, b.num_rows, 2048):
-                c = b.slice(at, 2048)
-                ids = [x + end for x in chunks.ids(c, "text", kind)]
+            for c in _slices(b):
+                ids = [x + end for x in encoder.ids(c, "text", kind)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * len(ids), pa.int32()), pa.array(range(pos, pos + len(ids)), pa.int64()), c.column(0),
                      pa.array([len(x) // width for x in ids], pa.int64()), pa.array([pa.compress(x, codec="zstd", asbytes=True) for x in ids], pa.binary())],
