@@ -127,9 +127,7 @@ def _order_lists_import(spark, sf, emptied: bool):
         staged = staged.withColumn("parts", F.when(F.col("o_orderkey").cast("long") % 7 != 0, F.col("parts")))
     spec = ImportSpec("order", unique=["o_orderkey"], fields={
         "o_orderkey": FieldSpec("integer", required=True), "parts": FieldSpec(nn="part", nn_unique="p_partkey")})
-    r = run_import(_cat(spark, sf), spec, staged)
-    r.release()
-    return r
+    return run_import(_cat(spark, sf), spec, staged)
 
 
 @register("links_default_store", _ORDER_PARTS_SQL + """
@@ -139,7 +137,9 @@ SELECT (SELECT COUNT(DISTINCT l_orderkey) FROM ranked WHERE l_orderkey % 5 = 0 A
 def q_links_default_store(spark, sf):
     from relata.plans.ingest import run_record
 
-    rec = run_record(spark, _order_lists_import(spark, sf, emptied=False), "run")
+    r = _order_lists_import(spark, sf, emptied=False)
+    rec = run_record(spark, r, "run")
+    r.release()
     return rec.select(F.get_json_object("res", "$.nb_update").cast("long").alias("nb_update"),
                       F.get_json_object("res", "$.nb_process").cast("long").alias("nb_process"), "status")
 
@@ -149,8 +149,11 @@ SELECT l_orderkey AS o_orderkey, l_partkey AS p_partkey FROM ranked
 WHERE l_orderkey % 7 <> 0 AND NOT (l_orderkey % 5 = 0 AND n > 1 AND rdesc = 1)
 """)
 def q_links_emptied(spark, sf):
-    links = _order_lists_import(spark, sf, emptied=True).links["parts"]
-    return links.select(F.col("__pk").alias("o_orderkey"), F.col("__link").alias("p_partkey"))
+    r = _order_lists_import(spark, sf, emptied=True)
+    checkpoint_dir(spark)
+    links = r.links["parts"].select(F.col("__pk").alias("o_orderkey"), F.col("__link").alias("p_partkey")).checkpoint(eager=True)
+    r.release()  # the result is written
+    return links
 
 
 # ---------------------------------------------------------------- deep paths

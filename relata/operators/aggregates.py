@@ -7,7 +7,9 @@ of all rows still ships at most ``k`` rows per map task.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 FIRST_LINES = 5
@@ -136,13 +138,13 @@ def export_view(df: DataFrame, scalar: list[str], many: list[str], sep: str = ",
     return df.groupBy(*scalar).agg(*aggs)
 
 
-def observe_counts(df: DataFrame, name: str):
-    """Row count of a stage collected while the frame is computed anyway.
+def observe_counts(df: DataFrame, name: str, **counts: Column):
+    """Counts of a stage collected while the frame is computed anyway.
 
-    Returns (frame, Observation); read ``obs.get`` after an action on the
-    frame: no extra job is run.
+    ``counts`` are named aggregates (by default ``rows``).  Returns (frame,
+    Observation); read ``obs.get`` after an action on the frame: no extra job
+    is run.  Names may repeat: each call observes for itself.
     """
-    from pyspark.sql import Observation
-
-    obs = Observation(name)
-    return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
+    obs = Observation(f"{name}_{uuid.uuid4().hex}")
+    counts = counts or {"rows": F.count(F.lit(1))}
+    return df.observe(obs, *[c.alias(k) for k, c in counts.items()]), obs

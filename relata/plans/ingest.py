@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,6 +32,7 @@ from relata.functions.types import cast_to, content_uuid, fits_type
 from relata.operators import aggregates as agg
 from relata.operators import geo
 from relata.operators.ordering import with_row_number
+from relata.plans.step_log import StepLog
 
 STEPS = [
     "init", "data_table", "mapping_view", "pre_check", "raw_view", "import_view",
@@ -123,6 +124,7 @@ class ImportResult:
     links: dict = field(default_factory=dict)
     children: dict = field(default_factory=dict)
     last_step: str | None = None
+    resumed: list = field(default_factory=list)  # steps taken from an earlier run's log
     run: object = None
 
     def release(self) -> None:
@@ -380,9 +382,14 @@ def code_values(catalog: Catalog, code_type: str) -> str | None:
 
 # ---------------------------------------------------------------- the run
 class ImportRun:
-    """One import: the staged frame of ``spec.code`` rows, then the steps in order."""
+    """One import: the staged frame of ``spec.code`` rows, then the steps in order.
 
-    def __init__(self, catalog: Catalog, spec: ImportSpec, source: DataFrame, target: DataFrame | None = None):
+    With ``steps`` (a folder on shared storage) the frames that later steps
+    read are written there and each finished step is logged, so that a stopped
+    run goes on after its last good step.  Without it they are persisted.
+    """
+
+    def __init__(self, catalog: Catalog, spec: ImportSpec, source: DataFrame, target: DataFrame | None = None, steps: str | None = None):
         self.cat = catalog
         self.spec = spec
         self.source = source
@@ -393,6 +400,8 @@ class ImportRun:
         self._persisted: list[DataFrame] = []
         self.keep = True  # False: single steps are run and nobody calls release()
         self.spark = source.sparkSession
+        self.log = StepLog(self.spark, steps, repr(replace(spec, target_step=None))) if steps else None
+        self.written: dict[str, str] = {}
 
     # --- helpers
     def own_columns(self) -> list[str]:
@@ -417,11 +426,26 @@ class ImportRun:
         self._persisted.append(errs)
         return errs
 
-    def persist(self, name: str, df: DataFrame) -> DataFrame:
-        """Keep a frame reused by later steps; recomputed from its lineage if an executor is lost."""
-        if self.keep:
+    def persist(self, name: str, df: DataFrame, **counts: Column) -> DataFrame:
+        """Keep a frame that later steps read; ``counts`` are observed in the one job that writes or caches it.
+
+        A persisted frame is recomputed from its lineage if an executor is lost.
+        """
+        watch = None
+        if counts and (self.log or self.keep):
+            df, watch = agg.observe_counts(df, f"{self.spec.code}_{name}", **counts)
+        if self.log:
+            df = self.log.write(self.step, name, df)
+            self.written[name] = self.step
+        elif self.keep:
             df = df.persist(StorageLevel.MEMORY_AND_DISK)
             self._persisted.append(df)
+            if watch:
+                df.write.format("noop").mode("overwrite").save()
+        if watch:
+            self.r.res.update({k: int(v) for k, v in watch.get.items()})
+        elif counts:
+            self.r.res.update({k: int(v) for k, v in df.agg(*[c.alias(k) for k, c in counts.items()]).first().asDict().items()})
         self.r.frames[name] = df
         return df
 
@@ -432,10 +456,21 @@ class ImportRun:
             if step in self.spec.skip_steps:
                 continue
             t0 = time.time()
+            self.step, self.written = step, {}
             start = len(self.err_parts)
-            getattr(self, f"step_{step}")()
-            found = self._step_errors(start)
-            self.r.steps[step] = round(time.time() - t0, 3)
+            done = self.log.read(step) if self.log else None
+            if done:
+                self.r.res.update(done["res"])
+                self.r.frames.update({name: self.log.frame(step, name) for name in done["frames"]})
+                self.r.resumed.append(step)
+                self._derive(step)
+                found = None
+            else:
+                getattr(self, f"step_{step}")()
+                found = self._step_errors(start)
+                if self.log and found is None:
+                    self.log.finish(step, self.r.res, sorted(self.written), round(time.time() - t0, 3))
+            self.r.steps[step] = done["seconds"] if done else round(time.time() - t0, 3)
             self.r.last_step = step
             if found is not None:
                 self.r.status = "ERROR"
@@ -443,10 +478,18 @@ class ImportRun:
             if self.spec.target_step == step:
                 break
         if self.r.status == "PROCESSING":
-            self.r.status = "DONE"
+            last = [s for s in STEPS if s not in self.spec.skip_steps][-1]
+            self.r.status = "DONE" if self.log is None or self.r.last_step == last else "PENDING"
         self.r.errors = found if found is not None else _error_frame(self.spark)
         return self.r
 
+    def _derive(self, step: str) -> None:
+        """What a finished step leaves as plans alone is planned again; no job of the step runs twice."""
+        if step in ("raw_view", "update", "insert", "relations_data"):
+            getattr(self, f"step_{step}")()
+        elif step == "relations_view":
+            self.child_frames()
+
     def release(self) -> None:
         """Drop persisted intermediate frames (call once the result has been written)."""
         for df in getattr(self, "_persisted", []):
@@ -459,8 +502,7 @@ class ImportRun:
 
     def step_data_table(self):
         # the staged rows are read by every later step: keep them after the first pass
-        src = self.persist("data", self.source)
-        self.r.res["nb_data"] = src.count()
+        self.persist("data", self.source, nb_data=F.count(F.lit(1)))
         if self.r.res["nb_data"] == 0:
             self.add_errors(self.spark.createDataFrame(
                 [("ERR_IMPORT_DATA_EMPTY", None, None, 0, [], None, "no data")], ERROR_SCHEMA))
@@ -475,7 +517,8 @@ class ImportRun:
             self.add_errors(self.spark.createDataFrame(
                 [("ERR_IMPORT_MISSING_UNIQUE", ",".join(missing), None, 0, [], None, "natural key columns missing")], ERROR_SCHEMA))
         df = fill_natural_key(df, self.spec, self.own_columns())
-        self.persist("mapping", df)
+        # a row filter changes the count; without one the rows are those of the data
+        self.persist("mapping", df, **({"nb_raw": F.count(F.lit(1))} if self.spec.where else {}))
 
     def step_pre_check(self):
         df = self.r.frames["mapping"]
@@ -489,8 +532,9 @@ class ImportRun:
             col, user = self.spec.creator
             raw = raw.withColumn(col, F.lit(user))
         self.r.frames["raw"] = raw
-        # without a row filter the raw frame is a projection of the data: same row count, no job needed
-        self.r.res["nb_raw"] = self.r.res["nb_data"] if "nb_data" in self.r.res and not self.spec.where else raw.count()
+        # the raw frame is a projection of the mapped one, whose rows were counted as it was kept
+        if "nb_raw" not in self.r.res:
+            self.r.res["nb_raw"] = self.r.res["nb_data"] if "nb_data" in self.r.res and not self.spec.where else raw.count()
 
     def resolved(self) -> DataFrame:
         df = self.r.frames["raw"]
@@ -522,7 +566,7 @@ class ImportRun:
     def step_import_view(self):
         res = self.persist("resolved", self.resolved())
         group = [c for c in res.columns if c not in ("id_import",) and not c.startswith("__raw_") and not self._is_nn(c)]
-        self.persist("process", agg.collapse(res, group))
+        self.persist("process", agg.collapse(res, group), nb_process=F.count(F.lit(1)), nb_insert=F.count_if(F.col("__pk").isNull()))
 
     def _is_nn(self, c):
         fs = self.spec.fields.get(c)
@@ -676,33 +720,33 @@ class ImportRun:
         cmp = new.join(old, "__pk", "inner")
         return cmp
 
-    def nn_changed(self) -> DataFrame | None:
-        """Objects whose n-n code set differs from the stored one.
+    def nn_columns(self) -> list[str]:
+        return [c for c, fs in self.spec.fields.items() if fs.nn and f"nn_{c}" in self.r.frames]
 
-        Sets are compared through a bounded per-object signature (size and
-        two independent 64-bit hash sums of the distinct links), aggregated
-        map-side on both sides; no object's list is ever gathered in one row.
+    def link_diff(self, c: str) -> DataFrame:
+        """One row per stored or staged link of existing objects: ``__pk, __link, __new, __old, __touched``.
+
+        The full outer comparison of both sides on (key, link) is one
+        aggregate over their union, combined map-side; no object's list is
+        gathered.  The changed objects (A9), their count (C16) and the rebuilt
+        rows (C15) are all read from it.
         """
-        def sig(df, key):
-            d = df.select(key, F.col("__link").cast("long").alias("__link")).distinct()
-            # each hash reduced modulo a prime below 2^31 first: sums of billions of rows fit in a long
-            return d.groupBy(key).agg(
-                F.count(F.lit(1)).alias("__n"), F.sum(F.pmod(F.xxhash64("__link"), F.lit(2147483647))).alias("__h1"),
-                F.sum(F.pmod(F.hash("__link").cast("long"), F.lit(2147483629))).alias("__h2"))
+        name = f"diff_{c}"
+        if name in self.r.frames:
+            return self.r.frames[name]
+        links = self.r.frames[f"nn_{c}"].filter(F.col("__link").isNotNull()).select("__nk", "__link")
+        known = self.r.frames["process"].filter(F.col("__pk").isNotNull()).select("__nk", "__pk")
+        staged = links.join(known, "__nk").select("__pk", "__link", F.lit(True).alias("__new"), F.lit(False).alias("__old"))
+        stored = self.links_store(c).select("__pk", "__link", F.lit(False).alias("__new"), F.lit(True).alias("__old"))
+        both = staged.unionByName(stored).groupBy("__pk", "__link").agg(F.max("__new").alias("__new"), F.max("__old").alias("__old"))
+        touched = known.select("__pk", F.lit(True).alias("__touched")).distinct()
+        return self.persist(name, both.join(touched, "__pk", "left").withColumn("__touched", F.coalesce("__touched", F.lit(False))))
 
+    def nn_changed(self) -> DataFrame | None:
+        """Objects whose n-n code set differs from the stored one."""
         out = None
-        for c, fs in self.spec.fields.items():
-            if not fs.nn or f"nn_{c}" not in self.r.frames:
-                continue
-            links = self.r.frames[f"nn_{c}"].filter(F.col("__link").isNotNull())
-            proc = self.r.frames["process"].select("__nk", "__pk").filter(F.col("__pk").isNotNull())
-            new = sig(links, "__nk").join(proc, "__nk").select("__pk", *[F.col(x).alias(f"{x}_new") for x in ("__n", "__h1", "__h2")])
-            old = sig(self.links_store(c), "__pk")
-            j = proc.select("__pk").join(new, "__pk", "left").join(old, "__pk", "left")
-            differs = F.lit(False)
-            for x in ("__n", "__h1", "__h2"):
-                differs = differs | ~F.col(f"{x}_new").eqNullSafe(F.col(x))
-            diff = j.filter(differs).select("__pk")
+        for c in self.nn_columns():
+            diff = self.link_diff(c).filter(F.col("__touched") & (F.col("__new") != F.col("__old"))).select("__pk")
             out = diff if out is None else out.unionByName(diff)
         return out
 
@@ -718,10 +762,9 @@ class ImportRun:
         return self.spark.createDataFrame([], "__pk long, __link long")
 
     def step_count(self):
-        proc = self.r.frames["process"]
-        newkey = F.when(F.col("__pk").isNull(), F.struct(*[qcol(u) for u in self.spec.unique]))
-        c = proc.agg(F.count(F.lit(1)).alias("p"), F.count_distinct(newkey).alias("i")).first()
-        self.r.res["nb_process"], self.r.res["nb_insert"] = int(c.p), int(c.i)
+        if "pre_check" in self.spec.skip_steps:  # conflicting lines of one key were not refused
+            key = F.when(F.col("__pk").isNull(), F.struct(*[qcol(u) for u in self.spec.unique]))
+            self.r.res["nb_insert"] = int(self.r.frames["process"].agg(F.count_distinct(key)).first()[0])
         cmp = self.compare_frame()
         changed = cmp.filter(self.changed_condition(self.update_columns())).select("__pk")
         nn = self.nn_changed()
@@ -780,31 +823,30 @@ class ImportRun:
     def step_relations_data(self):
         """Replace n-n rows of touched objects (C15): delete-using (anti join) then insert; then 1-n children."""
         self.finish_children()
-        for c, fs in self.spec.fields.items():
-            if not fs.nn or f"nn_{c}" not in self.r.frames:
-                continue
-            links = self.r.frames[f"nn_{c}"].filter(F.col("__link").isNotNull())
-            table = self.r.table if self.r.table is not None else self.target
-            keys = self._nk_to_pk(table)
-            new = links.join(keys, "__nk").select("__pk", "__link").distinct()
-            store = self.links_store(c)
+        for c in self.nn_columns():
             # every imported object's rows are replaced, also when its list is empty now
-            touched = self.r.frames["process"].select("__nk").join(keys, "__nk").select("__pk").distinct()
-            kept = store.join(touched, "__pk", "left_anti")
-            self.r.links[c] = kept.unionByName(new)
-
-    def _nk_to_pk(self, table: DataFrame) -> DataFrame:
-        return table.select(key_text(self.spec.unique).alias("__nk"), F.col(self.sd.pk).alias("__pk"))
+            diff = self.link_diff(c)
+            rows = diff.filter(F.when(F.col("__touched"), F.col("__new")).otherwise(F.col("__old"))).select("__pk", "__link")
+            if self.r.res.get("nb_insert") != 0 and "inserted" in self.r.frames:
+                links = self.r.frames[f"nn_{c}"].filter(F.col("__link").isNotNull()).select("__nk", "__link")
+                fresh = self.r.frames["inserted"].select("__nk", F.col("__newpk").alias("__pk"))
+                rows = rows.unionByName(links.join(fresh, "__nk").select("__pk", "__link").distinct())
+            self.r.links[c] = rows
 
 
 def run_import(catalog: Catalog, spec: ImportSpec, source: DataFrame, target: DataFrame | None = None,
-               links: dict | None = None, children: dict | None = None) -> ImportResult:
+               links: dict | None = None, children: dict | None = None, steps: str | None = None) -> ImportResult:
     """Run an import.
 
     ``links`` holds current n-n rows per column as (__pk, __link) frames;
-    ``children`` the current child tables per 1-n relation.
+    ``children`` the current child tables per 1-n relation.  ``steps`` names a
+    folder on shared storage that keeps every finished step's frames: a run
+    with the same spec and folder goes on after the last good step (and does
+    not read ``source`` again once it is staged); a run that has only reached
+    ``target_step`` is PENDING.  Target, links and children must be those of
+    the first run.
     """
-    run = ImportRun(catalog, spec, source, target)
+    run = ImportRun(catalog, spec, source, target, steps)
     if links:
         run.r.links.update(links)
     if children:

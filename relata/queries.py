@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relata.session import checkpoint_dir
+
 from relata.plans.list_query import ListQuery
 from relata.sources.tables import driver_catalog
 
@@ -617,8 +619,10 @@ SELECT l_orderkey AS o_orderkey, l_partkey AS p_partkey FROM ranked WHERE NOT (l
 """)
 def q_relation_replace(spark, sf):
     r = _order_parts_import(spark, sf)
-    r.release()
-    return r.links["parts"].select(F.col("__pk").alias("o_orderkey"), F.col("__link").alias("p_partkey"))
+    checkpoint_dir(spark)
+    links = r.links["parts"].select(F.col("__pk").alias("o_orderkey"), F.col("__link").alias("p_partkey")).checkpoint(eager=True)
+    r.release()  # the result is written
+    return links
 
 
 @register("relation_update_counts", _ORDER_PARTS_SQL + """
@@ -1280,4 +1284,4 @@ def q_one_to_one_path(spark, sf):
     return _list(spark, sf, "document", fields=["doc_id", "lang", "labels.quality"], filters="labels.toxic = 0,lang in fr;de")
 
 
-from relata import more_queries  # noqa: E402,F401 - registers its queries beside these
+from relata import import_queries, more_queries  # noqa: E402,F401 - register their queries beside these

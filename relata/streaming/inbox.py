@@ -8,68 +8,102 @@ a file with errors is recorded as ERROR and does not block the next one.
 
 Run records (status PROCESSING when a file is taken, then DONE or ERROR
 with counts and step timings) are appended to ``<state>/runs``, error rows
-to ``<state>/errors``, and each successful run
-writes a new table snapshot ``<state>/table/run=<batch id>``; the current
-table is the latest snapshot.
+to ``<state>/errors``.
+
+A successful run writes the new table, the links of every n-n column and the
+child tables under ``<state>/data/run=<id>`` and then, as one small file
+written last, the manifest ``<state>/manifest/<id>.json``: the paths of all
+parts that are current after the run, those that this run did not change
+included.  The newest manifest is the next run's store, so links and children
+of earlier files are kept; a run that died between two writes has no manifest
+and leaves the store as it was.
 """
 
 from __future__ import annotations
 
 import json
-import os
+import posixpath
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relata.catalog import Catalog
-from relata.plans.ingest import ImportSpec, run_import
+from relata.plans.ingest import ImportSpec, MappingError, run_import
 from relata.sources import fs
 from relata.sources.stage import StageError, stage_csv
 
 RUN_SCHEMA = "run_id long, file string, status string, last_step string, res string, steps string"
 
 
-def latest_snapshot(spark: SparkSession, state: str) -> DataFrame | None:
-    """The newest completed table snapshot under ``<state>/table`` (listed through the Hadoop FS)."""
-    root = os.path.join(state, "table")
-    runs = sorted((d for d in fs.subdirs(spark, root) if d.startswith("run=")), key=lambda d: int(d.split("=")[1]))
-    done = [d for d in runs if fs.exists(spark, os.path.join(root, d, "_SUCCESS"))]
-    if not done:
-        return None
-    return spark.read.parquet(os.path.join(root, done[-1]))
+def manifests(spark: SparkSession, state: str) -> list[int]:
+    """Ids of the complete runs, in order."""
+    names = fs.files(spark, posixpath.join(state, "manifest"))
+    return sorted(int(n[:-len(".json")]) for n in names if n.endswith(".json"))
+
+
+def current(spark: SparkSession, state: str) -> dict:
+    """The newest manifest: ``{"table": path, "links": {column: path}, "children": {relation: path}}``; empty before the first run."""
+    runs = manifests(spark, state)
+    if not runs:
+        return {"table": None, "links": {}, "children": {}}
+    return json.loads(fs.read_text(spark, posixpath.join(state, "manifest", f"{runs[-1]:020d}.json")))
+
+
+def store(spark: SparkSession, state: str) -> tuple[DataFrame | None, dict[str, DataFrame], dict[str, DataFrame]]:
+    """The current table, links and children as frames."""
+    now = current(spark, state)
+    read = spark.read.parquet
+    return (read(now["table"]) if now["table"] else None, {k: read(p) for k, p in now["links"].items()},
+            {k: read(p) for k, p in now["children"].items()})
+
+
+def commit_run(spark: SparkSession, state: str, run_id: int, result) -> dict:
+    """Write what the run changed, then the manifest that makes it the store; returns the manifest."""
+    now, root = current(spark, state), posixpath.join(state, "data", f"run={run_id}")
+    for kind, frames in (("links", result.links), ("children", result.children)):
+        for name, frame in frames.items():
+            path = posixpath.join(root, kind, str(name))
+            frame.write.mode("overwrite").parquet(path)
+            now[kind][str(name)] = path
+    now["table"] = posixpath.join(root, "table")
+    result.table.write.mode("overwrite").parquet(now["table"])
+    fs.write_text(spark, posixpath.join(state, "manifest", f"{run_id:020d}.json"), json.dumps(now))
+    return now
 
 
 def process_file(spark: SparkSession, catalog: Catalog, spec: ImportSpec, path: str, state: str, run_id: int,
                  initial: DataFrame) -> dict:
-    """Import one staged file against the latest snapshot; record the run (PROCESSING, then DONE or ERROR)."""
-    done = os.path.join(state, "table", f"run={run_id}", "_SUCCESS")
-    if fs.exists(spark, done):  # a replayed batch: this run's snapshot is complete
+    """Import one staged file against the current store; record the run (PROCESSING, then DONE or ERROR).
+
+    What is wrong with the file (its form, its rows, its mapping) is recorded
+    and does not stop the files after it.  Any other failure, such as a lost
+    executor or a full disk, is raised: the micro-batch fails and is run again.
+    """
+    if run_id in manifests(spark, state):  # a replayed batch: this run is stored
         return {"run_id": run_id, "file": path, "status": "DONE", "res": {}}
     spark.createDataFrame([(run_id, path, "PROCESSING", None, "{}", "{}")], RUN_SCHEMA).write.mode("append").parquet(
-        os.path.join(state, "runs"))
-    target = latest_snapshot(spark, state)
-    if target is None:
-        target = initial
+        posixpath.join(state, "runs"))
+    table, links, children = store(spark, state)
+    r = None
     try:
         staged = stage_csv(spark, path)
-        r = run_import(catalog, spec, staged, target=target)
+        r = run_import(catalog, spec, staged, target=initial if table is None else table, links=links, children=children)
         status, last, res, steps = r.status, r.last_step, r.res, r.steps
-        if r.errors is not None:
+        if status == "ERROR":
             r.errors.withColumn("run_id", F.lit(run_id)).withColumn("file", F.lit(path)).write.mode("append").parquet(
-                os.path.join(state, "errors"))
-        if status == "DONE" and r.table is not None:
-            for kind, frames in (("links", r.links), ("children", r.children)):
-                for name, frame in frames.items():
-                    frame.write.mode("overwrite").parquet(os.path.join(state, kind, str(name), f"run={run_id}"))
-            # last: a snapshot with _SUCCESS means that the whole run is stored
-            r.table.write.mode("overwrite").parquet(os.path.join(state, "table", f"run={run_id}"))
+                posixpath.join(state, "errors"))
+        elif r.table is not None:
+            commit_run(spark, state, run_id, r)
     except StageError as e:
-        status, last, res, steps = "ERROR", "data_table", {"error": e.code}, {}
-    except Exception as e:  # one bad file must not stop the files after it
-        status, last, res, steps = "ERROR", None, {"error": type(e).__name__, "message": str(e)[:500]}, {}
+        status, last, res, steps = "ERROR", "data_table", {"error": e.code, "message": e.msg[:500]}, {}
+    except MappingError as e:
+        status, last, res, steps = "ERROR", "mapping_view", {"error": type(e).__name__, "message": str(e)[:500]}, {}
+    finally:
+        if r is not None:
+            r.release()  # the result is written; a long stream must not fill the executors
     rec = (run_id, path, status, last, json.dumps(res, default=str), json.dumps(steps))
-    spark.createDataFrame([rec], RUN_SCHEMA).write.mode("append").parquet(os.path.join(state, "runs"))
+    spark.createDataFrame([rec], RUN_SCHEMA).write.mode("append").parquet(posixpath.join(state, "runs"))
     return {"run_id": run_id, "file": path, "status": status, "res": res}
 
 
@@ -85,7 +119,7 @@ def start_inbox(
     on_run: Callable[[dict], None] | None = None,
 ):
     """Start the inbox stream; ``once`` processes what is there now (availableNow) and stops."""
-    checkpoint = checkpoint or os.path.join(state, "_checkpoint")
+    checkpoint = checkpoint or posixpath.join(state, "_checkpoint")
     stream = (
         spark.readStream.format("text").option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.csv").load(inbox)
         .select(F.input_file_name().alias("file"))
