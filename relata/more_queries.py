@@ -471,3 +471,33 @@ def q_recipe_profile(spark, sf):
     dup = p["duplicated_keys"].select(F.lit("duplicated").alias("kind"), F.col("o_custkey").cast("string").alias("value"), "n")
     un = p["unmatched"].agg(F.count(F.lit(1)).alias("n")).select(F.lit("unmatched").alias("kind"), F.lit("orders").alias("value"), "n")
     return freq.unionByName(dup).unionByName(un)
+
+
+# ---------------------------------------------------------------- many conditions, siblings below a to-one hop
+_FORTY_SQL = "l_orderkey = o_orderkey AND l_quantity IN (" + ", ".join(map(str, range(1, 41))) + ") AND o_orderkey > l_quantity * 100"
+
+
+@register("filter_forty_conditions", f"""
+SELECT 'or' AS form, o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE {_FORTY_SQL})
+UNION ALL
+SELECT 'not', o_orderkey FROM orders
+WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND NOT ({_FORTY_SQL}))
+   OR (NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey) AND o_orderkey <= 100)
+""")
+def q_filter_forty_conditions(spark, sf):
+    ored = ",|,".join(f"[,lineitems.l_quantity = {i},*,o_orderkey > {i * 100},]" for i in range(1, 41))
+    forms = {"or": ored, "not": f"!,[,{ored},]"}
+    found = [_list(spark, sf, "order", fields=["o_orderkey"], filters=f).select(F.lit(form).alias("form"), "o_orderkey") for form, f in forms.items()]
+    return found[0].unionByName(found[1])
+
+
+@register("filter_siblings_below_to_one", """
+SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON n_nationkey = s_nationkey
+WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_acctbal > 9000)
+  AND EXISTS (SELECT 1 FROM supplier s WHERE s.s_nationkey = n_nationkey AND s.s_acctbal < 2000) AND l_linenumber = 1
+""")
+def q_filter_siblings_below_to_one(spark, sf):
+    # lines of an order whose supplier's nation has both a rich customer and a poor supplier
+    out = _list(spark, sf, "lineitem", fields=["l_orderkey", "l_linenumber"],
+                filters="supplier.nation.customers.c_acctbal > 9000,supplier.nation.suppliers.s_acctbal < 2000,l_linenumber = 1")
+    return out.select("l_orderkey", "l_linenumber").distinct()

@@ -190,7 +190,6 @@ class _Atom:
     group: tuple[str, ...] | None  # first to-many prefix, None for base
     prefix: tuple[str, ...]  # to-one prefix on the base (base atoms) or inside the child
     column: str | None
-    idx: int = 0
     flag: str | None = None  # helper column for 'any'
     json_path: str | None = None
 
@@ -325,21 +324,12 @@ def compile_filter(catalog: Catalog, code: str, df: DataFrame, ast, geo_ctx=None
     preds: list[Column] = []
 
     def build(node, env) -> Column:
-        kind = node[0]
-        if kind == "and":
-            return build(node[1], env) & build(node[2], env)
-        if kind == "or":
-            return build(node[1], env) | build(node[2], env)
-        if kind == "not":
-            return ~build(node[1], env)
-        a = node[1]
-        at = info[id(a)]
-        if at.flag:
-            return F.col(at.flag)
-        if at.group is None:
-            tcode = _target(catalog, code, at.prefix) if at.prefix else code
-            return base_atom_col(at, df, tcode)
-        return env[at.group](at.idx)
+        """Truth on a row of ``df``; ``env`` holds a mask for each relation."""
+        def own(a):
+            at = info[id(a)]
+            return F.col(at.flag) if at.flag else base_atom_col(at, df, _target(catalog, code, at.prefix) if at.prefix else code)
+
+        return _evaluated(node, own, lambda g, i: _digit(env[g], i))
 
     for c in plain:
         preds.append(build(c, {}))
@@ -349,108 +339,62 @@ def compile_filter(catalog: Catalog, code: str, df: DataFrame, ast, geo_ctx=None
         node = cl[0]
         for c in cl[1:]:
             node = ("and", node, c)
-        has_base = any(info[id(a)].group is None for a in atoms_of(node))
-        # per group: atoms in order, with index
-        g_atoms: dict = {g: [] for g in gset}
-        for a in atoms_of(node):
-            at = info[id(a)]
-            if at.group is None:
-                continue
-            # equal conditions (same field, operator, value) share one digit of the code
-            same = next((i for i, b in enumerate(g_atoms[at.group]) if b == a), None)
-            if same is None:
-                at.idx = len(g_atoms[at.group])
-                g_atoms[at.group].append(a)
-            else:
-                at.idx = same
-        child_frames = {}
-        verdicts: dict[int, str] = {}  # conditions on sibling branches: the column that holds their truth
+        # the largest parts of the expression that only one relation's rows decide; equal parts are one
+        parts: dict = {g: [] for g in gset}
+
+        def fold(node):
+            mine = atoms_of(node)
+            gs = {info[id(a)].group for a in mine}
+            if gs and None not in gs and len(gs) == 1:
+                g = next(iter(gs))
+                if node not in parts[g]:
+                    parts[g].append(node)
+                return ("part", g, parts[g].index(node))
+            return node if node[0] == "atom" else (node[0], *(fold(n) for n in node[1:]))
+
+        folded = fold(node)
+        child_frames, verdicts = {}, {}
         for g in gset:
-            rel = groups[g]
-            sub = defaultdict(set)
-            cols = set()
-            for a in g_atoms[g]:
-                at = info[id(a)]
-                if at.prefix:
-                    sub[at.prefix].add(at.column)
-                else:
-                    cols.add(at.column)
-            # code sets and semi joins ignore repeated rows: no bridge de-duplication needed
-            ch = child_frame(catalog, rel, sorted(cols) + sorted({r.local_key for r in _first_many(catalog, rel.target, sub)}), dedupe=False)
-            below = [a for a in g_atoms[g] if _has_many(catalog, rel.target, info[id(a)].prefix)]
-            if len({info[id(a)].prefix[0] for a in below}) > 1:
-                wanted = []
-                for a in below:
-                    verdicts[id(a)] = f"__v{len(verdicts)}"
-                    wanted.append((verdicts[id(a)], info[id(a)], info[id(a)].prefix))
-                    sub.pop(info[id(a)].prefix, None)
-                ch = attach_verdicts(catalog, rel.target, ch, wanted, geo_ctx)
-            if sub:
-                ch = attach_chain(catalog, rel.target, ch, sub)
-            child_frames[g] = ch
-
-        def child_atom(g, a, frame_null=False):
-            at = info[id(a)]
-            rel = groups[g]
-            if id(a) in verdicts and not frame_null:
-                return F.col(verdicts[id(a)])
-            tcode = _target(catalog, rel.target, at.prefix) if at.prefix else rel.target
-            dtype = T.StringType() if at.json_path else catalog.column_type(tcode, at.column)
-            name = col_name(prefix_name(at.prefix), at.column)
-            c = F.lit(None).cast(dtype) if frame_null else _col_expr(qcol(name), at.json_path)
-            return atom_column(c, dtype, a, geo_ctx)
-
-        if len(gset) == 1 and not has_base and _null_row_truth(node) is not True:
+            child_frames[g], verdicts[g] = _child_rows(
+                catalog, groups[g], [info[id(a)] for part in parts[g] for a in atoms_of(part)], geo_ctx)
+
+        def row_truth(g, part, none=False):
+            """Truth of a part on a row of the relation; ``none``: for an object without rows."""
+            def of(a):
+                at, rel = info[id(a)], groups[g]
+                name = next((v for v, w in verdicts[g] if w.item == a), None)
+                if name and not none:
+                    return F.col(name)
+                tcode = _target(catalog, rel.target, at.prefix) if at.prefix else rel.target
+                dtype = T.StringType() if at.json_path else catalog.column_type(tcode, at.column)
+                value = qcol(col_name(prefix_name(at.prefix), at.column))
+                return atom_column(F.lit(None).cast(dtype) if none else _col_expr(value, at.json_path), dtype, a, geo_ctx)
+
+            return _evaluated(part, of)
+
+        if folded[0] == "part" and _null_row_truth(node) is not True:
             # exists-a-child-row-satisfying: semi join of filtered children
             g = gset[0]
-            env = {g: (lambda i, g=g: child_atom(g, g_atoms[g][i]))}
-            keys = child_frames[g].filter(build(node, env)).select(KEY)
-            prefix = g[:-1]
-            semis.append(("left_semi", keys, col_name(prefix_name(prefix), groups[g].local_key)))
+            keys = child_frames[g].filter(row_truth(g, node)).select(KEY)
+            semis.append(("left_semi", keys, col_name(prefix_name(g[:-1]), groups[g].local_key)))
             continue
 
-        lam_names = {}
+        masks = {}
         for g in gset:
-            rel = groups[g]
-            n = len(g_atoms[g])
-            code_col = None
-            null_code = None
-            for i, a in enumerate(g_atoms[g]):
-                w = 3**i
-                d = F.when(child_atom(g, a), F.lit(1)).when(~child_atom(g, a), F.lit(0)).otherwise(F.lit(2)) * w
-                dn = F.when(child_atom(g, a, True), F.lit(1)).when(~child_atom(g, a, True), F.lit(0)).otherwise(F.lit(2)) * w
-                code_col = d if code_col is None else code_col + d
-                null_code = dn if null_code is None else null_code + dn
             mcol = f"__m_{prefix_name(g)}"
-            agg = child_frames[g].groupBy(KEY).agg(F.collect_set(code_col.cast("int")).alias(mcol))
-            left = col_name(prefix_name(g[:-1]), rel.local_key)
+            agg = child_frames[g].groupBy(KEY).agg(F.collect_set(_mask([row_truth(g, p) for p in parts[g]])).alias(mcol))
+            left = col_name(prefix_name(g[:-1]), groups[g].local_key)
             df = df.join(agg, qcol(left) == F.col(KEY), "left").drop(KEY)
-            df = df.withColumn(mcol, F.coalesce(F.col(mcol), F.array(null_code.cast("int"))))
-            lam_names[g] = (mcol, n)
+            df = df.withColumn(mcol, F.coalesce(F.col(mcol), F.array(_mask([row_truth(g, p, True) for p in parts[g]]))))
+            masks[g] = mcol
 
-        def digit_of(x):
-            def get(i):
-                d = F.floor(x / F.lit(3**i)) % 3
-                return F.when(d == 1, F.lit(True)).when(d == 0, F.lit(False))
-
-            return get
-
-        def nest(gs, env, node=node):
+        def over_rows(gs, env, folded=folded, masks=masks):
+            """Whether one row of each relation can be chosen so that the expression is true."""
             if not gs:
-                return build(node, env)
-            g = gs[0]
-
-            def make_body(g, rest, env):
-                def body(x):
-                    e = dict(env)
-                    e[g] = digit_of(x)
-                    return nest(rest, e)
+                return build(folded, env)
+            return F.exists(F.col(masks[gs[0]]), lambda x: over_rows(gs[1:], {**env, gs[0]: x}))
 
-                return body
-
-            return F.exists(F.col(lam_names[g][0]), make_body(g, gs[1:], env))
-
-        preds.append(nest(gset, {}))
+        preds.append(over_rows(gset, {}))
 
     pred = None
     for p in preds:
@@ -458,6 +402,71 @@ def compile_filter(catalog: Catalog, code: str, df: DataFrame, ast, geo_ctx=None
     return df, pred, semis
 
 
+def _evaluated(node, atom, part=None) -> Column:
+    """An expression's truth from that of its conditions (and of its folded parts)."""
+    kind = node[0]
+    if kind == "atom":
+        return atom(node[1])
+    if kind == "part":
+        return part(node[1], node[2])
+    sides = [_evaluated(n, atom, part) for n in node[1:]]
+    return ~sides[0] if kind == "not" else sides[0] & sides[1] if kind == "and" else sides[0] | sides[1]
+
+
+#: Truth values (two bits each) that one long of a mask holds.
+MASK_DIGITS = 31
+
+
+def _mask(truths: list[Column]) -> Column:
+    """Three-valued truths of a row as two bits each (1: true, 2: false, 0: unknown), in as many longs as it takes."""
+    words = []
+    for at in range(0, len(truths), MASK_DIGITS):
+        word = F.lit(0).cast("long")
+        for i, t in enumerate(truths[at:at + MASK_DIGITS]):
+            word = word + F.when(t, F.lit(1 << 2 * i).cast("long")).when(~t, F.lit(2 << 2 * i).cast("long")).otherwise(F.lit(0).cast("long"))
+        words.append(word)
+    return F.array(*words)
+
+
+def _digit(mask: Column, i: int) -> Column:
+    bits = F.shiftright(mask[i // MASK_DIGITS], 2 * (i % MASK_DIGITS)).bitwiseAND(F.lit(3).cast("long"))
+    return F.when(bits == 1, F.lit(True)).when(bits == 2, F.lit(False))
+
+
+def _child_rows(catalog: Catalog, rel: Relation, atoms: list[_Atom], geo_ctx) -> tuple[DataFrame, list[tuple[str, _Atom]]]:
+    """Rows of a relation with what the conditions need, and the columns that hold verdicts of conditions on sibling branches."""
+    sub: dict = defaultdict(set)
+    cols: set = set()
+    for at in atoms:
+        if at.prefix:
+            sub[at.prefix].add(at.column)
+        else:
+            cols.add(at.column)
+    wanted: list[tuple[str, _Atom, tuple]] = []
+    below = [at for at in atoms if _has_many(catalog, rel.target, at.prefix)]
+    ends = {_to_last_many(catalog, rel.target, at.prefix) for at in below}
+    longest = max(ends, key=len, default=())
+    if any(longest[:len(e)] != e for e in ends):  # siblings: joined rows would multiply
+        for at in below:
+            if all(at.item != w.item for _, w, _ in wanted):
+                wanted.append((f"__v{len(wanted)}", at, at.prefix))
+            sub.pop(at.prefix, None)
+    heads = {catalog.schema(rel.target).relation(path[0]).local_key for path in [*sub, *(w[2] for w in wanted)]}
+    # masks and semi joins ignore repeated rows: no bridge de-duplication needed
+    ch = child_frame(catalog, rel, sorted(cols | heads), dedupe=False)
+    if wanted:
+        ch = attach_verdicts(catalog, rel.target, ch, wanted, geo_ctx)
+    if sub:
+        ch = attach_chain(catalog, rel.target, ch, sub)
+    return ch, [(name, at) for name, at, _ in wanted]
+
+
+def _to_last_many(catalog: Catalog, code: str, prefix) -> tuple:
+    """The path up to its last to-many hop."""
+    many = [i for i, r in enumerate(_chain(catalog, code, prefix)) if r.to_many]
+    return tuple(prefix[:many[-1] + 1])
+
+
 def _first_many(catalog: Catalog, code: str, sub) -> list[Relation]:
     out = []
     for prefix in sub:
@@ -510,6 +519,14 @@ def _has_many(catalog: Catalog, code: str, prefix) -> bool:
     return any(r.to_many for r in _chain(catalog, code, prefix))
 
 
+def _related(catalog: Catalog, rel: Relation, columns: list[str]) -> DataFrame:
+    """Rows at the other end of a relation, to-one or to-many, keyed by ``__key``."""
+    if rel.to_many:
+        return child_frame(catalog, rel, columns, dedupe=False)
+    target = with_computed(catalog, rel.target, catalog.frame(rel.target), columns)
+    return target.select(F.col(rel.foreign_key).alias(KEY), *columns)
+
+
 def attach_verdicts(catalog: Catalog, code: str, df: DataFrame, wanted: list[tuple[str, _Atom, tuple]], geo_ctx=None) -> DataFrame:
     """``df`` with the truth of conditions on sibling to-many branches below it.
 
@@ -527,8 +544,6 @@ def attach_verdicts(catalog: Catalog, code: str, df: DataFrame, wanted: list[tup
     for head in sorted({path[0] for _, _, path in wanted}):
         mine = [(name, at, path[1:]) for name, at, path in wanted if path[0] == head]
         rel = catalog.schema(code).relation(head)
-        if not rel.to_many:
-            raise FilterSyntaxError(f"sibling to-many branches below the to-one path {head!r}")
         own = [w for w in mine if not _has_many(catalog, rel.target, w[2])]
         deep = [w for w in mine if w not in own]
         one: dict = defaultdict(set)
@@ -536,7 +551,7 @@ def attach_verdicts(catalog: Catalog, code: str, df: DataFrame, wanted: list[tup
             if path:
                 one[path].add(at.column)
         keys = {catalog.schema(rel.target).relation(path[0]).local_key for _, _, path in mine if path}
-        inner = child_frame(catalog, rel, sorted({at.column for _, at, path in own if not path} | keys), dedupe=False)
+        inner = _related(catalog, rel, sorted({at.column for _, at, path in own if not path} | keys))
         if one:
             inner = attach_to_one(catalog, rel.target, inner, one)
         if deep:
