@@ -115,3 +115,26 @@ def q_import_creator(spark, sf):
     out = r.table.select("c_custkey", "c_name", "c_acctbal", "c_mktsegment").checkpoint(eager=True)
     r.release()
     return out
+
+
+# ---------------------------------------------------------------- records that do not fit
+@register("stage_errors", """
+WITH n AS (SELECT c_custkey, c_name, ROW_NUMBER() OVER (ORDER BY c_custkey) AS line FROM customer)
+SELECT line, CASE WHEN c_custkey % 17 = 0 OR c_custkey % 19 = 0 THEN 'ERR_IMPORT_DATA_LINE_CELLS' ELSE 'staged' END AS state,
+       CASE WHEN c_custkey % 17 = 0 OR c_custkey % 19 = 0 THEN NULL WHEN c_custkey % 5 = 0 THEN c_name || chr(10) || 'next; line' ELSE c_name END AS name
+FROM n
+""")
+def q_stage_errors(spark, sf):
+    # every customer a record, some over two lines, some with a cell too few or too many
+    from relata.sources.stage import stage_file
+
+    k, name = F.col("c_custkey"), F.col("c_name")
+    quoted = F.concat(F.lit('"'), name, F.lit('\nnext; line"'))
+    line = F.concat_ws(";", k.cast("string"), F.when(k % 17 == 0, F.lit(None)).when(k % 5 == 0, quoted).otherwise(name), F.when((k % 19 == 0) & (k % 17 != 0), F.lit("more")))
+    path = _folder(spark, "lines") + ".csv"
+    c = load_table(spark, sf, "customer").repartitionByRange("c_custkey").sortWithinPartitions("c_custkey")
+    head = F.when(F.monotonically_increasing_id() % (1 << 33) == 0, F.concat(F.lit("key;name\n"), line)).otherwise(line)
+    c.select(head.alias("value")).write.text(path)  # a header in every part
+    staged = stage_file(spark, path)
+    good = staged.rows.select(F.col("id_import").alias("line"), F.lit("staged").alias("state"), "name")
+    return good.unionByName(staged.errors.select(F.col("lines")[0].alias("line"), F.col("error_code").alias("state"), F.lit(None).cast("string").alias("name")))

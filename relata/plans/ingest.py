@@ -33,6 +33,8 @@ from relata.operators import aggregates as agg
 from relata.operators import geo
 from relata.operators.ordering import with_row_number
 from relata.plans.step_log import StepLog
+from relata.sources import stage
+from relata.sources.stage import ERROR_SCHEMA, Staged, bad_rows, good_rows
 
 STEPS = [
     "init", "data_table", "mapping_view", "pre_check", "raw_view", "import_view",
@@ -55,17 +57,6 @@ array array_join array_contains element_at size struct named_struct to_json get_
 """.split())
 _QUOTED = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`""", re.S)
 
-ERROR_SCHEMA = T.StructType([
-    T.StructField("error_code", T.StringType()),
-    T.StructField("key", T.StringType()),
-    T.StructField("value", T.StringType()),
-    T.StructField("nb_lines", T.LongType()),
-    T.StructField("lines", T.ArrayType(T.LongType())),
-    T.StructField("valid_values", T.StringType()),
-    T.StructField("msg", T.StringType()),
-])
-
-
 @dataclass
 class FieldSpec:
     type: str = "string"
@@ -389,7 +380,7 @@ class ImportRun:
     run goes on after its last good step.  Without it they are persisted.
     """
 
-    def __init__(self, catalog: Catalog, spec: ImportSpec, source: DataFrame, target: DataFrame | None = None, steps: str | None = None):
+    def __init__(self, catalog: Catalog, spec: ImportSpec, source: DataFrame | Staged, target: DataFrame | None = None, steps: str | None = None):
         self.cat = catalog
         self.spec = spec
         self.source = source
@@ -489,6 +480,8 @@ class ImportRun:
             getattr(self, f"step_{step}")()
         elif step == "relations_view":
             self.child_frames()
+        elif step == "data_table" and "staged" in self.r.frames:
+            self.r.frames["data"] = good_rows(self.r.frames["staged"])
 
     def release(self) -> None:
         """Drop persisted intermediate frames (call once the result has been written)."""
@@ -502,7 +495,19 @@ class ImportRun:
 
     def step_data_table(self):
         # the staged rows are read by every later step: keep them after the first pass
-        self.persist("data", self.source, nb_data=F.count(F.lit(1)))
+        if not isinstance(self.source, Staged):
+            self.persist("data", self.source, nb_data=F.count(F.lit(1)))
+        elif self.source.fault is not None:  # the file cannot be read
+            self.r.res["nb_data"] = 0
+            self.add_errors(self.source.errors)
+            return
+        else:  # records that do not fit the header are error rows (S5)
+            bad = F.col(stage.BAD)
+            kept = self.persist("staged", self.source.parsed, nb_data=F.count_if(bad.isNull()), nb_bad=F.count_if(bad.isNotNull()))
+            self.r.frames["data"] = good_rows(kept)
+            if self.r.res["nb_bad"]:
+                self.add_errors(bad_rows(kept))
+                return
         if self.r.res["nb_data"] == 0:
             self.add_errors(self.spark.createDataFrame(
                 [("ERR_IMPORT_DATA_EMPTY", None, None, 0, [], None, "no data")], ERROR_SCHEMA))
@@ -834,9 +839,9 @@ class ImportRun:
             self.r.links[c] = rows
 
 
-def run_import(catalog: Catalog, spec: ImportSpec, source: DataFrame, target: DataFrame | None = None,
+def run_import(catalog: Catalog, spec: ImportSpec, source: DataFrame | Staged, target: DataFrame | None = None,
                links: dict | None = None, children: dict | None = None, steps: str | None = None) -> ImportResult:
-    """Run an import.
+    """Run an import (C1) of staged rows, or of a staged file, whose bad records are then the run's errors.
 
     ``links`` holds current n-n rows per column as (__pk, __link) frames;
     ``children`` the current child tables per 1-n relation.  ``steps`` names a

@@ -1,17 +1,24 @@
 """Delimited-file staging (S1-S5) and inline feature frames.
 
-Every staged column is text.  Each line gets a stable id ``id_import``
-(1..n in file order) from per-split offsets (see ``line_numbers``), so a
-recompute after a lost executor gives every line the same id.
+Every staged column is text.  Each record gets a stable id ``id_import``
+(1..n in file order) from per-split offsets, so a recompute after a lost
+executor gives every record the same id.
+
+A file is read as lines, split over tasks also where quoted cells hold line
+breaks: a line begins a record if the quotes before it, in its split and in
+the splits before, come in pairs.  One small pass counts lines and quotes per
+split; one pass parses.  Records that do not fit become error rows beside the
+others.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relata.operators.ordering import with_row_number
+from relata.session import checkpoint_dir
 from relata.sources import fs
 
 
@@ -37,42 +44,143 @@ def detect_delimiter(header: str) -> str:
     raise StageError("ERR_IMPORT_CSV_FILE_DELIMITER_NOT_FOUND", f"no ';' or ',' in header {header!r}")
 
 
-def stage_csv(spark: SparkSession, path: str, delimiter: str | None = None, multiline: bool = False) -> DataFrame:
-    """Read a delimited file as all-text columns plus ``id_import``.
+#: Error rows of staging and of every import step.
+ERROR_SCHEMA = T.StructType([
+    T.StructField("error_code", T.StringType()),
+    T.StructField("key", T.StringType()),
+    T.StructField("value", T.StringType()),
+    T.StructField("nb_lines", T.LongType()),
+    T.StructField("lines", T.ArrayType(T.LongType())),
+    T.StructField("valid_values", T.StringType()),
+    T.StructField("msg", T.StringType()),
+])
+BAD = "__bad"  # what is wrong with a parsed record, null for a good one
+RECORD = "__record"  # a bad record's text
+
+
+class Staged:
+    """A staged file: ``parsed`` holds every record, good or bad; ``rows`` and ``errors`` are its two sides.
+
+    A file that cannot be read at all has one error row and no ``parsed``.
+    """
+
+    def __init__(self, spark: SparkSession, parsed: DataFrame | None, fault: StageError | None = None):
+        self.sparkSession = spark
+        self.parsed, self.fault = parsed, fault
+
+    @property
+    def rows(self) -> DataFrame:
+        return good_rows(self.parsed)
+
+    @property
+    def errors(self) -> DataFrame:
+        if self.fault is not None:
+            return self.sparkSession.createDataFrame([(self.fault.code, None, None, 0, [], None, self.fault.msg)], ERROR_SCHEMA)
+        return bad_rows(self.parsed)
+
+
+def good_rows(parsed: DataFrame) -> DataFrame:
+    return parsed.filter(F.col(BAD).isNull()).drop(BAD, RECORD)
+
+
+def bad_rows(parsed: DataFrame) -> DataFrame:
+    """One error row for each record that does not fit, with its line id and text."""
+    return parsed.filter(F.col(BAD).isNotNull()).select(
+        F.col(BAD).alias("error_code"), F.lit(None).cast("string").alias("key"), F.lit(None).cast("string").alias("value"),
+        F.lit(1).cast("long").alias("nb_lines"), F.array("id_import").alias("lines"), F.lit(None).cast("string").alias("valid_values"),
+        F.col(RECORD).alias("msg"))
 
-    Only the header line reaches the driver.  ``multiline`` must be set for
-    files with quoted line breaks (such files cannot be split); without it
-    they are refused.  So are files with lines that have fewer or more cells
-    than the header: the error names the first of them.
+
+def stage_file(spark: SparkSession, path: str, delimiter: str | None = None) -> Staged:
+    """Read a delimited file (or a folder of such files) as text columns plus ``id_import``, errors as rows.
+
+    Only the header line reaches the driver.  A file of an unknown type, a
+    missing or empty one, or one without a delimiter gives one error row; a
+    record with more or fewer cells than the header
+    (``ERR_IMPORT_DATA_LINE_CELLS``) or with an open quote
+    (``ERR_IMPORT_DATA_QUOTE``) gives one of its own, and the others are
+    staged.  Where a file's quotes do not pair, no record goes over a line.  Blank lines are no records; each file's first line is its header.
+    """
+    try:
+        if not path.lower().endswith((".csv", ".tsv", ".txt")):
+            raise StageError("ERR_IMPORT_DATA_FILE_TYPE_NOT_FOUND", f"unsupported file type: {path}")
+        if not fs.exists(spark, path):
+            raise StageError("ERR_IMPORT_DATA_FILE_NOT_FOUND", f"file not found: {path}")
+        first = spark.read.text(path).filter("value <> ''").limit(1).collect()
+        if not first:
+            raise StageError("ERR_IMPORT_DATA_EMPTY", f"empty file: {path}")
+        header = first[0][0].lstrip("\ufeff")
+        sep = delimiter or detect_delimiter(header)
+    except StageError as fault:
+        return Staged(spark, None, fault)
+    names = [normalise_header(n) for n in _split_header(header, sep)]
+    records = _records(spark, path)
+    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
+    cells = F.from_csv("record", T.StructType([*fields, T.StructField("bad", T.StringType())]).simpleString(), {
+        "sep": sep, "quote": '"', "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad", "columnPruning": "false"})
+    parsed = records.select("id_import", "record", cells.alias("c"))
+    bad = F.when(_quotes("record") % 2 == 1, F.lit("ERR_IMPORT_DATA_QUOTE")).when(
+        F.col("c.bad").isNotNull() | F.col("c").isNull(), F.lit("ERR_IMPORT_DATA_LINE_CELLS"))
+    return Staged(spark, parsed.select(
+        "id_import", *[F.nullif(F.col(f"c.c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)], bad.alias(BAD),
+        F.when(bad.isNotNull(), F.col("record")).alias(RECORD)))
+
+
+def stage_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
+    """The rows of ``stage_file``; raises ``StageError`` if there is any error, naming the first lines."""
+    staged = stage_file(spark, path, delimiter)
+    if staged.fault is not None:
+        raise staged.fault
+    found = staged.errors.select("error_code", F.col("lines")[0].alias("line")).orderBy("line").limit(5).collect()
+    if found:
+        lines = ", ".join(str(r.line) for r in found)
+        raise StageError(found[0].error_code, f"lines {lines} do not fit the header: {path}")
+    return staged.rows
+
+
+def _quotes(column: str) -> Column:
+    return F.length(column) - F.length(F.replace(F.col(column), F.lit('"'), F.lit("")))
+
+
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """``(id_import, record)``: the records of the files, quoted line breaks included, numbered 1..n in file order.
+
+    File splits and their packing into partitions are deterministic, and
+    inside a partition the lines of one split are contiguous and in order.
     """
-    if not path.lower().endswith((".csv", ".tsv", ".txt")):
-        raise StageError("ERR_IMPORT_DATA_FILE_TYPE_NOT_FOUND", f"unsupported file type: {path}")
-    if not fs.exists(spark, path):
-        raise StageError("ERR_IMPORT_DATA_FILE_NOT_FOUND", f"file not found: {path}")
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
-        raise StageError("ERR_IMPORT_DATA_EMPTY", f"empty file: {path}")
-    header = first[0][0].lstrip("﻿")
-    sep = delimiter or detect_delimiter(header)
-    raw_names = _split_header(header, sep)
-    names = [normalise_header(n) for n in raw_names]
-    if not multiline:  # quotes come in pairs on a line unless a quoted cell goes on in the next one
-        text = spark.read.text(path).filter(F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2)) == 1)
-        if text.limit(1).collect():
-            raise StageError("ERR_IMPORT_DATA_LINE_BREAK", f"quoted line break in {path}; stage it with multiline=True")
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))] + [T.StructField("_malformed", T.StringType())])
-    df = (
-        spark.read.option("header", True).option("sep", sep).option("quote", '"').option("escape", '"')
-        .option("multiLine", multiline).option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_malformed").option("columnPruning", False).schema(schema).csv(path)
-    )
-    uneven = line_numbers(df).filter(F.col("_malformed").isNotNull()).select("id_import", "_c0").orderBy("id_import").limit(5).collect()
-    if uneven:
-        lines = ", ".join(str(r.id_import) for r in uneven)
-        raise StageError("ERR_IMPORT_DATA_LINE_CELLS", f"lines {lines} do not have {len(names)} cells: {path}")
-    df = df.drop("_malformed").toDF(*names)
-    df = blank_to_null(df)
-    return line_numbers(df).select("id_import", *[F.col(f"`{n}`") for n in names])
+    where = [F.input_file_name().alias("f"), F.input_file_block_start().alias("b")]
+    lines = spark.read.text(path).select("value", *where).withColumn("odd", _quotes("value") % 2)
+    filled = lines.filter("value <> ''").withColumn("m", F.monotonically_increasing_id())
+    # one row per split, written once: both its offsets and whether any cell is left open come from it
+    splits = filled.groupBy("f", "b").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("m0"), F.sum("odd").alias("odd"))
+    checkpoint_dir(spark)
+    splits = splits.checkpoint(eager=True)
+    in_order, in_file = Window.orderBy("f", "b"), Window.partitionBy("f").orderBy("b")
+    before = (Window.unboundedPreceding, -1)
+    at_head = F.row_number().over(in_file) == 1  # the split with the file's header
+    if splits.filter("odd > 0").isEmpty():  # every line is a record
+        heads = splits.withColumn("head", at_head.cast("int"))
+        offsets = heads.select("f", "b", "m0", "head", F.coalesce(F.sum(F.col("n") - F.col("head")).over(in_order.rowsBetween(*before)), F.lit(0)).alias("off"))
+        numbered = filled.join(offsets, ["f", "b"]).withColumn("i", F.col("m") - F.col("m0") + 1 - F.col("head"))
+        return numbered.filter("i > 0").select((F.col("off") + F.col("i")).alias("id_import"), F.col("value").alias("record"))
+    # quotes left open: whether a line begins a record depends on all quotes before it; blank lines inside a cell count
+    # (in a file whose quotes do not pair at all, one stray quote would swallow the rest: there each line stands for itself)
+    opened = splits.select("f", "b", F.coalesce(F.sum("odd").over(in_file.rowsBetween(*before)), F.lit(0)).alias("open"),
+                           (F.sum("odd").over(Window.partitionBy("f")) % 2 == 0).alias("paired"))
+    every = lines.withColumn("m", F.monotonically_increasing_id()).join(opened, ["f", "b"])
+    line = Window.partitionBy("f", "b").orderBy("m")
+    inside = (F.col("open") + F.coalesce(F.sum("odd").over(line.rowsBetween(*before)), F.lit(0))) % 2
+    every = every.withColumn("inside", F.when(F.col("paired"), inside).otherwise(0))
+    every = every.filter("inside = 1 OR value <> ''").withColumn("starts", 1 - F.col("inside"))
+    every = every.withColumn("own", F.sum("starts").over(line))
+    per_split = every.groupBy("f", "b").agg(F.sum("starts").alias("n")).withColumn("head", at_head.cast("int"))
+    offsets = per_split.select("f", "b", F.coalesce(F.sum("n").over(in_file.rowsBetween(*before)), F.lit(0)).alias("in_file"),
+                               F.coalesce(F.sum(F.col("n") - F.col("head")).over(in_order.rowsBetween(*before)), F.lit(0)).alias("off"), "head")
+    every = every.join(offsets, ["f", "b"])
+    # a record's number in its file (1: the header) and in all files; the lines of one record share both
+    every = every.select("f", (F.col("in_file") + F.col("own")).alias("nth"), (F.col("off") - F.col("head") + F.col("own")).alias("i"), "b", "m", "value")
+    joined = every.filter("nth > 1").groupBy("f", "nth").agg(F.min("i").alias("i"), F.array_sort(F.collect_list(F.struct("b", "m", "value"))).alias("ls"))
+    return joined.select(F.col("i").alias("id_import"), F.array_join("ls.value", "\n").alias("record"))
 
 
 def line_numbers(scan: DataFrame, name: str = "id_import") -> DataFrame:

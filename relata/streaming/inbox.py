@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from relata.catalog import Catalog
 from relata.plans.ingest import ImportSpec, MappingError, run_import
 from relata.sources import fs
-from relata.sources.stage import StageError, stage_csv
+from relata.sources.stage import stage_file
 
 RUN_SCHEMA = "run_id long, file string, status string, last_step string, res string, steps string"
 
@@ -87,16 +87,13 @@ def process_file(spark: SparkSession, catalog: Catalog, spec: ImportSpec, path:
     table, links, children = store(spark, state)
     r = None
     try:
-        staged = stage_csv(spark, path)
-        r = run_import(catalog, spec, staged, target=initial if table is None else table, links=links, children=children)
+        r = run_import(catalog, spec, stage_file(spark, path), target=initial if table is None else table, links=links, children=children)
         status, last, res, steps = r.status, r.last_step, r.res, r.steps
         if status == "ERROR":
             r.errors.withColumn("run_id", F.lit(run_id)).withColumn("file", F.lit(path)).write.mode("append").parquet(
                 posixpath.join(state, "errors"))
         elif r.table is not None:
             commit_run(spark, state, run_id, r)
-    except StageError as e:
-        status, last, res, steps = "ERROR", "data_table", {"error": e.code, "message": e.msg[:500]}, {}
     except MappingError as e:
         status, last, res, steps = "ERROR", "mapping_view", {"error": type(e).__name__, "message": str(e)[:500]}, {}
     finally:
