@@ -17,6 +17,7 @@ first byte's section; with ``share`` lengths are bytes.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,11 @@ from pyspark.sql import functions as F
 from relata.llm.common import text_bytes
 
 RULES = ("first", "most", "share")
-#: Characters encoded at a time; whole texts, cut only where the tokenizer itself cuts.
+#: Runs of white space from this length on are encoded apart: the tokenizer's own pattern would run out of stack on them.
+LONG_RUN = 10_000
+# The characters that the tokenizer's pattern counts as white space, and the part of it that takes runs.
+_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
+_RUN_RULE = r"\s+(?!\S)|\s+"
 _encoders: dict[str, tuple] = {}
 
 
@@ -44,6 +49,24 @@ def _encoder(path: str, pattern: str):
     return _encoders[path]
 
 
+def encode(encoder, text: str) -> list[int]:
+    """The tokenizer's ids of a whole text.
+
+    Its pattern makes a run of white space one piece, but for the run's last
+    character if a word follows; long runs are cut out there and encoded as
+    the piece they are, so the ids are those of the text in one go.
+    """
+    if not encoder._pat_str.endswith(_RUN_RULE):
+        return encoder.encode_ordinary(text)
+    ids, at = [], 0
+    for run in _RUN.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        ids += encoder.encode_ordinary(text[at:run.start()])
+        ids += encoder._encode_single_piece(text[run.start():end])
+        at = end
+    return ids + encoder.encode_ordinary(text[at:])
+
+
 def line_sections(raw: bytes) -> np.ndarray:
     """End byte of every section: a section is a line with its line feed; an empty text is one empty section."""
     ends = np.flatnonzero(np.frombuffer(raw, np.uint8) == 10) + 1
@@ -84,6 +107,7 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, pattern: str |
     the rule is ``share``), ``n_crossing`` (tokens that touch this section and
     another one) and ``doc_tokens``.  A document's ``n_tokens`` add up to
     ``doc_tokens``.  A null or empty text is one empty section with no tokens;
+    bytes that are not UTF-8 count as U+FFFD;
     repeated rows come back as often as they occur; a null doc_id stays null.
     """
     if rule not in RULES:
@@ -103,8 +127,9 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, pattern: str |
                 c = b.slice(at, 256)
                 cols: list[list] = [[] for _ in names]
                 for doc, raw in zip(c.column(0).to_pylist(), text_bytes(c, "text")):
-                    raw = raw or b""
-                    ends = np.cumsum(lengths[encoder.encode_ordinary(raw.decode("utf-8"))]) if raw else np.empty(0, np.int64)
+                    text = (raw or b"").decode("utf-8", "replace")
+                    raw = text.encode()
+                    ends = np.cumsum(lengths[encode(encoder, text)]) if raw else np.empty(0, np.int64)
                     sections = line_sections(raw)
                     n, crossing = allocate(ends, sections, rule) if len(ends) else (np.zeros(len(sections)), np.zeros(len(sections), np.int64))
                     chars = np.concatenate([[0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)])[sections]

@@ -99,6 +99,27 @@ def test_token_counts_brute_force(spark, rule):
         assert got[i][-1].end_char == len(t)
 
 
+def test_long_white_space_gets_the_tokenizers_ids(monkeypatch):
+    import public_tokenizers
+
+    encoder, _ = token_counts._encoder(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    rnd = random.Random(4)
+    monkeypatch.setattr(token_counts, "_RUN", token_counts.re.compile(token_counts._RUN.pattern.replace("10000", "3")))
+    for _ in range(3000):
+        text = "".join(rnd.choice([" ", "\n", "\t", "\xa0", "\u2003", "\r", "a", "1", ".", "'s", "\x1c", "é"]) * rnd.choice([1, 1, 2, 5]) for _ in range(rnd.randrange(12)))
+        assert token_counts.encode(encoder, text) == encoder.encode_ordinary(text), repr(text)
+
+
+def test_token_counts_of_blank_runs_and_bytes(spark):
+    n = 10_000_000
+    blank = spark.sql(f"SELECT 1L AS doc_id, concat('a', repeat(' ', {n}), 'b') AS text UNION ALL SELECT 2L, repeat('\n', 1000) || repeat('\t', {n})")
+    got = {r.doc_id: r for r in token_counts.token_counts(blank).groupBy("doc_id").agg(
+        F.sum("n_tokens").alias("n"), F.max("doc_tokens").alias("d"), F.max("end_char").alias("c")).collect()}
+    assert got[1].n == got[1].d and got[1].c == n + 2 and got[2].n == got[2].d and got[2].c == n + 1000
+    odd = spark.sql("SELECT 1L AS doc_id, CAST(unhex('61ff620a63') AS STRING) AS text")
+    assert [(r.section, r.start_char, r.end_char) for r in token_counts.token_counts(odd).collect()] == [(0, 0, 4), (1, 4, 5)]
+
+
 def test_token_counts_odd_rows(spark):
     rows = token_counts.token_counts(documents(spark)).collect()
     by = collections.Counter(r.doc_id for r in rows)
