@@ -49,6 +49,25 @@ def rows_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame
     return spark.sql(f"SELECT {', '.join(casts)} FROM VALUES {values} AS t({', '.join(names)})")
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A function for ``mapInArrow`` whose worker gives memory back as it goes.
+
+    Spark reuses Python workers, and Arrow's own allocator keeps what it once
+    took; with the system's, freed batches go back between slices and tasks.
+    """
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.set_memory_pool(pa.system_memory_pool())
+        try:
+            for i, out in enumerate(run(batches)):
+                yield out
+                if i % 8 == 7:
+                    pa.default_memory_pool().release_unused()
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return task
+
+
 def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes | None]:
     """The UTF-8 bytes of a text column (no decoding)."""
     col = batch.column(batch.schema.get_field_index(column))
@@ -135,7 +154,7 @@ def dense_sum(df: DataFrame, accumulate: Callable[[pa.RecordBatch, np.ndarray],
 
     schema = "block int, payload binary"
     parts = min(64, max(1, (length + block - 1) // block))
-    sums = df.mapInArrow(part, schema).repartition(parts, "block").mapInArrow(total, schema)
+    sums = df.mapInArrow(lean(part), schema).repartition(parts, "block").mapInArrow(lean(total), schema)
     out = np.zeros(length, out_type)
     for r in sums.collect():
         out[r.block * block:(r.block + 1) * block] = opened(r.block, r.payload, out_type)

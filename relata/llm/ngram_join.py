@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relata.llm.common import checkpoint, components, dense_sum, free_name, split_words
+from relata.llm.common import checkpoint, components, dense_sum, free_name, lean, split_words
 
 #: The n-gram frequency table has 2^23 counters, one byte each (eight steps to a doubling): 8 MB for
 #: every task, whatever the corpus.  The order they give is a heuristic; results do not depend on it.
@@ -110,7 +110,7 @@ def _digests(docs: DataFrame, k: int, percent: int, counts: np.ndarray) -> DataF
             names=["doc_id", "n", "f1", "f2", "s0", "s1", "s2", "s3", "rare", "prefix"])
 
     return docs.mapInArrow(
-        run, "doc_id long, n long, f1 long, f2 long, s0 long, s1 long, s2 long, s3 long, rare long, prefix array<long>")
+        lean(run), "doc_id long, n long, f1 long, f2 long, s0 long, s1 long, s2 long, s3 long, rare long, prefix array<long>")
 
 
 def _gram_counts(docs: DataFrame, k: int) -> np.ndarray:
@@ -154,7 +154,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                     [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()),
                      pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["cid", "mark", "grams"])
 
-    return docs.mapInArrow(run, "cid long, mark long, grams array<long>")
+    return docs.mapInArrow(lean(run), "cid long, mark long, grams array<long>")
 
 
 def _need(na, nb, percent: int):

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relata.llm.common import checkpoint, gather, split_coded
+from relata.llm.common import checkpoint, gather, lean, split_coded
 
 WINDOW = 2048
 END_ID = 1
@@ -191,7 +191,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
                 pos += len(ids)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    stream = checkpoint(docs.mapInArrow(tokenize, "part int, pos long, doc_id long, n long, ids binary"))
+    stream = checkpoint(docs.mapInArrow(lean(tokenize), "part int, pos long, doc_id long, n long, ids binary"))
     totals = stream.groupBy("part").agg(F.sum("n").alias("n")).collect()  # one row per partition
     place, at = {}, 0
     for r in sorted(totals, key=lambda r: r.part):
@@ -216,5 +216,5 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, en
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids", "cut_before", "cut_after"]
     return stream.mapInArrow(
-        cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
+        lean(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
              "ids binary, cut_before boolean, cut_after boolean")

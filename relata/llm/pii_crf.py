@@ -33,6 +33,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relata.llm.common import lean
+
 KINDS = ("email", "ip", "card", "phone")
 LABELS = len(KINDS) + 1  # 0: none
 #: Mentions whose hash is smallest train the field; nothing else is sampled.
@@ -312,7 +314,7 @@ def fit_field(docs: DataFrame, max_train: int = MAX_TRAIN) -> Field:
                     [pa.ListArray.from_arrays(np.arange(0, rows.size + 1, rows.shape[1], dtype=np.int32), pa.array(rows.ravel().astype(np.int32)))],
                     names=["m"])
 
-    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "m array<int>")
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "m array<int>")
     # equal mentions are one training row with its count, so that a hot document does not fill the sample
     rows = found.groupBy("m").agg(F.count("*").alias("times")).orderBy(F.xxhash64("m"), "m").limit(max_train).collect()
     if not rows:
@@ -347,7 +349,7 @@ def find_spans(docs: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
                                              names=["doc_id", "base", "added"])
 
     kind = "array<struct<kind: string, start: bigint, end: bigint>>"
-    return docs.mapInArrow(run, f"doc_id long, base {kind}, added {kind}")
+    return docs.mapInArrow(lean(run), f"doc_id long, base {kind}, added {kind}")
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from relata.llm.common import dense_sum, free_name, text_bytes
+from relata.llm.common import dense_sum, free_name, lean, text_bytes
 
 #: Word entries and dimensions: the vectors are 16,384 x 64, whatever the corpus.
 BUCKETS = 1 << 14
@@ -225,7 +225,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN)
     # a document has one text, that of the smallest hash, however many rows repeat its id
     one = texts.join(F.broadcast(training_rows(labels, max_train)), "doc_id").groupBy("doc_id", "quality").agg(F.min("h").alias("h"))
     sample = texts.join(F.broadcast(one), ["doc_id", "h"]).select("doc_id", "quality", "text")
-    pools = sample.mapInArrow(pool, "doc_id long, quality int, x array<double>")
+    pools = sample.mapInArrow(lean(pool), "doc_id long, quality int, x array<double>")
     got = pools.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.first("x").alias("x")).collect()
     got.sort(key=lambda r: (xxhash.xxh3_64_intdigest(str(r.doc_id)), r.doc_id, r.x))
     x = np.array([r.x for r in got]).reshape(len(got), DIM + 2)
@@ -246,7 +246,7 @@ def score(docs: DataFrame, model: QualityModel, column: str = "score", text: str
             s = m.scores(np.array(x)) if x else np.empty(0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, column])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_train: int = MAX_TRAIN) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relata.llm.common import text_bytes
+from relata.llm.common import lean, text_bytes
 
 RULES = ("first", "most", "share")
 #: Runs of white space from this length on are encoded apart: the tokenizer's own pattern would run out of stack on them.
@@ -139,5 +139,5 @@ def token_counts(docs: DataFrame, vocabulary: str | None = None, pattern: str |
                 yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(cols, kinds)], names=names)
 
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, section int, start_char long, end_char long, n_tokens double, "
+    return docs.mapInArrow(lean(run), "doc_id long, section int, start_char long, end_char long, n_tokens double, "
                                 "n_crossing long, doc_tokens long")

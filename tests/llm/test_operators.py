@@ -216,12 +216,60 @@ def test_ann_recall_and_scores(spark):
     assert hits / total >= 0.9
 
 
-def test_kd_leaves_hold_every_row():
+def test_kd_tree_gives_every_row_nearest_leaf_first():
     p = np.random.default_rng(0).normal(size=(1000, 8))
-    leaves, low, high = ann.kd_leaves(p)
-    assert sorted(np.concatenate(leaves).tolist()) == list(range(1000))
-    same, _, _ = ann.kd_leaves(np.zeros((100, 8)))
-    assert sum(map(len, same)) == 100
+    leaves = list(ann.KdTree(p).leaves(p[7]))
+    assert sorted(np.concatenate([r for _, r in leaves]).tolist()) == list(range(1000)) and 7 in leaves[0][1]
+    far = [d for d, _ in leaves]
+    assert far == sorted(far) and all(d <= ((p[r] - p[7]) ** 2).sum(axis=1).min() + 1e-12 for d, r in leaves)
+    assert sum(len(r) for _, r in ann.KdTree(np.zeros((100, 8))).leaves(np.ones(8))) == 100
+
+
+def test_the_chi_square_stop_fires_in_a_full_block():
+    """Recall against brute force and the share of a full block that is verified."""
+    from relata.llm.vectors import CANDIDATES
+
+    rng = np.random.default_rng(5)
+    middle = rng.normal(size=(300, 64))
+    m = middle[rng.integers(0, 300, CANDIDATES)] + rng.normal(size=(CANDIDATES, 64)) * 0.4
+    ids, q, seen, hits = np.arange(CANDIDATES), np.arange(0, CANDIDATES, 200), [], 0
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for i, found, _ in ann.projected_search(q, m[q], ids, m, verified=seen):
+        s = unit @ unit[i]
+        s[i] = -9
+        hits += len(set(np.argsort(-s)[:5].tolist()) & set(found.tolist()))
+    assert hits >= 0.9 * 5 * len(q)
+    assert np.mean(seen) <= 0.3 * CANDIDATES
+
+
+def test_equal_vectors_come_in_id_order(spark):
+    rng = np.random.default_rng(8)
+    for n in (20, 57, 200):
+        v = rng.normal(size=64)
+        ids = rng.permutation(np.arange(1, n + 1))
+        for one, found, scores in ann.projected_search(np.array([0]), v[None], ids, np.tile(v, (n, 1))):
+            assert found.tolist() == [1, 2, 3, 4, 5] and len(set(scores.tolist())) == 1
+    v = [float(np.float32(x)) for x in rng.normal(size=64)]
+    rows = [(i, v) for i in range(0, 300)] + [(i, [float(np.float32(x)) for x in rng.normal(size=64)]) for i in range(300, 400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = collections.defaultdict(list)
+    for r in ann.nearest(df.repartition(7), every=50, k=5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert all(got[q] == [i for i in range(6) if i != q][:5] for q in range(0, 300, 50))
+
+
+def test_results_do_not_depend_on_partitions(spark, monkeypatch):
+    from relata.llm import vectors as blocks
+
+    monkeypatch.setattr(blocks, "CANDIDATES", 100)  # several blocks
+    _, df = vectors(spark, n=900, dim=24, seed=3, nulls=False)
+    runs = [sorted(map(tuple, ann.nearest(df.repartition(n), every=20).collect())) for n in (1, 8)]
+    assert runs[0] == runs[1]
+    monkeypatch.setattr(blocks, "QUERY_BYTES", 2000)  # and several groups of queries
+    assert sorted(map(tuple, ann.nearest(df, every=20).collect())) == runs[0]
+
+
+def test_chi_square_quantile():
     assert abs(ann.chi_square_quantile(0.95) - 15.507) < 1e-2
 
 
