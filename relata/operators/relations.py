@@ -246,46 +246,6 @@ def join_list(df: DataFrame, col: str, sep: str, dim: DataFrame, dim_key: str, h
     return ex.join(dim, F.col("__member") == dim[dim_key], how).drop("__member")
 
 
-def join_contains(a: DataFrame, a_id: str, a_text: str, b: DataFrame, b_id: str, b_text: str, k: int = 32) -> DataFrame:
-    """Pattern join ``a.text LIKE '%' || b.text || '%'`` (J21) without a cross join; returns (a_id, b_id).
-
-    Exact blocking: cut texts into non-overlapping K-blocks (len/K rows per
-    text; the text itself is not carried).  If a pattern of length m >= 2K-1
-    occurs at position p, then *every* K-gram of the pattern starting at an
-    offset congruent to -p mod K is one of those aligned blocks.  So for
-    each residue class of offsets it is enough to join on one gram of that
-    class -- the rarest one, by the number of texts holding it as a block (a
-    map-side-combined count).  At most K join keys per pattern, each as
-    selective as the pattern allows, so a block common to many texts (runs
-    of filler) does not pair every such text with every pattern.  K =
-    min(k, (m+1)//2) per pattern, one pass per distinct K.  Candidate pairs
-    then get their texts back for the exact ``instr`` test.  Empty or NULL
-    patterns are left out (they would pair with every row).
-    """
-    bk = b.select(qcol(b_id).alias("__bid"), qcol(b_text).alias("__pat")).filter(F.length("__pat") > 0)
-    bk = bk.withColumn("__k", F.least(F.lit(k), F.floor((F.length("__pat") + 1) / 2).cast("int")))
-    ks = sorted(r["__k"] for r in bk.select("__k").distinct().collect())  # at most k distinct values
-    at = a.select(qcol(a_id).alias("__aid"), qcol(a_text).alias("__txt"))
-    cand = None
-    for K in ks:
-        # consecutive full K-character blocks of each text (native regex, no per-element lambda)
-        blocks = at.select("__aid", F.explode(F.regexp_extract_all(F.col("__txt"), F.lit(f"(?s).{{{K}}}"), F.lit(0))).alias("__key")).distinct()
-        freq = blocks.groupBy("__key").agg(F.count(F.lit(1)).alias("__df"))
-        grams = bk.filter(F.col("__k") == K).select("__bid", F.posexplode(F.expr(
-            f"transform(sequence(1, length(__pat) - {K} + 1), p -> substring(__pat, p, {K}))")).alias("__pos", "__key"))
-        grams = grams.withColumn("__res", F.col("__pos") % K).join(freq, "__key", "left")
-        # a gram that is nowhere a block gets frequency 0: that residue class cannot match, and joins to nothing
-        pick = grams.groupBy("__bid", "__res").agg(F.min(F.struct(F.coalesce(F.col("__df"), F.lit(0)).alias("df"), F.col("__key").alias("key"))).alias("__b"))
-        keys = pick.select("__bid", F.col("__b.key").alias("__key")).distinct()
-        part = blocks.join(keys, "__key").select("__aid", "__bid")
-        cand = part if cand is None else cand.unionByName(part)
-    if cand is None:
-        return a.select(qcol(a_id)).join(b.select(qcol(b_id)), F.lit(False), "inner")
-    cand = cand.distinct()
-    full = cand.join(at, "__aid").join(bk.select("__bid", "__pat"), "__bid")
-    return full.filter(F.instr(F.col("__txt"), F.col("__pat")) > 0).select(F.col("__aid").alias(a_id), F.col("__bid").alias(b_id))
-
-
 def resolve_rows(rows: DataFrame, dims: dict[str, tuple[DataFrame, str, str]]) -> DataFrame:
     """Rows holding codes resolved against several code tables by name.
 

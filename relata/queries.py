@@ -1092,11 +1092,11 @@ def q_validate_records(spark, sf):
 
 # ---------------------------------------------------------------- more operators
 @register("join_contains", """
-SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON length(b.text) > 0 AND contains(d.text, b.text)
+SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)
 """)
 def q_join_contains(spark, sf):
     # which documents contain which benchmark passage, over whole texts
-    from relata.operators.relations import join_contains
+    from relata.operators.patterns import join_contains
     from relata.sources.tables import load_table
 
     d = load_table(spark, sf, "documents")

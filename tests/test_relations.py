@@ -2,7 +2,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from relata.operators.relations import expand_codes, filter_nested, get_rows, join_contains
+from relata.operators.patterns import join_contains
+from relata.operators.relations import expand_codes, filter_nested, get_rows
 
 
 def test_join_contains_equals_brute_force(spark):
@@ -21,9 +22,19 @@ def test_join_contains_equals_brute_force(spark):
     pats.append((99, ""))
     a = spark.createDataFrame(texts, "id long, txt string")
     b = spark.createDataFrame(pats, "pid long, pat string")
-    got = {(r.id, r.pid) for r in join_contains(a, "id", "txt", b, "pid", "pat", k=8).collect()}
-    exp = {(i, j) for i, t in texts for j, p in pats if p and p in t}
-    assert got == exp and len(exp) > 50
+    exp = sorted((i, j) for i, t in texts for j, p in pats if p in t)  # the empty pattern is in every text
+    for chars in (1 << 20, 200):  # one block of patterns, and several
+        got = join_contains(a, "id", "txt", b, "pid", "pat", block_chars=chars).collect()
+        assert sorted((r.id, r.pid) for r in got) == exp and len(exp) > 50
+
+
+def test_join_contains_short_patterns_nulls_and_wildcards(spark):
+    a = spark.createDataFrame([(1, "50% of_x"), (2, None), (3, ""), (4, "é😀é")], "id int, txt string")
+    b = spark.createDataFrame([("p", "%"), ("q", "_"), ("r", None), ("s", ""), ("t", "é"), ("u", "😀é"), ("v", "é"), ("w", "of")], "pid string, pat string")
+    got = sorted((r.id, r.pid) for r in join_contains(a, "id", "txt", b, "pid", "pat").collect())
+    assert got == [(1, "p"), (1, "q"), (1, "s"), (1, "w"), (3, "s"), (4, "s"), (4, "t"), (4, "u"), (4, "v")]
+    assert join_contains(a, "id", "txt", b.limit(0), "pid", "pat").collect() == []
+    assert join_contains(a.limit(0), "id", "txt", b, "pid", "pat").collect() == []
 
 
 def test_get_rows_filter_nested_expand(spark):
@@ -51,6 +62,6 @@ def test_join_contains_hot_block(spark):
     pats.append((100, "#" * 20))  # genuinely matches every text
     a = spark.createDataFrame(texts, "id long, txt string")
     b = spark.createDataFrame(pats, "pid long, pat string")
-    got = {(r.id, r.pid) for r in join_contains(a, "id", "txt", b, "pid", "pat", k=8).collect()}
+    got = {(r.id, r.pid) for r in join_contains(a, "id", "txt", b, "pid", "pat").collect()}
     exp = {(i, j) for i, t in texts for j, p in pats if p in t}
     assert got == exp
