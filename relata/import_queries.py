@@ -138,3 +138,66 @@ def q_stage_errors(spark, sf):
     staged = stage_file(spark, path)
     good = staged.rows.select(F.col("id_import").alias("line"), F.lit("staged").alias("state"), "name")
     return good.unionByName(staged.errors.select(F.col("lines")[0].alias("line"), F.col("error_code").alias("state"), F.lit(None).cast("string").alias("name")))
+
+
+# ---------------------------------------------------------------- feature loads
+def _supplier_features(spark, sf):
+    """Suppliers as a JSON-lines file in key order, some rows with a fault, loaded over the suppliers."""
+    from relata.plans.ingest import load_features
+
+    s, n = load_table(spark, sf, "supplier"), load_table(spark, sf, "nation").select("n_nationkey", "n_name")
+    k = F.col("s_suppkey")
+    row = F.to_json(F.struct(
+        F.when(k % 10 != 4, k).alias("s_suppkey"), F.when(k % 2 == 0, F.concat("s_name", F.lit("*"))).alias("s_name"),
+        F.when(k % 10 == 7, F.lit("Nowhere")).otherwise(F.col("n_name")).alias("s_nationkey"),
+        F.when(k % 10 == 5, F.lit("much")).otherwise(F.lit("1.5")).alias("s_acctbal"), F.lit("dropped").alias("no_such_column")))
+    row = F.when(k % 10 == 3, F.lit('["too", "few"]')).otherwise(row)
+    path = _folder(spark, "features")
+    s.join(n, s.s_nationkey == n.n_nationkey).repartitionByRange("s_suppkey").sortWithinPartitions("s_suppkey").select(row.alias("value")).write.text(path)
+    spec = ImportSpec("supplier", unique=["s_suppkey"], fields={
+        "s_suppkey": FieldSpec("integer", required=True), "s_name": FieldSpec("string"),
+        "s_nationkey": FieldSpec(ref="nation", ref_unique=["n_name"]), "s_acctbal": FieldSpec("number")})
+    group = {"code": "supplier", "file": path, "keys": list(spec.fields), "copy": {"s_nationkey": ["s_name"]}}
+    r = load_features(_cat(spark, sf), [group], {"supplier": spec})["supplier"]
+    if r.status != "DONE":
+        raise RuntimeError(f"features: {r.errors.limit(5).collect()}")
+    return r
+
+
+_FAULTS = "s_suppkey % 10 IN (3, 4, 5, 7)"
+
+
+@register("features_file", f"""
+SELECT s_suppkey, s_nationkey, CASE WHEN {_FAULTS} THEN s_acctbal ELSE 1.5 END AS s_acctbal FROM supplier
+""")
+def q_features_file(spark, sf):
+    # rows of the file upserted; rows with an error leave their object as it was
+    r = _supplier_features(spark, sf)
+    out = r.table.select("s_suppkey", "s_nationkey", "s_acctbal").checkpoint(eager=True)
+    r.release()
+    return out
+
+
+@register("features_copy", f"""
+SELECT s_suppkey, CASE WHEN {_FAULTS} THEN s_name WHEN s_suppkey % 2 = 0 THEN s_name || '*' ELSE CAST(s_nationkey AS VARCHAR) END AS s_name FROM supplier
+""")
+def q_features_copy(spark, sf):
+    # where a row has no name the nation is copied there, resolved like the nation itself
+    r = _supplier_features(spark, sf)
+    out = r.table.select("s_suppkey", "s_name").checkpoint(eager=True)
+    r.release()
+    return out
+
+
+@register("features_errors", """
+WITH n AS (SELECT s_suppkey, ROW_NUMBER() OVER (ORDER BY s_suppkey) AS line FROM supplier)
+SELECT line, 'ERR_FEATURE_ROW_LENGTH' AS error_code, NULL AS key FROM n WHERE s_suppkey % 10 = 3
+UNION ALL SELECT line, 'ERR_IMPORT_REQUIRED', 's_suppkey' FROM n WHERE s_suppkey % 10 = 4
+UNION ALL SELECT line, 'ERR_IMPORT_INVALID_VALUE_FOR_TYPE', 's_acctbal' FROM n WHERE s_suppkey % 10 = 5
+UNION ALL SELECT line, 'ERR_IMPORT_UNRESOLVED', 's_nationkey' FROM n WHERE s_suppkey % 10 = 7
+""")
+def q_features_errors(spark, sf):
+    r = _supplier_features(spark, sf)
+    out = r.row_errors.select(F.col("id_import").alias("line"), "error_code", "key").checkpoint(eager=True)
+    r.release()
+    return out

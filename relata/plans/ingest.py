@@ -17,12 +17,13 @@ snapshot directory.
 
 from __future__ import annotations
 
+import dataclasses
 import re
 import time
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,6 +90,7 @@ class ImportSpec:
     parent_key: str | None = None  # for 1-n child imports: column holding the parent's natural key
     children: dict = field(default_factory=dict)  # relation name -> ChildSpec
     where: str | None = None  # row filter applied in the mapping step (F20)
+    copy: dict = field(default_factory=dict)  # column -> columns that take its resolved value where they have none (C17)
 
 
 @dataclass
@@ -115,6 +117,7 @@ class ImportResult:
     links: dict = field(default_factory=dict)
     children: dict = field(default_factory=dict)
     last_step: str | None = None
+    row_errors: DataFrame | None = None  # of a feature load: every error of every row
     resumed: list = field(default_factory=list)  # steps taken from an earlier run's log
     run: object = None
 
@@ -391,7 +394,7 @@ class ImportRun:
         self._persisted: list[DataFrame] = []
         self.keep = True  # False: single steps are run and nobody calls release()
         self.spark = source.sparkSession
-        self.log = StepLog(self.spark, steps, repr(replace(spec, target_step=None))) if steps else None
+        self.log = StepLog(self.spark, steps, repr(dataclasses.replace(spec, target_step=None))) if steps else None
         self.written: dict[str, str] = {}
 
     # --- helpers
@@ -552,6 +555,10 @@ class ImportRun:
             elif fs.ref:
                 df = df.withColumn(f"__raw_{c}", qcol(c))
                 df = resolve_key(self.cat, df, c, fs.ref, fs.ref_unique, nullable=fs.nullable_key)
+        for key, others in self.spec.copy.items():
+            for k in others:
+                if key in df.columns and k in df.columns:
+                    df = df.withColumn(k, F.coalesce(qcol(k), qcol(key).cast(df.schema[k].dataType)))
         # primary key by natural key against the current table
         t = self.target
         unique = self.spec.unique
@@ -875,17 +882,55 @@ def run_record(spark: SparkSession, r: ImportResult, run_id: str, file: str | No
     return spark.createDataFrame([row], "run_id string, file string, status string, last_step string, res string, steps string")
 
 
+def row_errors(catalog: Catalog, spec: ImportSpec, staged: DataFrame, target: DataFrame | None = None) -> DataFrame:
+    """Every error of every row, ``(id_import, error_code, key, value)``: cells that do not fit their type, required
+    cells without value, keys and codes that nothing answers to, those of n-n lists and child records included."""
+    run = ImportRun(catalog, dataclasses.replace(spec, target_step=None), staged, target)
+    run.keep = False
+    for step in ("data_table", "mapping_view", "raw_view", "import_view", "relations_view"):
+        getattr(run, f"step_{step}")()
+    frames = run.r.frames
+    raw, parts = frames["raw"], []
+
+    def add(df: DataFrame, code: str, key: str, value: Column) -> None:
+        parts.append(df.select("id_import", F.lit(code).alias("error_code"), F.lit(key).alias("key"), value.cast("string").alias("value")))
+
+    for c, f in spec.fields.items():
+        if c in frames["mapping"].columns and f.type != "string" and not (f.ref or f.code_type or f.nn):
+            text = qcol(c).cast("string")
+            add(frames["mapping"].filter(~fits_type(text, f.type)), "ERR_IMPORT_INVALID_VALUE_FOR_TYPE", c, text)
+        if f.required and c in raw.columns:
+            add(raw.filter(qcol(c).isNull()), "ERR_IMPORT_REQUIRED", c, F.lit(None))
+        if c in raw.columns and (f.ref or f.code_type) and not f.nn:
+            add(frames["resolved"].filter(F.col(f"__raw_{c}").isNotNull() & qcol(c).isNull()), "ERR_IMPORT_UNRESOLVED", c, F.col(f"__raw_{c}"))
+        if f.nn and f"nn_{c}" in frames:
+            add(frames[f"nn_{c}"].filter(F.col("__link").isNull()), "ERR_IMPORT_UNRESOLVED", c, F.col("__code"))
+    for rel, ch in spec.children.items():
+        res = frames.get(f"child_{rel}")
+        for c, f in ch.fields.items() if res is not None else ():
+            if f.required and c in res.columns:
+                add(frames[f"child_raw_{rel}"].filter(qcol(c).isNull()), "ERR_IMPORT_REQUIRED", f"{rel}.{c}", F.lit(None))
+            if (f.ref or f.code_type) and c in res.columns:
+                add(res.filter(F.col(f"__raw_{c}").isNotNull() & qcol(c).isNull()), "ERR_IMPORT_UNRESOLVED", f"{rel}.{c}", F.col(f"__raw_{c}"))
+    out = parts[0] if parts else run.spark.createDataFrame([], "id_import long, error_code string, key string, value string")
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.distinct()
+
+
 def load_features(catalog: Catalog, groups: list[dict], specs: dict[str, ImportSpec], tables: dict[str, DataFrame] | None = None) -> dict:
-    """Feature load (C17, S14): inline rows per object, dependencies first, each group upserted by natural key.
+    """Feature load (C17, S14): rows per object, dependencies first, each group upserted by natural key.
 
-    ``groups``: [{"code", "keys", "items", "defaults", "dependencies"}].  The
-    dependency order is computed on the driver over the group list (a few
-    entries, not data).  Foreign keys inside the rows are resolved by the
+    ``groups``: [{"code", "keys", "items" or "file", "defaults", "copy",
+    "dependencies"}], see ``feature_frame``.  The dependency order is computed
+    on the driver over the group list (a few entries, not data).  Keys that
+    the object does not have are dropped; of rows with one natural key the
+    last counts.  Foreign keys, in nested records too, are resolved by the
     import spec of each object; each group sees the tables written by the
-    groups before it.  Returns {code: ImportResult}.
+    groups before it.  A row with an error is left out and reported in the
+    result's ``row_errors`` (``id_import, error_code, key, value``); the
+    others are loaded.  Returns {code: ImportResult}.
     """
-    from relata.sources.stage import feature_frame, stage_frame
-
     by_code = {g["code"]: g for g in groups}
     order, seen = [], set()
 
@@ -905,11 +950,27 @@ def load_features(catalog: Catalog, groups: list[dict], specs: dict[str, ImportS
     tables = dict(tables or {})
     out = {}
     for code in order:
-        g = by_code[code]
-        frame = feature_frame(catalog.spark, g)
-        staged = stage_frame(frame)
-        target = tables.get(code)
-        r = run_import(catalog, specs[code], staged, target=target)
+        g, spec, target = by_code[code], specs[code], tables.get(code)
+        fields, copy = dict(spec.fields), {**spec.copy, **(g.get("copy") or {})}
+        for key, others in copy.items():
+            for k in others:  # filled by the copy, if by nothing else
+                like = fields.get(k) or FieldSpec("integer" if fields[key].ref or fields[key].code_type else fields[key].type)
+                fields[k] = dataclasses.replace(like, required=False)
+        spec = dataclasses.replace(spec, fields=fields, copy=copy)
+        staged = stage.feature_frame(catalog.spark, g, list(fields), {r: list(c.fields) for r, c in spec.children.items()})
+        if staged.fault is not None:
+            raise staged.fault
+        kept = staged.parsed.persist(StorageLevel.MEMORY_AND_DISK)
+        rows = good_rows(kept)
+        last = Window.partitionBy(*[qcol(u) for u in spec.unique]) if all(u in rows.columns for u in spec.unique) else None
+        if last is not None and not any(spec.fields[u].default_uuid for u in spec.unique if u in spec.fields):
+            keyless = F.coalesce(*[F.when(qcol(u).isNull(), F.lit(True)) for u in spec.unique], F.lit(False))
+            rows = rows.withColumn("__last", F.max("id_import").over(last)).filter(keyless | (F.col("id_import") == F.col("__last"))).drop("__last")
+        bad = row_errors(catalog, spec, rows, target).unionByName(bad_rows(kept).select(
+            F.col("lines")[0].alias("id_import"), "error_code", "key", F.col("msg").alias("value"))).persist(StorageLevel.MEMORY_AND_DISK)
+        r = run_import(catalog, spec, rows.join(bad.select("id_import").distinct(), "id_import", "left_anti"), target=target)
+        r.row_errors = bad
+        r.run._persisted += [kept, bad]
         out[code] = r
         if r.status == "DONE" and r.table is not None:
             tables[code] = r.table

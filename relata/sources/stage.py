@@ -13,6 +13,8 @@ others.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -232,25 +234,45 @@ def stage_frame(df: DataFrame, line_col: str | None = None) -> DataFrame:
     return blank_to_null(with_row_number(t, [F.col(f"`{c}`").asc_nulls_last() for c in cols], "id_import").select("id_import", *cols))
 
 
-def feature_frame(spark: SparkSession, item: dict) -> DataFrame:
-    """Inline feature source (S14): ``keys`` + positional ``items`` rows, ``defaults`` filled in.
+def feature_frame(spark: SparkSession, item: dict, columns: list[str] | None = None, children: dict[str, list[str]] | None = None) -> Staged:
+    """Feature rows (S14) as text columns with their line ids; rows that do not fit are error rows.
 
-    A row whose length differs from ``keys`` is an error.
+    ``item`` holds ``items`` (inline rows) or ``file`` (a JSON-lines file, one
+    row a line, read as a Spark source).  A row is an object, or a list of
+    values in the order of ``keys``.  ``defaults`` fill what is absent or
+    null.  Only ``columns`` are kept (all keys of ``keys`` and
+    ``defaults``, if not given); of a relation in ``children`` each record of
+    the row's list makes a line with dotted columns.  A list of another length
+    (``ERR_FEATURE_ROW_LENGTH``) and a row that is no JSON object or list
+    (``ERR_FEATURE_ROW_FORM``) are errors of their own row.
     """
-    keys = list(item["keys"])
-    defaults = item.get("defaults", {})
-    rows = []
-    for r in item["items"]:
-        if isinstance(r, dict):
-            r = [r.get(k) for k in keys]
-        if len(r) != len(keys):
-            raise StageError("ERR_FEATURE_ROW_LENGTH", f"row {r!r} has {len(r)} values for {len(keys)} keys")
-        rows.append([None if v is None else str(v) for v in r])
-    schema = T.StructType([T.StructField(k, T.StringType()) for k in keys])
-    df = spark.createDataFrame(rows, schema)
-    for k, v in defaults.items():
-        if k in keys:
-            df = df.withColumn(k, F.coalesce(F.col(k), F.lit(str(v))))
-        else:
-            df = df.withColumn(k, F.lit(str(v)))
-    return df
+    keys, children = [str(k) for k in item.get("keys") or []], children or {}
+    if item.get("file"):
+        if not fs.exists(spark, item["file"]):
+            return Staged(spark, None, StageError("ERR_IMPORT_DATA_FILE_NOT_FOUND", f"file not found: {item['file']}"))
+        lines = line_numbers(spark.read.text(item["file"]).filter(F.trim("value") != "")).select("id_import", F.trim("value").alias("value"))
+    else:
+        rows = [(i, json.dumps(r, default=str)) for i, r in enumerate(item.get("items", []), 1)]
+        lines = spark.createDataFrame(rows, "id_import long, value string")
+    values, pairs = F.from_json("value", "array<string>"), F.from_json("value", "map<string,string>")
+    listed = F.col("value").startswith("[")
+    bad = F.when(listed & values.isNotNull() & (F.size(values) != len(keys)), F.lit("ERR_FEATURE_ROW_LENGTH")).when(
+        F.when(listed, values.isNull()).otherwise(pairs.isNull() | ~F.col("value").startswith("{")), F.lit("ERR_FEATURE_ROW_FORM"))
+    names = F.array(*[F.lit(k) for k in keys]).cast("array<string>")
+    of_list = F.map_from_arrays(names, F.when(F.size(values) == len(keys), values)) if keys else F.lit(None).cast("map<string,string>")
+    parsed = lines.select("id_import", "value", bad.alias(BAD), F.when(listed, of_list).otherwise(pairs).alias("m"))
+    defaults = {str(k): str(v) for k, v in (item.get("defaults") or {}).items()}
+
+    def cell(key: str) -> Column:
+        c = F.try_element_at("m", F.lit(key))
+        if key in defaults:
+            c = F.coalesce(c, F.lit(defaults[key]))
+        return c
+
+    columns = list(dict.fromkeys([*keys, *defaults])) if columns is None else columns
+    out = parsed.select("id_import", "value", BAD, *[F.nullif(cell(c), F.lit("")).alias(c) for c in columns],
+                        *[F.from_json(F.try_element_at("m", F.lit(r)), "array<map<string,string>>").alias(f"__of_{r}") for r in children])
+    for r, cols in children.items():
+        out = out.withColumn("__one", F.explode_outer(f"__of_{r}"))
+        out = out.select("*", *[F.nullif(F.try_element_at("__one", F.lit(c)), F.lit("")).alias(f"{r}.{c}") for c in cols]).drop("__one", f"__of_{r}")
+    return Staged(spark, out.withColumn(RECORD, F.when(F.col(BAD).isNotNull(), F.col("value"))).drop("value"))
