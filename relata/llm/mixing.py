@@ -169,4 +169,4 @@ def mix(docs: DataFrame, labelled_docs: DataFrame, labelled: DataFrame, targets:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     on = docs["doc_id"].cast("long").eqNullSafe(rates[key]) & (F.xxhash64(text) == rates[mark])
     return (docs.join(rates, on).filter(F.col(times) > 0)
-            .withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns))
+            .withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(F.col(f"`{c}`") for c in docs.columns)))

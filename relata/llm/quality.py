@@ -236,17 +236,21 @@ def score(docs: DataFrame, model: QualityModel, column: str = "score", text: str
     """``docs`` with the probability of label 1 in ``column`` (0 to 1; empty and null texts too)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     if column in docs.columns:
-        docs = docs.drop(column)
-    schema = T.StructType(docs.schema.fields + [T.StructField(column, T.DoubleType())])
+        docs = docs.drop(F.col(f"`{column}`"))
+    # numbered names inside, since a caller's may hold dots
+    names, plain = docs.columns, [f"c{i}" for i in range(len(docs.columns))]
+    at_text = plain[names.index(text)]
+    numbered = docs.toDF(*plain)
+    schema = T.StructType([*numbered.schema.fields, T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, chunks = shared.value, _Chunks()
         for b in (big.slice(at, 512) for big in batches for at in range(0, big.num_rows, 512)):
-            x = [pooled(word_entries(raw, chunks), m.vectors) for raw in text_bytes(b, text)]
+            x = [pooled(word_entries(raw, chunks), m.vectors) for raw in text_bytes(b, at_text)]
             s = m.scores(np.array(x)) if x else np.empty(0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, column])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], names=[*b.schema.names, "score"])
 
-    return docs.mapInArrow(lean(run), schema)
+    return numbered.mapInArrow(lean(run), schema).toDF(*names, column)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_train: int = MAX_TRAIN) -> DataFrame:

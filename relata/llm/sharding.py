@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from relata.llm.common import checkpoint, rows_frame
 
 VNODES = 64
-#: Pieces of each arc (by a hash of the row) that are ranked on their own, one after the other.
-PIECES = 8
+#: An arc is ranked in as many pieces (by a hash of the row) as its counted rows fill; a run of identical rows is cut likewise.
+PIECE_ROWS = 1 << 18
 _RING = 1 << 60
 
 
@@ -102,21 +102,29 @@ def shard_rows(docs: DataFrame, shards: int = 24, vnodes: int = VNODES) -> DataF
     inside = F.aggregate(F.slice(ends, F.col("lo") + 1, F.col("hi") - F.col("lo")), F.lit(0),
                          lambda s, e: s + (e < F.col("at")).cast("int"))
     arc = F.pmod(F.col("lo") + F.when(F.col("hi") > F.col("lo"), inside).otherwise(0), F.lit(n))
-    piece = F.pmod(F.xxhash64("at", "text_crc32", "size"), F.lit(PIECES)).cast("int")
-    rows = checkpoint(rows.select("doc_id", "size", "text_crc32", "at", arc.cast("int").alias("arc"), piece.alias("piece")))
-    counted = {(r.arc, r.piece): r.n for r in rows.groupBy("arc", "piece").agg(F.count("*").alias("n")).collect()}
-    counts = [sum(counted.get((a, p), 0) for p in range(PIECES)) for a in range(n)]
-    bases, plan = [], walk(points, counts, shards)
-    for a in range(n):
-        at = 0
-        for p in range(PIECES):
-            bases.append((a, p, at, points[a][1]))
-            at += counted.get((a, p), 0)
+    # identical rows are one row with a count until they get their slots
+    like = ["doc_id", "size", "text_crc32", "at", "arc"]
+    rows = checkpoint(rows.withColumn("arc", arc.cast("int")).groupBy(*like).agg(F.count("*").alias("times")))
+    in_arc = {r.arc: r.n for r in rows.groupBy("arc").agg(F.sum("times").alias("n")).collect()}
+    counts = [in_arc.get(a, 0) for a in range(n)]
+    cuts = rows_frame(docs.sparkSession, [(a, max(1, -(-c // PIECE_ROWS))) for a, c in enumerate(counts)], "arc int, pieces int")
+    rows = rows.join(F.broadcast(cuts), "arc").withColumn("piece", F.pmod(F.xxhash64("at", "text_crc32", "size"), F.col("pieces")).cast("int"))
+    counted = rows.groupBy("arc", "piece").agg(F.sum("times").alias("n")).collect()  # a row for each PIECE_ROWS rows, and each arc
+    bases, plan, before = [], walk(points, counts, shards), [0] * n
+    for r in sorted(counted, key=lambda r: (r.arc, r.piece)):
+        bases.append((r.arc, r.piece, before[r.arc], points[r.arc][1]))
+        before[r.arc] += r.n
     base = rows_frame(docs.sparkSession, bases, "arc int, piece int, base long, home_shard int")
     taken = rows_frame(docs.sparkSession, plan, "arc int, lo long, hi long, shard int, first long")
-    order = Window.partitionBy("arc", "piece").orderBy("at", "doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(order) - 1).join(F.broadcast(base), ["arc", "piece"])
-    ranked = ranked.withColumn("rank", F.col("rank") + F.col("base"))
+    order = Window.partitionBy("arc", "piece").orderBy("at", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = rows.withColumn("ahead", F.coalesce(F.sum("times").over(order), F.lit(0))).join(F.broadcast(base), ["arc", "piece"])
+    # long runs of identical rows are dealt out in parts before each row gets its own rank
+    run = F.sequence(F.lit(0).cast("long"), F.col("times") - 1, F.lit(PIECE_ROWS).cast("long"))
+    runs = ranked.filter(F.col("times") > PIECE_ROWS).withColumn("at_run", F.explode(run))
+    runs = runs.repartition("arc", "piece", "text_crc32", "at_run").withColumn("copy", F.explode(F.sequence(
+        F.col("at_run"), F.least(F.col("at_run") + PIECE_ROWS, F.col("times")) - 1))).drop("at_run")
+    few = ranked.filter(F.col("times") <= PIECE_ROWS).withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    ranked = few.unionByName(runs).withColumn("rank", F.col("base") + F.col("ahead") + F.col("copy"))
     placed = ranked.alias("r").join(F.broadcast(taken).alias("t"), (F.col("r.arc") == F.col("t.arc"))
                                     & (F.col("r.rank") >= F.col("t.lo")) & (F.col("r.rank") < F.col("t.hi")))
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard",

@@ -551,6 +551,44 @@ def test_walk_places_every_key():
             assert sum(hi - lo for lo, hi in spans) == n and all(x[1] == y[0] for x, y in zip(spans, spans[1:]))
 
 
+def hot_rows():
+    rnd = random.Random(12)
+    rows = [(5, f"text {i}") for i in range(400)] + [(None, "same")] * 400 + [(rnd.randrange(10_000), f"t{rnd.randrange(50)}") for _ in range(400)]
+    return rows
+
+
+def brute_shards(rows, shards):
+    """The shard of every row, rows of an arc in ring order (which of several identical rows goes where is open)."""
+    import bisect
+    import hashlib
+
+    points = sharding.ring_points(shards)
+    arcs = [[] for _ in points]
+    for i, t in rows:
+        raw = t.encode()
+        at = int(hashlib.md5((str(i) if i is not None else "").encode()).hexdigest()[:15], 16)
+        arcs[bisect.bisect_left([p for p, _ in points], at) % len(points)].append((at, i is not None, i or 0, zlib.crc32(raw), len(raw) + 8, i))
+    out = collections.Counter()
+    for arc in arcs:
+        arc.sort(key=lambda r: r[:5])
+    for arc, lo, hi, shard, first in sharding.walk(points, [len(a) for a in arcs], shards):
+        out.update((arcs[arc][k][5], arcs[arc][k][4], arcs[arc][k][3], shard, first + k - lo) for k in range(lo, hi))
+    return out
+
+
+@pytest.mark.parametrize("piece_rows", [1 << 18, 64])
+def test_sharding_hot_keys(spark, monkeypatch, piece_rows):
+    monkeypatch.setattr(sharding, "PIECE_ROWS", piece_rows)
+    rows = hot_rows()
+    out = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), 24).collect()
+    assert collections.Counter((r.doc_id, r.text_crc32) for r in out) == collections.Counter((i, zlib.crc32(t.encode())) for i, t in rows)
+    counts = collections.Counter(r.shard for r in out)
+    assert max(counts.values()) - min(counts.values()) <= 1
+    assert all(sorted(r.slot for r in out if r.shard == s) == list(range(counts[s])) for s in counts)
+    if piece_rows == 1 << 18:  # one piece an arc: every shard and slot is settled
+        assert collections.Counter((r.doc_id, r.size, r.text_crc32, r.shard, r.slot) for r in out) == brute_shards(rows, 24)
+
+
 def test_sharding_odd_rows(spark):
     out = sharding.shard_rows(documents(spark), 5).collect()
     assert len(out) == len(TEXTS)
