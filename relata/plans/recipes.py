@@ -80,16 +80,16 @@ def roads(segments: DataFrame, names: DataFrame, areas: DataFrame | None = None,
 def lines_within(a: DataFrame, b: DataFrame, r: float, aid="aid", aline="line", bid="bid", bline="line") -> DataFrame:
     """Line pairs within planar distance ``r`` (J16 for lines), with the distance.
 
-    Both sides are cut into segments; ``a``'s segments go to the cells they
-    cross and their 8 neighbours, ``b``'s to the cells they cross, so any
+    Both sides are cut into segments; on cells of 2 r, ``a``'s segments go to
+    the cells within r of them, ``b``'s to the cells they cross, so any
     pair within r shares a cell.  Two segments are within r iff they cross
     or an end point of one is within r of the other: the distance is the
     minimum of four point-segment distances (0 when they cross), plain
     arithmetic; a map-side ``min`` per line pair removes duplicates.
     """
-    sa = geo.segment_cell_rows(geo.line_segments(a, aid, aline), r, around=1)
+    sa = geo.segment_cell_rows(geo.line_segments(a, aid, aline), 2 * r, reach=r)
     sa = sa.select(F.col("lid").alias("__a"), *[F.col(c).alias(f"a_{c}") for c in ("ax", "ay", "bx", "by")], "cx", "cy")
-    sb = geo.segment_cell_rows(geo.line_segments(b, bid, bline), r)
+    sb = geo.segment_cell_rows(geo.line_segments(b, bid, bline), 2 * r)
     sb = sb.select(F.col("lid").alias("__b"), *[F.col(c).alias(f"b_{c}") for c in ("ax", "ay", "bx", "by")], "cx", "cy")
     c = geo.meet(sa, sb, ["cx", "cy"])
     A =[F.col(f"a_{x}") for x in ("ax", "ay", "bx", "by")]

@@ -98,3 +98,25 @@ def test_lines_within_brute_force(spark):
     to_df = lambda rows, k: spark.createDataFrame([(x, [{"x": p[0], "y": p[1]} for p in v]) for x, v in rows], f"{k} long, line array<struct<x:double,y:double>>")
     got = {(x.aid, x.bid) for x in recipes.lines_within(to_df(A, "aid"), to_df(B, "bid"), r).collect()}
     assert got == exp and len(exp) > 20
+
+
+def test_cell_join_shuffles_a_side_once(spark):
+    """Crowded keys are broadcast: neither side of the join is shuffled for their sake."""
+    a = spark.range(4000).select((F.col("id") % 7).alias("cx"), F.lit(0).cast("long").alias("cy"), F.col("id").alias("a"))
+    b = spark.range(40).select((F.col("id") % 7).alias("cx"), F.lit(0).cast("long").alias("cy"), F.col("id").alias("b"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for rows in (100, 100_000):
+            j = geo.meet(a, b, ["cx", "cy"], rows, 2)
+            assert j._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(cx") == 2
+            assert {(r.a, r.b) for r in j.collect()} == {(x, y) for x in range(4000) for y in range(40) if x % 7 == y % 7}
+            assert j.count() == sum(1 for x in range(4000) for y in range(40) if x % 7 == y % 7)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_short_segments_go_to_few_cells(spark):
+    segs = spark.createDataFrame([(25.0, 5.0, 25.0, 10.0), (3.0, 1.0, 8.0, 17.0)], "ax double, ay double, bx double, by double")
+    cells = [(r.cx, r.cy) for r in geo.segment_cell_rows(segs, 20.0, reach=10.0).filter("ax = 25").collect()]
+    assert len(cells) == len(set(cells)) and set(cells) == {(0, -1), (0, 0), (0, 1), (1, -1), (1, 0), (1, 1)}
