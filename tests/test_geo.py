@@ -168,3 +168,20 @@ def test_no_query_gathers_a_group_of_geometries(spark):
     for name in ("collect_geom", "explode_parts", "recipe_routes"):
         plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
         assert "collect_list" not in plan, name
+
+
+def test_nearest_search_on_halved_cells(spark, monkeypatch):
+    """Halving the cells changes the work and not the answer: copies of a line, ties, crowded spots and points far away."""
+    rnd = random.Random(3)
+    pts = [(i, rnd.uniform(0, 4), rnd.uniform(0, 4)) for i in range(500)] + [(500 + i, 1.5, 1.5) for i in range(100)] + [(700, 50.0, 50.0), (701, -1.0, -0.2)]
+    lines = [(j, j % 3, [{"x": rnd.uniform(-1, 4), "y": rnd.uniform(-1, 4)} for _ in range(rnd.randint(1, 3))]) for j in range(60)]
+    lines += [(100 + j, k, line) for j, k, line in lines[:20]]
+    P = spark.createDataFrame(pts, "pid long, x double, y double")
+    L = spark.createDataFrame(lines, "lid long, type long, line array<struct<x:double,y:double>>")
+    pairs = geo.join_within(P, L, 0.5)
+    exp = {(r.pid, r.type, r.lid, r.dist) for r in geo.nearest_per_type(pairs, L).collect()}
+    monkeypatch.setattr(geo, "NEAREST_CELL_POINTS", 0.05)
+    cells = P.select(geo._cell(F.col("x"), 0.5).alias("cx"), geo._cell(F.col("y"), 0.5).alias("cy"))
+    assert geo._halvings(cells) >= 3
+    got = geo.nearest_within(P, L, 0.5).collect()
+    assert {(r.pid, r.type, r.lid, r.dist) for r in got} == exp and len(got) == len(exp) > 1000
