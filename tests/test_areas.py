@@ -75,3 +75,23 @@ def test_crowded_key_is_split(spark):
     right = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "k int, v string")
     split, plain = geo.meet(left, right, ["k"], rows=50), left.join(right, ["k"])
     assert sorted(map(tuple, split.select("k", "id", "v").collect())) == sorted(map(tuple, plain.select("k", "id", "v").collect()))
+
+
+def test_one_point_tells_whether_a_part_is_held(spark):
+    """Each part of an area has one point inside it; a polygon around parts is found by these, whatever else crosses the area."""
+    wide = [(4, "MULTIPOLYGON(((40 0,42 0,42 2,40 2,40 0)),((50 0,50 2,52 2,52 0,50 0),(50.5 0.5,51.5 0.5,51.5 1.5,50.5 1.5,50.5 0.5)))")]
+    areas = _shapes(spark, AREAS + wide, "aid")
+    inside = geo._inside_points(areas)
+    assert inside.groupBy("pid").count().collect() and {r.pid: r["count"] for r in inside.groupBy("pid").count().collect()} == {1: 1, 2: 1, 3: 1, 4: 2}
+    assert {(r.pid, r.aid) for r in geo.points_in_polygons(inside, areas, 2.0).collect()} == {(i, i) for i in (1, 2, 3, 4)}
+    shapes = _shapes(spark, [
+        (1, "POLYGON((39 -1,43 -1,43 3,39 3,39 -1))"),  # around the first part
+        (2, "POLYGON((49 -1,53 -1,53 3,49 3,49 -1))"),  # around the part with a hole
+        (3, "POLYGON((50.6 0.6,51.4 0.6,51.4 1.4,50.6 1.4,50.6 0.6))"),  # in the hole
+        (4, "POLYGON((50.5 0.5,51.5 0.5,51.5 1.5,50.5 1.5,50.5 0.5))"),  # the hole itself
+        (5, "POLYGON((-5 -5,60 -5,60 60,-5 60,-5 -5))"),  # around all
+        (6, "POLYGON((44 0,48 0,48 2,44 2,44 0))"),  # between the parts
+        (7, "POLYGON((40 0,42 0,42 2,40 2,40 0))"),  # the same as a part
+    ], "pid")
+    got = [(r.pid, r.aid) for r in geo.intersecting_areas(shapes, areas, 2.0).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(1, 4), (2, 4), (5, 1), (5, 2), (5, 3), (5, 4), (7, 4)}
