@@ -56,6 +56,8 @@ abs ceil ceiling floor round bround sign mod pmod power sqrt exp ln log10 format
 to_date try_to_date to_timestamp try_to_timestamp date_format make_date date_add date_sub datediff add_months year month day hour minute
 array array_join array_contains element_at size struct named_struct to_json get_json_object
 """.split())
+#: Staged and stored links that one task compares.
+LINK_ROWS = 1_000_000
 _QUOTED = re.compile(r"""'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.|"")*"|`(?:[^`]|``)*`""", re.S)
 
 @dataclass
@@ -739,8 +741,8 @@ class ImportRun:
         """One row per stored or staged link of existing objects: ``__pk, __link, __new, __old, __touched``.
 
         The full outer comparison of both sides on (key, link) is one
-        aggregate over their union, combined map-side; no object's list is
-        gathered.  The changed objects (A9), their count (C16) and the rebuilt
+        aggregate over their union, dealt to tasks of about ``LINK_ROWS``
+        rows; no object's list is gathered.  The changed objects (A9), their count (C16) and the rebuilt
         rows (C15) are all read from it.
         """
         name = f"diff_{c}"
@@ -750,7 +752,10 @@ class ImportRun:
         known = self.r.frames["process"].filter(F.col("__pk").isNotNull()).select("__nk", "__pk")
         staged = links.join(known, "__nk").select("__pk", "__link", F.lit(True).alias("__new"), F.lit(False).alias("__old"))
         stored = self.links_store(c).select("__pk", "__link", F.lit(False).alias("__new"), F.lit(True).alias("__old"))
-        both = staged.unionByName(stored).groupBy("__pk", "__link").agg(F.max("__new").alias("__new"), F.max("__old").alias("__old"))
+        # dealt by their number before the aggregate: nearly all pairs are distinct, and no task is to keep more than it can hold
+        tasks = 1 + (links.count() + stored.count()) // LINK_ROWS
+        dealt = staged.unionByName(stored).repartition(tasks, "__pk", "__link")
+        both = dealt.groupBy("__pk", "__link").agg(F.max("__new").alias("__new"), F.max("__old").alias("__old"))
         touched = known.select("__pk", F.lit(True).alias("__touched")).distinct()
         return self.persist(name, both.join(touched, "__pk", "left").withColumn("__touched", F.coalesce("__touched", F.lit(False))))
 

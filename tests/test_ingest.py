@@ -255,3 +255,25 @@ def test_preview_stops_after_count(spark, fx):
     r = run(spark, fx, "site_missing_uuid.csv", spec=site_spec(target_step="count"))
     assert r.status == "DONE" and r.last_step == "count" and r.table is None
     assert counts(r, ("nb_process", "nb_insert", "nb_update", "nb_unchanged")) == (2, 2, 0, 0)
+
+
+def test_links_are_compared_in_tasks_of_bounded_size(spark, monkeypatch):
+    """The comparison of links is dealt by the number of links, not by what AQE makes of their size."""
+    from conftest import SF_SMALL
+    from relata.plans import ingest
+    from relata.queries import _order_parts_import
+    from relata.sources.tables import load_table
+
+    monkeypatch.setattr(ingest, "LINK_ROWS", 1000)
+    r = _order_parts_import(spark, SF_SMALL)
+    pairs = {(x.l_orderkey, x.l_partkey) for x in load_table(spark, SF_SMALL, "lineitem").select("l_orderkey", "l_partkey").collect()}
+    last = {}
+    for o, p in pairs:
+        last.setdefault(o, []).append(p)
+    dropped = {(o, max(ps)) for o, ps in last.items() if o % 5 == 0 and len(ps) > 1}
+    tasks = 1 + (2 * len(pairs) - len(dropped)) // 1000
+    plan = r.frames["diff_parts"]._jdf.queryExecution().analyzed().toString()
+    assert f", {tasks}" in "".join(x for x in plan.splitlines() if "RepartitionByExpression" in x)
+    links = r.links["parts"].collect()
+    assert {(x["__pk"], x["__link"]) for x in links} == pairs - dropped and len(links) == len(pairs - dropped)
+    r.release()
