@@ -185,3 +185,41 @@ def test_nearest_search_on_halved_cells(spark, monkeypatch):
     assert geo._halvings(cells) >= 3
     got = geo.nearest_within(P, L, 0.5).collect()
     assert {(r.pid, r.type, r.lid, r.dist) for r in got} == exp and len(got) == len(exp) > 1000
+
+
+def test_pairs_within_come_out_of_the_join_once(spark):
+    """Points with several positions, ids that repeat or are missing and lines with many short segments, all against brute force."""
+    rnd = random.Random(5)
+    pts = [(i, rnd.uniform(0, 2), rnd.uniform(0, 2)) for i in range(150)]
+    pts += [(i, rnd.uniform(0, 2), rnd.uniform(0, 2)) for i in range(0, 30)] + pts[40:50]  # elsewhere too, or twice
+    pts += [(None, 0.5, 0.5), (None, 1.5, 1.2), (900, None, 1.0), (3, None, None), (901, float("nan"), 1.0)]
+    walk = [(j, [(1 + j / 9 + k * 0.011, 1 + 0.03 * (k % 3)) for k in range(40)]) for j in range(5)]  # many segments in a cell
+    lines = walk + [(10 + j, [(rnd.uniform(0, 2), rnd.uniform(0, 2)) for _ in range(rnd.randint(1, 4))]) for j in range(30)]
+    lines += [(10, [(0.1, 0.1), (0.3, 0.2)]), lines[7], (None, [(0.4, 0.4), (0.9, 0.5)]), (None, [(1.4, 1.4)])]
+    P = spark.createDataFrame(pts, "pid long, x double, y double")
+    L = spark.createDataFrame([(j, [{"x": a, "y": b} for a, b in v]) for j, v in lines], "lid long, line array<struct<x:double,y:double>>")
+    segs = geo.line_segments(L)
+    d = geo.seg_dist(F.col("x"), F.col("y"), F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))
+    every = P.crossJoin(segs).select("pid", "lid", d.alias("d")).groupBy("pid", "lid").agg(F.min("d").alias("d")).filter("d <= 0.3")
+    exp = {tuple(r) for r in every.collect()}
+    for rows in (4096, 20):
+        got = [tuple(r) for r in geo.join_within(P, L, 0.3, hot_cell_rows=rows).collect()]
+        assert set(got) == exp and len(got) == len(exp) > 1000
+
+
+def test_pairs_within_are_not_aggregated(spark):
+    """The pairs of ordinary points and lines, the bulk of the result, are neither grouped nor shuffled after the join."""
+    P = spark.range(100).select(F.col("id").alias("pid"), (F.col("id") / 100).alias("x"), F.lit(0.0).alias("y"))
+    L = spark.sql("SELECT 1L AS lid, array(named_struct('x', 0.0D, 'y', 0.0D), named_struct('x', 1.0D, 'y', 0.0D)) AS line")
+    plan = geo.join_within(P, L, 0.1)._jdf.queryExecution().optimizedPlan()
+    assert plan.nodeName() == "Union"
+    above_join = plan.children().apply(0).toString().split("Join Inner")[0]
+    assert "Aggregate" not in above_join
+
+
+def test_round9_is_round(spark):
+    rnd = random.Random(8)
+    vals = [rnd.uniform(-1, 1) * 10 ** rnd.randint(-10, 8) for _ in range(20000)] + [(rnd.randint(-10**6, 10**6) + 0.5) / 1e9 for _ in range(5000)]
+    vals += [0.0, -0.0, -1e-12, 1e-10, 5e-10, -5e-10, 999.9999999995, 1e3, 1e300, float("nan"), float("inf"), -float("inf"), None]
+    df = spark.createDataFrame([(v,) for v in vals], "v double")
+    assert df.filter(~geo.round9(F.col("v")).eqNullSafe(F.round("v", 9))).collect() == []
