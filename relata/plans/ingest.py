@@ -244,6 +244,8 @@ def type_errors(df: DataFrame, spec: ImportSpec) -> DataFrame:
 def conflict_errors(df: DataFrame, spec: ImportSpec, own: list[str]) -> DataFrame:
     """ERR_IMPORT_UNIQUE_DOUBLON (A4): a natural key carried by several distinct rows."""
     cols = [c for c in own if c in df.columns and c not in spec.unique]
+    if not cols:  # lines of one key have nothing to differ in
+        return _error_frame(df.sparkSession)
     conf = agg.key_conflicts(df, spec.unique, cols)
     val = F.concat_ws("|", *[qcol(u).cast("string") for u in spec.unique])
     return conf.select(
@@ -768,14 +770,14 @@ class ImportRun:
         return out
 
     def links_store(self, c: str) -> DataFrame:
-        """Current n-n rows of column ``c``: (__pk, __link); the bridge of the relation, if none were given."""
+        """Current n-n rows of column ``c``: (__pk, __link), perhaps repeated; the bridge of the relation, if none were given."""
         s = self.r.links.get(c)
         if s is not None:
             return s
         rel = self.sd.relation(c)
         if rel is not None and rel.kind == "n-n" and rel.bridge in self.cat.codes():
             return self.cat.frame(rel.bridge).select(
-                F.col(rel.bridge_local).alias("__pk"), F.col(rel.bridge_foreign).alias("__link")).distinct()
+                F.col(rel.bridge_local).alias("__pk"), F.col(rel.bridge_foreign).alias("__link"))
         return self.spark.createDataFrame([], "__pk long, __link long")
 
     def step_count(self):

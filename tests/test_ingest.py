@@ -277,3 +277,15 @@ def test_links_are_compared_in_tasks_of_bounded_size(spark, monkeypatch):
     links = r.links["parts"].collect()
     assert {(x["__pk"], x["__link"]) for x in links} == pairs - dropped and len(links) == len(pairs - dropped)
     r.release()
+
+
+def test_keys_alone_are_not_searched_for_conflicts(spark):
+    """Lines that hold nothing beside their key cannot differ: nothing is grouped; with another column they are."""
+    from relata.plans.ingest import conflict_errors
+
+    df = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, "b", "x"), (4, None, "x")], "id_import long, k string, v string")
+    spec = ImportSpec("site", unique=["k"], fields={"k": FieldSpec("string"), "v": FieldSpec("string")})
+    alone = conflict_errors(df, spec, ["k"])
+    assert "Aggregate" not in alone._jdf.queryExecution().optimizedPlan().toString() and alone.collect() == []
+    assert [(r.value, r.nb_lines, r.lines) for r in conflict_errors(df, spec, ["k", "v"]).collect()] == [("a", 2, [1, 2])]
+    assert alone.schema.names == conflict_errors(df, spec, ["k", "v"]).schema.names
